@@ -134,11 +134,7 @@ def fit_advisor(listings: DataFrame, params: Params = DEFAULTS) -> Advisor:
         ),
         "property_counts",
     )
-    median = peer_ops.global_median(listings, params.split_above).first()["median"]
-    hist = stage(peer_ops.market_histogram(listings, params), "peer_histogram")
-    statistics = stage(
-        peer_ops.group_statistics(hist, F.lit(median), params.split_above), "peer_statistics"
-    )
+    hist, statistics, median = peer_ops.fit_peers(listings, params)
     return Advisor(spec, fit, property_counts, hist, statistics, median, params)
 
 

@@ -20,6 +20,7 @@ from peerband.operators import student
 from peerband.operators.distribution import exact_quantiles, join_same
 from peerband.operators.features import dot
 from peerband.params import DEFAULTS
+from peerband.session import stage
 
 COEFFICIENTS = (
     "feature string, effect double, std_err double, p_value double, ci_low double, ci_high double"
@@ -60,9 +61,13 @@ class HedonicFit:
         )
 
 
+def _pairs(m: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(m) for j in range(i, m)]
+
+
 def group_moments(features: DataFrame, names: Sequence[str], group: str, target: str,
                   shifts: dict[str, float] | None = None) -> DataFrame:
-    """Per-group count, sums (s_i) and products (q_i_j) of the shifted columns.
+    """Per group: count ``n``, column sums ``s`` and pairwise product sums ``q``, as arrays.
 
     Shifting every column by a typical value first keeps the later subtraction accurate. The
     sums are partial-aggregated before the shuffle, so a group holding most rows is harmless.
@@ -77,14 +82,16 @@ def group_moments(features: DataFrame, names: Sequence[str], group: str, target:
         ],
     )
     m = len(columns)
-    return base.groupBy("g").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(f"x{i}").alias(f"s_{i}") for i in range(m)],
-        *[
-            F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q_{i}_{j}")
-            for i in range(m)
-            for j in range(i, m)
-        ],
+    sums = [f"sum(x{i}) as s{i}" for i in range(m)]
+    products = [f"sum(x{i} * x{j}) as q{i}_{j}" for i, j in _pairs(m)]
+    grouped = base.groupBy("g").agg(
+        F.expr("count(1) as n"), *[F.expr(e) for e in (*sums, *products)]
+    )
+    return grouped.selectExpr(
+        "g",
+        "n",
+        f"array({', '.join(f's{i}' for i in range(m))}) as s",
+        f"array({', '.join(f'q{i}_{j}' for i, j in _pairs(m))}) as q",
     )
 
 
@@ -93,36 +100,37 @@ class Moments:
     n: int
     groups: int
     first_group: str | None
-    sums: np.ndarray
     total: np.ndarray  # products about the overall mean
     within: np.ndarray  # products about the group means
 
 
 def collect_moments(moments: DataFrame, m: int) -> Moments:
-    """One row back to the driver: m(m+1) numbers however many groups there are."""
-    pairs = [(i, j) for i in range(m) for j in range(i, m)]
-    row = moments.agg(
-        F.sum("n").alias("n"),
-        F.count(F.lit(1)).alias("groups"),
-        F.min("g").alias("first_group"),
-        *[F.sum(f"s_{i}").alias(f"s_{i}") for i in range(m)],
-        *[F.sum(f"q_{i}_{j}").alias(f"q_{i}_{j}") for i, j in pairs],
-        *[
-            F.sum(
-                F.col(f"q_{i}_{j}") - F.col(f"s_{i}") * F.col(f"s_{j}") / F.col("n")
-            ).alias(f"w_{i}_{j}")
-            for i, j in pairs
-        ],
+    """m(m+1)/2 rows back to the driver, however many groups there are."""
+    pairs = _pairs(m)
+    size = moments.agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"), F.min("g").alias("first_group")
     ).first()
-    n = row["n"] or 0
+    n = size["n"] or 0
     if n == 0:
         raise ValueError("no rows to fit")
-    sums = np.array([row[f"s_{i}"] for i in range(m)])
+    left = ", ".join(str(i) for i, _ in pairs)
+    right = ", ".join(str(j) for _, j in pairs)
+    long = moments.selectExpr(
+        "n", "s", f"posexplode(arrays_zip(q, array({left}), array({right}))) as (place, p)"
+    )
+    long = long.selectExpr("place", "n", "p.q as q", "s[p.`1`] as a", "s[p.`2`] as b")
+    rows = long.groupBy("place").agg(
+        F.sum("q").alias("q"),
+        F.sum(F.col("q") - F.col("a") * F.col("b") / F.col("n")).alias("w"),
+        F.sum("a").alias("a"),
+        F.sum("b").alias("b"),
+    ).collect()
     total, within = np.zeros((m, m)), np.zeros((m, m))
-    for i, j in pairs:
-        total[i, j] = total[j, i] = row[f"q_{i}_{j}"] - sums[i] * sums[j] / n
-        within[i, j] = within[j, i] = row[f"w_{i}_{j}"]
-    return Moments(n, row["groups"], row["first_group"], sums, total, within)
+    for r in rows:
+        i, j = pairs[r["place"]]
+        total[i, j] = total[j, i] = r["q"] - r["a"] * r["b"] / n
+        within[i, j] = within[j, i] = r["w"]
+    return Moments(n, size["groups"], size["first_group"], total, within)
 
 
 def pseudo_inverse(gram: np.ndarray) -> tuple[np.ndarray, int]:
@@ -188,11 +196,11 @@ def group_effects(moments: DataFrame, effects: Sequence[float],
                   shifts: Sequence[float]) -> DataFrame:
     """Each group's own level: mean target less the mean features' contribution."""
     p = len(effects)
-    level = F.col(f"s_{p}") / F.col("n") + F.lit(float(shifts[p]))
+    level = F.col("s")[p] / F.col("n") + F.lit(float(shifts[p]))
     for i, b in enumerate(effects):
         if b:
             level = level - F.lit(float(b)) * (
-                F.col(f"s_{i}") / F.col("n") + F.lit(float(shifts[i]))
+                F.col("s")[i] / F.col("n") + F.lit(float(shifts[i]))
             )
     return moments.select(F.col("g").alias("neighbourhood"), "n", level.alias("level"))
 
@@ -200,7 +208,7 @@ def group_effects(moments: DataFrame, effects: Sequence[float],
 def fit_hedonic(features: DataFrame, names: Sequence[str], group: str = "neighbourhood",
                 target: str = "log_price",
                 split_above: int = DEFAULTS.split_above) -> HedonicFit:
-    """Fit ``target ~ names + group``. ``features`` is scanned four times: pass a stored table.
+    """Fit ``target ~ names + group``. ``features`` is read four times: pass a stored table.
 
     The coefficients, errors and adjusted R2 equal those of the regression on explicit group
     dummies; degrees of freedom count the groups.
@@ -210,7 +218,7 @@ def fit_hedonic(features: DataFrame, names: Sequence[str], group: str = "neighbo
     columns = [*names, target]
     centre = features.agg(*[F.avg(quoted(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     shifts = {c: centre[f"m{i}"] or 0.0 for i, c in enumerate(columns)}
-    moments = group_moments(features, names, group, target, shifts)
+    moments = stage(group_moments(features, names, group, target, shifts), "moments")
     got = collect_moments(moments, len(columns))
 
     inverse, rank = pseudo_inverse(got.within[:-1, :-1])

