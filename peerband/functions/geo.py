@@ -20,7 +20,9 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     chord = F.pow(F.sin((phi2 - phi1) / 2), F.lit(2.0)) + F.cos(phi1) * F.cos(phi2) * F.pow(
         F.sin((lam2 - lam1) / 2), F.lit(2.0)
     )
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(chord, F.lit(1.0))))
+    # least() would skip a NULL, so the rounding guard is written as a condition.
+    bounded = F.when(chord > 1.0, F.lit(1.0)).otherwise(chord)
+    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(bounded))
 
 
 def nearest_km(lat, lon, points) -> Column:
