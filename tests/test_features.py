@@ -1,0 +1,81 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from peerband.functions.buckets import quoted
+from peerband.operators import features
+from tests.markets import bucket, design, make_market, to_spark
+
+
+@pytest.fixture(scope="module")
+def market():
+    return make_market(distance=3.0)
+
+
+def test_design_matches_definition(spark, market):
+    frame, spec = features.model_matrix(to_spark(spark, market))
+    x, y, hood = design(market)
+    assert list(spec.names) == list(x.columns)
+    rows = frame.orderBy("listing_id").toPandas()
+    assert np.allclose(rows[list(spec.names)].to_numpy(float), x.to_numpy(float))
+    assert np.allclose(rows["log_price"], y)
+    assert list(rows["neighbourhood"]) == list(hood)
+    assert "Rare" not in set(rows["neighbourhood"]) and "Exactly29" not in set(hood)
+    assert list(rows["cap_bucket"]) == [bucket(g) for g in market["accommodates"]]
+    assert spec.n_rows == len(market)
+
+
+def test_kept_out_columns(spark, market):
+    extra = to_spark(spark, market).withColumns(
+        {c: F.lit(1.0) for c in ("beds", "availability_365", "estimated_occupancy_l365d")})
+    frame, spec = features.model_matrix(extra)
+    banned = {"beds", "availability_365", "estimated_occupancy_l365d", "price", "instant_bookable"}
+    assert banned.isdisjoint(frame.columns)
+    assert {"beds", "availability_365", "instant_bookable"} <= set(spec.dropped)
+    assert "room_type_Hotel room" not in spec.names
+
+
+def test_unpriced_rows_are_left_out_and_distance_is_optional(spark, market):
+    small = market.drop(columns="distance_to_beach_km").copy()
+    small.loc[:9, "price"] = 0.0
+    frame, spec = features.model_matrix(to_spark(spark, small))
+    assert frame.count() == spec.n_rows == len(small) - 10
+    assert "distance_to_beach_km" not in spec.names
+
+
+def test_all_null_numeric_fails(spark, market):
+    bad = to_spark(spark, market).withColumn("bathrooms_num", F.lit(None).cast("double"))
+    with pytest.raises(ValueError, match="entirely NULL.*bathrooms_num"):
+        features.model_matrix(bad)
+
+
+def test_nan_is_missing(spark, market):
+    nan = to_spark(spark, market).withColumn(
+        "min_nights", F.when(F.col("listing_id") < 50, float("nan")).otherwise(F.col("min_nights")))
+    frame, spec = features.model_matrix(nan)
+    assert frame.where(F.isnan("min_nights") | F.col("min_nights").isNull()).count() == 0
+    assert spec.medians["min_nights"] == market["min_nights"][50:].median()
+
+
+def test_other_can_be_a_top_level_itself(spark):
+    rows = spark.createDataFrame([(x,) for x in "aaabbc"] + [(None,)] * 4, "level string")
+    got = {r["level"]: r["n"] for r in features.level_counts(
+        features.collapse_top_levels(rows, "level", 2), "level").collect()}
+    assert got == {"Other": 4 + 3, "a": 3}
+
+
+def test_impute(spark):
+    rows = spark.createDataFrame([(1.0,), (None,), (float("nan"),)], "x double")
+    got = [r["x"] for r in features.impute_medians(rows, {"x": 7.0}).collect()]
+    assert got == [1.0, 7.0, 7.0]
+
+
+def test_metadata_row(spark, market):
+    _, spec = features.model_matrix(to_spark(spark, market))
+    row = features.feature_metadata(spec, spark).first()
+    assert row["n_rows"] == len(market) and row["columns"] == list(spec.names)
+
+
+def test_quoted_names(spark):
+    odd = spark.range(1).select(F.lit(1).alias("a.b `c`"))
+    assert odd.select(quoted("a.b `c`")).first()[0] == 1
