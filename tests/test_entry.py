@@ -1,0 +1,48 @@
+import math
+
+import duckdb
+import pytest
+
+import __spark_entry__ as contract
+
+SMALL = "/root/testdata/sf0.001"
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages"
+          " benchmark labels conversations").split()
+
+
+@pytest.fixture(scope="module")
+def engine():
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SMALL}/{name}.parquet'")
+    return con
+
+
+def ordered(rows):
+    return sorted(rows, key=lambda r: [(v is None, str(type(v)), 0 if v is None else v) for v in r])
+
+
+def test_entry_runs(spark):
+    assert contract.entry(spark).count() > 0
+
+
+def test_every_oracle_has_a_query():
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+def test_query_equals_reference_sql(spark, engine, name):
+    frame = contract.queries()[name](spark, SMALL)
+    columns = sorted(frame.columns)
+    got = [tuple(r[c] for c in columns) for r in frame.collect()]
+    result = engine.execute(contract.oracle_sql()[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == columns
+    want = [tuple(r[names.index(c)] for c in columns) for r in result.fetchall()]
+    assert len(got) == len(want)
+    for a, b in zip(ordered(got), ordered(want)):
+        for x, y in zip(a, b):
+            if isinstance(x, float) and y is not None:
+                assert math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-5), (a, b)
+            else:
+                assert x == y, (a, b)
