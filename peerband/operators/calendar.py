@@ -56,7 +56,7 @@ def calendar_cube(calendar: DataFrame, split_above: int = DEFAULTS.split_above)
     )
     cells = histogram_quantiles(
         hist, keys, {"median_cal_price": 0.5}, split_above,
-        also=[(F.sum("_busy") / F.sum("_days")).alias("booked_rate")],
+        also=["sum(_busy) / sum(_days) as booked_rate"],
     )
     return cells.select(*keys, "median_cal_price", "booked_rate")
 

@@ -9,9 +9,8 @@ task ever sorts more than a range.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peerband.params import DEFAULTS
@@ -33,8 +32,8 @@ def histogram(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
     )
 
 
-def _renamed_keys(df: DataFrame, keys: Sequence[str], kept: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *kept)
+def _names(columns: Sequence[str]) -> str:
+    return ", ".join(f"`{c}`" for c in columns)
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], kept: Sequence[str],
@@ -44,37 +43,54 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], kept: Sequ
     ``small`` may be set only where the right side has a row bound that does not depend on the
     data; elsewhere adaptive execution picks the join from measured sizes.
     """
-    right = _renamed_keys(right, keys, kept)
+    right = right.selectExpr(*[f"`{k}` as `_r_{k}`" for k in keys], *[f"`{c}`" for c in kept])
     if small:
         right = F.broadcast(right)
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    same = F.expr(" and ".join(f"`{k}` <=> `_r_{k}`" for k in keys))
     return left.join(right, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def _reads_all(hist: DataFrame, keys: Sequence[str]) -> str:
+    """Always 0, but reads every column of the histogram.
+
+    The histogram feeds several branches of one plan. If each read only the columns it needs,
+    pruning would make their shuffles differ and the input would be scanned once per branch;
+    reading all columns everywhere lets them share one shuffle.
+    """
+    return f"(xxhash64({_names([c for c in hist.columns if c not in keys])}) & 0)"
+
+
 def _cut_points(hist: DataFrame, keys: Sequence[str], split_above: int) -> DataFrame:
     """Value cut points for the dominant groups only."""
-    levels = F.expr("array(" + ", ".join(f"{i / RANGES}D" for i in range(1, RANGES)) + ")")
-    cuts = F.percentile_approx("value", levels, 10_000).alias("_cuts")
+    zero = _reads_all(hist, keys)
+    levels = ", ".join(f"{i / RANGES}D" for i in range(1, RANGES))
     if not keys:
-        rows = hist.agg(F.count(F.lit(1)).alias("n")).scalar()
-        return hist.where(rows > split_above).agg(cuts)
+        rows = hist.agg(F.expr(f"sum({zero} + 1) as n")).scalar()
+        # Without enough rows the sketch sees only NULLs and the cut points are NULL.
+        large = F.when(rows > split_above, F.expr(f"value + {zero}"))
+        return hist.agg(
+            F.percentile_approx(large, F.expr(f"array({levels})"), 10_000).alias("_cuts")
+        )
     dominant = (
         hist.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > split_above)
+        .agg(F.expr(f"sum({zero} + 1) as _rows"))
+        .where(f"_rows > {split_above}")
         .orderBy(F.desc("_rows"))
         .limit(MAX_DOMINANT)
     )
-    return join_same(hist, dominant, keys, [], how="inner", small=True).groupBy(*keys).agg(cuts)
+    return (
+        join_same(hist, dominant, keys, [], how="inner", small=True)
+        .groupBy(*keys)
+        .agg(F.expr(f"percentile_approx(value + {zero}, array({levels}), 10000) as _cuts"))
+    )
 
 
-def _range_number(cuts: Column, value: Column) -> Column:
-    """How many cut points lie below ``value``: binary search over RANGES - 1 of them."""
-    steps = F.array(*[F.lit(RANGES >> i) for i in range(1, RANGES.bit_length())])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(F.get(cuts, at + step - 1) < value, at + step).otherwise(at),
+def _range_number() -> str:
+    """How many cut points lie below the value: binary search over RANGES - 1 of them."""
+    steps = ", ".join(str(RANGES >> i) for i in range(1, RANGES.bit_length()))
+    return (
+        f"coalesce(aggregate(array({steps}), 0, (at, step) ->"
+        " if(get(_cuts, at + step - 1) < value, at + step, at)), 0)"
     )
 
 
@@ -90,73 +106,70 @@ def ranked_values(hist: DataFrame, keys: Sequence[str],
         placed = join_same(hist, cuts, keys, ["_cuts"], small=True)
     else:
         placed = hist.withColumn("_cuts", cuts.scalar())
-    number = _range_number(F.col("_cuts"), F.col("value"))
-    placed = placed.withColumn(
-        "_range", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.coalesce(number, F.lit(0)))
-    ).withColumn("_split", F.col("_cuts").isNotNull()).drop("_cuts")
-
     spots = [*keys, "_range"]
-    totals = placed.where("_split").groupBy(*spots).agg(F.sum("weight").alias("_n"))
+    placed = placed.selectExpr(
+        "* except (_cuts)",
+        "_cuts is not null as _split",
+        f"if(_cuts is null, 0, {_range_number()}) as _range",
+    )
+    totals = placed.where("_split").groupBy(*spots).agg(
+        F.expr(f"sum(weight + {_reads_all(hist, keys)}) as _n")
+    )
     # At most RANGES rows per group reach this window.
-    of_group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    earlier = of_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *spots,
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"),
-        F.sum("_n").over(of_group).alias("_group_total"),
+    group = f"partition by {_names(keys) or '0'}"
+    earlier = "rows between unbounded preceding and 1 preceding"
+    offsets = totals.selectExpr(
+        *[f"`{c}`" for c in spots],
+        f"coalesce(sum(_n) over ({group} order by _range {earlier}), 0) as _start",
+        f"sum(_n) over ({group}) as _group_total",
+    )
+    place = f"partition by {_names(spots)}"
+    ranked = placed.selectExpr(
+        "*",
+        f"coalesce(sum(weight) over ({place} order by value {earlier}), 0) as _before",
+        f"sum(weight) over ({place}) as _range_total",
     )
-
-    of_range = Window.partitionBy(*spots)
-    before = of_range.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.withColumn(
-        "_before", F.coalesce(F.sum("weight").over(before), F.lit(0))
-    ).withColumn("_range_total", F.sum("weight").over(of_range))
     ranked = join_same(ranked, offsets, spots, ["_start", "_group_total"], small=True)
-    return (
-        ranked.withColumn("below", F.col("_before") + F.coalesce(F.col("_start"), F.lit(0)))
-        .withColumn("total", F.coalesce(F.col("_group_total"), F.col("_range_total")))
-        .drop("_range", "_split", "_before", "_range_total", "_start", "_group_total")
+    return ranked.selectExpr(
+        *[f"`{c}`" for c in hist.columns],
+        "_before + coalesce(_start, 0) as below",
+        "coalesce(_group_total, _range_total) as total",
     )
 
 
 def histogram_quantiles(hist: DataFrame, keys: Sequence[str], probs: dict[str, float],
                         split_above: int = DEFAULTS.split_above,
-                        also: Sequence[Column] = ()) -> DataFrame:
+                        also: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolated exact quantiles per group from a histogram.
 
-    Output: keys, ``n``, one column per entry of ``probs``, and any ``also`` aggregates.
+    Output: keys, ``n``, one column per entry of ``probs``, and any ``also`` aggregates, given
+    as "expression as name".
     """
     ranked = ranked_values(hist, keys, split_above)
 
     def position(p):
-        return F.lit(float(p)) * (F.col("total") - 1)
+        return f"({float(p)!r}D * (total - 1))"
 
     def at(spot):
-        hit = (F.col("below") <= spot) & (spot < F.col("below") + F.col("weight"))
-        return F.max(F.when(hit, F.col("value")))
+        return f"max(if(below <= {spot} and {spot} < below + weight, value, null))"
 
     picks = []
     for name, p in probs.items():
+        spot = position(p)
         picks += [
-            at(F.floor(position(p))).alias(f"_lo_{name}"),
-            at(F.ceil(position(p))).alias(f"_hi_{name}"),
-            F.max(position(p) - F.floor(position(p))).alias(f"_part_{name}"),
+            f"{at(f'floor({spot})')} as `_lo_{name}`",
+            f"{at(f'ceil({spot})')} as `_hi_{name}`",
+            f"max({spot} - floor({spot})) as `_part_{name}`",
         ]
     grouped = ranked.groupBy(*keys).agg(
-        F.coalesce(F.max("total"), F.lit(0)).alias("n"), *picks, *also
+        *[F.expr(e) for e in ("coalesce(max(total), 0) as n", *picks, *also)]
     )
     extra = grouped.columns[len(keys) + 1 + len(picks):]
-    return grouped.select(
-        *keys,
+    return grouped.selectExpr(
+        *[f"`{k}`" for k in keys],
         "n",
-        *[
-            (
-                F.col(f"_lo_{q}")
-                + (F.col(f"_hi_{q}") - F.col(f"_lo_{q}")) * F.col(f"_part_{q}")
-            ).alias(q)
-            for q in probs
-        ],
-        *extra,
+        *[f"`_lo_{q}` + (`_hi_{q}` - `_lo_{q}`) * `_part_{q}` as `{q}`" for q in probs],
+        *[f"`{c}`" for c in extra],
     )
 
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peerband.functions.buckets import capacity_bucket, quoted
+from peerband.functions.buckets import capacity_bucket
 from peerband.operators.distribution import (
     histogram,
     histogram_quantiles,
@@ -202,8 +202,9 @@ def feature_metadata(spec: FeatureSpec, spark) -> DataFrame:
 
 def dot(names, weights) -> Column:
     """Linear combination of design columns."""
-    total = F.lit(0.0)
-    for name, weight in zip(names, weights, strict=True):
-        if weight:
-            total = total + quoted(name) * F.lit(float(weight))
-    return total
+    terms = [
+        "`" + name.replace("`", "``") + f"` * ({float(weight)!r}D)"
+        for name, weight in zip(names, weights, strict=True)
+        if weight
+    ]
+    return F.expr(" + ".join(["0D", *terms]))

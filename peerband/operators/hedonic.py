@@ -61,38 +61,33 @@ class HedonicFit:
         )
 
 
-def _pairs(m: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(m) for j in range(i, m)]
-
-
 def group_moments(features: DataFrame, names: Sequence[str], group: str, target: str,
                   shifts: dict[str, float] | None = None) -> DataFrame:
-    """Per group: count ``n``, column sums ``s`` and pairwise product sums ``q``, as arrays.
+    """Product sums per group: row (g, i) holds ``q[j]``, the sum of column i times column j.
 
-    Shifting every column by a typical value first keeps the later subtraction accurate. The
-    sums are partial-aggregated before the shuffle, so a group holding most rows is harmless.
+    The last column is the constant 1, so its row holds the column sums and the row count.
+    Each input row is spread over its columns first: one narrow sum per column pair's row keeps
+    the aggregate small enough to be compiled, where all pairs side by side would not be.
+    Shifting every column by a typical value keeps the later subtraction accurate. The sums are
+    partial-aggregated before the shuffle, so a group holding most rows is harmless.
     """
     shifts = shifts or {}
     columns = [*names, target]
+    m = len(columns)
     base = features.select(
         F.col(group).alias("g"),
         *[
             (quoted(c) - F.lit(float(shifts.get(c, 0.0)))).alias(f"x{i}")
             for i, c in enumerate(columns)
         ],
+        F.lit(1.0).alias(f"x{m}"),
     )
-    m = len(columns)
-    sums = [f"sum(x{i}) as s{i}" for i in range(m)]
-    products = [f"sum(x{i} * x{j}) as q{i}_{j}" for i, j in _pairs(m)]
-    grouped = base.groupBy("g").agg(
-        F.expr("count(1) as n"), *[F.expr(e) for e in (*sums, *products)]
-    )
-    return grouped.selectExpr(
-        "g",
-        "n",
-        f"array({', '.join(f's{i}' for i in range(m))}) as s",
-        f"array({', '.join(f'q{i}_{j}' for i, j in _pairs(m))}) as q",
+    all_x = ", ".join(f"x{i}" for i in range(m + 1))
+    spread = base.selectExpr("g", *all_x.split(", "), f"posexplode(array({all_x})) as (i, x)")
+    sums = spread.groupBy("g", "i").agg(
+        *[F.expr(f"sum(x * x{j}) as q{j}") for j in range(m + 1)]
     )
+    return sums.selectExpr("g", "i", f"array({all_x.replace('x', 'q')}) as q")
 
 
 @dataclass(frozen=True)
@@ -104,33 +99,38 @@ class Moments:
     within: np.ndarray  # products about the group means
 
 
+def group_sums(moments: DataFrame, m: int) -> DataFrame:
+    """Per group: row count ``n`` and column sums ``s``."""
+    return moments.where(F.col("i") == m).select(
+        "g", F.round(F.col("q")[m]).cast("bigint").alias("n"), F.col("q").alias("s")
+    )
+
+
 def collect_moments(moments: DataFrame, m: int) -> Moments:
-    """m(m+1)/2 rows back to the driver, however many groups there are."""
-    pairs = _pairs(m)
-    size = moments.agg(
+    """m rows of m numbers back to the driver, however many groups there are."""
+    sums = group_sums(moments, m)
+    size = sums.agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"), F.min("g").alias("first_group")
     ).first()
     n = size["n"] or 0
     if n == 0:
         raise ValueError("no rows to fit")
-    left = ", ".join(str(i) for i, _ in pairs)
-    right = ", ".join(str(j) for _, j in pairs)
-    long = moments.selectExpr(
-        "n", "s", f"posexplode(arrays_zip(q, array({left}), array({right}))) as (place, p)"
-    )
-    long = long.selectExpr("place", "n", "p.q as q", "s[p.`1`] as a", "s[p.`2`] as b")
-    rows = long.groupBy("place").agg(
-        F.sum("q").alias("q"),
-        F.sum(F.col("q") - F.col("a") * F.col("b") / F.col("n")).alias("w"),
-        F.sum("a").alias("a"),
-        F.sum("b").alias("b"),
+    joined = join_same(moments.where(F.col("i") < m), sums, ["g"], ["n", "s"], how="inner")
+    rows = joined.groupBy("i").agg(
+        F.expr(f"sum(q[{m}]) as own"),
+        *[F.expr(f"sum(q[{j}]) as q{j}") for j in range(m)],
+        *[F.expr(f"sum(q[{j}] - q[{m}] * s[{j}] / n) as w{j}") for j in range(m)],
     ).collect()
+    own = np.zeros(m)
     total, within = np.zeros((m, m)), np.zeros((m, m))
     for r in rows:
-        i, j = pairs[r["place"]]
-        total[i, j] = total[j, i] = r["q"] - r["a"] * r["b"] / n
-        within[i, j] = within[j, i] = r["w"]
-    return Moments(n, size["groups"], size["first_group"], total, within)
+        own[r["i"]] = r["own"]
+        total[r["i"]] = [r[f"q{j}"] for j in range(m)]
+        within[r["i"]] = [r[f"w{j}"] for j in range(m)]
+    total -= np.outer(own, own) / n
+    return Moments(
+        n, size["groups"], size["first_group"], (total + total.T) / 2, (within + within.T) / 2
+    )
 
 
 def pseudo_inverse(gram: np.ndarray) -> tuple[np.ndarray, int]:
@@ -192,17 +192,15 @@ def vif_table(features: DataFrame, names: Sequence[str]) -> DataFrame:
     return features.sparkSession.createDataFrame(rows, "feature string, vif double")
 
 
-def group_effects(moments: DataFrame, effects: Sequence[float],
+def group_effects(sums: DataFrame, effects: Sequence[float],
                   shifts: Sequence[float]) -> DataFrame:
     """Each group's own level: mean target less the mean features' contribution."""
     p = len(effects)
-    level = F.col("s")[p] / F.col("n") + F.lit(float(shifts[p]))
-    for i, b in enumerate(effects):
-        if b:
-            level = level - F.lit(float(b)) * (
-                F.col("s")[i] / F.col("n") + F.lit(float(shifts[i]))
-            )
-    return moments.select(F.col("g").alias("neighbourhood"), "n", level.alias("level"))
+    terms = [f"s[{p}] / n + ({float(shifts[p])!r}D)"] + [
+        f"({float(b)!r}D) * (s[{i}] / n + ({float(shifts[i])!r}D))" for i, b in enumerate(effects)
+    ]
+    level = F.expr(" - ".join(terms))
+    return sums.select(F.col("g").alias("neighbourhood"), "n", level.alias("level"))
 
 
 def fit_hedonic(features: DataFrame, names: Sequence[str], group: str = "neighbourhood",
@@ -223,7 +221,9 @@ def fit_hedonic(features: DataFrame, names: Sequence[str], group: str = "neighbo
 
     inverse, rank = pseudo_inverse(got.within[:-1, :-1])
     effects = inverse @ got.within[:-1, -1]
-    levels = group_effects(moments, effects, [shifts[c] for c in columns])
+    levels = group_effects(
+        group_sums(moments, len(columns)), effects, [shifts[c] for c in columns]
+    )
     base = levels.where(F.col("neighbourhood").eqNullSafe(F.lit(got.first_group))).first()
     intercept = float(base["level"])
     fixed = levels.select(

@@ -66,20 +66,21 @@ def market_histogram(listings: DataFrame, params: Params = DEFAULTS) -> DataFram
     )
 
 
-def group_statistics(hist: DataFrame, centre: Column,
+def group_statistics(hist: DataFrame, centre: float | Column,
                      split_above: int = DEFAULTS.split_above) -> DataFrame:
     """n, quartiles, IQR, mean, sample deviation and CV per comparison group.
 
     ``centre`` (the market median) is subtracted before squaring to keep the sums accurate.
     """
-    shifted = F.col("value") - centre
-    weight = F.col("weight")
+    centred = hist.withColumn(
+        "_d", F.col("value") - (centre if isinstance(centre, Column) else F.lit(centre))
+    )
     stats = histogram_quantiles(
-        hist, TIER_KEYS, {"q25": 0.25, "median": 0.5, "q75": 0.75}, split_above,
+        centred, TIER_KEYS, {"q25": 0.25, "median": 0.5, "q75": 0.75}, split_above,
         also=[
-            F.sum(shifted * weight).alias("_s1"),
-            F.sum(shifted * shifted * weight).alias("_s2"),
-            F.sum(F.col("value") * weight).alias("_sum"),
+            "sum(_d * weight) as _s1",
+            "sum(_d * _d * weight) as _s2",
+            "sum(value * weight) as _sum",
         ],
     )
     n = F.col("n")
@@ -163,7 +164,8 @@ def position_requests(requests: DataFrame, hist: DataFrame, statistics: DataFram
     """Add the peer position of each request's ``target_price``.
 
     Requests need neighbourhood, room_type, cap_bucket and target_price. Repeated key
-    combinations and repeated prices are resolved once and joined back.
+    combinations and repeated prices are resolved once and joined back. The joins back may see
+    any number of requests per key; adaptive execution splits such a key across tasks.
     """
     groups = resolve_groups(requests, statistics, median, params)
     placed = join_same(
@@ -174,7 +176,8 @@ def position_requests(requests: DataFrame, hist: DataFrame, statistics: DataFram
     for c in GROUP:
         used = [i for i, tier in enumerate(params.tiers) if c in tier]
         keys[f"_g_{c}"] = F.when(F.col("tier").isin(used), F.col(c)).otherwise(F.lit(""))
-    placed = placed.withColumns(keys)
+    # Read twice below, and it carries every join made so far: written once.
+    placed = stage(placed.withColumns(keys), "placed")
     targets = (
         placed.where("n_effective > 0 and target_price is not null")
         .select(

@@ -18,6 +18,8 @@ def build_session(app: str = "peerband", master: str | None = None, **conf) -> S
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Call-site capture costs several driver round trips per column expression.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update({k: str(v) for k, v in conf.items()})
     for key, value in settings.items():
