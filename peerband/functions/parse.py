@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-INTEGER = r"^\s*[+-]?\d+\s*$"
+# Positive exponents stop at two digits and integer parts at 200, so no match overflows.
+NUMBER = r"^\s*[+-]?(\d{1,200}\.?\d*|\.\d+)([eE](\+?0*\d{1,2}|-\d+))?\s*$"
 DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
 
 
@@ -23,31 +23,33 @@ def _text(c) -> Column:
 def to_double(c) -> Column:
     """Text to double; anything that is not a finite plain number becomes NULL."""
     text = _text(c)
-    value = F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
-    return F.when(F.abs(value) < float("inf"), value)
+    return F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
+
+
+def to_decimal(c) -> Column:
+    """Text to an exact number, wide enough for 19-digit keys; unreadable text to NULL."""
+    return F.trim(_text(c)).try_cast("decimal(38,9)")
+
+
+def whole(number: Column, name: str = "value") -> Column:
+    """Exact number to bigint; a fractional one fails the query."""
+    failure = F.raise_error(F.concat(F.lit(f"{name} is not whole: "), number.cast("string")))
+    return F.when(number == F.floor(number), number.cast("bigint")).when(
+        number.isNotNull(), failure
+    )
 
 
 def to_whole(c, name: str = "value") -> Column:
     """Text to nullable bigint. "2.0" is 2; a fractional number fails the query."""
-    text = _text(c)
-    number = to_double(text)
-    return (
-        F.when(text.rlike(INTEGER), F.trim(text).try_cast("bigint"))
-        .when(number == F.floor(number), number.try_cast("bigint"))
-        .when(number.isNotNull(), F.raise_error(F.concat(F.lit(f"{name} is not whole: "), text)))
-    )
+    return whole(to_decimal(c), name)
 
 
 def to_key(c, name: str = "key") -> Column:
     """Text to non-null bigint; an unreadable or missing key fails the query."""
-    text = _text(c)
-    key = F.coalesce(
-        F.when(text.rlike(INTEGER), F.trim(text).try_cast("bigint")),
-        to_double(text).try_cast("bigint"),
-    )
-    shown = F.coalesce(text, F.lit("NULL"))
+    number = to_decimal(c)
+    shown = F.coalesce(_text(c), F.lit("NULL"))
     failure = F.raise_error(F.concat(F.lit(f"{name} is not a number: "), shown))
-    return F.when(key.isNotNull(), key).otherwise(failure.cast("bigint"))
+    return F.when(number.isNotNull(), number.cast("bigint")).otherwise(failure.cast("bigint"))
 
 
 def to_date(c) -> Column:
@@ -101,11 +103,9 @@ def money_strict(c) -> Column:
 
 def bigint_strict(c) -> Column:
     text = _text(c)
-    value = F.coalesce(
-        F.when(text.rlike(INTEGER), F.trim(text).try_cast("bigint")),
-        F.round(to_double(text)).try_cast("bigint"),
+    return _strict(F.round(to_decimal(text)).try_cast("bigint"), text, "a whole number").cast(
+        "bigint"
     )
-    return _strict(value, text, "a whole number").cast("bigint")
 
 
 def date_strict(c) -> Column:

@@ -9,6 +9,15 @@ from peerband.functions import geo, parse
 from peerband.operators.distribution import exact_quantiles
 from peerband.params import DEFAULTS, Params
 
+WHOLE_COLUMNS = (
+    "accommodates",
+    "bedrooms",
+    "beds",
+    "minimum_nights",
+    "number_of_reviews",
+    "number_of_reviews_ltm",
+    "availability_365",
+)
 OPTIONAL_COLUMNS = ("estimated_occupancy_l365d", "estimated_revenue_l365d")
 
 
@@ -26,8 +35,18 @@ def winsorize(df: DataFrame, column: str, lower: float, upper: float,
 def typed_listings(raw: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Rename, parse and derive; no rows dropped."""
 
+    # Numbers used several times below are parsed first, so that each text is read once and the
+    # generated code stays small enough to be compiled.
+    raw = raw.withColumns(
+        {
+            "_lat": parse.to_double("latitude"),
+            "_lon": parse.to_double("longitude"),
+            **{f"_{c}": parse.to_decimal(c) for c in WHOLE_COLUMNS},
+        }
+    )
+
     def whole(name: str) -> Column:
-        return parse.to_whole(F.col(name), name)
+        return parse.whole(F.col(f"_{name}"), name)
 
     return raw.select(
         parse.to_key(F.col("id"), "id").alias("listing_id"),
@@ -39,9 +58,7 @@ def typed_listings(raw: DataFrame, params: Params = DEFAULTS) -> DataFrame:
         whole("beds").alias("beds"),
         parse.bathrooms("bathrooms_text").alias("bathrooms_num"),
         parse.money("price").alias("price"),
-        geo.nearest_km(
-            parse.to_double("latitude"), parse.to_double("longitude"), params.points
-        ).alias("distance_to_beach_km"),
+        geo.nearest_km(F.col("_lat"), F.col("_lon"), params.points).alias("distance_to_beach_km"),
         whole("minimum_nights").alias("min_nights"),
         parse.flag("host_is_superhost").alias("host_is_superhost"),
         parse.flag("instant_bookable").alias("instant_bookable"),
