@@ -512,7 +512,9 @@ _PRICED_SQL = f"""{LISTINGS_SQL},
 med AS (SELECT median(bedrooms) AS bedrooms, median(bathrooms_num) AS bathrooms_num FROM listings),
 top AS (SELECT property_type, count(*) AS n FROM listings GROUP BY 1
   ORDER BY n DESC, property_type LIMIT 8),
-feat AS (SELECT listing_id, ln(price) AS log_price, neighbourhood,
+hoods AS (SELECT neighbourhood, count(*) AS rows FROM listings WHERE price > 0 GROUP BY 1),
+feat AS (SELECT listing_id, ln(price) AS log_price,
+  CASE WHEN hoods.rows < 30 THEN 'Other' ELSE neighbourhood END AS neighbourhood,
   CAST(accommodates AS DOUBLE) AS accommodates,
   CAST(coalesce(l.bedrooms, med.bedrooms) AS DOUBLE) AS bedrooms,
   CAST(coalesce(l.bathrooms_num, med.bathrooms_num) AS DOUBLE) AS bathrooms_num,
@@ -523,7 +525,8 @@ feat AS (SELECT listing_id, ln(price) AS log_price, neighbourhood,
   CASE WHEN coalesce(number_of_reviews, 0) = 0 THEN 1.0 ELSE 0.0 END AS no_review_history,
   CASE WHEN accommodates <= 2 THEN '1-2' WHEN accommodates <= 4 THEN '3-4'
     WHEN accommodates <= 6 THEN '5-6' ELSE '7+' END AS cap_bucket
-  FROM listings l LEFT JOIN top USING (property_type), med WHERE price > 0)
+  FROM listings l LEFT JOIN top USING (property_type) JOIN hoods USING (neighbourhood), med
+  WHERE price > 0)
 """
 
 
