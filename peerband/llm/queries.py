@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerband.llm.exact_dedup import exact_dedup
+from peerband.llm.packing import pack
+from peerband.llm.pieces import encode_pieces
 from peerband.llm.simhash import simhash_components
 from peerband.llm.url_rules import match_urls
 
@@ -23,6 +25,13 @@ def query(sql: str | None = None):
     return register
 
 
+def vocabulary(name: str) -> str:
+    """Where the public vocabulary files lie; executors must have them at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -88,3 +97,20 @@ def op5_url_filters(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     found = match_urls(table(spark, sf_dir, "pages"), rules, "page_id", "url", default="allow")
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+@query()
+def op2_best_fit_packing(spark, sf_dir):
+    """All documents as pieces of at most 2048 tokens in as few sequences as best fit finds."""
+    found = pack(
+        table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), with_ids=False
+    )
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op8_sentencepiece(spark, sf_dir):
+    """Token counts and digests of ids and decoded text of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = encode_pieces(docs, vocabulary("piece_bpe_32k.model"), digests=True)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
