@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peerband.llm import langid, quality
 from peerband.llm.exact_dedup import exact_dedup
 from peerband.llm.packing import pack
 from peerband.llm.pieces import encode_pieces
@@ -114,3 +115,24 @@ def op8_sentencepiece(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = encode_pieces(docs, vocabulary("piece_bpe_32k.model"), digests=True)
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query()
+def op6_quality_classifier(spark, sf_dir):
+    """A quality score of every document; a third of the ids is never learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~quality.held_out())
+    model = quality.train(docs, labels)
+    scored = quality.score_quality(docs.withColumn("held_out", quality.held_out()), model)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query()
+def op9_language_id(spark, sf_dir):
+    """The language of every document; a fifth of the ids is never learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    trees = langid.train(docs.where(~langid.held_out()))
+    judged = langid.identify(
+        docs.select("doc_id", "text").withColumn("held_out", langid.held_out()), trees
+    )
+    return judged.select("doc_id", "held_out", "lang_pred", "score")
