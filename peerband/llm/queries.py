@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from peerband.llm import langid, quality
 from peerband.llm.exact_dedup import exact_dedup
+from peerband.llm.licenses import build_index, scan_licenses
 from peerband.llm.packing import pack
 from peerband.llm.pieces import encode_pieces
 from peerband.llm.simhash import simhash_components
 from peerband.llm.url_rules import match_urls
+from peerband.llm.vectors import near_vectors
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -136,3 +138,20 @@ def op9_language_id(spark, sf_dir):
         docs.select("doc_id", "text").withColumn("held_out", langid.held_out()), trees
     )
     return judged.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query()
+def op7_license_scans(spark, sf_dir):
+    """Places of license phrases in every document and the labels of verified templates."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan_licenses(docs, build_index(docs))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
+
+
+@query()
+def op10_embedding_near_dedup(spark, sf_dir):
+    """Links of all embeddings at a cosine of 0.95 or more, and one kept vector a component."""
+    found = near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id")
