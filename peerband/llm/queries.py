@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from peerband.llm import langid, quality
 from peerband.llm.exact_dedup import exact_dedup
 from peerband.llm.licenses import build_index, scan_licenses
+from peerband.llm.line_dedup import line_dedup
 from peerband.llm.packing import pack
 from peerband.llm.pieces import encode_pieces
 from peerband.llm.simhash import simhash_components
@@ -155,3 +156,10 @@ def op10_embedding_near_dedup(spark, sf_dir):
     """Links of all embeddings at a cosine of 0.95 or more, and one kept vector a component."""
     found = near_vectors(table(spark, sf_dir, "embeddings"))
     return found.withColumnRenamed("id", "vec_id")
+
+
+@query()
+def op3_line_dedup(spark, sf_dir):
+    """Every document without the runs of lines that stand earlier."""
+    found = line_dedup(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
