@@ -72,6 +72,8 @@ def append_columns(
     kept = df.select(*[quoted(c) for c in df.columns if c not in names or c == text_col])
     at = kept.columns.index(text_col)
     schema = T.StructType(kept.schema.fields + added.fields)
+    # Spark looks up the input of a map by unquoted names.
+    plain = kept.toDF(*[f"c{i}" for i in range(len(kept.columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,4 +83,4 @@ def append_columns(
                 names=schema.fieldNames(),
             )
 
-    return kept.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema)

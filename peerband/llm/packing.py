@@ -42,28 +42,34 @@ def best_fit_plan(counts: np.ndarray) -> dict[str, np.ndarray]:
     capacity = len(counts) - 1
     room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
     segments, opened = [], 0
+
+    def fill(first: int, bins: int, each: int, free: int) -> None:
+        """Put ``each`` pieces of the length into every one of ``bins`` sequences."""
+        nonlocal rank
+        for j in range(each):
+            segments.append((length, rank, rank + bins, first, capacity - free + j * length))
+            rank += bins
+        room[free - each * length].append((first, bins))
+
     for length in range(capacity, 0, -1):
         rank, left = 0, int(counts[length])
         for free in range(length, capacity):
+            fit = free // length
             while left and room[free]:
                 first, size = room[free].pop()
-                used = min(left, size)
-                if used < size:
-                    room[free].append((first + used, size - used))
-                segments.append((length, rank, rank + used, first, capacity - free))
-                room[free - length].append((first, used))
-                rank, left = rank + used, left - used
+                # A sequence that got one piece is the best fit for the next until it is full.
+                bins, each = (min(left // fit, size), fit) if left >= fit else (1, left)
+                if bins < size:
+                    room[free].append((first + bins, size - bins))
+                fill(first, bins, each, free)
+                left -= bins * each
             if not left:
                 break
         fit = capacity // length
         for bins, each in ((left // fit, fit), (1 if left % fit else 0, left % fit)):
-            if not bins:
-                continue
-            for j in range(each):
-                segments.append((length, rank, rank + bins, opened, j * length))
-                rank += bins
-            room[capacity - each * length].append((opened, bins))
-            opened += bins
+            if bins:
+                fill(opened, bins, each, capacity)
+                opened += bins
     table = np.array(segments, dtype=np.int64).reshape(-1, 5)
     table = table[np.lexsort((table[:, 1], table[:, 0]))]
     return dict(zip(("length", "lo", "hi", "sequence", "offset"), table.T.copy()))

@@ -69,9 +69,6 @@ def passage_features(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     begins[1:] &= blank[:-1] | ~inside
     first = np.flatnonzero(begins)
     if len(first):
-        ends = blank.copy()
-        ends[:-1] |= ~inside
-        ends[-1] = True
         # The last byte of each word: just before a blank, or where the passage ends.
         stop = ~blank
         stop[:-1] &= blank[1:] | ~inside
@@ -86,14 +83,15 @@ def passage_features(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
         term[blank] = 0
         code = np.add.reduceat(term, first)
         place = owner[first]
-        words = np.maximum(np.bincount(place, minlength=n), 1)
+        count = np.bincount(place, minlength=n)
+        words = np.maximum(count, 1)
         col = KINDS * KINDS
         for lag in LAGS:
             same = np.zeros(len(code), bool)
             same[lag:] = (code[lag:] == code[:-lag]) & (place[lag:] == place[:-lag])
             out[:, col] = np.bincount(place[same], minlength=n) / words
             col += 1
-        out[:, col] = words / size
+        out[:, col] = count / size
         out[:, col + 1] = np.log1p(np.bincount(place, weights=length, minlength=n) / words)
         out[:, col + 2] = np.bincount(place[kind[last] == 7], minlength=n) / words
         out[:, col + 3] = np.bincount(place[length > 24], minlength=n) / words
