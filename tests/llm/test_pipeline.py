@@ -1,0 +1,72 @@
+"""The pipeline against a rebuild from the operators' plain parts."""
+
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+import corpus_pipeline
+from peerband.llm import langid, packing, quality, simhash
+from peerband.llm.queries import vocabulary
+from tests.llm.shapes import messy
+from tests.llm.test_dedup import linked, plain_fingerprint, roots_of
+
+TINY = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def packed(spark):
+    return corpus_pipeline.run(spark, TINY).collect()
+
+
+def test_pipeline_equals_a_rebuild(spark, packed):
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    labels = spark.read.parquet(f"{TINY}/labels.parquet").where(~quality.held_out())
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    model = quality.train(docs, labels)
+    scores = dict(zip(rows, model.scores(list(rows.values()))))
+    left = {i: t for i, t in rows.items() if scores[i] >= 0.5}
+    lang = langid.train(docs.where(docs.doc_id.isin(list(left))).where(~langid.held_out()))
+    bits = langid.Scorer(lang).total_bits(list(left.values()))
+    sure = {i for i, b in zip(left, bits) if (2.0 ** (b.min() - b)).sum() <= 2}
+    left = {i: t for i, t in left.items() if i in sure and any(c.isalpha() for c in t)}
+    last = {t: max(i for i in left if left[i] == t) for t in set(left.values())}
+    left = {i: t for i, t in left.items() if last[t] == i}
+    fps = {i: plain_fingerprint(t) for i, t in left.items()}
+    roots = roots_of(linked(fps.values()))
+    groups = defaultdict(list)
+    for i, fp in fps.items():
+        groups[roots[fp]].append(i)
+    left = {i: left[i] for i in map(min, groups.values())}
+    assert 0 < len(left) < len(rows)
+    want = Counter()
+    library = packing._encoder(vocabulary("word_bpe_49k.json")).tokenizer
+    for i, t in left.items():
+        ids = library.encode(t, add_special_tokens=False).ids + [0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at:at + 2048]
+            want[i, k, at, len(part), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part))] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == want
+
+
+def test_pipeline_keeps_clean_documents(spark, packed):
+    """Of distinct documents labelled good, few may go for another reason than being copies."""
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    good = spark.read.parquet(f"{TINY}/labels.parquet").where("quality = 1")
+    rows = docs.join(good, "doc_id").collect()
+    kept = {r.doc_id for r in packed}
+    fps = Counter(simhash.fingerprint(r.text) for r in docs.collect())
+    single = [r.doc_id for r in rows if fps[simhash.fingerprint(r.text)] == 1]
+    assert sum(i in kept for i in single) >= 0.97 * len(single)
+
+
+def test_stages_take_messy_and_empty_tables(spark):
+    for docs in (messy(spark), messy(spark).where("false")):
+        for name, step in corpus_pipeline.STAGES:
+            out = step(spark, docs, TINY)
+            if docs.isEmpty():
+                assert out.isEmpty()
+            else:
+                assert out.collect()
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns
