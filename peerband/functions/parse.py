@@ -10,9 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Positive exponents stop at two digits and integer parts at 200, so no match overflows.
-NUMBER = r"^\s*[+-]?(\d{1,200}\.?\d*|\.\d+)([eE](\+?0*\d{1,2}|-\d+))?\s*$"
-DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+WHOLE = r"^\s*([+-]?\d+)(\.0*)?\s*$"
+# A date alone or with a time of day; nothing may follow.
+DATE = (
+    r"^\s*\d{4}-\d{1,2}-\d{1,2}"
+    r"([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?)?\s*$"
+)
 
 
 def _text(c) -> Column:
@@ -23,33 +27,41 @@ def _text(c) -> Column:
 def to_double(c) -> Column:
     """Text to double; anything that is not a finite plain number becomes NULL."""
     text = _text(c)
-    return F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
+    number = F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
+    return F.when(F.abs(number) < float("inf"), number)
 
 
-def to_decimal(c) -> Column:
-    """Text to an exact number, wide enough for 19-digit keys; unreadable text to NULL."""
-    return F.trim(_text(c)).try_cast("decimal(38,9)")
+def _plain_whole(text: Column) -> Column:
+    """The digits of a whole number written without an exponent, else NULL."""
+    return F.nullif(F.regexp_extract(text, WHOLE, 1), F.lit(""))
 
 
-def whole(number: Column, name: str = "value") -> Column:
-    """Exact number to bigint; a fractional one fails the query."""
-    failure = F.raise_error(F.concat(F.lit(f"{name} is not whole: "), number.cast("string")))
-    return F.when(number == F.floor(number), number.cast("bigint")).when(
-        number.isNotNull(), failure
+def whole(text: Column, number: Column, name: str = "value") -> Column:
+    """Text and its number to bigint; a fractional number, or one out of range, fails the query.
+
+    Plain digits are read as they stand, so long keys stay exact; other spellings go by ``number``.
+    """
+    digits = _plain_whole(text)
+    read = F.when(digits.isNotNull(), digits.try_cast("bigint")).when(
+        number == F.floor(number), number.try_cast("bigint")
     )
+    failure = F.raise_error(F.concat(F.lit(f"{name} is not whole: "), text))
+    return F.when(number.isNull(), F.lit(None).cast("bigint")).when(
+        read.isNotNull(), read
+    ).otherwise(failure.cast("bigint"))
 
 
 def to_whole(c, name: str = "value") -> Column:
     """Text to nullable bigint. "2.0" is 2; a fractional number fails the query."""
-    return whole(to_decimal(c), name)
+    return whole(_text(c), to_double(c), name)
 
 
 def to_key(c, name: str = "key") -> Column:
     """Text to non-null bigint; an unreadable or missing key fails the query."""
-    number = to_decimal(c)
-    shown = F.coalesce(_text(c), F.lit("NULL"))
+    text, number = _text(c), to_double(c)
+    shown = F.coalesce(text, F.lit("NULL"))
     failure = F.raise_error(F.concat(F.lit(f"{name} is not a number: "), shown))
-    return F.when(number.isNotNull(), number.cast("bigint")).otherwise(failure.cast("bigint"))
+    return F.when(number.isNotNull(), whole(text, number, name)).otherwise(failure.cast("bigint"))
 
 
 def to_date(c) -> Column:
@@ -103,9 +115,10 @@ def money_strict(c) -> Column:
 
 def bigint_strict(c) -> Column:
     text = _text(c)
-    return _strict(F.round(to_decimal(text)).try_cast("bigint"), text, "a whole number").cast(
-        "bigint"
-    )
+    digits = _plain_whole(text)
+    rounded = F.round(to_double(text)).try_cast("bigint")
+    read = F.when(digits.isNotNull(), digits.try_cast("bigint")).otherwise(rounded)
+    return _strict(read, text, "a whole number").cast("bigint")
 
 
 def date_strict(c) -> Column:

@@ -21,11 +21,10 @@ WHOLE_COLUMNS = (
 OPTIONAL_COLUMNS = ("estimated_occupancy_l365d", "estimated_revenue_l365d")
 
 
-def winsorize(df: DataFrame, column: str, lower: float, upper: float,
-              split_above: int = DEFAULTS.split_above) -> DataFrame:
+def winsorize(df: DataFrame, column: str, lower: float, upper: float) -> DataFrame:
     """Clip a column to its own exact linear-interpolated quantiles."""
     value = F.col(column)
-    limits = exact_quantiles(df, [], value, {"lo": lower, "hi": upper}, split_above)
+    limits = exact_quantiles(df, [], value, {"lo": lower, "hi": upper})
     # One row by construction, so it is read back as a scalar rather than joined.
     bound = limits.select(F.struct("lo", "hi")).scalar()
     clipped = F.least(F.greatest(value, bound.getField("lo")), bound.getField("hi"))
@@ -41,12 +40,12 @@ def typed_listings(raw: DataFrame, params: Params = DEFAULTS) -> DataFrame:
         {
             "_lat": parse.to_double("latitude"),
             "_lon": parse.to_double("longitude"),
-            **{f"_{c}": parse.to_decimal(c) for c in WHOLE_COLUMNS},
+            **{f"_{c}": parse.to_double(c) for c in WHOLE_COLUMNS},
         }
     )
 
     def whole(name: str) -> Column:
-        return parse.whole(F.col(f"_{name}"), name)
+        return parse.whole(F.col(name).cast("string"), F.col(f"_{name}"), name)
 
     return raw.select(
         parse.to_key(F.col("id"), "id").alias("listing_id"),
@@ -89,5 +88,5 @@ def curate_listings(raw: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Typed, filtered, then clipped to the quantiles of the rows that were kept."""
     kept = analyzable(typed_listings(raw, params))
     return winsorize(
-        kept, "price", params.winsor_lower, params.winsor_upper, params.split_above
+        kept, "price", params.winsor_lower, params.winsor_upper
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from peerband.functions import parse
 from peerband.operators.distribution import ranked_values
@@ -11,8 +12,8 @@ from peerband.params import DEFAULTS, Params
 
 
 def review_occupancy(reviews_ltm: Column, params: Params = DEFAULTS) -> Column:
-    """Yearly occupancy implied by last year's reviews; no reviews is zero."""
-    stays = F.coalesce(parse.to_double(reviews_ltm), F.lit(0.0)) / params.review_rate
+    """Yearly occupancy implied by last year's number of reviews; no reviews is zero."""
+    stays = F.coalesce(reviews_ltm, F.lit(0.0)) / params.review_rate
     return F.least(stays * params.nights_per_stay / 365.0, F.lit(params.occupancy_ceiling))
 
 
@@ -22,7 +23,10 @@ def estimate_occupancy(listings: DataFrame, booked: DataFrame,
 
     A listing with no reviews still contributes a real zero to the mean.
     """
-    proxy = review_occupancy(F.col("number_of_reviews_ltm"), params)
+    reviews = parse.typed(
+        listings, "number_of_reviews_ltm", parse.to_double, T.NumericType
+    ).cast("double")
+    proxy = review_occupancy(F.nanvl(reviews, F.lit(None).cast("double")), params)
     joined = listings.select("listing_id", proxy.alias("_proxy")).join(
         booked.select("listing_id", "booked_rate"), "listing_id", "left"
     )
@@ -33,14 +37,14 @@ def estimate_occupancy(listings: DataFrame, booked: DataFrame,
     return joined.select("listing_id", bounded.alias("occupancy_est"))
 
 
-def _mean_ranks(pairs: DataFrame, side: str, split_above: int) -> DataFrame:
+def _mean_ranks(pairs: DataFrame, side: str) -> DataFrame:
     """Average rank of each distinct value of one side, centred on zero."""
     values = (
         pairs.where(F.col("p").isNotNull() & F.col("b").isNotNull())
         .groupBy(F.col(side).alias("value"))
         .agg(F.sum("weight").alias("weight"))
     )
-    return ranked_values(values, [], split_above).select(
+    return ranked_values(values, []).select(
         F.col("value").alias(f"_{side}_value"),
         (F.col("below") + (F.col("weight") + 1) / 2 - (F.col("total") + 1) / 2).alias(
             f"{side}_rank"
@@ -49,8 +53,7 @@ def _mean_ranks(pairs: DataFrame, side: str, split_above: int) -> DataFrame:
 
 
 def occupancy_agreement(proxy: DataFrame, benchmark: DataFrame, key: str = "listing_id",
-                        ceiling: float = DEFAULTS.benchmark_ceiling,
-                        split_above: int = DEFAULTS.split_above) -> DataFrame:
+                        ceiling: float = DEFAULTS.benchmark_ceiling) -> DataFrame:
     """One row of error, correlation and ceiling shares for two keyed occupancy columns.
 
     ``proxy`` and ``benchmark`` are (key, value) frames. A key on one side only, or no rows at
@@ -103,8 +106,8 @@ def occupancy_agreement(proxy: DataFrame, benchmark: DataFrame, key: str = "list
 
     complete = pairs.where(both)
     ranked = (
-        complete.join(_mean_ranks(pairs, "p", split_above), p == F.col("_p_value"))
-        .join(_mean_ranks(pairs, "b", split_above), b == F.col("_b_value"))
+        complete.join(_mean_ranks(pairs, "p"), p == F.col("_p_value"))
+        .join(_mean_ranks(pairs, "b"), b == F.col("_b_value"))
     )
     linear = complete.agg(
         correlation(p - centre.getField("mean_p"), b - centre.getField("mean_b")).alias("r")
