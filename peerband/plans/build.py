@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,21 +22,22 @@ class Market:
     manifest: DataFrame
 
 
-def curate_market(raw_listings: DataFrame, raw_calendar: DataFrame, snapshot_date: str,
-                  params: Params = DEFAULTS) -> dict[str, DataFrame]:
-    """The four curated tables, each written once to the shared folder and validated."""
-    listings = contracts.validate_listings(
-        stage(curate_listings(raw_listings, params), "listings")
-    )
+def curate_market(
+    raw_listings: DataFrame, raw_calendar: DataFrame, snapshot_date: str,
+    params: Params = DEFAULTS, store: Callable[[DataFrame, str], DataFrame] = stage,
+) -> dict[str, DataFrame]:
+    """The four curated tables, each written once by ``store`` and validated."""
+    listings = contracts.validate_listings(store(curate_listings(raw_listings, params), "listings"))
     cube = contracts.validate_seasonality(
-        stage(cal.calendar_cube(raw_calendar, params.split_above), "cube")
+        store(cal.calendar_cube(raw_calendar), "calendar_seasonality")
     )
     series = contracts.validate_detrended(
-        stage(cal.detrend(raw_calendar, snapshot_date, params.rolling_window), "series")
+        store(cal.detrend(raw_calendar, snapshot_date, params.rolling_window),
+              "calendar_seasonality_detrended")
     )
     booked = cal.booked_rate_by_listing(cube)
     occupancy = contracts.validate_occupancy(
-        stage(estimate_occupancy(listings, booked, params), "occupancy")
+        store(estimate_occupancy(listings, booked, params), "occupancy")
     )
     return {
         "listings": listings,
@@ -45,21 +47,38 @@ def curate_market(raw_listings: DataFrame, raw_calendar: DataFrame, snapshot_dat
     }
 
 
-def build_market(spark: SparkSession, raw_dir: str, out_dir: str, snapshot_date: str,
-                 source: str | None = None, params: Params = DEFAULTS) -> Market:
-    """Build and publish a market from ``listings.csv.gz`` and ``calendar.csv.gz``.
+def publish_market(
+    spark: SparkSession, raw_listings: DataFrame, raw_calendar: DataFrame, files: DataFrame,
+    out_dir: str, snapshot_date: str, source: str, params: Params = DEFAULTS,
+) -> Market:
+    """Curate into a run folder beside the published tables, then move the run into place.
 
-    Nothing is published until every table has passed its contract.
+    Fingerprints, contracts and the manifest come first; a failure there publishes nothing. Every
+    table is written once.
     """
+    run = curated.RunFolder(spark, out_dir)
+    try:
+        files = run.store(files, "raw_files")
+        tables = curate_market(raw_listings, raw_calendar, snapshot_date, params, run.store)
+        run.write_manifest(curated.manifest(tables, snapshot_date, source, files))
+        run.publish()
+    finally:
+        run.clear()
+    return Market(
+        curated.read_curated(spark, out_dir), spark.read.json(f"{out_dir}/manifest.json")
+    )
+
+
+def build_market(spark: SparkSession, raw_dir: str, out_dir: str, snapshot_date: str,
+                 source: str | None = None, params: Params = DEFAULTS) -> Market:
+    """Build and publish a market from ``listings.csv.gz`` and ``calendar.csv.gz``."""
     raw.check_snapshot_date(snapshot_date)
     paths = [f"{raw_dir}/{name}.csv.gz" for name in ("listings", "calendar")]
-    raw_listings = stage(raw.read_text_csv(spark, paths[0]), "raw_listings")
-    raw_calendar = stage(raw.read_text_csv(spark, paths[1]), "raw_calendar")
-    tables = curate_market(raw_listings, raw_calendar, snapshot_date, params)
-    curated.write_curated(tables, out_dir)
-    published = curated.read_curated(spark, out_dir)
-    row = curated.manifest(
-        published, snapshot_date, source or paths[0], raw.fingerprints(spark, paths)
+    listings, calendar = (
+        stage(raw.spread(raw.read_text_csv(spark, p)), f"raw_{n}")
+        for n, p in zip(("listings", "calendar"), paths, strict=True)
+    )
+    return publish_market(
+        spark, listings, calendar, raw.fingerprints(spark, paths), out_dir, snapshot_date,
+        source or paths[0], params,
     )
-    curated.write_manifest(row, out_dir)
-    return Market(published, spark.read.json(f"{out_dir}/manifest.json"))

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("listings", "calendar_seasonality", "calendar_seasonality_detrended", "occupancy")
 
 
-def write_curated(tables: dict[str, DataFrame], out_dir: str) -> None:
-    """Overwrite each curated table as Parquet."""
-    for name in TABLES:
-        tables[name].write.mode("overwrite").parquet(f"{out_dir}/{name}.parquet")
-
-
 def read_curated(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{out_dir}/{name}.parquet") for name in TABLES}
 
@@ -52,5 +48,37 @@ def manifest(tables: dict[str, DataFrame], snapshot_date: str, source: str,
     )
 
 
-def write_manifest(row: DataFrame, out_dir: str) -> None:
-    row.coalesce(1).write.mode("overwrite").json(f"{out_dir}/manifest.json")
+class RunFolder:
+    """A build's own folder under the output folder, moved into place when all is there."""
+
+    def __init__(self, spark: SparkSession, out_dir: str) -> None:
+        self.spark, self.out = spark, out_dir
+        self.path = f"{out_dir}/_run-{uuid.uuid4().hex}"
+        place = spark._jvm.org.apache.hadoop.fs.Path(out_dir)
+        self._files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._new = not self._files.exists(place)
+
+    def _place(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(name)
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.path}/{name}.parquet")
+        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+
+    def write_manifest(self, row: DataFrame) -> None:
+        row.coalesce(1).write.json(f"{self.path}/manifest.json")
+
+    def publish(self) -> None:
+        """Replace the published tables one by one, the manifest last."""
+        for name in [*(f"{t}.parquet" for t in TABLES), "manifest.json"]:
+            target = self._place(f"{self.out}/{name}")
+            self._files.delete(target, True)
+            if not self._files.rename(self._place(f"{self.path}/{name}"), target):
+                raise OSError(f"could not publish {name} to {self.out}")
+
+    def clear(self) -> None:
+        """Remove what is left of the run, and an output folder that holds nothing else."""
+        self._files.delete(self._place(self.path), True)
+        out = self._place(self.out)
+        if self._new and self._files.exists(out) and not len(self._files.listStatus(out)):
+            self._files.delete(out, True)

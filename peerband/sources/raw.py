@@ -8,6 +8,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a file that are held at once while it is hashed.
+CHUNK = 1 << 22
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
 
@@ -26,16 +28,22 @@ def check_snapshot_date(text: str) -> str:
     return text
 
 
-def read_text_csv(spark: SparkSession, path) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Deal what few tasks could read to all cores, so that the work after it is parallel."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def read_text_csv(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
     """RFC 4180 file(s) with a header, every column a string, extra columns kept.
 
     Rows of the wrong width and files whose header differs fail the read instead of being
-    patched. A gzip file cannot be split, so each is parsed by one task; a dump of many files
-    is read in parallel.
+    patched. A gzip file cannot be split, nor can one whose quoted fields may hold line ends, so
+    each is parsed by one task; ``multi_line=False`` lets Spark split a plain file whose fields
+    hold none.
     """
     return (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "FAILFAST")
@@ -53,7 +61,7 @@ def load_csv(spark: SparkSession, path, view: str, store: str | None = None) ->
     check_name(view)
     raw = read_text_csv(spark, path)
     if store:
-        raw.write.mode("overwrite").parquet(store)
+        spread(raw).write.mode("overwrite").parquet(store)
         raw = spark.read.parquet(store)
     raw.createOrReplaceTempView(view)
     return raw.count()
@@ -63,10 +71,58 @@ def raw_table(spark: SparkSession, view: str) -> DataFrame:
     return spark.table(check_name(view))
 
 
-def fingerprints(spark: SparkSession, path) -> DataFrame:
-    """sha256 and size of every file under ``path`` (files up to the 2 GB source limit)."""
-    return spark.read.format("binaryFile").load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"),
-        F.sha2("content", 256).alias("sha256"),
-        F.col("length").alias("bytes"),
+def list_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, int]]:
+    """(URI, size) of the files that paths, folders or globs name, empty ones included."""
+    names = spark._jvm.org.apache.hadoop.fs
+    out = []
+    for path in paths:
+        place = names.Path(path)
+        system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        hits = system.globStatus(place)
+        if not hits:
+            raise FileNotFoundError(path)
+        for hit in hits:
+            below = system.listFiles(hit.getPath(), True)
+            while below.hasNext():
+                status = below.next()
+                out.append((status.getPath().toString(), status.getLen()))
+    return sorted(set(out))
+
+
+def fingerprints(spark: SparkSession, path, chunk: int = CHUNK) -> DataFrame:
+    """sha256 and size of every file under ``path``.
+
+    The driver lists files only; each is read by one task, ``chunk`` bytes at a time, so its size
+    does not matter. Executors open files by URI through Arrow's file systems.
+    """
+    found = list_files(spark, [path] if isinstance(path, str) else path)
+    files = spark.createDataFrame(found, "path string, length long")
+
+    # Self-contained, so that executors need no copy of this package.
+    def digest(batches):
+        import hashlib
+        from urllib.parse import quote
+
+        import pyarrow as pa
+        from pyarrow.fs import FileSystem
+
+        for batch in batches:
+            names, prints = [], []
+            for uri in batch.column(0).to_pylist():
+                scheme, _, rest = uri.partition(":")
+                rest = rest if rest.startswith("//") else f"//{rest}"
+                system, place = FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@')}")
+                state = hashlib.sha256()
+                with system.open_input_stream(place, compression=None) as stream:
+                    while part := stream.read(chunk):
+                        state.update(part)
+                names.append(uri.rsplit("/", 1)[-1])
+                prints.append(state.hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array(prints, pa.string()), batch.column(1)],
+                names=["file", "sha256", "bytes"],
+            )
+
+    return files.repartition("path").mapInArrow(
+        digest, "file string, sha256 string, bytes bigint"
     )

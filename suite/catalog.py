@@ -26,10 +26,10 @@ from peerband.operators import listings as curate
 from peerband.operators import occupancy as occ
 from peerband.operators.distribution import level_counts
 from peerband.params import POINTS_OF_INTEREST
-from peerband.plans.build import curate_market
+from peerband.plans.build import publish_market
 from peerband.plans.report import persona_report
 from peerband.session import shared_folder, stage
-from peerband.sources import curated, raw
+from peerband.sources import raw
 from suite.bind import (
     CALENDAR_SQL,
     LISTINGS_SQL,
@@ -1029,7 +1029,8 @@ def composite_key_violations(spark, sf_dir):
     WITH raw AS (SELECT CASE WHEN c_custkey % 29 = 0 THEN NULL ELSE n_name END AS nb,
       CASE WHEN c_custkey % 31 = 0 THEN NULL ELSE c_mktsegment END AS rt, c_acctbal
       FROM customer JOIN nation ON c_nationkey = n_nationkey)
-    SELECT '1998-01-01' AS snapshot_date,
+    SELECT '1998-01-01' AS snapshot_date, 'bound tables' AS source,
+      'customer.parquet,lineitem.parquet' AS files,
       (SELECT count(*) FROM raw WHERE c_acctbal > 0 AND nb IS NOT NULL AND rt IS NOT NULL)
         AS n_listings,
       (SELECT count(DISTINCT (l_suppkey, month(l_shipdate), dayofweek(l_shipdate)))
@@ -1041,17 +1042,17 @@ def composite_key_violations(spark, sf_dir):
 )
 def market_build_manifest(spark, sf_dir):
     """Curate, validate and publish all four tables, then describe the build."""
-    tables = curate_market(
-        raw_listings(spark, sf_dir), calendar(spark, sf_dir, priced=True), SNAPSHOT
-    )
-    out = scratch(spark, "curated")
-    curated.write_curated(tables, out)
     files = raw.fingerprints(spark, [f"{sf_dir}/customer.parquet", f"{sf_dir}/lineitem.parquet"])
-    row = curated.manifest(curated.read_curated(spark, out), SNAPSHOT, "bound tables", files)
-    curated.write_manifest(row, out)
-    return spark.read.json(f"{out}/manifest.json").select(
-        "snapshot_date", "n_listings", "n_seasonality_rows", "n_seasonality_detrended_rows",
-        "has_estimated_occupancy",
+    market = publish_market(
+        spark, raw_listings(spark, sf_dir), calendar(spark, sf_dir, priced=True), files,
+        scratch(spark, "curated"), SNAPSHOT, "bound tables",
+    )
+    return market.manifest.select(
+        "snapshot_date", "source", "n_listings", "n_seasonality_rows",
+        "n_seasonality_detrended_rows", "has_estimated_occupancy",
+        F.concat_ws(",", F.array_sort(F.array(*[
+            F.lit(f.name) for f in market.manifest.schema["raw_files"].dataType.fields
+        ]))).alias("files"),
     )
 
 

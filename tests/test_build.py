@@ -3,6 +3,8 @@ import hashlib
 import csv
 
 import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from peerband.operators.contracts import ContractError
 from peerband.plans.build import build_market
@@ -32,7 +34,7 @@ def test_build_writes_tables_and_manifest(spark, raw_dir, tmp_path):
     market = build_market(spark, str(raw_dir), str(tmp_path / "a"), "2026-03-31")
     row = market.manifest.first()
     assert row["snapshot_date"] == "2026-03-31" and row["n_listings"] == 3
-    assert row["n_seasonality_detrended_rows"] == 5 and row["n_seasonality_rows"] == 10
+    assert row["n_seasonality_detrended_rows"] == 7 and row["n_seasonality_rows"] == 14
     assert row["has_estimated_occupancy"] is False and row["generated_at"]
     for name in ("listings.csv.gz", "calendar.csv.gz"):
         body = (raw_dir / name).read_bytes()
@@ -40,7 +42,7 @@ def test_build_writes_tables_and_manifest(spark, raw_dir, tmp_path):
         assert entry["sha256"] == hashlib.sha256(body).hexdigest() and entry["bytes"] == len(body)
     tables = curated.read_curated(spark, str(tmp_path / "a"))
     assert {n: t.count() for n, t in tables.items()} == {
-        "listings": 3, "calendar_seasonality": 10, "calendar_seasonality_detrended": 5,
+        "listings": 3, "calendar_seasonality": 14, "calendar_seasonality_detrended": 7,
         "occupancy": 3}
     again = build_market(spark, str(raw_dir), str(tmp_path / "b"), "2026-03-31")
     for name, table in again.tables.items():
@@ -57,6 +59,36 @@ def test_failed_contract_publishes_nothing(spark, raw_dir, tmp_path):
         build_market(spark, str(raw_dir), str(tmp_path / "out"), "31/03/2026")
 
 
+def test_failed_fingerprint_publishes_nothing_and_keeps_the_last_build(
+        spark, raw_dir, tmp_path, monkeypatch):
+    from peerband.plans import build
+
+    out = tmp_path / "out"
+    build_market(spark, str(raw_dir), str(out), "2026-03-31")
+    before = {p: p.read_bytes() for p in sorted(out.rglob("*")) if p.is_file()}
+
+    def broken(session, paths):
+        return session.range(1).select(F.raise_error(F.lit("unreadable dump")).alias("file"))
+
+    monkeypatch.setattr(build.raw, "fingerprints", broken)
+    with pytest.raises(PySparkException, match="unreadable dump"):
+        build_market(spark, str(raw_dir), str(out), "2026-04-30")
+    assert before == {p: p.read_bytes() for p in sorted(out.rglob("*")) if p.is_file()}
+    with pytest.raises(PySparkException, match="unreadable dump"):
+        build_market(spark, str(raw_dir), str(tmp_path / "new"), "2026-04-30")
+    assert not (tmp_path / "new").exists()
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 20])
+def test_fingerprints_read_in_chunks(spark, tmp_path, chunk):
+    bodies = {"a b.bin": bytes(range(256)) * 3, "empty.bin": b"", "é%.bin": b"x" * 20}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    got = {r["file"]: (r["sha256"], r["bytes"])
+           for r in raw.fingerprints(spark, f"{tmp_path}/*.bin", chunk).collect()}
+    assert got == {n: (hashlib.sha256(b).hexdigest(), len(b)) for n, b in bodies.items()}
+
+
 def test_csv_stays_text_and_keeps_extra_columns(spark, tmp_path):
     path = dump(tmp_path, "x", ["id", "price", "estimated_occupancy_l365d", "note"],
                 [["1", "$10.00", "200", 'two\nlines, "quoted"'], ["02", "", "3", "é"]])
