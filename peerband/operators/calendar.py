@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from peerband.functions import parse
-from peerband.operators.distribution import histogram_quantiles
 from peerband.params import DEFAULTS
 from peerband.sources.raw import check_snapshot_date
 
@@ -23,12 +22,12 @@ def _column(df: DataFrame, name: str) -> str | None:
     return next((c for c in df.columns if c.lower() == name), None)
 
 
-def calendar_cube(calendar: DataFrame, split_above: int = DEFAULTS.split_above) -> DataFrame:
+def calendar_cube(calendar: DataFrame) -> DataFrame:
     """Median price and unavailable share per (listing_id, month, dow).
 
     All days count towards ``booked_rate``, priced or not; an unknown availability counts as
-    available. Without a price column the median is NULL and one aggregate does it all; with
-    one, the same price histogram carries the day counts, so the calendar is read once.
+    available. Without a price column the median is NULL. A cell holds the days of one listing,
+    month and weekday, so its exact median needs no splitting and all is one aggregate.
     """
     keys = ["listing_id", "month", "dow"]
     price = _column(calendar, "price")
@@ -45,20 +44,10 @@ def calendar_cube(calendar: DataFrame, split_above: int = DEFAULTS.split_above)
             else []
         ),
     )
-    if price is None:
-        return days.groupBy(*keys).agg(F.avg("_busy").alias("booked_rate")).select(
-            *keys, F.lit(None).cast("double").alias("median_cal_price"), "booked_rate"
-        )
-    hist = days.groupBy(*keys, "value").agg(
-        F.count("value").alias("weight"),
-        F.count(F.lit(1)).alias("_days"),
-        F.sum("_busy").alias("_busy"),
-    )
-    cells = histogram_quantiles(
-        hist, keys, {"median_cal_price": 0.5}, split_above,
-        also=["sum(_busy) / sum(_days) as booked_rate"],
+    median = F.median("value") if price else F.lit(None).cast("double")
+    return days.groupBy(*keys).agg(
+        median.alias("median_cal_price"), F.avg("_busy").alias("booked_rate")
     )
-    return cells.select(*keys, "median_cal_price", "booked_rate")
 
 
 def daily_unavailability(calendar: DataFrame, snapshot_date: str,
