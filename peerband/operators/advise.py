@@ -123,7 +123,7 @@ def fit_advisor(listings: DataFrame, params: Params = DEFAULTS) -> Advisor:
         spec, neighbourhood_counts=stage(spec.neighbourhood_counts, "neighbourhood_counts")
     )
     frame = stage(feature_ops.feature_frame(listings, spec, params), "features")
-    fit = hedonic_ops.fit_hedonic(frame, spec.names, split_above=params.split_above)
+    fit = hedonic_ops.fit_hedonic(frame, spec.names)
     fit = dataclasses.replace(fit, fixed_effects=stage(fit.fixed_effects, "fixed_effects"))
     property_counts = stage(
         level_counts(

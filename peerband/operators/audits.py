@@ -12,7 +12,7 @@ from peerband.functions import parse
 from peerband.functions.buckets import horizon_bucket
 from peerband.operators.distribution import exact_quantiles, level_counts
 from peerband.operators.hedonic import fit_hedonic
-from peerband.operators.peers import group_statistics, market_histogram
+from peerband.operators.peers import GROUP, with_capacity
 from peerband.params import DEFAULTS, Params
 from peerband.sources.raw import check_snapshot_date
 
@@ -85,14 +85,14 @@ def unavailability_by_horizon(calendar: DataFrame, snapshot_date: str) -> DataFr
 
 
 def circularity(df: DataFrame, outcome: str, price: str, quantity: str,
-                tolerance: float = 1e-6, split_above: int = DEFAULTS.split_above) -> DataFrame:
+                tolerance: float = 1e-6) -> DataFrame:
     """Share of rows whose outcome is just price times quantity, and the median ratio."""
     product = F.col(price) * F.col(quantity)
     ratio = F.try_divide(F.col(outcome), product)
     rows = df.select(
         ratio.alias("ratio"), (F.abs(F.col(outcome) - product) <= tolerance).alias("equal")
     )
-    middle = exact_quantiles(rows, [], F.col("ratio"), {"median_ratio": 0.5}, split_above)
+    middle = exact_quantiles(rows, [], F.col("ratio"), {"median_ratio": 0.5})
     return rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.coalesce(F.col("equal"), F.lit(False)).cast("double")).alias("equal_share"),
@@ -113,11 +113,16 @@ def slope_with_control(features: DataFrame, target: str, slope: str, control: st
 
 def slice_variation(listings: DataFrame, least: int = 30, params: Params = DEFAULTS) -> DataFrame:
     """CV of price inside the finest comparison groups with enough rows."""
-    middle = exact_quantiles(listings, [], F.col("price"), {"median": 0.5}, params.split_above)
-    middle = middle.select("median").scalar()
-    stats = group_statistics(market_histogram(listings, params), middle, params.split_above)
-    return stats.where((F.col("tier") == 0) & (F.col("n") >= least)).select(
-        "neighbourhood", "room_type", "cap_bucket", "n", "cv"
+    return (
+        with_capacity(listings, params)
+        .where("price is not null and neighbourhood is not null and room_type is not null"
+               " and cap_bucket is not null")
+        .groupBy(*GROUP)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.try_divide(F.stddev_samp("price"), F.avg("price")).alias("cv"),
+        )
+        .where(F.col("n") >= least)
     )
 
 
@@ -138,7 +143,8 @@ def feature_lift(features: DataFrame, names: Sequence[str], feature: str,
     vif = {r["feature"]: r["vif"] for r in full.vif.collect()}  # one row per feature
     return features.sparkSession.createDataFrame(
         [(
-            feature, without.adj_r2, full.adj_r2, full.adj_r2 - without.adj_r2,
+            feature, without.adj_r2, full.adj_r2,
+            None if None in (without.adj_r2, full.adj_r2) else full.adj_r2 - without.adj_r2,
             full.effects[list(names).index(feature)], vif[feature],
         )],
         "feature string, adj_r2_without double, adj_r2_with double, delta double,"

@@ -1,9 +1,9 @@
-"""Exact order statistics over grouped values, safe when one group dominates.
+"""Exact order statistics over grouped values, whatever the sizes of the groups.
 
 All of them start from a value histogram (one row per group and distinct value, combined
-map-side), then order each group's values with a spillable window. A group too large for one
-task is cut into value ranges first: only range totals are accumulated across the ranges, so no
-task ever sorts more than a range.
+map-side). It is stored in ranges of (group, value), so a group of any size is dealt to as many
+ranges as its share of the rows asks for. Ranges are added up per group, and only rows of one range
+are ever ordered together.
 """
 
 from __future__ import annotations
@@ -13,13 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peerband.params import DEFAULTS
-
-# Only the MAX_DOMINANT largest groups are cut; every other group then holds less than
-# 1/MAX_DOMINANT of the histogram rows and is left whole. There are at most
-# MAX_DOMINANT * RANGES range totals, so both tables are safe to broadcast at any data size.
-MAX_DOMINANT = 1000
-RANGES = 256
+from peerband.session import stage
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
@@ -37,135 +31,103 @@ def _names(columns: Sequence[str]) -> str:
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], kept: Sequence[str],
-              how: str = "left", small: bool = False) -> DataFrame:
+              how: str = "left") -> DataFrame:
     """Join on ``keys`` with NULL matching NULL, adding the ``kept`` columns of ``right``.
 
-    ``small`` may be set only where the right side has a row bound that does not depend on the
-    data; elsewhere adaptive execution picks the join from measured sizes.
+    Adaptive execution picks the join from measured sizes.
     """
     right = right.selectExpr(*[f"`{k}` as `_r_{k}`" for k in keys], *[f"`{c}`" for c in kept])
-    if small:
-        right = F.broadcast(right)
     same = F.expr(" and ".join(f"`{k}` <=> `_r_{k}`" for k in keys))
     return left.join(right, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _reads_all(hist: DataFrame, keys: Sequence[str]) -> str:
-    """Always 0, but reads every column of the histogram.
+def value_ranges(hist: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The histogram stored in value ranges, and what each range holds of each group.
 
-    The histogram feeds several branches of one plan. If each read only the columns it needs,
-    pruning would make their shuffles differ and the input would be scanned once per branch;
-    reading all columns everywhere lets them share one shuffle.
+    Rows gain ``_part``, their range. The second table has ``_start`` (weight of the group below
+    the range), ``_n`` (in the range) and ``total`` per (keys, _part); a group has one row for each
+    range it reaches into.
     """
-    return f"(xxhash64({_names([c for c in hist.columns if c not in keys])}) & 0)"
-
-
-def _cut_points(hist: DataFrame, keys: Sequence[str], split_above: int) -> DataFrame:
-    """Value cut points for the dominant groups only."""
-    zero = _reads_all(hist, keys)
-    levels = ", ".join(f"{i / RANGES}D" for i in range(1, RANGES))
-    if not keys:
-        rows = hist.agg(F.expr(f"sum({zero} + 1) as n")).scalar()
-        # Without enough rows the sketch sees only NULLs and the cut points are NULL.
-        large = F.when(rows > split_above, F.expr(f"value + {zero}"))
-        return hist.agg(
-            F.percentile_approx(large, F.expr(f"array({levels})"), 10_000).alias("_cuts")
-        )
-    dominant = (
-        hist.groupBy(*keys)
-        .agg(F.expr(f"sum({zero} + 1) as _rows"))
-        .where(f"_rows > {split_above}")
-        .orderBy(F.desc("_rows"))
-        .limit(MAX_DOMINANT)
+    rows = stage(
+        hist.repartitionByRange(*[F.col(f"`{k}`") for k in keys], "value").withColumn(
+            "_part", F.spark_partition_id()
+        ),
+        "ranges",
     )
-    return (
-        join_same(hist, dominant, keys, [], how="inner", small=True)
-        .groupBy(*keys)
-        .agg(F.expr(f"percentile_approx(value + {zero}, array({levels}), 10000) as _cuts"))
+    group = f"partition by {_names(keys) or '0'}"
+    held = rows.groupBy(*keys, "_part").agg(F.sum("weight").alias("_n")).selectExpr(
+        "*",
+        f"coalesce(sum(_n) over ({group} order by _part rows between unbounded preceding"
+        " and 1 preceding), 0) as _start",
+        f"sum(_n) over ({group}) as total",
     )
+    return rows, held
 
 
-def _range_number() -> str:
-    """How many cut points lie below the value: binary search over RANGES - 1 of them."""
-    steps = ", ".join(str(RANGES >> i) for i in range(1, RANGES.bit_length()))
-    return (
-        f"coalesce(aggregate(array({steps}), 0, (at, step) ->"
-        " if(get(_cuts, at + step - 1) < value, at + step, at)), 0)"
+def _below(rows: DataFrame, held: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` of the ranges in ``held`` with the group's weight below each value, and its total."""
+    spots = [*keys, "_part"]
+    joined = join_same(rows, held, spots, ["_start", "total"], how="inner")
+    return joined.selectExpr(
+        "* except (_start, _part)",
+        f"_start + coalesce(sum(weight) over (partition by {_names(spots)} order by value"
+        " rows between unbounded preceding and 1 preceding), 0) as below",
     )
 
 
-def ranked_values(hist: DataFrame, keys: Sequence[str],
-                  split_above: int = DEFAULTS.split_above) -> DataFrame:
+def ranked_values(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add ``below`` (weight strictly under the value in its group) and ``total``.
 
     ``hist`` has one row per (keys, value) and a ``weight``; other columns pass through.
     """
-    keys = list(keys)
-    cuts = _cut_points(hist, keys, split_above)
-    if keys:
-        placed = join_same(hist, cuts, keys, ["_cuts"], small=True)
-    else:
-        placed = hist.withColumn("_cuts", cuts.scalar())
-    spots = [*keys, "_range"]
-    placed = placed.selectExpr(
-        "* except (_cuts)",
-        "_cuts is not null as _split",
-        f"if(_cuts is null, 0, {_range_number()}) as _range",
-    )
-    totals = placed.where("_split").groupBy(*spots).agg(
-        F.expr(f"sum(weight + {_reads_all(hist, keys)}) as _n")
-    )
-    # At most RANGES rows per group reach this window.
-    group = f"partition by {_names(keys) or '0'}"
-    earlier = "rows between unbounded preceding and 1 preceding"
-    offsets = totals.selectExpr(
-        *[f"`{c}`" for c in spots],
-        f"coalesce(sum(_n) over ({group} order by _range {earlier}), 0) as _start",
-        f"sum(_n) over ({group}) as _group_total",
-    )
-    place = f"partition by {_names(spots)}"
-    ranked = placed.selectExpr(
-        "*",
-        f"coalesce(sum(weight) over ({place} order by value {earlier}), 0) as _before",
-        f"sum(weight) over ({place}) as _range_total",
-    )
-    ranked = join_same(ranked, offsets, spots, ["_start", "_group_total"], small=True)
-    return ranked.selectExpr(
-        *[f"`{c}`" for c in hist.columns],
-        "_before + coalesce(_start, 0) as below",
-        "coalesce(_group_total, _range_total) as total",
+    rows, held = value_ranges(hist, keys)
+    return _below(rows, held, list(keys)).select(
+        *[F.col(f"`{c}`") for c in hist.columns], "below", "total"
     )
 
 
 def histogram_quantiles(hist: DataFrame, keys: Sequence[str], probs: dict[str, float],
-                        split_above: int = DEFAULTS.split_above,
                         also: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolated exact quantiles per group from a histogram.
 
     Output: keys, ``n``, one column per entry of ``probs``, and any ``also`` aggregates, given
-    as "expression as name".
+    as "expression as name". Only ranges that hold a wanted rank are ordered.
     """
-    ranked = ranked_values(hist, keys, split_above)
+    keys = list(keys)
+    rows, held = value_ranges(hist, keys)
 
-    def position(p):
+    def spot(p):
         return f"({float(p)!r}D * (total - 1))"
 
-    def at(spot):
-        return f"max(if(below <= {spot} and {spot} < below + weight, value, null))"
+    ends = {name: (f"floor({spot(p)})", f"ceil({spot(p)})") for name, p in probs.items()}
+    wanted = " or ".join(
+        f"(_start <= {end} and {end} < _start + _n)" for pair in ends.values() for end in pair
+    )
+
+    def at(rank):
+        return f"max(if(below <= {rank} and {rank} < below + weight, value, null))"
 
     picks = []
     for name, p in probs.items():
-        spot = position(p)
+        low, high = ends[name]
         picks += [
-            f"{at(f'floor({spot})')} as `_lo_{name}`",
-            f"{at(f'ceil({spot})')} as `_hi_{name}`",
-            f"max({spot} - floor({spot})) as `_part_{name}`",
+            f"{at(low)} as `_lo_{name}`",
+            f"{at(high)} as `_hi_{name}`",
+            f"max({spot(p)} - floor({spot(p)})) as `_part_{name}`",
         ]
-    grouped = ranked.groupBy(*keys).agg(
-        *[F.expr(e) for e in ("coalesce(max(total), 0) as n", *picks, *also)]
+    values = _below(rows, held.where(wanted), keys).groupBy(*keys).agg(*map(F.expr, picks))
+    sums = rows.groupBy(*keys).agg(
+        *map(F.expr, ("coalesce(sum(weight), 0) as n", *also))
     )
-    extra = grouped.columns[len(keys) + 1 + len(picks):]
-    return grouped.selectExpr(
+    extra = sums.columns[len(keys) + 1:]
+    made = [c for c in values.columns if c not in keys]
+    if keys:
+        joined = join_same(sums, values, keys, made)
+    else:
+        joined = sums.withColumn("_v", values.select(F.struct(*made)).scalar()).select(
+            *sums.columns, "_v.*"
+        )
+    return joined.selectExpr(
         *[f"`{k}`" for k in keys],
         "n",
         *[f"`_lo_{q}` + (`_hi_{q}` - `_lo_{q}`) * `_part_{q}` as `{q}`" for q in probs],
@@ -173,14 +135,13 @@ def histogram_quantiles(hist: DataFrame, keys: Sequence[str], probs: dict[str, f
     )
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str, float],
-                    split_above: int = DEFAULTS.split_above) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column,
+                    probs: dict[str, float]) -> DataFrame:
     """Exact quantiles of ``value`` per group; NULL values are ignored."""
-    return histogram_quantiles(histogram(df, keys, value), keys, probs, split_above)
+    return histogram_quantiles(histogram(df, keys, value), keys, probs)
 
 
-def share_below(hist: DataFrame, targets: DataFrame, keys: Sequence[str],
-                split_above: int = DEFAULTS.split_above) -> DataFrame:
+def share_below(hist: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
     """For each (keys, value) of ``targets``: the group's share strictly below the value.
 
     Targets join the histogram as zero-weight values, so no range join is needed and repeated
@@ -196,7 +157,7 @@ def share_below(hist: DataFrame, targets: DataFrame, keys: Sequence[str],
         .agg(F.sum("weight").alias("weight"), F.bool_or("asked").alias("asked"))
     )
     return (
-        ranked_values(both, keys, split_above)
+        ranked_values(both, keys)
         .where("asked")
         .select(*keys, "value", F.try_divide("below", "total").alias("share"))
     )

@@ -20,13 +20,11 @@ def category_counts(df: DataFrame, level: str) -> DataFrame:
     return level_counts(df.where(F.col(level).isNotNull()), level).orderBy(F.desc("n"), level)
 
 
-def median_price_of_top_levels(listings: DataFrame, level: str = "neighbourhood", k: int = 12,
-                               split_above: int = DEFAULTS.split_above) -> DataFrame:
+def median_price_of_top_levels(listings: DataFrame, level: str = "neighbourhood", k: int = 12) -> DataFrame:
     """Median price of the k busiest levels, cheapest first."""
     top = F.broadcast(top_levels(listings, level, k).select(level))  # k rows
     medians = exact_quantiles(
         listings.join(top, level, "left_semi"), [level], F.col("price"), {"median_price": 0.5},
-        split_above,
     )
     return medians.select(level, "n", "median_price").orderBy("median_price", level)
 
@@ -37,7 +35,7 @@ def price_summary(listings: DataFrame, params: Params = DEFAULTS) -> DataFrame:
         "winsor_low": params.winsor_lower, "q1": 0.25, "median": 0.5, "q3": 0.75,
         "winsor_high": params.winsor_upper,
     }
-    return exact_quantiles(listings, [], F.col("price"), probs, params.split_above)
+    return exact_quantiles(listings, [], F.col("price"), probs)
 
 
 def fixed_width_histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
@@ -69,15 +67,13 @@ def price_histogram(listings: DataFrame, bins: int = 60, params: Params = DEFAUL
     """Histogram of price clipped to its winsor window (a view; the data is not changed)."""
     clipped = winsorize(
         listings.select("price"), "price", params.winsor_lower, params.winsor_upper,
-        params.split_above,
     )
     return fixed_width_histogram(clipped, "price", bins)
 
 
-def describe_column(df: DataFrame, column: str,
-                    split_above: int = DEFAULTS.split_above) -> DataFrame:
+def describe_column(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, exact median and maximum."""
-    middle = exact_quantiles(df, [], F.col(column), {"median": 0.5}, split_above)
+    middle = exact_quantiles(df, [], F.col(column), {"median": 0.5})
     middle = middle.select("median").scalar()
     stats = df.agg(
         F.count(column).alias("n"), F.avg(column).alias("mean"), F.max(column).alias("max")
@@ -85,10 +81,9 @@ def describe_column(df: DataFrame, column: str,
     return stats.select("n", "mean", middle.alias("median"), "max")
 
 
-def group_deviation(df: DataFrame, group: str, column: str,
-                    split_above: int = DEFAULTS.split_above) -> DataFrame:
+def group_deviation(df: DataFrame, group: str, column: str) -> DataFrame:
     """Each row's group median beside it, and the absolute distance to it."""
-    medians = exact_quantiles(df, [group], F.col(column), {"group_median": 0.5}, split_above)
+    medians = exact_quantiles(df, [group], F.col(column), {"group_median": 0.5})
     return join_same(df, medians, [group], ["group_median"]).withColumn(
         "deviation", F.abs(F.col(column) - F.col("group_median"))
     )

@@ -23,9 +23,6 @@ from peerband.params import DEFAULTS, Params
 
 NUMERIC = ("accommodates", "bedrooms", "bathrooms_num", "min_nights")
 DISTANCE = "distance_to_beach_km"
-# Dummy columns are p wide and the fit needs p squared sums, so a column with more levels than
-# this is not a category the model can use and is refused.
-MAX_ROOM_TYPES = 200
 
 
 @dataclass(frozen=True)
@@ -89,12 +86,12 @@ def pool_rare_levels(df: DataFrame, level: str, counts: DataFrame, least: int,
     return joined.withColumn(level, F.when(rare, other).otherwise(F.col(level))).drop("n")
 
 
-def column_medians(df: DataFrame, names, split_above: int = DEFAULTS.split_above) -> DataFrame:
+def column_medians(df: DataFrame, names) -> DataFrame:
     """Exact median of each named column, one row per column with any value."""
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), _number(c).alias("v")) for c in names])
     long = df.select(F.explode(pairs).alias("p")).select("p.name", "p.v")
     return histogram_quantiles(
-        histogram(long, ["name"], F.col("v")), ["name"], {"median": 0.5}, split_above
+        histogram(long, ["name"], F.col("v")), ["name"], {"median": 0.5}
     )
 
 
@@ -109,20 +106,18 @@ def learn_features(listings: DataFrame, params: Params = DEFAULTS,
     """Read medians, levels and counts. Every collect here is as long as the model is wide."""
     market = priced(listings)
     numeric = tuple(use) if use else NUMERIC + ((DISTANCE,) if DISTANCE in market.columns else ())
-    rows = column_medians(market, numeric, params.split_above).collect()
+    rows = column_medians(market, numeric).collect()
     medians = {r["name"]: r["median"] for r in rows}
     empty = [c for c in numeric if c not in medians]
     if empty:
         raise ValueError(
-            f"numeric column(s) entirely NULL, nothing to impute from: {empty}; "
-            "drop them upstream or supply values"
+            f"no priced row has a value of {', '.join(empty)}: "
+            "its median, which fills gaps, is unknown"
         )
     rooms = (
         market.select(fold_room(params).alias("room")).where("room is not null")
-        .distinct().limit(MAX_ROOM_TYPES + 1).collect()
+        .distinct().collect()
     )
-    if len(rooms) > MAX_ROOM_TYPES:
-        raise ValueError(f"room_type has more than {MAX_ROOM_TYPES} levels")
     top = top_levels(
         market.select(property_level(params).alias("level")), "level", params.property_levels + 1
     ).collect()

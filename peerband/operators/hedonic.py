@@ -41,8 +41,8 @@ class HedonicFit:
     n_rows: int
     n_levels: int
     rank: int
-    r2: float
-    adj_r2: float
+    r2: float | None  # None where the target is constant or no freedom is left
+    adj_r2: float | None
     sse: float
     model_mae: float
     baseline_median_mae: float
@@ -151,7 +151,7 @@ def pseudo_inverse(gram: np.ndarray) -> tuple[np.ndarray, int]:
 def vif_values(total: np.ndarray) -> list[float | None]:
     """Variance inflation per column, without fixed effects.
 
-    NULL for a constant column; infinite for one the others reproduce exactly.
+    NULL for a constant column, and for one the others reproduce exactly.
     """
     out: list[float | None] = []
     p = len(total)
@@ -164,7 +164,7 @@ def vif_values(total: np.ndarray) -> list[float | None]:
         inverse, _ = pseudo_inverse(total[np.ix_(rest, rest)])
         cross = total[rest, i]
         unexplained = 1.0 - float(cross @ inverse @ cross) / total[i, i]
-        out.append(float(1.0 / unexplained) if unexplained > 1e-12 else math.inf)
+        out.append(float(1.0 / unexplained) if unexplained > 1e-12 else None)
     return out
 
 
@@ -204,8 +204,7 @@ def group_effects(sums: DataFrame, effects: Sequence[float],
 
 
 def fit_hedonic(features: DataFrame, names: Sequence[str], group: str = "neighbourhood",
-                target: str = "log_price",
-                split_above: int = DEFAULTS.split_above) -> HedonicFit:
+                target: str = "log_price") -> HedonicFit:
     """Fit ``target ~ names + group``. ``features`` is read four times: pass a stored table.
 
     The coefficients, errors and adjusted R2 equal those of the regression on explicit group
@@ -231,8 +230,8 @@ def fit_hedonic(features: DataFrame, names: Sequence[str], group: str = "neighbo
     )
 
     y = F.col(target)
-    medians = exact_quantiles(features, [group], y, {"median": 0.5}, split_above)
-    overall = exact_quantiles(features, [], y, {"median": 0.5}, split_above)
+    medians = exact_quantiles(features, [group], y, {"median": 0.5})
+    overall = exact_quantiles(features, [], y, {"median": 0.5})
     overall = overall.select("median").scalar()
     per_group = join_same(
         levels, medians.withColumnRenamed(group, "neighbourhood"), ["neighbourhood"], ["median"]
@@ -252,8 +251,8 @@ def fit_hedonic(features: DataFrame, names: Sequence[str], group: str = "neighbo
     df = got.n - rank - got.groups
     sst = got.total[-1, -1]
     sst = float(sst)
-    r2 = 1.0 - row["sse"] / sst if sst > 0 else float("nan")
-    adj = 1.0 - (row["sse"] / df) / (sst / (got.n - 1)) if df > 0 and sst > 0 else float("nan")
+    r2 = 1.0 - row["sse"] / sst if sst > 0 else None
+    adj = 1.0 - (row["sse"] / df) / (sst / (got.n - 1)) if df > 0 and sst > 0 else None
     variances = np.diag(inverse) * (row["sse"] / df) if df > 0 else np.zeros(len(names))
     vif = list(zip(names, vif_values(got.total[:-1, :-1]), strict=True))
     return HedonicFit(

@@ -66,8 +66,7 @@ def market_histogram(listings: DataFrame, params: Params = DEFAULTS) -> DataFram
     )
 
 
-def group_statistics(hist: DataFrame, centre: float | Column,
-                     split_above: int = DEFAULTS.split_above) -> DataFrame:
+def group_statistics(hist: DataFrame, centre: float | Column) -> DataFrame:
     """n, quartiles, IQR, mean, sample deviation and CV per comparison group.
 
     ``centre`` (the market median) is subtracted before squaring to keep the sums accurate.
@@ -76,7 +75,7 @@ def group_statistics(hist: DataFrame, centre: float | Column,
         "_d", F.col("value") - (centre if isinstance(centre, Column) else F.lit(centre))
     )
     stats = histogram_quantiles(
-        centred, TIER_KEYS, {"q25": 0.25, "median": 0.5, "q75": 0.75}, split_above,
+        centred, TIER_KEYS, {"q25": 0.25, "median": 0.5, "q75": 0.75},
         also=[
             "sum(_d * weight) as _s1",
             "sum(_d * _d * weight) as _s2",
@@ -103,9 +102,9 @@ def group_statistics(hist: DataFrame, centre: float | Column,
     )
 
 
-def global_median(listings: DataFrame, split_above: int = DEFAULTS.split_above) -> DataFrame:
+def global_median(listings: DataFrame) -> DataFrame:
     return exact_quantiles(
-        listings, [], F.col("price").cast("double"), {"median": 0.5}, split_above
+        listings, [], F.col("price").cast("double"), {"median": 0.5}
     )
 
 
@@ -187,7 +186,7 @@ def position_requests(requests: DataFrame, hist: DataFrame, statistics: DataFram
         )
         .distinct()
     )
-    ranks = share_below(hist, targets, TIER_KEYS, params.split_above).select(
+    ranks = share_below(hist, targets, TIER_KEYS).select(
         F.col("tier").alias("_t"),
         *[F.col(c).alias(f"_k_{c}") for c in GROUP],
         F.col("value").alias("_v"),
@@ -217,10 +216,10 @@ def fit_peers(listings: DataFrame, params: Params = DEFAULTS) -> tuple[DataFrame
 
     Both tables are read several times per scoring job, so each is written once.
     """
-    median = global_median(listings, params.split_above).first()["median"]
+    median = global_median(listings).first()["median"]
     hist = stage(market_histogram(listings, params), "peer_histogram")
     statistics = stage(
-        group_statistics(hist, F.lit(median), params.split_above), "peer_statistics"
+        group_statistics(hist, F.lit(median)), "peer_statistics"
     )
     return hist, statistics, median
 

@@ -101,9 +101,6 @@ class Params:
     above_percentile: float = 0.66
     drivers_shown: int = 5
 
-    # A group with more distinct values than this is ordered in value
-    # ranges spread over many tasks instead of inside one task.
-    split_above: int = 1_000_000
 
 
 DEFAULTS = Params()

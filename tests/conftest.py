@@ -33,19 +33,27 @@ RAW_COLUMNS = (
     "host_acceptance_rate", "number_of_reviews", "number_of_reviews_ltm", "reviews_per_month",
     "review_scores_rating", "availability_365", "last_review", "first_review",
 )
+# An invented harbour town. Each row is the base with what its place in the tests asks for.
+BASE_ROW = {
+    "id": "11", "neighbourhood_cleansed": "Old Port", "room_type": "Entire home/apt",
+    "property_type": "Loft", "accommodates": "5", "bedrooms": "2.0", "beds": "3",
+    "bathrooms_text": "2 baths", "price": "$310.50", "latitude": "-22.990", "longitude": "-43.200",
+    "minimum_nights": "4", "host_is_superhost": "f", "instant_bookable": "t",
+    "host_response_time": "within an hour", "host_response_rate": "85%",
+    "host_acceptance_rate": "40%", "number_of_reviews": "18", "number_of_reviews_ltm": "7",
+    "reviews_per_month": "0.75", "review_scores_rating": "4.25", "availability_365": "33",
+    "last_review": "2025-11-20", "first_review": "2020-02-29",
+}
 RAW_ROWS = [
-    ("1", "Copacabana", "Entire home/apt", "Entire rental unit", "4", "2", "2", "1 bath",
-     "$500.00", "-22.97", "-43.18", "2", "t", "f", "within an hour", "100%", "95%", "120", "30",
-     "2.5", "4.9", "120", "2026-05-01", "2019-01-01"),
-    ("2", "Copacabana", "Private room", "Private room in home", "2", "1", "1", "1 shared bath",
-     "$150.00", "-22.98", "-43.19", "1", "f", "t", "within a day", "90%", "80%", "10", "4",
-     "0.3", "4.2", "300", "2026-01-15", "2024-06-01"),
-    ("3", "Leblon", "Entire home/apt", "Entire condo", "6", "3", "4", "2.5 baths",
-     "$1,200.00", "-22.98", "-43.22", "3", "t", "t", None, "N/A", "100%", "45", "12",
-     "1.1", "4.7", "60", "2026-04-20", "2021-03-01"),
-    ("4", "Centro", "Entire home/apt", "Entire rental unit", "3", "1", "2", "Half-bath",
-     None, "-22.90", "-43.18", "1", None, "f", "within a few hours", None, None, "0", "0",
-     None, None, "365", None, None),
+    tuple({**BASE_ROW, **changes}[c] for c in RAW_COLUMNS)
+    for changes in (
+        {},
+        {"id": "12", "room_type": "Private room", "price": "$96.00", "instant_bookable": "f",
+         "bathrooms_text": "1.5 shared baths", "host_is_superhost": "t", "accommodates": "1"},
+        {"id": "13", "neighbourhood_cleansed": "Hill Side", "price": "$2,750.00",
+         "bathrooms_text": "Half-bath", "host_response_rate": "N/A", "last_review": ""},
+        {"id": "14", "price": "", "number_of_reviews": "0", "number_of_reviews_ltm": "0"},
+    )
 ]
 
 
@@ -59,10 +67,11 @@ def raw_listings(spark):
     return raw_frame(spark)
 
 
+# Two listings over a week; letters are the days' availability.
 CALENDAR_ROWS = [
-    (str(listing), f"2026-01-0{day + 1}", available, "$500.00", "2", "365")
-    for listing, flags in ((1, "tfftf"), (2, "tttft"))
-    for day, available in enumerate(flags)
+    (listing, f"2025-03-{3 + day:02d}", state, price, "1", "90")
+    for listing, states, price in (("11", "fffttft", "$310.00"), ("12", "ttttttf", "$90.00"))
+    for day, state in enumerate(states)
 ]
 CALENDAR_SCHEMA = (
     "listing_id string, date string, available string, price string,"

@@ -15,29 +15,31 @@ def series(spark, *rows):
 
 @pytest.fixture
 def detrended(spark):
-    return series(spark, ("2026-03-30", 0.22, True), ("2026-12-31", 0.093, False),
-                  ("2027-01-01", 0.083, False), ("2027-02-07", 0.027, False),
-                  ("2026-07-15", 0.0, False))
+    """The largest uplift lies on an edge; two dates of one window; one outside all windows."""
+    return series(spark, ("2028-05-09", 0.61, True), ("2027-12-30", 0.174, False),
+                  ("2027-12-29", 0.121, False), ("2028-02-08", 0.052, False),
+                  ("2027-09-01", -0.03, False))
 
 
 def test_context(detrended):
     row = demand.seasonal_context(detrended).first()
-    assert datetime.date(2026, 3, 30) not in [d["date"] for d in row["top_dates"]]
-    assert [d["event_uplift"] for d in row["top_dates"]] == [0.093, 0.083, 0.027, 0.0]
+    assert [str(d["date"]) for d in row["top_dates"]] == [
+        "2027-12-30", "2027-12-29", "2028-02-08", "2027-09-01"]
+    assert [d["event_uplift"] for d in row["top_dates"]] == [0.174, 0.121, 0.052, -0.03]
     assert row["dropped_edge"] == 1 and row["magnitudes_are_lower_bounds"] is True
-    assert row["events"] == {"Réveillon": 0.093, "Carnaval": 0.027}
-    assert row["demand_note"] == "Seasonal demand (lower bound): Réveillon +9%, Carnaval +3%."
+    assert row["events"] == {"Réveillon": 0.174, "Carnaval": 0.052}
+    assert row["demand_note"] == "Seasonal demand (lower bound): Réveillon +17%, Carnaval +5%."
 
 
 def test_year_wrap_only_through_january(spark):
     row = demand.seasonal_context(series(
-        spark, ("2027-01-01", 0.083, False), ("2026-12-15", 0.04, False))).first()
-    assert row["events"] == {"Réveillon": 0.083}
+        spark, ("2031-01-01", 0.31, False), ("2030-12-10", 0.7, False))).first()
+    assert row["events"] == {"Réveillon": 0.31}
 
 
 def test_unknown_edge_flag_is_kept(spark):
     row = demand.seasonal_context(series(
-        spark, ("2026-03-30", 0.22, True), ("2026-07-15", 0.1, None))).first()
+        spark, ("2025-06-06", 0.4, True), ("2025-08-08", 0.2, None))).first()
     assert row["dropped_edge"] == 1 and len(row["top_dates"]) == 1
 
 

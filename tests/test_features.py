@@ -45,7 +45,7 @@ def test_unpriced_rows_are_left_out_and_distance_is_optional(spark, market):
 
 def test_all_null_numeric_fails(spark, market):
     bad = to_spark(spark, market).withColumn("bathrooms_num", F.lit(None).cast("double"))
-    with pytest.raises(ValueError, match="entirely NULL.*bathrooms_num"):
+    with pytest.raises(ValueError, match="no priced row has a value of bathrooms_num"):
         features.model_matrix(bad)
 
 
@@ -64,6 +64,18 @@ def test_other_can_be_a_top_level_itself(spark):
     assert got == {"Other": 4 + 3, "a": 3}
 
 
+def test_any_number_of_room_types(spark, market):
+    """A dummy column for each but the first."""
+    rows = to_spark(spark, market.iloc[:250]).withColumn(
+        "room_type", F.concat(F.lit("Room "), F.format_string("%03d", F.col("listing_id") % 201)))
+    frame, spec = features.model_matrix(rows)
+    assert len(spec.room_levels) == 201
+    dummies = [c for c in frame.columns if c.startswith("room_type_Room ")]
+    assert len(dummies) == 200
+    sums = frame.agg(F.sum(sum(quoted(c) for c in dummies)).alias("n")).first()["n"]
+    assert sums == rows.where("room_type <> 'Room 000'").count()
+
+
 def test_impute(spark):
     rows = spark.createDataFrame([(1.0,), (None,), (float("nan"),)], "x double")
     got = [r["x"] for r in features.impute_medians(rows, {"x": 7.0}).collect()]

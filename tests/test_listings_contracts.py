@@ -15,20 +15,24 @@ def row(**changes):
 
 def test_types_filter_and_winsor(raw_listings):
     out = {r["listing_id"]: r for r in curate_listings(raw_listings).collect()}
-    assert set(out) == {1, 2, 3}
-    assert sorted(r["price"] for r in out.values()) == pytest.approx([157.0, 500.0, 1186.0])
-    assert [out[i]["bathrooms_num"] for i in (1, 2, 3)] == [1.0, 1.0, 2.5]
-    assert out[1]["host_response_rate"] == 1.0 and out[1]["host_acceptance_rate"] == 0.95
-    assert out[3]["host_response_rate"] is None and out[2]["instant_bookable"] is True
-    assert out[1]["last_review"].isoformat() == "2026-05-01"
+    assert set(out) == {11, 12, 13}
+    # Three prices: the window ends 2 % of the way from either end to the middle one.
+    assert out[11]["price"] == pytest.approx(310.5)
+    assert out[12]["price"] == pytest.approx(96 + 0.02 * (310.5 - 96))
+    assert out[13]["price"] == pytest.approx(2750 - 0.02 * (2750 - 310.5))
+    assert [out[i]["bathrooms_num"] for i in (11, 12, 13)] == [2.0, 1.5, 0.5]
+    assert out[12]["host_response_rate"] == 0.85 and out[12]["host_acceptance_rate"] == 0.4
+    assert out[13]["host_response_rate"] is None and out[13]["last_review"] is None
+    assert (out[11]["instant_bookable"], out[12]["instant_bookable"]) == (True, False)
+    assert out[11]["first_review"].isoformat() == "2020-02-29" and out[11]["bedrooms"] == 2
 
 
 def test_column_set(raw_listings):
     assert len(curate_listings(raw_listings).columns) == 23
-    extra = raw_listings.withColumn("estimated_occupancy_l365d", F.lit("200"))
+    extra = raw_listings.withColumn("estimated_occupancy_l365d", F.lit("61.5"))
     out = curate_listings(extra)
     assert out.columns[-1] == "estimated_occupancy_l365d"
-    assert {r[0] for r in out.select("estimated_occupancy_l365d").collect()} == {200.0}
+    assert {r[0] for r in out.select("estimated_occupancy_l365d").collect()} == {61.5}
 
 
 def test_rows_without_keys_or_price_are_dropped(spark):
@@ -70,7 +74,7 @@ def test_broken_listings_fail(raw_listings, column, value, rule):
     out = curate_listings(raw_listings)
     kind = out.schema[column].dataType
     broken = out.withColumn(
-        column, F.when(F.col("listing_id") == 1, F.lit(value).cast(kind)).otherwise(F.col(column))
+        column, F.when(F.col("listing_id") == 11, F.lit(value).cast(kind)).otherwise(F.col(column))
     )
     with pytest.raises(contracts.ContractError, match=rule):
         contracts.validate_listings(broken)

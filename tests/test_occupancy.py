@@ -31,13 +31,11 @@ def test_blend_rules(spark):
     assert set(got) == set(range(6))
 
 
-@pytest.mark.parametrize("split_above", [5, 1_000_000])
-def test_agreement_matches_pandas(spark, split_above):
+def test_agreement_matches_pandas(spark):
     rng = np.random.default_rng(3)
     p = np.clip(rng.normal(0.3, 0.3, 400), 0, 0.7).round(2)
     b = np.clip(p + rng.normal(0, 0.2, 400), 0, 0.699).round(2)
-    row = occ.occupancy_agreement(keyed(spark, p, "p"), keyed(spark, b, "b"),
-                                  split_above=split_above).first()
+    row = occ.occupancy_agreement(keyed(spark, p, "p"), keyed(spark, b, "b")).first()
     ps, bs = pd.Series(p), pd.Series(b)
     assert row["pearson"] == pytest.approx(ps.corr(bs))
     assert row["spearman"] == pytest.approx(ps.rank().corr(bs.rank()))
