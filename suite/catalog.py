@@ -121,6 +121,20 @@ def file_fingerprints(spark, sf_dir):
     return raw.fingerprints(spark, f"{sf_dir}/*.parquet")
 
 
+@query(
+    """
+    SELECT sha256(n_name || chr(10)) AS sha256, CAST(strlen(n_name) + 1 AS BIGINT) AS bytes
+    FROM nation
+    """
+)
+def text_fingerprints(spark, sf_dir):
+    """sha256 and size of one small text file written for each nation."""
+    folder = scratch(spark, "texts")
+    table(spark, sf_dir, "nation").select("n_nationkey", "n_name").write.partitionBy(
+        "n_nationkey").text(folder)
+    return raw.fingerprints(spark, f"{folder}/*/*.txt").select("sha256", "bytes")
+
+
 _CURATED_SQL = """
 raw AS (
   SELECT c_custkey AS listing_id,
@@ -537,22 +551,28 @@ feat AS (SELECT listing_id, ln(price) AS log_price,
       CAST(host_is_superhost AS DOUBLE) AS host_is_superhost,
       CAST(superhost_missing AS DOUBLE) AS superhost_missing,
       CAST(no_review_history AS DOUBLE) AS no_review_history, cap_bucket,
-      CAST(CASE WHEN room_type = 'BUILDING' THEN 1 ELSE 0 END AS DOUBLE) AS room_building,
-      CAST(CASE WHEN room_type = 'MACHINERY' THEN 1 ELSE 0 END AS DOUBLE) AS room_machinery,
-      CAST(CASE WHEN property_type = 'Other' THEN 1 ELSE 0 END AS DOUBLE) AS property_other
+      CASE WHEN room_type <> (SELECT min(room_type) FROM feat)
+        THEN 'room_type_' || room_type ELSE '' END AS room_columns,
+      CASE WHEN property_type <> (SELECT min(property_type) FROM feat)
+        THEN 'property_type_' || property_type ELSE '' END AS property_columns
     FROM feat
     """
 )
 def model_features(spark, sf_dir):
-    """The full design matrix row by row (three of its dummy columns shown)."""
+    """The full design matrix row by row; of the dummy columns, the names of those that are 1."""
     frame, _ = features.model_matrix(_market(spark, sf_dir))
+
+    def set_columns(prefix):
+        return F.concat_ws(",", *[
+            F.when(quoted(c) == 1, c) for c in frame.columns if c.startswith(prefix)
+        ])
+
     return rounded(
         frame.select(
             "listing_id", "log_price", "neighbourhood", *features.NUMERIC, features.DISTANCE,
             "host_is_superhost", "superhost_missing", "no_review_history", "cap_bucket",
-            F.col("room_type_BUILDING").alias("room_building"),
-            F.col("room_type_MACHINERY").alias("room_machinery"),
-            F.col("property_type_Other").alias("property_other"),
+            set_columns("room_type_").alias("room_columns"),
+            set_columns("property_type_").alias("property_columns"),
         )
     )
 
@@ -886,8 +906,15 @@ def event_peaks(spark, sf_dir):
 
 @query(
     f"""WITH {_DETREND_SQL}, {_EVENTS_SQL},
-    peak AS (SELECT event, max(event_uplift) AS u FROM days WHERE event IS NOT NULL GROUP BY 1)
-    SELECT (SELECT count(*) FROM detrended WHERE is_edge) AS dropped_edge,
+    peak AS (SELECT event, max(event_uplift) AS u FROM days WHERE event IS NOT NULL GROUP BY 1),
+    best AS (SELECT date, event_uplift FROM clean ORDER BY event_uplift DESC, date LIMIT 10)
+    SELECT (SELECT string_agg(CAST(date AS VARCHAR), ',' ORDER BY event_uplift DESC, date)
+        FROM best) AS top_dates,
+      (SELECT round(sum(event_uplift), 6) FROM best) AS top_uplift,
+      (SELECT round(u, 6) FROM peak WHERE event = 'Réveillon') AS new_year,
+      (SELECT round(u, 6) FROM peak WHERE event = 'Carnaval') AS carnival,
+      (SELECT count(*) FROM peak) AS n_events,
+      (SELECT count(*) FROM detrended WHERE is_edge) AS dropped_edge,
       true AS magnitudes_are_lower_bounds,
       'Seasonal demand (lower bound): ' || (SELECT string_agg(event || ' +' ||
         CAST(CAST(round_even(u * 100, 0) AS BIGINT) AS VARCHAR) || '%', ', ' ORDER BY event DESC)
@@ -896,9 +923,17 @@ def event_peaks(spark, sf_dir):
 )
 def seasonal_context(spark, sf_dir):
     """The one-row demand context and its note."""
-    return demand.seasonal_context(_detrended(spark, sf_dir)).select(
-        "dropped_edge", "magnitudes_are_lower_bounds", "demand_note"
-    )
+    context = demand.seasonal_context(_detrended(spark, sf_dir))
+    return rounded(context.select(
+        F.array_join(F.transform("top_dates", lambda d: d["date"].cast("string")), ",")
+        .alias("top_dates"),
+        F.aggregate("top_dates", F.lit(0.0), lambda a, d: a + d["event_uplift"])
+        .alias("top_uplift"),
+        F.col("events")["Réveillon"].alias("new_year"),
+        F.col("events")["Carnaval"].alias("carnival"),
+        F.size("events").cast("bigint").alias("n_events"),
+        "dropped_edge", "magnitudes_are_lower_bounds", "demand_note",
+    ))
 
 
 # ---------------------------------------------------------------- advice
@@ -963,13 +998,13 @@ def request_advice(spark, sf_dir):
 
 @query()
 def persona_positions(spark, sf_dir):
-    """The short report: one profile per nation and the most common home."""
+    """The short report: one profile per nation and its most common home, ties by name."""
     market = _market(spark, sf_dir)
     advisor = advise.fit_advisor(market)
     profiles = market.groupBy("neighbourhood").agg(
         F.min("listing_id").alias("request_id"),
-        F.min("room_type").alias("room_type"),
-        F.min("property_type").alias("property_type"),
+        F.mode("room_type", True).alias("room_type"),
+        F.mode("property_type", True).alias("property_type"),
     ).select(
         "request_id", "neighbourhood", "room_type", "property_type",
         F.lit(2.0).alias("accommodates"), F.lit(1.0).alias("bedrooms"),
@@ -1007,18 +1042,93 @@ def contract_violations(spark, sf_dir):
 
 @query(
     """
-    SELECT rule, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS violations FROM (
-      SELECT 'unique listing_id, month, dow' AS rule, count(*) AS n FROM lineitem
-      GROUP BY l_suppkey, month(l_shipdate), dayofweek(l_shipdate)) GROUP BY 1
+    SELECT 'unique listing_id, month, dow' AS rule,
+      CAST(count(*) - count(DISTINCT (l_suppkey, month(l_shipdate), dayofweek(l_shipdate)))
+        AS BIGINT) AS violations FROM lineitem
+    UNION ALL SELECT unnest(['listing_id not null', 'month not null', 'month >= 1', 'month <= 12',
+      'dow not null', 'dow >= 0', 'dow <= 6', 'booked_rate not null', 'booked_rate >= 0']), 0
+    UNION ALL SELECT 'median_cal_price >= 0', count(*) FILTER (l_extendedprice - 30000 < 0)
+      FROM lineitem
+    UNION ALL SELECT 'booked_rate <= 1', count(*) FILTER (l_quantity / 40.0 > 1) FROM lineitem
     """
 )
 def composite_key_violations(spark, sf_dir):
-    """Repeated (listing, month, weekday) keys in an unaggregated calendar."""
-    rows = calendar(spark, sf_dir).select(
-        "listing_id", F.month("date").alias("month"), cal.day_of_week(F.col("date")).alias("dow"),
-        F.lit(None).cast("double").alias("median_cal_price"), F.lit(0.5).alias("booked_rate"),
+    """Every rule of the seasonality table broken or kept by an unaggregated calendar."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("listing_id"), F.month("l_shipdate").alias("month"),
+        cal.day_of_week(F.col("l_shipdate")).alias("dow"),
+        (F.col("l_extendedprice") - 30000).alias("median_cal_price"),
+        (F.col("l_quantity") / 40.0).alias("booked_rate"),
+    )
+    return contracts.violations(rows, contracts.SEASONALITY)
+
+
+@query(
+    """
+    WITH dirty AS (SELECT c_custkey // 3 AS listing_id,
+      CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_name END AS neighbourhood, c_acctbal AS price,
+      c_custkey % 7 - 2 AS accommodates, c_nationkey - 20 AS min_nights,
+      CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal / 4000 END AS rate,
+      c_acctbal / 1000 AS rating, c_custkey % 11 - 1.0 AS km FROM customer)
+    SELECT unnest(['listing_id not null', 'room_type not null', 'number_of_reviews_ltm >= 0',
+      'price not null']) AS rule, CAST(0 AS BIGINT) AS violations
+    UNION ALL SELECT 'neighbourhood not null', count(*) FILTER (neighbourhood IS NULL) FROM dirty
+    UNION ALL SELECT 'price > 0', count(*) FILTER (price <= 0) FROM dirty
+    UNION ALL SELECT 'accommodates >= 0', count(*) FILTER (accommodates < 0) FROM dirty
+    UNION ALL SELECT 'min_nights >= 0', count(*) FILTER (min_nights < 0) FROM dirty
+    UNION ALL SELECT unnest(['host_response_rate >= 0', 'host_acceptance_rate >= 0']),
+      (SELECT count(*) FILTER (rate < 0) FROM dirty)
+    UNION ALL SELECT unnest(['host_response_rate <= 1', 'host_acceptance_rate <= 1']),
+      (SELECT count(*) FILTER (rate > 1) FROM dirty)
+    UNION ALL SELECT 'review_scores_rating >= 0', count(*) FILTER (rating < 0) FROM dirty
+    UNION ALL SELECT 'review_scores_rating <= 5', count(*) FILTER (rating > 5) FROM dirty
+    UNION ALL SELECT 'distance_to_beach_km >= 0', count(*) FILTER (km < 0) FROM dirty
+    UNION ALL SELECT 'unique listing_id', count(*) - count(DISTINCT listing_id) FROM dirty
+    """
+)
+def listing_contract_violations(spark, sf_dir):
+    """Violations per rule of a deliberately dirty listings table."""
+    rate = F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal") / 4000)
+    dirty = table(spark, sf_dir, "customer").select(
+        F.floor(F.col("c_custkey") / 3).alias("listing_id"),
+        F.when(F.col("c_custkey") % 5 != 0, F.col("c_name")).alias("neighbourhood"),
+        F.col("c_mktsegment").alias("room_type"), F.col("c_acctbal").alias("price"),
+        (F.col("c_custkey") % 7 - 2).alias("accommodates"),
+        (F.col("c_nationkey") - 20).alias("min_nights"),
+        F.lit(3).alias("number_of_reviews_ltm"), F.lit(True).alias("host_is_superhost"),
+        F.lit(None).cast("boolean").alias("instant_bookable"),
+        rate.alias("host_response_rate"), rate.alias("host_acceptance_rate"),
+        (F.col("c_acctbal") / 1000).alias("review_scores_rating"),
+        (F.col("c_custkey") % 11 - 1.0).alias("distance_to_beach_km"),
+    )
+    return contracts.violations(dirty, contracts.LISTINGS)
+
+
+@query(
+    """
+    SELECT unnest(['date not null', 'dow not null', 'dow >= 0', 'dow <= 6', 'unavail_rate not null',
+      'unavail_rate >= 0', 'baseline not null', 'event_uplift not null',
+      'event_uplift >= -1', 'is_edge not null']) AS rule, CAST(0 AS BIGINT) AS violations
+    UNION ALL SELECT 'horizon_days not null', count(*) FILTER (o_orderkey % 6 = 0) FROM orders
+    UNION ALL SELECT 'unavail_rate <= 1', count(*) FILTER (o_totalprice / 100000 > 1) FROM orders
+    UNION ALL SELECT 'baseline >= 0', count(*) FILTER (o_orderkey % 9 / 8.0 - 0.25 < 0) FROM orders
+    UNION ALL SELECT 'baseline <= 1', count(*) FILTER (o_orderkey % 9 / 8.0 - 0.25 > 1) FROM orders
+    UNION ALL SELECT 'event_uplift <= 1', count(*) FILTER (o_totalprice / 150000 > 1) FROM orders
+    UNION ALL SELECT 'unique date',
+      count(*) - count(DISTINCT CAST(o_orderdate AS DATE)) FROM orders
+    """
+)
+def detrended_contract_violations(spark, sf_dir):
+    """Violations per rule of a deliberately dirty market series."""
+    date = F.to_date("o_orderdate")
+    dirty = table(spark, sf_dir, "orders").select(
+        date.alias("date"), cal.day_of_week(date).alias("dow"),
+        F.when(F.col("o_orderkey") % 6 != 0, F.lit(1)).alias("horizon_days"),
+        (F.col("o_totalprice") / 100000).alias("unavail_rate"),
+        (F.col("o_orderkey") % 9 / 8.0 - 0.25).alias("baseline"),
+        (F.col("o_totalprice") / 150000).alias("event_uplift"), F.lit(False).alias("is_edge"),
     )
-    return contracts.violations(rows, contracts.SEASONALITY).where("rule like 'unique%'")
+    return contracts.violations(dirty, contracts.DETRENDED)
 
 
 # ---------------------------------------------------------------- builds
