@@ -45,6 +45,19 @@ def text_or_empty(name: str):
     return F.coalesce(quoted(name).cast("string"), F.lit(""))
 
 
+def slabs(texts: list[str | None], chars: int) -> Iterator[list[str | None]]:
+    """Consecutive texts of about ``chars`` characters together, at least one at a time."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t or "")
+        if size >= chars:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType
 ) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peerband.llm.common import map_batches, narrow, ship_package
+from peerband.llm.common import map_batches, narrow, ship_package, slabs
 from peerband.session import stage
 
 CAPACITY = 2048
@@ -153,18 +153,6 @@ def _encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def _slabs(texts: list[str | None]) -> Iterator[list[str | None]]:
-    some, size = [], 0
-    for t in texts:
-        some.append(t)
-        size += len(t or "")
-        if size > SLAB_CHARS:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
-
-
 def token_pieces(
     docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
     capacity: int = CAPACITY, with_ids: bool = True,
@@ -186,7 +174,7 @@ def token_pieces(
         made = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             row, piece, length, crc, ids, at = [], [], [], [], [], 0
-            for slab in _slabs(batch.column(1).to_pylist()):
+            for slab in slabs(batch.column(1).to_pylist(), SLAB_CHARS):
                 for code in encoder.encode(slab):
                     code += end
                     for k, cut in enumerate(range(0, len(code), 4 * capacity)):

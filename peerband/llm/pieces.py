@@ -15,18 +15,47 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from itertools import chain
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from peerband.llm.common import append_columns
+from peerband.llm.common import append_columns, slabs
 
 SPACE = "▁"
 #: Characters up to which the agenda is a plain list, which is faster than a heap there.
 SHORT = 48
-#: Entries each cache of a Python worker holds before it starts anew.
-CACHE_PARTS = 300_000
-NORMAL, UNKNOWN, BYTE = 1, 2, 6
+#: Entries of the young half of each cache of a Python worker.
+CACHE_PARTS = 250_000
+#: Characters of text that are split into words at once.
+SLAB_CHARS = 1 << 20
+NORMAL, BYTE = 1, 6
+
+
+class Recent:
+    """A bounded cache in two halves: what is used again moves to the young one, and when that is
+    full it becomes the old one and the former old one is forgotten."""
+
+    def __init__(self, size: int = CACHE_PARTS) -> None:
+        self.size = size
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.young[key] = found
+        return found
+
+    def put(self, key, value) -> None:
+        self.young[key] = value
+
+    def age(self) -> None:
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
 
 
 class MergeVocabulary:
@@ -55,8 +84,8 @@ class MergeVocabulary:
         # A word starts at a space symbol that no space symbol precedes.
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError(f"{path}: a piece spans words")
-        self.words: dict[str, tuple[int, str, tuple[int, ...]]] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self.words = Recent()  # (ids, ids as text) of each word
+        self.parts = Recent()
 
     def merge(self, part: str) -> list[str]:
         """Symbols left when no adjacent pair is a piece."""
@@ -118,25 +147,27 @@ class MergeVocabulary:
                     ids.extend(self.bytes[b] for b in symbol.encode("utf-8"))
                 else:
                     ids.append(at)
-            found = self.parts[part] = tuple(ids)
+            found = tuple(ids)
+            self.parts.put(part, found)
         return found
 
     def word_ids(self, word: str) -> tuple[int, ...]:
         """Ids of one run of space symbols and what follows it."""
-        cuts = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in self.pairs]
+        pairs = self.pairs
+        cuts = [i for i, p in enumerate(map(add, word, word[1:]), 1) if p not in pairs]
         if not cuts:
             return self.part_ids(word)
         return tuple(
             x for a, b in zip([0, *cuts], [*cuts, len(word)]) for x in self.part_ids(word[a:b])
         )
 
-    def learn(self, words: set[str]) -> None:
-        """Encode new words, and compare each with the library's ids in one batch."""
-        if len(self.words) > CACHE_PARTS:
-            self.words = {}
-        if len(self.parts) > CACHE_PARTS:
-            self.parts = {}
-        new = [w for w in words if w not in self.words]
+    def learn(self, words: set[str]) -> dict[str, tuple[tuple[int, ...], str]]:
+        """(ids, ids as text) of each word. New words are encoded, and compared with the library's
+        ids in one batch."""
+        self.words.age()
+        self.parts.age()
+        known = {w: self.words.get(w) for w in words}
+        new = [w for w, found in known.items() if found is None]
         # The library itself puts the first space symbol there.
         theirs = self.library.encode([w[1:] for w in new], num_threads=1) if new else []
         for word, ids in zip(new, theirs):
@@ -144,7 +175,9 @@ class MergeVocabulary:
             # A space symbol alone can't be asked for: the library takes it for an empty text.
             if list(own) != ids and word != SPACE:
                 raise ValueError(f"ids of {word!r}: {own} here, {ids} by the library")
-            self.words[word] = (len(own), ",".join(map(str, own)), own)
+            known[word] = own, ",".join(map(str, own))
+            self.words.put(word, known[word])
+        return known
 
     _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -156,8 +189,8 @@ class MergeVocabulary:
 
     def encode(self, text: str | None) -> list[int]:
         words = self.split(text)
-        self.learn(set(words))
-        return [x for w in words for x in self.words[w][2]]
+        known = self.learn(set(words))
+        return list(chain.from_iterable([known[w][0] for w in words]))
 
 
 _VOCABULARIES: dict[str, MergeVocabulary] = {}
@@ -187,19 +220,16 @@ def encode_pieces(
     def run(texts: list) -> dict[str, pa.Array]:
         vocab = vocabulary(model)
         n, ids, decoded = [], [], []
-        for text in texts:
-            words = vocab.split(text)
-            vocab.learn(set(words))
-            known = [vocab.words[w] for w in words]
-            own = [x for w in known for x in w[2]]
-            back = vocab.library.decode(own) if own else ""
-            n.append(len(own))
-            if digests:
-                ids.append(_sha256(",".join([w[1] for w in known])))
-                decoded.append(_sha256(back))
-            else:
-                ids.append(own)
-                decoded.append(back)
+        for slab in slabs(texts, SLAB_CHARS):
+            split = [vocab.split(t) for t in slab]
+            known = vocab.learn(set(chain.from_iterable(split)))
+            for words in split:
+                found = [known[w] for w in words]
+                own = list(chain.from_iterable([w[0] for w in found]))
+                back = vocab.library.decode(own) if own else ""
+                n.append(len(own))
+                ids.append(_sha256(",".join([w[1] for w in found])) if digests else own)
+                decoded.append(_sha256(back) if digests else back)
         if digests:
             return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()),
                     "decoded_sha256": pa.array(decoded, pa.string())}
