@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,20 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+#: Largest table that is broadcast to rows with texts, after its size was counted.
+BROADCAST_BYTES = 16 << 20
+
+
+def decide(docs: DataFrame, found: DataFrame, on: Column, how: str, n_bytes: int) -> DataFrame:
+    """Join rows that carry texts with a stored table of ``n_bytes``.
+
+    A small table is broadcast, so texts stay where they are. With a larger one texts are shuffled
+    once, but never sorted: the table is the hashed side.
+    """
+    side = F.broadcast(found) if n_bytes <= BROADCAST_BYTES else found.hint("shuffle_hash")
+    return docs.join(side, on, how)
+
+
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under private names, so that other columns can never clash."""
     return df.select(*[quoted(source).alias(name) for name, source in columns.items()])

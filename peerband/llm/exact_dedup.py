@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerband.llm.common import quoted, text_or_empty
+from peerband.llm.common import decide, quoted, text_or_empty
 from peerband.session import stage
 
 #: Largest number of surviving (length, prefix) groups that is broadcast, at 16 bytes each.
 BROADCAST_GROUPS = 1 << 18
+#: Bytes of an id and a digest in a hashed table.
+DROP_BYTES = 128
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> DataFrame:
@@ -102,16 +104,17 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     decided = stage(exact_dedup(docs, id_col, text_col).where("group_size > 1"), "copies")
     same = F.col("id").eqNullSafe(F.col("keep_id"))
-    drops = decided.where(~same).select(
-        F.col("id").alias("__drop_id"), F.col("text_sha256").alias("__drop_sha256")
-    ).distinct()
-    hashed = docs.withColumn("__sha256", F.sha2(text_or_empty(text_col), 256))
-    out = hashed.join(
-        drops,
-        (F.col("__sha256") == F.col("__drop_sha256"))
-        & quoted(id_col).eqNullSafe(F.col("__drop_id")),
-        "left_anti",
+    drops = stage(
+        decided.where(~same).select(
+            F.col("id").alias("__drop_id"), F.unhex("text_sha256").alias("__drop_sha256")
+        ).distinct(),
+        "drops",
     )
+    hashed = docs.withColumn("__sha256", F.unhex(F.sha2(text_or_empty(text_col), 256)))
+    same_row = (F.col("__sha256") == F.col("__drop_sha256")) & quoted(id_col).eqNullSafe(
+        F.col("__drop_id")
+    )
+    out = decide(hashed, drops, same_row, "left_anti", drops.count() * DROP_BYTES)
     if decided.where(same & ~F.col("kept")).limit(1).count():
         out = out.dropDuplicates([id_col, "__sha256"])
     return out.select(*[quoted(c) for c in docs.columns])

@@ -18,12 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerband.llm.common import quoted, ship_package, text_or_empty
+from peerband.llm.common import decide, quoted, ship_package, text_or_empty
 from peerband.session import stage
 
 WINDOW = 2
 #: Words a run must have to be deleted, and a line to be a fingerprint alone.
 LEAST_WORDS = 50
+#: Bytes of a document's name and of a run in a hashed table.
+DOC_BYTES, RUN_BYTES = 128, 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -194,8 +196,11 @@ def line_dedup(
     run is measured against that place.
     """
     found = stage(repeated_runs(docs, id_col, text_col, window, least_words), "runs")
-    joined = _keyed(docs, id_col, text_col).join(
-        found.withColumnRenamed("doc", "run_doc"), F.col("doc") == F.col("run_doc"), "left"
+    held = found.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("runs")).alias("runs")).first()
+    joined = decide(
+        _keyed(docs, id_col, text_col), found.withColumnRenamed("doc", "run_doc"),
+        F.col("doc") == F.col("run_doc"), "left",
+        held.n * DOC_BYTES + (held.runs or 0) * RUN_BYTES,
     ).select("id", "text", "runs")
     id_type = joined.schema["id"].dataType.simpleString()
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerband.llm.common import map_batches, narrow
+from peerband.llm.common import decide, map_batches, narrow, quoted
 from peerband.llm.components import components
 from peerband.session import stage
 
@@ -34,6 +34,8 @@ SHINGLE = 3
 SEED = 42
 #: Shingles whose bits are counted at once.
 SLAB = 1 << 16
+#: Bytes of an id in a hashed table.
+DROP_BYTES = 64
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -232,9 +234,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows are told apart by id: rows that share the kept id all stay.
     """
     found = simhash_components(docs, id_col, text_col)
-    drops = (
+    drops = stage(
         found.where(~F.col("id").eqNullSafe(F.col("component_id")))
         .select(F.col("id").alias("__drop_id"))
-        .distinct()
+        .distinct(),
+        "drops",
     )
-    return docs.join(drops, docs[id_col].eqNullSafe(drops["__drop_id"]), "left_anti")
+    same = quoted(id_col).eqNullSafe(F.col("__drop_id"))
+    return decide(docs, drops, same, "left_anti", drops.count() * DROP_BYTES)
