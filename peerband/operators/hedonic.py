@@ -26,6 +26,8 @@ COEFFICIENTS = (
     "feature string, effect double, std_err double, p_value double, ci_low double, ci_high double"
 )
 RANK_TOLERANCE = 1e-11
+#: Product sums of one aggregate.
+PRODUCTS = 64
 
 
 @dataclass(frozen=True)
@@ -65,9 +67,9 @@ def group_moments(features: DataFrame, names: Sequence[str], group: str, target:
                   shifts: dict[str, float] | None = None) -> DataFrame:
     """Product sums per group: row (g, i) holds ``q[j]``, the sum of column i times column j.
 
-    The last column is the constant 1, so its row holds the column sums and the row count.
-    Each input row is spread over its columns first: one narrow sum per column pair's row keeps
-    the aggregate small enough to be compiled, where all pairs side by side would not be.
+    The last column is the constant 1, so its row holds the column sums and the row count. Only
+    products with j >= i are summed, some at a time, so that each aggregate is small enough to be
+    compiled; a row of ``features`` is read once for each such block and never multiplied.
     Shifting every column by a typical value keeps the later subtraction accurate. The sums are
     partial-aggregated before the shuffle, so a group holding most rows is harmless.
     """
@@ -82,12 +84,18 @@ def group_moments(features: DataFrame, names: Sequence[str], group: str, target:
         ],
         F.lit(1.0).alias(f"x{m}"),
     )
-    all_x = ", ".join(f"x{i}" for i in range(m + 1))
-    spread = base.selectExpr("g", *all_x.split(", "), f"posexplode(array({all_x})) as (i, x)")
-    sums = spread.groupBy("g", "i").agg(
-        *[F.expr(f"sum(x * x{j}) as q{j}") for j in range(m + 1)]
+    pairs = [(i, j) for i in range(m + 1) for j in range(i, m + 1)]
+    sums = None
+    for at in range(0, len(pairs), PRODUCTS):
+        block = pairs[at:at + PRODUCTS]
+        part = base.groupBy("g").agg(*[F.expr(f"sum(x{i} * x{j}) as q{i}_{j}") for i, j in block])
+        made = part.columns[1:]
+        sums = part if sums is None else join_same(sums, part, ["g"], made, how="inner")
+    rows = ", ".join(
+        "array(" + ", ".join(f"q{min(i, j)}_{max(i, j)}" for j in range(m + 1)) + ")"
+        for i in range(m + 1)
     )
-    return sums.selectExpr("g", "i", f"array({all_x.replace('x', 'q')}) as q")
+    return sums.selectExpr("g", f"posexplode(array({rows})) as (i, q)")
 
 
 @dataclass(frozen=True)
