@@ -166,7 +166,8 @@ def position_requests(requests: DataFrame, hist: DataFrame, statistics: DataFram
     combinations and repeated prices are resolved once and joined back. The joins back may see
     any number of requests per key; adaptive execution splits such a key across tasks.
     """
-    groups = resolve_groups(requests, statistics, median, params)
+    # Stored, so that the planner knows how small it is before it moves any request.
+    groups = stage(resolve_groups(requests, statistics, median, params), "groups")
     placed = join_same(
         requests, groups, GROUP,
         ["tier", "tier_used", "n_effective", "shrunk_median", "iqr", "cv"],
@@ -186,11 +187,14 @@ def position_requests(requests: DataFrame, hist: DataFrame, statistics: DataFram
         )
         .distinct()
     )
-    ranks = share_below(hist, targets, TIER_KEYS).select(
-        F.col("tier").alias("_t"),
-        *[F.col(c).alias(f"_k_{c}") for c in GROUP],
-        F.col("value").alias("_v"),
-        "share",
+    ranks = stage(
+        share_below(hist, targets, TIER_KEYS).select(
+            F.col("tier").alias("_t"),
+            *[F.col(c).alias(f"_k_{c}") for c in GROUP],
+            F.col("value").alias("_v"),
+            "share",
+        ),
+        "ranks",
     )
     match = (F.col("tier") == F.col("_t")) & (
         F.col("target_price").cast("double") == F.col("_v")
