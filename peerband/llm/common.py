@@ -17,13 +17,18 @@ from peerband.functions.buckets import quoted
 
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch, where the session has Spark's default. Texts are long, and a Python
+#: worker holds a batch several times over.
+BATCH_ROWS, BATCH_CONF = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Let Spark send this package's source to the executors, once for each application.
+def prepare(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once for each application, and bound batches.
 
     Spark serves the archive itself, so executors need neither this file nor an installed copy.
     """
+    if spark.conf.get(BATCH_CONF) == "10000":
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
@@ -36,6 +41,20 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+_RESIDENT: dict[tuple, object] = {}
+
+
+def resident(kind: str, key: str, make: Callable[[], object]):
+    """What a Python worker keeps from task to task: one vocabulary or model with its caches.
+
+    Workers are used again by other operators, so asking for another one drops it.
+    """
+    if (kind, key) not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[kind, key] = make()
+    return _RESIDENT[kind, key]
+
+
 #: Largest table that is broadcast to rows with texts, after its size was counted.
 BROADCAST_BYTES = 16 << 20
 
@@ -76,7 +95,7 @@ def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType
 ) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
-    ship_package(df.sparkSession)
+    prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +112,7 @@ def append_columns(
     ``fn`` gets the texts (None where null) and returns one array for each column of ``extra``, a
     DDL list. An input column of the same name is replaced.
     """
-    ship_package(df.sparkSession)
+    prepare(df.sparkSession)
     added = T.StructType.fromDDL(extra)
     names = set(added.fieldNames())
     kept = df.select(*[quoted(c) for c in df.columns if c not in names or c == text_col])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerband.llm.common import append_columns, narrow, quoted, ship_package
+from peerband.llm.common import append_columns, narrow, prepare, quoted, resident
 from peerband.session import stage
 
 ORDER = 3
@@ -32,7 +32,7 @@ SYMBOLS = 64
 SAMPLE_PER_LANGUAGE = 1000
 UNKNOWN = "und"
 #: Bytes scored at once.
-SLAB = 1 << 20
+SLAB = 1 << 18
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -148,14 +148,8 @@ class Scorer:
         return totals
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def _scorer(trees: Trees) -> Scorer:
-    if trees.key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[trees.key] = Scorer(trees)
-    return _SCORERS[trees.key]
+    return resident("trees", trees.key, lambda: Scorer(trees))
 
 
 def train(
@@ -168,7 +162,7 @@ def train(
     ``sample_per_language`` are used, with their whole texts. Runs of four bytes are counted on
     the executors; only the distinct ones reach the driver, whose number the sample bounds.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = narrow(docs, id=id_col, text=text_col, lang=label_col).where(
         "lang is not null and text is not null and id is not null"
     )

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerband.llm.common import append_columns, narrow, ship_package
+from peerband.llm.common import append_columns, narrow, prepare
 from peerband.session import stage
 
 #: Phrases whose places are counted, with their labels.
@@ -171,7 +171,7 @@ def build_index(docs: DataFrame, text_col: str = "text") -> RareIndex:
 
     Executors count how many texts hold each template word; only these few sums reach the driver.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     known = templates()
     wanted = frozenset(vocabulary_of(known))
 

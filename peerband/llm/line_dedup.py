@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerband.llm.common import decide, quoted, ship_package, text_or_empty
+from peerband.llm.common import decide, prepare, quoted, text_or_empty
 from peerband.session import stage
 
 WINDOW = 2
@@ -100,7 +100,7 @@ def repeated_runs(
     least_words: int = LEAST_WORDS,
 ) -> DataFrame:
     """(doc, runs) of documents with later repeated runs; runs count lines that hold a word."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
     id_type = keyed.schema["id"].dataType.simpleString()
 

@@ -21,13 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peerband.llm.common import map_batches, narrow, ship_package, slabs
+from peerband.llm.common import map_batches, narrow, prepare, resident, slabs
 from peerband.session import stage
 
 CAPACITY = 2048
 END_ID = 0
 #: Entries each word cache of a Python worker holds before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Characters of text that are split into words at once.
 SLAB_CHARS = 1 << 20
 
@@ -144,13 +144,8 @@ class WordEncoder:
             yield b"".join(map(get, words))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def _encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return resident("words", path, lambda: WordEncoder(path))
 
 
 def token_pieces(
@@ -163,7 +158,7 @@ def token_pieces(
     if wanted, ids. Every text ends with id 0, so a null or empty one is a piece of length 1.
     ``vocabulary`` is the tokenizer file, which must be readable on the executors.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     source = narrow(docs, id=id_col, text=text_col)
     id_type = source.schema["id"].dataType.simpleString()
     end = np.array([END_ID], dtype="<u4").tobytes()

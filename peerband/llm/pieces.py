@@ -21,7 +21,7 @@ from operator import add
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from peerband.llm.common import append_columns, slabs
+from peerband.llm.common import append_columns, resident, slabs
 
 SPACE = "▁"
 #: Characters up to which the agenda is a plain list, which is faster than a heap there.
@@ -193,13 +193,8 @@ class MergeVocabulary:
         return list(chain.from_iterable([known[w][0] for w in words]))
 
 
-_VOCABULARIES: dict[str, MergeVocabulary] = {}
-
-
 def vocabulary(path: str) -> MergeVocabulary:
-    if path not in _VOCABULARIES:
-        _VOCABULARIES[path] = MergeVocabulary(path)
-    return _VOCABULARIES[path]
+    return resident("pieces", path, lambda: MergeVocabulary(path))
 
 
 def _sha256(text: str) -> str:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerband.llm.common import append_columns, narrow, quoted, ship_package
+from peerband.llm.common import append_columns, narrow, prepare, quoted
 
 #: Bytes of a passage; the last one of a text may be shorter.
 PASSAGE = 512
@@ -219,7 +219,7 @@ def train(
     A label that repeats for an id counts as 1 if any is 1. Only the features of these documents'
     passages reach the driver.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     known = narrow(labels, id=id_col, label=label_col).where("id is not null and label is not null")
     n = known.count()
     if not n:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerband.llm.common import narrow, ship_package
+from peerband.llm.common import narrow, prepare
 from peerband.llm.components import components
 from peerband.session import stage
 
@@ -243,7 +243,7 @@ def near_vectors(
     different lengths. Rows of one direction are one vector with a weight, so any number of copies
     costs no more than one. Ids may repeat or be null; other columns are ignored.
     """
-    ship_package(vectors.sparkSession)
+    prepare(vectors.sparkSession)
     rows = stage(_directions(narrow(vectors, id=id_col, vector=vector_col)), "directions")
     distinct = stage(
         rows.where("key is not null").groupBy("key").agg(
