@@ -25,9 +25,8 @@ from peerband.llm.common import append_columns, narrow, prepare, quoted, residen
 from peerband.session import stage
 
 ORDER = 3
-#: Byte classes: the most frequent bytes of the sample keep their own, all others share one, whose
-#: members are told apart at a cost that is the same in every language.
-SYMBOLS = 64
+#: Every byte value is its own symbol. A text is read as if three zero bytes stood before it.
+SYMBOLS = 256
 #: Documents of each language that the counts are taken from, on average.
 SAMPLE_PER_LANGUAGE = 1000
 UNKNOWN = "und"
@@ -50,10 +49,11 @@ def _padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Trees:
-    """Frozen context trees. ``rows[k]`` maps codes of k + 1 symbols to rows of ``bits[k]``."""
+    """Frozen context trees. ``codes[k]``, sorted, are the runs of k + 1 bytes of ``bits[k]``."""
 
     languages: list[str]
-    classes: np.ndarray
+    #: Symbol of each byte value: itself.
+    classes: np.ndarray = field(default_factory=lambda: np.arange(SYMBOLS))
     codes: list[np.ndarray] = field(default_factory=list)
     bits: list[np.ndarray] = field(default_factory=list)
     contexts: list[np.ndarray] = field(default_factory=list)
@@ -62,25 +62,16 @@ class Trees:
 
     @classmethod
     def grow(cls, grams: np.ndarray, language: np.ndarray, counts: np.ndarray,
-             languages: list[str], symbols: int = SYMBOLS) -> Trees:
+             languages: list[str]) -> Trees:
         """From counts of four-byte runs (big-endian numbers) of each language."""
-        last = np.bincount(grams & 255, weights=counts, minlength=256)
-        last[0] = 0
-        own = [b for b in np.argsort(-last, kind="stable")[: symbols - 2] if last[b] > 0]
-        classes = np.full(256, symbols - 1, np.int64)
-        classes[0] = 0
-        classes[own] = np.arange(1, len(own) + 1)
-        code = np.zeros(len(grams), np.int64)
-        for shift in (24, 16, 8, 0):
-            code = code * symbols + classes[(grams >> shift) & 255]
-        trees = cls(languages, classes)
-        lower = np.full((1, len(languages)), np.log2(symbols))
+        trees = cls(languages)
+        lower = np.full((1, len(languages)), np.log2(SYMBOLS))
         for k in range(ORDER + 1):
-            tail = code % symbols ** (k + 1)
+            tail = grams % SYMBOLS ** (k + 1)
             seen, at = np.unique(tail, return_inverse=True)
             table = np.zeros((len(seen), len(languages)))
             np.add.at(table, (at, language), counts)
-            context, where = np.unique(seen // symbols, return_inverse=True)
+            context, where = np.unique(seen // SYMBOLS, return_inverse=True)
             total = np.zeros((len(context), len(languages)))
             kinds = np.zeros_like(total)
             np.add.at(total, where, table)
@@ -89,7 +80,7 @@ class Trees:
                 escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
                 direct = -np.log2(table / (total + kinds)[where])
             if k:
-                shorter = np.searchsorted(trees.codes[-1], seen % symbols**k)
+                shorter = np.searchsorted(trees.codes[-1], seen % SYMBOLS**k)
                 lower = trees.bits[-1][shorter]
             bits = np.where(table > 0, direct, escape[where] + lower)
             trees.codes.append(seen)
@@ -100,42 +91,41 @@ class Trees:
 
 
 class Scorer:
-    """Trees with rows found by direct address."""
+    """Trees with rows found by binary search; row 0 is that of runs that were not seen."""
 
-    def __init__(self, trees: Trees, symbols: int = SYMBOLS) -> None:
-        self.trees, self.symbols = trees, symbols
-        self.row, self.context = [], []
-        for k in range(ORDER + 1):
-            for codes, tables, width in ((trees.codes[k], self.row, k + 1),
-                                         (trees.contexts[k], self.context, k)):
-                table = np.zeros(symbols**width, np.int32)
-                table[codes] = np.arange(1, len(codes) + 1)
-                tables.append(table)
+    def __init__(self, trees: Trees) -> None:
+        self.trees = trees
+        self.codes = [c.astype(np.uint32) for c in trees.codes]
+        self.contexts = [c.astype(np.uint32) for c in trees.contexts]
         none = np.zeros((1, len(trees.languages)))
         self.bits = [np.concatenate([none, b]).astype(np.float32) for b in trees.bits]
         self.escapes = [np.concatenate([none, e]).astype(np.float32) for e in trees.escapes]
 
+    @staticmethod
+    def _rows(seen: np.ndarray, code: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(seen, code), len(seen) - 1)
+        return np.where(seen[at] == code, at + 1, 0)
+
     def _lengths(self, code: np.ndarray, k: int) -> np.ndarray:
         """Code lengths (positions x languages) at order ``k`` of codes of k + 1 symbols."""
         if k < 0:
             width = len(self.trees.languages)
-            return np.full((len(code), width), np.log2(self.symbols), np.float32)
-        row = self.row[k][code]
+            return np.full((len(code), width), np.log2(SYMBOLS), np.float32)
+        row = self._rows(self.codes[k], code)
         out = self.bits[k][row]
         missed = np.flatnonzero(row == 0)
         if len(missed):
             left = code[missed]
-            escape = self.escapes[k][self.context[k][left // self.symbols]]
-            out[missed] = escape + self._lengths(left % self.symbols**k, k - 1)
+            escape = self.escapes[k][self._rows(self.contexts[k], left // SYMBOLS)]
+            out[missed] = escape + self._lengths(left % SYMBOLS**k, k - 1)
         return out
 
     def total_bits(self, texts: list[str]) -> np.ndarray:
         """Code length of each whole text in each language."""
         joined, starts, real = _padded(texts)
-        symbol = self.trees.classes[joined]
-        code = symbol.copy()
+        code = joined.astype(np.uint32)
         for k in range(1, ORDER + 1):
-            code[k:] += symbol[:-k] * self.symbols**k
+            code[k:] += joined[:-k].astype(np.uint32) << np.uint32(8 * k)
         totals = np.zeros((len(texts), len(self.trees.languages)))
         text_of = np.repeat(np.arange(len(texts)), np.diff(np.append(starts, len(joined))))
         at = np.flatnonzero(real)

@@ -220,6 +220,19 @@ def test_code_lengths_equal_a_plain_context_walk(spark):
     assert np.allclose(scorer.total_bits(texts), want, rtol=1e-5)
 
 
+def test_rare_bytes_stay_apart_beside_other_scripts(spark):
+    """Over 62 byte values of another script are more frequent than the two languages' letters."""
+    other = "".join(map(chr, range(0x400, 0x4FF))) * 20
+    samples = {"aa": ["abab abba baab"], "bb": ["acac acca caac"], "zz": [other]}
+    rows = [(i, t, la) for i, (la, ts) in enumerate(samples.items()) for t in ts]
+    trees = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = ["abba", "acca", "\u0410\u0411\u0412", "xyz \x00 \x7f"]
+    bits = langid.Scorer(trees).total_bits(texts)
+    want = [[plain_bits(samples[la], t, range(256)) for la in trees.languages] for t in texts]
+    assert np.allclose(bits, want, rtol=1e-5)
+    assert bits.argmin(axis=1)[:3].tolist() == [0, 1, 2]
+
+
 def test_language_of_odd_texts_and_no_labels(spark):
     docs = messy(spark)
     trees = langid.train(docs)
