@@ -1,11 +1,10 @@
-"""Line deduplication by winnowing over line hashes.
-
-Each document is a row of hashes of its lines that hold a word. Of every window of neighbouring
-lines the smallest hash is selected, and every long line is, so a repeated run of ``window`` lines,
-or of one line that is long enough alone, is sure to hold a selected line in both places. A
-selected line is a fingerprint together with either neighbour, a long one also alone. Each
-fingerprint's places are joined to its first place, the match is extended both ways, and the later
-run is deleted if it has enough words.
+"""Line deduplication by spans of lines that just hold enough words.
+
+Each document is a row of hashes of its lines that hold a word. From every line starts the shortest
+span of lines with enough words, and at every line ends one. A repeated run with enough words is
+the union of the spans inside it, and each of these is repeated with it. So a line is in a repeated
+run just when it is in a span whose key has an earlier place: places are compared with the first
+of their key, which holds the same lines, and no run has to be extended or compared line by line.
 """
 
 from __future__ import annotations
@@ -22,11 +21,10 @@ from peerband.llm.common import decide, prepare, quoted, text_or_empty
 from peerband.session import stage
 
 WINDOW = 2
-#: Words a run must have to be deleted, and a line to be a fingerprint alone.
+#: Words a run must have to be deleted.
 LEAST_WORDS = 50
 #: Bytes of a document's name and of a run in a hashed table.
 DOC_BYTES, RUN_BYTES = 128, 32
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def content_lines(text: str) -> tuple[list[int], list[str]]:
@@ -58,32 +56,33 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
 
 
 def fingerprints(
-    hashes: np.ndarray, words: np.ndarray, window: int, least_words: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """(key, position of its first line) of every fingerprint of one document."""
-    alone = np.flatnonzero(words >= least_words)
-    chosen = np.union1d(winnow(hashes, window), alone)
-    start = np.union1d(chosen, chosen - 1)
-    start = start[(start >= 0) & (start < len(hashes) - 1)]
-    with np.errstate(over="ignore"):
-        pair = (hashes[start] * _MIX) ^ (hashes[start + 1] + (hashes[start] >> np.uint64(31)))
-    return np.concatenate([pair, hashes[alone]]), np.concatenate([start, alone])
-
-
-def extend(own: np.ndarray, first: np.ndarray, seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal equal runs (start, stop) of ``own`` along the diagonals of the seeds."""
+    hashes: np.ndarray, words: np.ndarray, least_words: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, start, stop) of every shortest span of lines of one document with ``least_words``."""
+    n, least = len(hashes), max(least_words, 1)
+    total = np.concatenate([[0], np.cumsum(words)])
+    stop = np.searchsorted(total, total[:-1] + least)
+    start = np.searchsorted(total, total[1:] - least, side="right") - 1
+    from_line, to_line = np.flatnonzero(stop <= n), np.flatnonzero(start >= 0)
+    spans = np.unique(np.concatenate([
+        from_line * (n + 1) + stop[from_line], start[to_line] * (n + 1) + to_line + 1
+    ]))
+    start, stop = spans // (n + 1), spans % (n + 1)
+    raw = hashes.tobytes()
+    digest = xxhash.xxh64_intdigest
+    keys = np.fromiter((digest(raw[8 * a:8 * b]) for a, b in zip(start.tolist(), stop.tolist())),
+                       np.uint64, len(spans))
+    return keys, start, stop
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same lines as ``spans``, as runs in order that neither overlap nor touch."""
     runs = []
-    reached: dict[int, int] = {}
-    for p, q in sorted(seeds):
-        if p < reached.get(p - q, 0) or own[p] != first[q]:
-            continue
-        lo, hi, shift = p, p + 1, p - q
-        while lo > 0 and lo - shift > 0 and own[lo - 1] == first[lo - 1 - shift]:
-            lo -= 1
-        while hi < len(own) and hi - shift < len(first) and own[hi] == first[hi - shift]:
-            hi += 1
-        reached[shift] = hi
-        runs.append((lo, hi))
+    for lo, hi in sorted(spans):
+        if runs and lo <= runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(hi, runs[-1][1]))
+        else:
+            runs.append((lo, hi))
     return runs
 
 
@@ -99,74 +98,63 @@ def repeated_runs(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
     least_words: int = LEAST_WORDS,
 ) -> DataFrame:
-    """(doc, runs) of documents with later repeated runs; runs count lines that hold a word."""
+    """(doc, runs) of documents with later repeated runs; runs count lines that hold a word.
+
+    ``window`` has no influence: every span is a fingerprint, none is left out.
+    """
     prepare(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
     id_type = keyed.schema["id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, words, keys, starts = [], [], [], []
+            keys, starts, stops = [], [], []
             for text in batch.column(2).to_pylist():
-                h, w = line_hashes(text)
-                k, s = fingerprints(h, w, window, least_words)
-                hashes.append(h.view(np.int64))
-                words.append(w.astype(np.int32))
-                keys.append(k.view(np.int64))
-                starts.append(s.astype(np.int32))
+                key, start, stop = fingerprints(*line_hashes(text), least_words)
+                keys.append(key.view(np.int64))
+                starts.append(start.astype(np.int32))
+                stops.append(stop.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64())),
-                 pa.array(words, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64())),
-                 pa.array(starts, pa.list_(pa.int32()))],
-                names=["doc", "id", "hashes", "words", "keys", "starts"],
+                [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())),
+                 pa.array(starts, pa.list_(pa.int32())), pa.array(stops, pa.list_(pa.int32()))],
+                names=["doc", "id", "keys", "starts", "stops"],
             )
 
     lines = stage(
         keyed.mapInArrow(
-            read, f"doc string, id {id_type}, hashes array<bigint>, words array<int>,"
-            " keys array<bigint>, starts array<int>"
+            read, f"doc string, id {id_type}, keys array<bigint>, starts array<int>,"
+            " stops array<int>"
         ),
         "lines",
     )
-    places = lines.select(
-        "doc", "id", F.explode(F.arrays_zip("keys", "starts")).alias("at")
-    ).select("doc", F.struct("id", "doc", F.col("at.starts").alias("start")).alias("place"),
+    spans = lines.select(
+        "doc", "id", F.explode(F.arrays_zip("keys", "starts", "stops")).alias("at")
+    ).select("doc", "id", F.col("at.starts").alias("start"), F.col("at.stops").alias("stop"),
              F.col("at.keys").alias("key"))
-    firsts = places.groupBy("key").agg(
-        F.min("place").alias("first"), F.max("place").alias("last")
-    ).where("first <> last")
-    seeds = (
-        places.join(firsts, "key")
-        .where("place <> first")
-        .groupBy("doc", F.col("first.doc").alias("first_doc"))
-        .agg(F.collect_set(F.struct(F.col("place.start").alias("p"),
-                                    F.col("first.start").alias("q"))).alias("seeds"))
+    place = F.struct("id", "doc", "start")
+    firsts = (
+        spans.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        .where("first <> last")
+        .select("key", F.col("first.doc").alias("first_doc"), F.col("first.start").alias("first_start"))
+    )
+    later = (
+        spans.drop("id").join(firsts, "key")
+        .where("doc <> first_doc or start <> first_start")
+        .groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     )
-    single = lines.select("doc", "hashes", "words").dropDuplicates(["doc"])
-    matched = seeds.join(single, "doc").join(
-        single.select(F.col("doc").alias("first_doc"), F.col("hashes").alias("first_hashes")),
-        "first_doc",
-    ).select("doc", "hashes", "words", "first_hashes", "seeds")
 
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, start, stop = [], [], []
-            for name, own, words, first, at in zip(*(c.to_pylist() for c in batch.columns)):
-                total = np.concatenate([[0], np.cumsum(words)])
-                for lo, hi in extend(np.array(own), np.array(first),
-                                     [(x["p"], x["q"]) for x in at]):
-                    if total[hi] - total[lo] >= least_words:
-                        doc.append(name)
-                        start.append(lo)
-                        stop.append(hi)
+            runs = [
+                [{"start": a, "stop": b} for a, b in merged([(x["start"], x["stop"]) for x in at])]
+                for at in batch.column(1).to_pylist()
+            ]
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.string()), pa.array(start, pa.int32()),
-                 pa.array(stop, pa.int32())],
-                names=["doc", "start", "stop"],
+                [batch.column(0), pa.array(runs, kind)], names=["doc", "runs"]
             )
 
-    runs = matched.mapInArrow(grow, "doc string, start int, stop int")
-    return runs.groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
+    return later.mapInArrow(merge, "doc string, runs array<struct<start: int, stop: int>>")
 
 
 def cut_lines(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, list[int]]:
@@ -185,15 +173,13 @@ def line_dedup(
 ) -> DataFrame:
     """One row per row: id, n_lines (with a word), n_deleted, deleted (line numbers), text.
 
-    Documents are in the order of their ids, a null id first, then of a hash of their texts. A run
-    of lines is deleted where the first place of one of its fingerprints, in an earlier document
-    or further up in the same one, is followed and preceded by the same lines over at least
-    ``least_words`` words; what stands first always stays. Lines are equal when identical; lines
-    without a word are skipped in matching and stay. Null texts count as empty. Rows that repeat
-    both id and text get the same answer. Other columns are ignored; an empty table gives no rows.
-    Any repeated run of ``window`` lines or one long line shares a fingerprint with its earlier
-    copy, so it is found; where that fingerprint stands still earlier in other surroundings, the
-    run is measured against that place.
+    Documents are in the order of their ids, a null id first, then of a hash of their texts. A line
+    is deleted where it is in a run of lines of at least ``least_words`` words that stands in an
+    earlier document or further up in the same one, wherever that is; what stands first stays.
+    Lines are equal when identical, told by 64-bit hashes of lines and spans; lines without a word
+    are skipped in matching and stay. Null texts count as empty. Rows that repeat both id and text
+    get the same answer. Other columns are ignored; an empty table gives no rows. ``window`` has
+    no influence.
     """
     found = stage(repeated_runs(docs, id_col, text_col, window, least_words), "runs")
     held = found.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("runs")).alias("runs")).first()

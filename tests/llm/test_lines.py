@@ -87,6 +87,44 @@ def test_repeated_passages_go_and_first_ones_stay(spark):
     assert got == {1: rows[1][1], 2: rows[2][1], 3: "start three\nend", 4: "x\ny", 5: rows[4][1]}
 
 
+def test_copies_go_though_every_part_stands_in_an_earlier_excerpt(spark):
+    """Each two lines of the passage stand first in an excerpt of under 50 words."""
+    passage = [line(n, 10) for n in range(12)]
+    rows = [(n, "\n".join(["start", *passage[a:b], "end"]))
+            for n, (a, b) in enumerate([(0, 4), (3, 7), (6, 10), (9, 12)])]
+    rows += [(n, "\n".join([f"start {n}", *passage, f"end {n}"])) for n in range(10, 15)]
+    got = {r.id: r.text for r in ld.line_dedup(messy(spark, rows)).collect()}
+    assert got == dict(rows[:5]) | {n: f"start {n}\nend {n}" for n in range(11, 15)}
+
+
+def every_run(rows, least):
+    """Lines left when all runs of ``least`` words with an earlier place are deleted, all tried."""
+    first, runs, lines = {}, [], [[x for x in t.split("\n") if x.split()] for _, t in rows]
+    for d, ls in enumerate(lines):
+        for lo in range(len(ls)):
+            for hi in range(lo + 1, len(ls) + 1):
+                if sum(len(x.split()) for x in ls[lo:hi]) >= least:
+                    key = tuple(ls[lo:hi])
+                    if first.setdefault(key, (d, lo)) != (d, lo):
+                        runs.append((d, lo, hi))
+    cut = {(d, i) for d, lo, hi in runs for i in range(lo, hi)}
+    return [[x for i, x in enumerate(ls) if (d, i) not in cut] for d, ls in enumerate(lines)]
+
+
+@pytest.mark.parametrize("least,seed", [(1, 1), (10, 2), (24, 3), (50, 4)])
+def test_line_dedup_deletes_every_repeated_run(spark, least, seed):
+    rng = random.Random(seed)
+    pool = [line(n, rng.choice([1, 2, 4, 7, 12, 30])) for n in range(12)]
+    rows = []
+    for i in range(80):
+        a = rng.randrange(12)
+        ls = pool[a:a + rng.randrange(9)] + [rng.choice(pool) for _ in range(rng.randrange(4))]
+        rows.append((i, "\n".join(ls)))
+    got = {r.id: r.text for r in ld.line_dedup(messy(spark, rows), least_words=least).collect()}
+    want = every_run(rows, least)
+    assert [[x for x in got[i].split("\n") if x] for i, _ in rows] == want
+
+
 def test_repeats_within_one_document(spark):
     passage = line(1, 55)
     got = ld.line_dedup(messy(spark, [(1, "\n".join([passage, "a", passage, passage]))])).first()
