@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerband.llm.common import decide, map_batches, narrow, quoted
+from peerband.llm.common import append_columns, decide, map_batches, narrow, quoted
 from peerband.llm.components import components
 from peerband.session import stage
 
@@ -198,15 +198,10 @@ def block_links(points: DataFrame, block: int = BLOCK) -> DataFrame:
     return found.union(stars.where("a <> b").distinct())
 
 
-def simhash_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK
-) -> DataFrame:
-    """One row per row: id, fingerprint (16 hex digits), component_id, n_linked.
+def _labelled(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
+    """(id, fp, component_id, n_linked, keep_fp) of every row.
 
-    ``component_id`` is the smallest id reachable through links, the row's own included; null ids
-    are not counted and give null only where a component has no other. ``n_linked`` is the number
-    of rows of the component. Null and empty texts have fingerprint 0 and link like any other.
-    Rows may repeat; other columns are ignored; an empty table gives no rows.
+    ``keep_fp`` is the smallest fingerprint of the component that a row with its smallest id has.
     """
     rows = stage(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = stage(
@@ -216,11 +211,26 @@ def simhash_components(
     member = distinct.join(roots, distinct["fp"] == roots["a"], "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "low", "n"
     )
-    groups = member.groupBy("root").agg(
-        F.min("low").alias("component_id"), F.sum("n").alias("n_linked")
+    keeper = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "fp"))
+    groups = member.groupBy("root").agg(keeper.alias("keeper"), F.sum("n").alias("n_linked"))
+    groups = groups.select(
+        "root", F.col("keeper.low").alias("component_id"), "n_linked",
+        F.col("keeper.fp").alias("keep_fp"),
     )
-    labelled = member.select("fp", "root").join(groups, "root").drop("root")
-    return rows.join(labelled, "fp").select(
+    return rows.join(member.select("fp", "root").join(groups, "root").drop("root"), "fp")
+
+
+def simhash_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK
+) -> DataFrame:
+    """One row per row: id, fingerprint (16 hex digits), component_id, n_linked.
+
+    ``component_id`` is the smallest id reachable through links, the row's own included; null ids
+    are not counted and give null only where a component has no other. ``n_linked`` is the number
+    of rows of the component. Null and empty texts have fingerprint 0 and link like any other.
+    Rows may repeat; other columns are ignored; an empty table gives no rows.
+    """
+    return _labelled(docs, id_col, text_col, block).select(
         "id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
@@ -229,16 +239,36 @@ def simhash_components(
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of every component, the one with the smallest id.
+    """``docs`` with one row of every component, one with the smallest id; null ids come last.
 
-    Rows are told apart by id: rows that share the kept id all stay.
+    Of rows that share this id, one with the smallest fingerprint stays, and one of those that
+    share both. Where no id repeats, rows are told apart by id; otherwise by id and fingerprint,
+    which is computed again, so an id that repeats in another component is judged there alone.
     """
-    found = simhash_components(docs, id_col, text_col)
+    found = stage(
+        _labelled(docs, id_col, text_col, BLOCK).select(
+            "id", "fp", (F.col("id").eqNullSafe(F.col("component_id"))
+                         & (F.col("fp") == F.col("keep_fp"))).alias("keeps")
+        ),
+        "kept",
+    )
     drops = stage(
-        found.where(~F.col("id").eqNullSafe(F.col("component_id")))
-        .select(F.col("id").alias("__drop_id"))
+        found.where("not keeps")
+        .select(F.col("id").alias("__drop_id"), F.col("fp").alias("__drop_fp"))
         .distinct(),
         "drops",
     )
-    same = quoted(id_col).eqNullSafe(F.col("__drop_id"))
-    return decide(docs, drops, same, "left_anti", drops.count() * DROP_BYTES)
+    same, n_bytes = quoted(id_col).eqNullSafe(F.col("__drop_id")), drops.count() * DROP_BYTES
+    if not found.groupBy("id").count().where("count > 1").limit(1).count():
+        return decide(docs, drops, same, "left_anti", n_bytes)
+
+    def run(texts: list) -> dict[str, pa.Array]:
+        fps = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts))
+        return {"__fp": pa.array(fps.view(np.int64))}
+
+    marked = append_columns(docs, text_col, run, "__fp bigint")
+    same &= F.col("__fp") == F.col("__drop_fp")
+    out = decide(marked, drops, same, "left_anti", n_bytes)
+    if found.where("keeps").groupBy("id", "fp").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates([id_col, "__fp"])
+    return out.select(*[quoted(c) for c in docs.columns])

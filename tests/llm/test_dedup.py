@@ -170,6 +170,26 @@ def test_simhash_components_by_brute_force(spark):
     assert Counter((r.id, r.fingerprint, r.component_id) for r in got) == want
 
 
+def test_drop_near_copies_judges_repeated_ids_by_component(spark):
+    a, b = "alpha words unlike all the others in here", "one text of many words that is here twice"
+    rows = [(3, b), (5, b), (5, a), (None, "third one of no id"), (None, "third one of no id"),
+            (7, "fourth text again, yes"), (7, "fourth text again, yes")]
+    assert len({simhash.fingerprint(t) for _, t in rows}) == 4
+    docs = messy(spark, rows)
+    kept = simhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(
+        [(3, b), (5, a), (None, "third one of no id"), (7, "fourth text again, yes")])
+
+
+def test_drop_near_copies_keeps_one_of_two_fingerprints_of_an_id(spark):
+    text = "some words of a long text that is there in two forms " * 6
+    own = simhash.fingerprint(text)
+    near = next(t for k in range(5000) if 0 < (simhash.fingerprint(t := f"{text} w{k}") ^ own)
+                .bit_count() <= simhash.DISTANCE)
+    assert simhash.drop_near_copies(messy(spark, [(2, text), (2, near)])).count() == 1
+
+
 def test_drop_near_copies_keeps_the_smallest_id(spark):
     docs = messy(spark, [(5, "one text of many words here"), (3, "one text of many words here"),
                          (4, "something else altogether now, yes"), (9, None), (8, "")])
