@@ -21,8 +21,6 @@ from peerband.llm.common import append_columns, narrow, prepare, quoted
 PASSAGE = 512
 #: Labelled documents that the classifier is fitted on, on average.
 SAMPLE_DOCUMENTS = 4000
-#: Passages of one document that the fit looks at, evenly spaced; scores use all.
-FIT_PASSAGES = 256
 #: Bytes encoded at once.
 SLAB = 1 << 19
 HIDDEN, GATE, EPOCHS, BATCH, STEP, DECAY = 24, 12, 40, 128, 0.01, 1e-4
@@ -217,7 +215,7 @@ def train(
 
     Of more labelled ids, those whose hash falls below the share that gives ``sample`` are used.
     A label that repeats for an id counts as 1 if any is 1. Only the features of these documents'
-    passages reach the driver.
+    passages reach the driver, those of all passages of each.
     """
     prepare(docs.sparkSession)
     known = narrow(labels, id=id_col, label=label_col).where("id is not null and label is not null")
@@ -235,8 +233,6 @@ def train(
             found = []
             for text in batch.column(1).to_pylist():
                 bag = np.concatenate([f for _, f in passages([text])])
-                if len(bag) > FIT_PASSAGES:
-                    bag = bag[np.linspace(0, len(bag) - 1, FIT_PASSAGES).astype(int)]
                 found.append(bag.astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.string()), batch.column(2), pa.array(found)],

@@ -294,6 +294,20 @@ def test_gradient_learns_which_passage_matters():
     assert np.mean((model.scores(texts) >= 0.5) == labels) > 0.97
 
 
+def test_quality_fit_sees_every_passage_of_a_long_text(spark, monkeypatch):
+    parts = ["plain words of prose that go on, and on. ".ljust(quality.PASSAGE)] * 300
+    parts[1] = "BUY!! NOW!! " * 43
+    long = "".join(p[:quality.PASSAGE].ljust(quality.PASSAGE) for p in parts)
+    docs = spark.createDataFrame([(1, long), (2, "short")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, target: seen.extend(zip(bags, target)))
+    quality.train(docs, labels)
+    want = np.concatenate([f for _, f in quality.passages([long])]).astype("<f4")
+    assert [len(bag) for bag, _ in seen] == [300, 1]
+    assert np.array_equal(seen[0][0], want) and [t for _, t in seen] == [0, 1]
+
+
 def test_quality_on_held_out_ids(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
