@@ -12,8 +12,11 @@ from peerband.llm.line_dedup import line_dedup
 from peerband.llm.packing import pack
 from peerband.llm.pieces import encode_pieces
 from peerband.llm.simhash import simhash_components
+from peerband.llm.spelling import spelling_variants
+from peerband.llm.token_files import tokens_round_trip
 from peerband.llm.url_rules import match_urls
 from peerband.llm.vectors import near_vectors
+from peerband.llm.whitening import whiten
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -163,3 +166,28 @@ def op3_line_dedup(spark, sf_dir):
     """Every document without the runs of lines that stand earlier."""
     found = line_dedup(table(spark, sf_dir, "documents"))
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op11_token_files(spark, sf_dir):
+    """Token ids of every document written to ORC files in order, and what the files hold."""
+    found = tokens_round_trip(
+        table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")
+    )
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op12_spelling_variants(spark, sf_dir):
+    """Every frequent word with its near words, its form and the root of its group."""
+    found = spelling_variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query()
+def op13_embedding_whitening(spark, sf_dir):
+    """All embeddings along the four leading components of their distinct integer vectors."""
+    found = whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id").withColumn(
+        "deviation", F.col("deviation").cast("long")
+    )

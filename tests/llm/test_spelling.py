@@ -1,0 +1,132 @@
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+
+from peerband.llm import spelling as sp
+from tests.llm.shapes import messy, rows_of
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain_counts(rows):
+    out = Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            word = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if i is None else i}:{word}".encode())
+            if h % 199 == 0:
+                word = word[:h % len(word)] + word[h % len(word) + 1:]
+            out[word] += 1
+    return out
+
+
+def edits(a, b):
+    """Edit distance by the plain table."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def brute(rows):
+    counts = {w: n for w, n in plain_counts(rows).items() if len(w) >= 6 and n >= 5}
+    near = {w: [o for o in counts if edits(w, o) == 1] for w in counts}
+    form = {}
+    for w, others in near.items():
+        if others:
+            best = min(others, key=lambda o: (-counts[o], o))
+            if counts[best] >= 5 * counts[w]:
+                form[w] = best
+
+    def last(w):
+        return last(form[w]) if w in form else w
+
+    return sorted((w, n, len(near[w]), form.get(w), counts.get(form.get(w)), last(w))
+                  for w, n in counts.items())
+
+
+COLUMNS = ("word", "n", "n_near", "form", "form_n", "root")
+
+
+def corpus(seed, letters, words, size):
+    rng = random.Random(seed)
+    base = ["".join(rng.choice(letters) for _ in range(rng.randrange(5, 11)))
+            for _ in range(words)]
+    rows = []
+    for i in range(size):
+        text = []
+        for _ in range(rng.randrange(60)):
+            w = base[min(int(rng.expovariate(0.12)), words - 1)]
+            for _ in range(rng.choice([0, 0, 0, 1, 2])):
+                at = rng.randrange(len(w))
+                w = rng.choice([w[:at] + w[at + 1:], w[:at] + rng.choice(letters) + w[at:],
+                                w[:at] + rng.choice(letters) + w[at + 1:]])
+            text.append(rng.choice([w, w.upper(), w.capitalize()]))
+        rows.append((i, rng.choice([" ", ", ", "\n", "1"]).join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("letters,words,side", [("ab", 30, 3), ("abcdé", 40, 512), ("aéÿ×", 25, 2)])
+def test_variants_equal_brute_force(spark, letters, words, side):
+    rows = corpus(words, letters, words, 250)
+    rows += rows[:4] + [(None, rows[5][1]), (900, None), (901, "")]
+    got = sp.spelling_variants(messy(spark, rows), side=side)
+    assert sorted(rows_of(got, *COLUMNS), key=lambda r: r[0]) == brute(rows)
+
+
+def test_chains_end_at_their_last_form(spark):
+    rows = [(1, " ".join(["abcdef"] * 5 + ["abcdeg"] * 30 + ["abcdhg"] * 200 + ["abcihg"] * 1500))]
+    rows += [(2, " ".join(["zzzzzz"] * 9 + ["short"] * 99 + ["rarely"] * 4))]
+    got = {r[0]: r[1:] for r in rows_of(sp.spelling_variants(messy(spark, rows)), *COLUMNS)}
+    damaged = {w for w, n in plain_counts(rows).items() if len(w) >= 6 and n >= 5}
+    assert set(got) == damaged
+    chain = [w for w in ("abcdef", "abcdeg", "abcdhg", "abcihg") if w in damaged]
+    assert chain and all(got[w][-1] == chain[-1] for w in chain)
+    assert got["zzzzzz"] == (9, 0, None, None, "zzzzzz")
+
+
+def test_each_edit_keeps_a_chunk():
+    """Every word one edit away shares a chunk with a gram at a shift of one at most."""
+    rng = random.Random(4)
+    for _ in range(2000):
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(6, 12)))
+        at = rng.randrange(len(a) + 1)
+        b = rng.choice([a[:at] + rng.choice("abc") + a[at:], a[:at] + "d" + a[at + 1:]])
+        q = len(a) // 2
+        found = {(start + shift) for start in (0, q) for shift in (0, 1)
+                 if b[start + shift:start + shift + q] == a[start:start + q]}
+        assert found
+
+
+def test_runs_are_cut_only_between_words(monkeypatch):
+    text = "One two,Três quatre " * 50 + "x" * 300
+    whole = [r for some in sp.runs_of(text) for r in some]
+    monkeypatch.setattr(sp, "WINDOW_CHARS", 7)
+    assert [r for some in sp.runs_of(text) for r in some] == whole
+    assert whole[:4] == ["one", "two", "três", "quatre"]
+
+
+def test_damage_deletes_the_stated_code_point():
+    hit = next(i for i in range(10**6) if zlib.crc32(f"{i}:été".encode()) % 199 == 0)
+    h = zlib.crc32(f"{hit}:été".encode())
+    want = "été"[:h % 3] + "été"[h % 3 + 1:]
+    assert sp.damaged(str(hit).encode(), "été".encode()).decode() == want
+
+
+def test_a_word_in_most_rows_and_long_texts(spark):
+    rows = [(n, "common " * 40 + "commons") for n in range(60)] + [(99, "longer words " * 60000)]
+    got = rows_of(sp.spelling_variants(messy(spark, rows)), *COLUMNS)
+    assert sorted(got) == brute(rows)
+
+
+def test_messy_and_empty_tables(spark):
+    docs = messy(spark)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(rows_of(sp.spelling_variants(docs), *COLUMNS), key=lambda r: r[0]) == brute(rows)
+    assert sp.spelling_variants(docs.where("false")).count() == 0
