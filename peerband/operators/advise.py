@@ -17,7 +17,7 @@ from peerband.operators import demand as demand_ops
 from peerband.operators import features as feature_ops
 from peerband.operators import hedonic as hedonic_ops
 from peerband.operators import peers as peer_ops
-from peerband.operators.distribution import join_same, level_counts
+from peerband.operators.distribution import join_same
 from peerband.params import CAVEAT, DEFAULTS, Params
 from peerband.session import stage
 
@@ -34,7 +34,6 @@ class Advisor:
 
     spec: feature_ops.FeatureSpec
     fit: hedonic_ops.HedonicFit
-    property_counts: DataFrame
     peer_histogram: DataFrame
     peer_statistics: DataFrame
     median_price: float
@@ -52,7 +51,7 @@ class Advisor:
             "fixed_effects": self.fit.fixed_effects,
             "vif": self.fit.vif,
             "neighbourhood_counts": self.spec.neighbourhood_counts,
-            "property_counts": self.property_counts,
+            "property_counts": self.spec.property_counts,
             "peer_histogram": self.peer_histogram,
             "peer_statistics": self.peer_statistics,
             "encoding": spark.createDataFrame(
@@ -98,6 +97,7 @@ def load_advisor(spark: SparkSession, path: str, params: Params = DEFAULTS) -> A
         n_rows=enc["n_rows"],
         dropped=tuple(enc["dropped"]),
         neighbourhood_counts=table("neighbourhood_counts"),
+        property_counts=table("property_counts"),
     )
     fit = hedonic_ops.HedonicFit(
         names=tuple(enc["names"]),
@@ -105,10 +105,11 @@ def load_advisor(spark: SparkSession, path: str, params: Params = DEFAULTS) -> A
         coefficients=table("coefficients"),
         fixed_effects=table("fixed_effects"),
         vif=table("vif"),
+        factors=spec.factors,
         **{f: int(sc[f]) if f in _COUNTS else sc[f] for f in _SCALARS},
     )
     return Advisor(
-        spec, fit, table("property_counts"), table("peer_histogram"), table("peer_statistics"),
+        spec, fit, table("peer_histogram"), table("peer_statistics"),
         enc["median_price"], params,
     )
 
@@ -119,23 +120,11 @@ def fit_advisor(listings: DataFrame, params: Params = DEFAULTS) -> Advisor:
     The feature table and the peer histogram are read repeatedly, so each is written once.
     """
     spec = feature_ops.learn_features(listings, params)
-    spec = dataclasses.replace(
-        spec, neighbourhood_counts=stage(spec.neighbourhood_counts, "neighbourhood_counts")
-    )
-    frame = stage(feature_ops.feature_frame(listings, spec, params), "features")
-    fit = hedonic_ops.fit_hedonic(frame, spec.names)
+    frame = stage(feature_ops.design_frame(listings, spec, params), "features")
+    fit = hedonic_ops.fit_hedonic(frame, spec.names, factors=spec.factors)
     fit = dataclasses.replace(fit, fixed_effects=stage(fit.fixed_effects, "fixed_effects"))
-    property_counts = stage(
-        level_counts(
-            feature_ops.priced(listings).select(
-                feature_ops.property_level(params).alias("property_type")
-            ),
-            "property_type",
-        ),
-        "property_counts",
-    )
     hist, statistics, median = peer_ops.fit_peers(listings, params)
-    return Advisor(spec, fit, property_counts, hist, statistics, median, params)
+    return Advisor(spec, fit, hist, statistics, median, params)
 
 
 def _pooled_location(requests: DataFrame, advisor: Advisor) -> DataFrame:
@@ -159,7 +148,7 @@ def _kept_property(requests: DataFrame, advisor: Advisor) -> DataFrame:
     params = advisor.params
     level = feature_ops.property_level(params)
     named = requests.withColumn("_property", level)
-    counts = advisor.property_counts.select(F.col("property_type").alias("_property"), "n")
+    counts = advisor.spec.property_counts.select(F.col("property_type").alias("_property"), "n")
     counted = join_same(named, counts, ["_property"], ["n"])
     own = F.coalesce(F.col("n"), F.lit(0)) + 1
     ahead = F.lit(0)
@@ -181,31 +170,28 @@ def hedonic_prices(requests: DataFrame, advisor: Advisor) -> DataFrame:
     for name in spec.numeric:
         if name not in ready.columns:  # requests carry no coordinates: the market median
             ready = ready.withColumn(name, F.lit(None).cast("double"))
-    design = dict(
-        zip(
-            spec.names,
-            feature_ops.encode(spec, F.col("_property"), params),
-            strict=True,
-        )
+    design = feature_ops.numbers(spec)
+    levels = {feature_ops.ROOM: feature_ops.fold_room(params),
+              feature_ops.PROPERTY: F.col("_property")}
+    # Numbers under private names: a request keeps its own columns as they came.
+    weights = dict(zip(fit.names, fit.effects, strict=True))
+    numeric = F.lit(fit.intercept)
+    for name, column in design.items():
+        numeric = numeric + column * F.lit(weights.pop(name))
+    ready, indicated = hedonic_ops.linear_part(
+        ready.withColumns(levels), list(weights), list(weights.values()), fit.factors
     )
-    log_price = F.lit(fit.intercept)
-    for name, effect in zip(fit.names, fit.effects, strict=True):
-        if effect:
-            log_price = log_price + design[name] * F.lit(effect)
+    log_price = numeric + indicated
     known = fit.fixed_effects.select(
         F.col("neighbourhood").alias("_location"), "fixed_effect", F.lit(True).alias("_seen")
     )
     joined = join_same(ready, known, ["_location"], ["fixed_effect", "_seen"])
     seen = F.coalesce("_seen", F.lit(False)) & F.col("_location").isNotNull()
     price = F.exp(log_price + F.coalesce("fixed_effect", F.lit(0.0))) * F.lit(fit.smearing)
-    extra = [c for c in spec.numeric if c not in requests.columns]
-    return joined.withColumns(
-        {
-            "hedonic_price": price,
-            "neighbourhood_in_model": seen
-            & F.coalesce(F.col("_location") != params.pooled_level, F.lit(False)),
-        }
-    ).drop("_location", "_property", "fixed_effect", "_seen", *extra)
+    in_model = seen & F.coalesce(F.col("_location") != params.pooled_level, F.lit(False))
+    return joined.select(
+        *requests.columns, price.alias("hedonic_price"), in_model.alias("neighbourhood_in_model")
+    )
 
 
 def position_label(percentile: Column, params: Params = DEFAULTS) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from peerband.functions import parse
 from peerband.functions.buckets import horizon_bucket
 from peerband.operators.distribution import exact_quantiles, level_counts
-from peerband.operators.hedonic import fit_hedonic
+from peerband.operators.gram import Factors, design_moments, solve, vif_values
 from peerband.operators.peers import GROUP, with_capacity
 from peerband.params import DEFAULTS, Params
 from peerband.sources.raw import check_snapshot_date
@@ -101,11 +101,12 @@ def circularity(df: DataFrame, outcome: str, price: str, quantity: str,
 
 def slope_with_control(features: DataFrame, target: str, slope: str, control: str,
                        group: str) -> DataFrame:
-    """One feature's effect without and with a control column."""
+    """One feature's effect without and with a control column, from one scan of sums."""
+    moments = design_moments(features, [slope, control], F.col(target), F.col(group))
     rows = []
     for label, names in (("alone", [slope]), ("controlled", [slope, control])):
-        fit = fit_hedonic(features, names, group, target)
-        rows.append((label, fit.effects[0], fit.r2, fit.adj_r2))
+        fit = solve(moments.only(names))
+        rows.append((label, float(fit.effects[0]), fit.r2, fit.adj_r2))
     return features.sparkSession.createDataFrame(
         rows, "design string, effect double, r2 double, adj_r2 double"
     )
@@ -136,16 +137,18 @@ def level_census(df: DataFrame, level: str, thin: int = 5) -> DataFrame:
 
 
 def feature_lift(features: DataFrame, names: Sequence[str], feature: str,
-                 group: str = "neighbourhood", target: str = "log_price") -> DataFrame:
-    """Adjusted R2 with and without one feature, its effect and its VIF."""
-    without = fit_hedonic(features, [c for c in names if c != feature], group, target)
-    full = fit_hedonic(features, list(names), group, target)
-    vif = {r["feature"]: r["vif"] for r in full.vif.collect()}  # one row per feature
+                 group: str = "neighbourhood", target: str = "log_price",
+                 factors: Factors | None = None) -> DataFrame:
+    """Adjusted R2 with and without one feature, its effect and its VIF, from one scan of sums."""
+    names = list(names)
+    moments = design_moments(features, names, F.col(target), F.col(group), factors)
+    without, full = solve(moments.only([c for c in names if c != feature])), solve(moments)
+    at = names.index(feature)
     return features.sparkSession.createDataFrame(
         [(
             feature, without.adj_r2, full.adj_r2,
             None if None in (without.adj_r2, full.adj_r2) else full.adj_r2 - without.adj_r2,
-            full.effects[list(names).index(feature)], vif[feature],
+            float(full.effects[at]), vif_values(moments.total[:-1, :-1])[at],
         )],
         "feature string, adj_r2_without double, adj_r2_with double, delta double,"
         " effect double, vif double",

@@ -19,10 +19,14 @@ from peerband.operators.distribution import (
     level_counts,
     top_levels,
 )
+from peerband.operators.gram import MOST_COLUMNS
 from peerband.params import DEFAULTS, Params
+from peerband.session import stage
 
 NUMERIC = ("accommodates", "bedrooms", "bathrooms_num", "min_nights")
 DISTANCE = "distance_to_beach_km"
+FLAGS = ("host_is_superhost", "superhost_missing", "no_review_history")
+ROOM, PROPERTY = "room_level", "property_level"
 
 
 @dataclass(frozen=True)
@@ -37,17 +41,20 @@ class FeatureSpec:
     n_rows: int
     dropped: tuple[str, ...]
     neighbourhood_counts: DataFrame
+    property_counts: DataFrame
+
+    @property
+    def factors(self) -> dict[str, dict[str, str]]:
+        """The level columns of ``design_frame``: each level but the first, and its design name."""
+        return {
+            ROOM: {v: f"room_type_{v}" for v in self.room_levels[1:]},
+            PROPERTY: {v: f"property_type_{v}" for v in self.property_levels[1:]},
+        }
 
     @property
     def names(self) -> tuple[str, ...]:
-        return (
-            *self.numeric,
-            *[f"room_type_{v}" for v in self.room_levels[1:]],
-            *[f"property_type_{v}" for v in self.property_levels[1:]],
-            "host_is_superhost",
-            "superhost_missing",
-            "no_review_history",
-        )
+        rooms, kinds = self.factors.values()
+        return (*self.numeric, *rooms.values(), *kinds.values(), *FLAGS)
 
 
 def priced(listings: DataFrame) -> DataFrame:
@@ -114,25 +121,41 @@ def learn_features(listings: DataFrame, params: Params = DEFAULTS,
             f"no priced row has a value of {', '.join(empty)}: "
             "its median, which fills gaps, is unknown"
         )
-    rooms = (
-        market.select(fold_room(params).alias("room")).where("room is not null")
-        .distinct().collect()
+    levels = F.array(*[
+        F.struct(F.lit(kind).alias("kind"), level.alias("level"))
+        for kind, level in (
+            ("room", fold_room(params)), ("property", property_level(params)),
+            ("neighbourhood", F.col("neighbourhood")),
+        )
+    ])
+    # Every count of levels from one scan.
+    counts = stage(
+        market.select(F.explode(levels).alias("k")).groupBy("k.kind", "k.level")
+        .agg(F.count(F.lit(1)).alias("n")),
+        "level_counts",
     )
-    top = top_levels(
-        market.select(property_level(params).alias("level")), "level", params.property_levels + 1
-    ).collect()
+    # A model cannot be wider, so no more levels are ever fetched.
+    rooms = [r["level"] for r in counts.where("kind = 'room' and level is not null")
+             .limit(MOST_COLUMNS + 1).collect()]
+    if len(rooms) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} room types")
+    kinds = counts.where("kind = 'property'").select("level", "n")
+    top = kinds.orderBy(F.desc("n"), F.asc("level")).limit(params.property_levels + 1).collect()
     kept = {r["level"] for r in top[: params.property_levels]}
     if len(top) > params.property_levels:
         kept.add(params.pooled_level)
     return FeatureSpec(
         numeric=numeric,
         medians={c: medians[c] for c in numeric},
-        room_levels=tuple(sorted(r["room"] for r in rooms)),
+        room_levels=tuple(sorted(rooms)),
         property_top=tuple((r["level"], r["n"]) for r in top),
         property_levels=tuple(sorted(kept)),
-        n_rows=market.count(),
+        n_rows=kinds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0],
         dropped=params.excluded_columns,
-        neighbourhood_counts=level_counts(market, "neighbourhood"),
+        neighbourhood_counts=counts.where("kind = 'neighbourhood'").select(
+            F.col("level").alias("neighbourhood"), "n"
+        ),
+        property_counts=kinds.select(F.col("level").alias("property_type"), "n"),
     )
 
 
@@ -140,27 +163,36 @@ def _flag(cond: Column) -> Column:
     return F.coalesce(cond.cast("double"), F.lit(0.0))
 
 
+def numbers(spec: FeatureSpec) -> dict[str, Column]:
+    """The design columns that hold numbers, for rows of listings or of requests."""
+    superhost = _number("host_is_superhost")
+    flags = (
+        F.coalesce(superhost, F.lit(0.0)),
+        superhost.isNull().cast("double"),
+        (F.coalesce(_number("number_of_reviews"), F.lit(0.0)) == 0).cast("double"),
+    )
+    return {
+        **{c: F.coalesce(_number(c), F.lit(spec.medians[c])) for c in spec.numeric},
+        **dict(zip(FLAGS, flags, strict=True)),
+    }
+
+
 def encode(spec: FeatureSpec, property_kept: Column, params: Params = DEFAULTS) -> list[Column]:
-    """The design columns in order, for rows of listings or of requests.
+    """All design columns in order, indicators too.
 
     ``property_kept`` is the row's property level after collapsing.
     """
-    room = fold_room(params)
-    superhost = _number("host_is_superhost")
-    return [
-        *[F.coalesce(_number(c), F.lit(spec.medians[c])).alias(c) for c in spec.numeric],
-        *[_flag(room == v).alias(f"room_type_{v}") for v in spec.room_levels[1:]],
-        *[_flag(property_kept == v).alias(f"property_type_{v}") for v in spec.property_levels[1:]],
-        F.coalesce(superhost, F.lit(0.0)).alias("host_is_superhost"),
-        superhost.isNull().cast("double").alias("superhost_missing"),
-        (F.coalesce(_number("number_of_reviews"), F.lit(0.0)) == 0)
-        .cast("double")
-        .alias("no_review_history"),
-    ]
+    number, level = numbers(spec), {ROOM: fold_room(params), PROPERTY: property_kept}
+    flags = {
+        name: _flag(level[factor] == v)
+        for factor, known in spec.factors.items() for v, name in known.items()
+    }
+    return [(number | flags)[name].alias(name) for name in spec.names]
 
 
-def feature_frame(listings: DataFrame, spec: FeatureSpec, params: Params = DEFAULTS) -> DataFrame:
-    """listing_id (if any), log_price, pooled neighbourhood, design columns, cap_bucket."""
+def _modelled(listings: DataFrame, spec: FeatureSpec, params: Params
+              ) -> tuple[DataFrame, list, Column, Column]:
+    """Priced rows at pooled locations, their leading columns, property level and guest bucket."""
     market = pool_rare_levels(
         priced(listings), "neighbourhood", spec.neighbourhood_counts,
         params.min_neighbourhood_rows, params.pooled_level,
@@ -169,16 +201,30 @@ def feature_frame(listings: DataFrame, spec: FeatureSpec, params: Params = DEFAU
     level = property_level(params)
     collapsed = F.when(level.isin(kept), level).otherwise(params.pooled_level)
     key = ["listing_id"] if "listing_id" in listings.columns else []
+    log_price = F.ln(F.col("price").cast("double")).alias("log_price")
     bucket = capacity_bucket(
         F.coalesce(_number("accommodates"), F.lit(spec.medians.get("accommodates"))),
         params.capacity_buckets,
     )
+    return market, [*key, log_price, "neighbourhood"], collapsed, bucket.alias("cap_bucket")
+
+
+def feature_frame(listings: DataFrame, spec: FeatureSpec, params: Params = DEFAULTS) -> DataFrame:
+    """listing_id (if any), log_price, pooled neighbourhood, design columns, cap_bucket."""
+    market, leading, collapsed, bucket = _modelled(listings, spec, params)
+    return market.select(*leading, *encode(spec, collapsed, params), bucket)
+
+
+def design_frame(listings: DataFrame, spec: FeatureSpec, params: Params = DEFAULTS) -> DataFrame:
+    """As ``feature_frame``, with the two level columns of ``spec.factors`` for all indicators.
+
+    Its width does not depend on the number of levels.
+    """
+    market, leading, collapsed, bucket = _modelled(listings, spec, params)
     return market.select(
-        *key,
-        F.ln(F.col("price").cast("double")).alias("log_price"),
-        "neighbourhood",
-        *encode(spec, collapsed, params),
-        bucket.alias("cap_bucket"),
+        *leading,
+        *[c.alias(name) for name, c in numbers(spec).items()],
+        fold_room(params).alias(ROOM), collapsed.alias(PROPERTY), bucket,
     )
 
 

@@ -9,25 +9,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peerband.functions.buckets import quoted
 from peerband.operators import student
-from peerband.operators.distribution import exact_quantiles, join_same
+from peerband.operators.distribution import histogram, histogram_quantiles, join_same
 from peerband.operators.features import dot
-from peerband.params import DEFAULTS
+from peerband.operators.gram import Factors, design_moments, group_levels, solve, vif_values
 from peerband.session import stage
 
 COEFFICIENTS = (
     "feature string, effect double, std_err double, p_value double, ci_low double, ci_high double"
 )
-RANK_TOLERANCE = 1e-11
-#: Product sums of one aggregate.
-PRODUCTS = 64
 
 
 @dataclass(frozen=True)
@@ -50,6 +47,7 @@ class HedonicFit:
     baseline_median_mae: float
     baseline_group_mae: float
     smearing: float
+    factors: Factors = field(default_factory=dict)
 
     def summary(self) -> DataFrame:
         return self.coefficients.sparkSession.createDataFrame(
@@ -63,119 +61,6 @@ class HedonicFit:
         )
 
 
-def group_moments(features: DataFrame, names: Sequence[str], group: str, target: str,
-                  shifts: dict[str, float] | None = None) -> DataFrame:
-    """Product sums per group: row (g, i) holds ``q[j]``, the sum of column i times column j.
-
-    The last column is the constant 1, so its row holds the column sums and the row count. Only
-    products with j >= i are summed, some at a time, so that each aggregate is small enough to be
-    compiled; a row of ``features`` is read once for each such block and never multiplied.
-    Shifting every column by a typical value keeps the later subtraction accurate. The sums are
-    partial-aggregated before the shuffle, so a group holding most rows is harmless.
-    """
-    shifts = shifts or {}
-    columns = [*names, target]
-    m = len(columns)
-    base = features.select(
-        F.col(group).alias("g"),
-        *[
-            (quoted(c) - F.lit(float(shifts.get(c, 0.0)))).alias(f"x{i}")
-            for i, c in enumerate(columns)
-        ],
-        F.lit(1.0).alias(f"x{m}"),
-    )
-    pairs = [(i, j) for i in range(m + 1) for j in range(i, m + 1)]
-    sums = None
-    for at in range(0, len(pairs), PRODUCTS):
-        block = pairs[at:at + PRODUCTS]
-        part = base.groupBy("g").agg(*[F.expr(f"sum(x{i} * x{j}) as q{i}_{j}") for i, j in block])
-        made = part.columns[1:]
-        sums = part if sums is None else join_same(sums, part, ["g"], made, how="inner")
-    rows = ", ".join(
-        "array(" + ", ".join(f"q{min(i, j)}_{max(i, j)}" for j in range(m + 1)) + ")"
-        for i in range(m + 1)
-    )
-    return sums.selectExpr("g", f"posexplode(array({rows})) as (i, q)")
-
-
-@dataclass(frozen=True)
-class Moments:
-    n: int
-    groups: int
-    first_group: str | None
-    total: np.ndarray  # products about the overall mean
-    within: np.ndarray  # products about the group means
-
-
-def group_sums(moments: DataFrame, m: int) -> DataFrame:
-    """Per group: row count ``n`` and column sums ``s``."""
-    return moments.where(F.col("i") == m).select(
-        "g", F.round(F.col("q")[m]).cast("bigint").alias("n"), F.col("q").alias("s")
-    )
-
-
-def collect_moments(moments: DataFrame, m: int) -> Moments:
-    """m rows of m numbers back to the driver, however many groups there are."""
-    sums = group_sums(moments, m)
-    size = sums.agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"), F.min("g").alias("first_group")
-    ).first()
-    n = size["n"] or 0
-    if n == 0:
-        raise ValueError("no rows to fit")
-    joined = join_same(moments.where(F.col("i") < m), sums, ["g"], ["n", "s"], how="inner")
-    rows = joined.groupBy("i").agg(
-        F.expr(f"sum(q[{m}]) as own"),
-        *[F.expr(f"sum(q[{j}]) as q{j}") for j in range(m)],
-        *[F.expr(f"sum(q[{j}] - q[{m}] * s[{j}] / n) as w{j}") for j in range(m)],
-    ).collect()
-    own = np.zeros(m)
-    total, within = np.zeros((m, m)), np.zeros((m, m))
-    for r in rows:
-        own[r["i"]] = r["own"]
-        total[r["i"]] = [r[f"q{j}"] for j in range(m)]
-        within[r["i"]] = [r[f"w{j}"] for j in range(m)]
-    total -= np.outer(own, own) / n
-    return Moments(
-        n, size["groups"], size["first_group"], (total + total.T) / 2, (within + within.T) / 2
-    )
-
-
-def pseudo_inverse(gram: np.ndarray) -> tuple[np.ndarray, int]:
-    """Minimum-norm inverse and rank of a Gram matrix, judged on its correlation scale."""
-    scale = np.sqrt(np.clip(np.diag(gram), 0.0, None))
-    live = scale > 1e-9 * (scale.max() if scale.size else 0.0)
-    inverse = np.zeros_like(gram)
-    if not live.any():
-        return inverse, 0
-    s = scale[live]
-    values, vectors = np.linalg.eigh(gram[np.ix_(live, live)] / np.outer(s, s))
-    good = values > RANK_TOLERANCE * values.max()
-    part = (vectors[:, good] / values[good]) @ vectors[:, good].T
-    inverse[np.ix_(live, live)] = part / np.outer(s, s)
-    return inverse, int(good.sum())
-
-
-def vif_values(total: np.ndarray) -> list[float | None]:
-    """Variance inflation per column, without fixed effects.
-
-    NULL for a constant column, and for one the others reproduce exactly.
-    """
-    out: list[float | None] = []
-    p = len(total)
-    scale = np.sqrt(np.clip(np.diag(total), 0.0, None))
-    for i in range(p):
-        if scale[i] <= 1e-12 * max(1.0, scale.max()):
-            out.append(None)
-            continue
-        rest = [j for j in range(p) if j != i]
-        inverse, _ = pseudo_inverse(total[np.ix_(rest, rest)])
-        cross = total[rest, i]
-        unexplained = 1.0 - float(cross @ inverse @ cross) / total[i, i]
-        out.append(float(1.0 / unexplained) if unexplained > 1e-12 else None)
-    return out
-
-
 def _coefficient_rows(names, effects, variances, df):
     t95 = student.critical_value(df) if df > 0 else None
     rows = []
@@ -190,62 +75,67 @@ def _coefficient_rows(names, effects, variances, df):
     return rows
 
 
-def vif_table(features: DataFrame, names: Sequence[str]) -> DataFrame:
-    """VIF of each named column with a constant, from one pass of sums."""
-    probe = features.withColumns({"_g": F.lit("all"), "_y": F.lit(0.0)})
-    means = features.agg(*[F.avg(quoted(c)).alias(f"m{i}") for i, c in enumerate(names)]).first()
-    shifts = {c: means[f"m{i}"] or 0.0 for i, c in enumerate(names)}
-    got = collect_moments(group_moments(probe, names, "_g", "_y", shifts), len(names) + 1)
-    rows = list(zip(names, vif_values(got.total[:-1, :-1]), strict=True))
+def vif_table(features: DataFrame, names: Sequence[str],
+              factors: Factors | None = None) -> DataFrame:
+    """VIF of each named column with a constant, from one scan of sums."""
+    moments = design_moments(features, names, F.lit(0.0), F.lit("all"), factors)
+    rows = list(zip(names, vif_values(moments.total[:-1, :-1]), strict=True))
     return features.sparkSession.createDataFrame(rows, "feature string, vif double")
 
 
-def group_effects(sums: DataFrame, effects: Sequence[float],
-                  shifts: Sequence[float]) -> DataFrame:
-    """Each group's own level: mean target less the mean features' contribution."""
-    p = len(effects)
-    terms = [f"s[{p}] / n + ({float(shifts[p])!r}D)"] + [
-        f"({float(b)!r}D) * (s[{i}] / n + ({float(shifts[i])!r}D))" for i, b in enumerate(effects)
-    ]
-    level = F.expr(" - ".join(terms))
-    return sums.select(F.col("g").alias("neighbourhood"), "n", level.alias("level"))
+def linear_part(df: DataFrame, names: Sequence[str], effects: Sequence[float],
+                factors: Factors | None = None) -> tuple[DataFrame, Column]:
+    """The columns' contribution to the target, and the rows it can be computed on.
+
+    A factor's effects are joined by level; they are at most as many as the model is wide.
+    """
+    weights = dict(zip(names, effects, strict=True))
+    total = None
+    for k, (factor, levels) in enumerate((factors or {}).items()):
+        table = df.sparkSession.createDataFrame(
+            [(level, float(weights.pop(name))) for level, name in levels.items()],
+            f"_level{k} string, _effect{k} double",
+        )
+        df = df.join(F.broadcast(table), quoted(factor) == F.col(f"_level{k}"), "left")
+        own = F.coalesce(F.col(f"_effect{k}"), F.lit(0.0))
+        total = own if total is None else total + own
+    numbers = dot(list(weights), list(weights.values()))
+    return df, numbers if total is None else numbers + total
 
 
 def fit_hedonic(features: DataFrame, names: Sequence[str], group: str = "neighbourhood",
-                target: str = "log_price") -> HedonicFit:
+                target: str = "log_price", factors: Factors | None = None) -> HedonicFit:
     """Fit ``target ~ names + group``. ``features`` is read four times: pass a stored table.
 
-    The coefficients, errors and adjusted R2 equal those of the regression on explicit group
-    dummies; degrees of freedom count the groups.
+    A name is a column of numbers or an indicator of ``factors``, which has no column. The
+    coefficients, errors and adjusted R2 equal those of the regression on explicit dummies of
+    groups and levels; degrees of freedom count the groups.
     """
     spark = features.sparkSession
-    names = list(names)
-    columns = [*names, target]
-    centre = features.agg(*[F.avg(quoted(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    shifts = {c: centre[f"m{i}"] or 0.0 for i, c in enumerate(columns)}
-    moments = stage(group_moments(features, names, group, target, shifts), "moments")
-    got = collect_moments(moments, len(columns))
-
-    inverse, rank = pseudo_inverse(got.within[:-1, :-1])
-    effects = inverse @ got.within[:-1, -1]
-    levels = group_effects(
-        group_sums(moments, len(columns)), effects, [shifts[c] for c in columns]
-    )
-    base = levels.where(F.col("neighbourhood").eqNullSafe(F.lit(got.first_group))).first()
+    names, y = list(names), F.col(target)
+    moments = design_moments(features, names, y, F.col(group), factors)
+    solved = solve(moments)
+    effects = solved.effects
+    levels = stage(group_levels(moments, effects), "group_levels")
+    base = levels.where(F.col("neighbourhood").eqNullSafe(F.lit(moments.first_group))).first()
     intercept = float(base["level"])
     fixed = levels.select(
         "neighbourhood", "n", (F.col("level") - F.lit(intercept)).alias("fixed_effect")
     )
 
-    y = F.col(target)
-    medians = exact_quantiles(features, [group], y, {"median": 0.5})
-    overall = exact_quantiles(features, [], y, {"median": 0.5})
-    overall = overall.select("median").scalar()
+    # Both medians come from one histogram.
+    hist = stage(histogram(features, [group], y), "target_histogram")
+    medians = histogram_quantiles(hist, [group], {"median": 0.5})
+    overall = histogram_quantiles(
+        hist.groupBy("value").agg(F.sum("weight").alias("weight")), [], {"median": 0.5}
+    ).first()["median"]
     per_group = join_same(
         levels, medians.withColumnRenamed(group, "neighbourhood"), ["neighbourhood"], ["median"]
     ).withColumnRenamed("neighbourhood", group)
-    scored = join_same(features, per_group, [group], ["level", "median"])
-    residual = y - (F.col("level") + dot(names, effects))
+    scored, explained = linear_part(
+        join_same(features, per_group, [group], ["level", "median"]), names, effects, factors
+    )
+    residual = y - (F.col("level") + explained)
     row = scored.select(
         residual.alias("r"), F.abs(y - overall).alias("d"), F.abs(y - F.col("median")).alias("dg")
     ).agg(
@@ -256,13 +146,10 @@ def fit_hedonic(features: DataFrame, names: Sequence[str], group: str = "neighbo
         F.avg(F.exp("r")).alias("smearing"),
     ).first()
 
-    df = got.n - rank - got.groups
-    sst = got.total[-1, -1]
-    sst = float(sst)
-    r2 = 1.0 - row["sse"] / sst if sst > 0 else None
-    adj = 1.0 - (row["sse"] / df) / (sst / (got.n - 1)) if df > 0 and sst > 0 else None
-    variances = np.diag(inverse) * (row["sse"] / df) if df > 0 else np.zeros(len(names))
-    vif = list(zip(names, vif_values(got.total[:-1, :-1]), strict=True))
+    solved = solve(moments, row["sse"])
+    df = solved.freedom
+    variances = np.diag(solved.inverse) * (row["sse"] / df) if df > 0 else np.zeros(len(names))
+    vif = list(zip(names, vif_values(moments.total[:-1, :-1]), strict=True))
     return HedonicFit(
         names=tuple(names),
         effects=tuple(float(b) for b in effects),
@@ -272,16 +159,17 @@ def fit_hedonic(features: DataFrame, names: Sequence[str], group: str = "neighbo
         fixed_effects=fixed,
         vif=spark.createDataFrame(vif, "feature string, vif double"),
         intercept=intercept,
-        n_rows=got.n,
-        n_levels=got.groups,
-        rank=rank,
-        r2=r2,
-        adj_r2=adj,
+        n_rows=moments.n,
+        n_levels=moments.groups,
+        rank=solved.rank,
+        r2=solved.r2,
+        adj_r2=solved.adj_r2,
         sse=row["sse"],
         model_mae=row["mae"],
         baseline_median_mae=row["mae_median"],
         baseline_group_mae=row["mae_group"],
         smearing=row["smearing"],
+        factors=factors or {},
     )
 
 
@@ -291,15 +179,13 @@ def predict(features: DataFrame, fit: HedonicFit, group: str = "neighbourhood")
     A location the model has not seen is scored at the baseline location.
     """
     known = fit.fixed_effects.withColumnRenamed("neighbourhood", group)
-    joined = join_same(features, known, [group], ["fixed_effect"])
-    log_price = (
-        F.lit(fit.intercept)
-        + dot(fit.names, fit.effects)
-        + F.coalesce("fixed_effect", F.lit(0.0))
+    joined, explained = linear_part(
+        join_same(features, known, [group], ["fixed_effect"]), fit.names, fit.effects, fit.factors
     )
-    return joined.withColumn("predicted_log_price", log_price).withColumn(
-        "predicted_price", F.exp("predicted_log_price") * F.lit(fit.smearing)
-    ).drop("fixed_effect")
+    log_price = F.lit(fit.intercept) + explained + F.coalesce("fixed_effect", F.lit(0.0))
+    return joined.select(
+        *[quoted(c) for c in features.columns], log_price.alias("predicted_log_price")
+    ).withColumn("predicted_price", F.exp("predicted_log_price") * F.lit(fit.smearing))
 
 
 def top_drivers(coefficients: DataFrame, k: int) -> DataFrame:

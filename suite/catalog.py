@@ -40,6 +40,15 @@ from suite.bind import (
     requests,
     table,
 )
+from suite.model_sql import (
+    ADVICE_SQL,
+    ERRORS_SQL,
+    FIT_SQL,
+    HEDONIC_SQL,
+    PROFILES_SQL,
+    REQUESTS_SQL,
+    SCORE_SQL,
+)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -710,19 +719,35 @@ def variance_inflation(spark, sf_dir):
     return rounded(hedonic.vif_table(frame, _TWO), 8)
 
 
-@query()
+def _whole_fit(spark, sf_dir):
+    market = _market(spark, sf_dir)
+    spec = features.learn_features(market)
+    frame = stage(features.design_frame(market, spec), "features")
+    return hedonic.fit_hedonic(frame, spec.names, factors=spec.factors)
+
+
+@query(
+    f"""WITH RECURSIVE {_PRICED_SQL}, {FIT_SQL}, {ERRORS_SQL}
+    SELECT name AS feature, round(b, 8) AS effect, round(se, 8) AS std_err,
+      round(p, 6) AS p_value, round(b - c * se, 8) AS ci_low, round(b + c * se, 8) AS ci_high
+    FROM tested JOIN tail USING (name), crit
+    """
+)
 def full_regression(spark, sf_dir):
     """The whole interpretable model: effects, errors, p-values, intervals."""
-    frame, spec = features.model_matrix(_market(spark, sf_dir))
-    return hedonic.fit_hedonic(stage(frame, "features"), spec.names).coefficients
+    fit = rounded(_whole_fit(spark, sf_dir).coefficients, 8)
+    return fit.withColumn("p_value", F.round("p_value", 6))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_PRICED_SQL}, {FIT_SQL}
+    SELECT name AS feature, round(b, 8) AS effect, round(exp(b) - 1, 8) AS percent_effect
+    FROM coef ORDER BY abs(b) DESC, name LIMIT 12
+    """
+)
 def top_price_drivers(spark, sf_dir):
     """The strongest effects and the percentage change each implies."""
-    frame, spec = features.model_matrix(_market(spark, sf_dir))
-    fit = hedonic.fit_hedonic(stage(frame, "features"), spec.names)
-    return hedonic.top_drivers(fit.coefficients, 12)
+    return rounded(hedonic.top_drivers(_whole_fit(spark, sf_dir).coefficients, 12), 8)
 
 
 # ---------------------------------------------------------------- peers
@@ -983,20 +1008,47 @@ def price_range_rejections(spark, sf_dir):
     return rounded(out.select("c_custkey", "reject_reason", "anchor"), 3)
 
 
-@query()
+_MARKET_SQL = _BUCKETED_SQL.replace(LISTINGS_SQL, _PRICED_SQL)
+
+
+@query(
+    f"""WITH RECURSIVE {_MARKET_SQL}, {FIT_SQL}, {SCORE_SQL}, {REQUESTS_SQL}, {HEDONIC_SQL},
+    {_PEER_SQL}, {ADVICE_SQL}, {_DETREND_SQL}, {_EVENTS_SQL},
+    peak AS (SELECT event, max(event_uplift) AS u FROM days WHERE event IS NOT NULL GROUP BY 1),
+    note AS (SELECT 'Seasonal demand (lower bound): ' || string_agg(event || ' +' ||
+      CAST(CAST(round_even(u * 100, 0) AS BIGINT) AS VARCHAR) || '%', ', ' ORDER BY event DESC)
+      || '.' AS demand_note FROM peak)
+    SELECT request_id, round(h + 1e-7, 3) AS hedonic_price, known AS neighbourhood_in_model,
+      n_effective, round(m + 1e-7, 3) AS shrunk_median, round(pct + 1e-7, 3) AS price_percentile,
+      round(low + 1e-7, 3) AS low, round(anchor + 1e-7, 3) AS anchor,
+      round(high + 1e-7, 3) AS high, position_label, t < 4 AS has_peer_signal, demand_note
+    FROM advised, note
+    """
+)
 def request_advice(spark, sf_dir):
     """Fit a market and advise one request per line item, end to end."""
     advisor = advise.fit_advisor(_market(spark, sf_dir))
     series = stage(_detrended(spark, sf_dir), "series")
     advice = advise.advise(advisor, requests(spark, sf_dir), series)
-    return advice.select(
-        "request_id", "hedonic_price", "neighbourhood_in_model", "n_effective", "shrunk_median",
-        "price_percentile", "low", "anchor", "high", "position_label", "has_peer_signal",
-        "demand_note",
+    return rounded(
+        advice.select(
+            "request_id", "hedonic_price", "neighbourhood_in_model", "n_effective",
+            "shrunk_median", "price_percentile", "low", "anchor", "high", "position_label",
+            "has_peer_signal", "demand_note",
+        ),
+        3, 1e-7,
     )
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_MARKET_SQL}, {FIT_SQL}, {SCORE_SQL}, {PROFILES_SQL}, {HEDONIC_SQL},
+    {_PEER_SQL}, {ADVICE_SQL}
+    SELECT request_id, neighbourhood, room_type, accommodates, round(anchor + 1e-7, 3) AS anchor,
+      round(low + 1e-7, 3) AS low, round(high + 1e-7, 3) AS high, position_label, n_effective,
+      known AS neighbourhood_in_model, t < 4 AS has_peer_signal
+    FROM advised
+    """
+)
 def persona_positions(spark, sf_dir):
     """The short report: one profile per nation and its most common home, ties by name."""
     market = _market(spark, sf_dir)
@@ -1012,7 +1064,8 @@ def persona_positions(spark, sf_dir):
         F.lit(False).alias("host_is_superhost"), F.lit(20.0).alias("number_of_reviews"),
         F.lit(None).cast("double").alias("current_price"),
     )
-    return persona_report(advisor, stage(_detrended(spark, sf_dir), "series"), profiles)
+    report = persona_report(advisor, stage(_detrended(spark, sf_dir), "series"), profiles)
+    return rounded(report, 3, 1e-7)
 
 
 # ---------------------------------------------------------------- contracts
