@@ -7,10 +7,12 @@ take ("1.5d", "NaN", "Infinity") never reach the data.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
 WHOLE = r"^\s*([+-]?\d+)(\.0*)?\s*$"
 # A date alone or with a time of day; nothing may follow.
 DATE = (
@@ -24,44 +26,66 @@ def _text(c) -> Column:
     return c.cast("string")
 
 
-def to_double(c) -> Column:
-    """Text to double; anything that is not a finite plain number becomes NULL."""
-    text = _text(c)
-    number = F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it.
+
+    Written out, every mention is a copy of the whole expression, and its patterns are matched
+    as often.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _finite(number: Column) -> Column:
     return F.when(F.abs(number) < float("inf"), number)
 
 
-def _plain_whole(text: Column) -> Column:
-    """The digits of a whole number written without an exponent, else NULL."""
-    return F.nullif(F.regexp_extract(text, WHOLE, 1), F.lit(""))
+def _number(text: Column) -> Column:
+    """A plain number's value, which may be infinite; no match is empty and casts to NULL."""
+    return F.regexp_extract(text, NUMBER, 1).try_cast("double")
 
 
-def whole(text: Column, number: Column, name: str = "value") -> Column:
-    """Text and its number to bigint; a fractional number, or one out of range, fails the query.
+def _read(text: Column) -> Column:
+    """The text, its number and the digits of a whole number without an exponent."""
+    return F.struct(
+        text.alias("text"), _number(text).alias("number"),
+        F.regexp_extract(text, WHOLE, 1).try_cast("bigint").alias("digits"),
+    )
 
-    Plain digits are read as they stand, so long keys stay exact; other spellings go by ``number``.
-    """
-    digits = _plain_whole(text)
-    read = F.when(digits.isNotNull(), digits.try_cast("bigint")).when(
-        number == F.floor(number), number.try_cast("bigint")
+
+def to_double(c) -> Column:
+    """Text to double; anything that is not a finite plain number becomes NULL."""
+    return let(_number(_text(c)), _finite)
+
+
+def _whole(read: Column, name: str, missing: Column) -> Column:
+    """Plain digits are read as they stand, so long keys stay exact; other spellings by number."""
+    number = read["number"]
+    failure = F.raise_error(F.concat(F.lit(f"{name} is not whole: "), read["text"]))
+    return F.when(_finite(number).isNull(), missing).otherwise(
+        F.coalesce(
+            read["digits"],
+            # A double of 2^63 or more is whole, but a bigint ends one below.
+            F.when((number == F.floor(number)) & (F.abs(number) < 2.0**63),
+                   number.try_cast("bigint")),
+            failure.cast("bigint"),
+        )
     )
-    failure = F.raise_error(F.concat(F.lit(f"{name} is not whole: "), text))
-    return F.when(number.isNull(), F.lit(None).cast("bigint")).when(
-        read.isNotNull(), read
-    ).otherwise(failure.cast("bigint"))
 
 
 def to_whole(c, name: str = "value") -> Column:
-    """Text to nullable bigint. "2.0" is 2; a fractional number fails the query."""
-    return whole(_text(c), to_double(c), name)
+    """Text to nullable bigint. "2.0" is 2; a fractional number, or one out of range, fails the
+    query."""
+    return let(_read(_text(c)), lambda r: _whole(r, name, F.lit(None).cast("bigint")))
 
 
 def to_key(c, name: str = "key") -> Column:
     """Text to non-null bigint; an unreadable or missing key fails the query."""
-    text, number = _text(c), to_double(c)
-    shown = F.coalesce(text, F.lit("NULL"))
-    failure = F.raise_error(F.concat(F.lit(f"{name} is not a number: "), shown))
-    return F.when(number.isNotNull(), whole(text, number, name)).otherwise(failure.cast("bigint"))
+    def read(r):
+        shown = F.coalesce(r["text"], F.lit("NULL"))
+        failure = F.raise_error(F.concat(F.lit(f"{name} is not a number: "), shown))
+        return _whole(r, name, failure.cast("bigint"))
+
+    return let(_read(_text(c)), read)
 
 
 def to_date(c) -> Column:
@@ -102,25 +126,25 @@ def typed(df: DataFrame, name: str, parser, *types) -> Column:
     return F.col(name) if isinstance(df.schema[name].dataType, types) else parser(F.col(name))
 
 
-def _strict(value: Column, text: Column, what: str) -> Column:
+def _strict(value: Column, text: Column, what: str, kind: str) -> Column:
     failure = F.raise_error(F.concat(F.lit(f"not {what}: "), text))
-    return F.when(value.isNotNull(), value).when(text.isNotNull(), failure)
+    return F.coalesce(value, F.when(text.isNotNull(), failure.cast(kind)))
 
 
 def money_strict(c) -> Column:
     """As ``money`` but unreadable text fails the query; NULL stays NULL."""
     text = _text(c)
-    return _strict(money(text), text, "a price").cast("double")
+    return _strict(money(text), text, "a price", "double")
 
 
 def bigint_strict(c) -> Column:
-    text = _text(c)
-    digits = _plain_whole(text)
-    rounded = F.round(to_double(text)).try_cast("bigint")
-    read = F.when(digits.isNotNull(), digits.try_cast("bigint")).otherwise(rounded)
-    return _strict(read, text, "a whole number").cast("bigint")
+    def read(r):
+        rounded = F.round(_finite(r["number"])).try_cast("bigint")
+        return _strict(F.coalesce(r["digits"], rounded), r["text"], "a whole number", "bigint")
+
+    return let(_read(_text(c)), read)
 
 
 def date_strict(c) -> Column:
     text = _text(c)
-    return _strict(to_date(text), text, "a date").cast("date")
+    return _strict(to_date(text), text, "a date", "date")

@@ -34,9 +34,7 @@ class Advisor:
 
     spec: feature_ops.FeatureSpec
     fit: hedonic_ops.HedonicFit
-    peer_histogram: DataFrame
-    peer_statistics: DataFrame
-    median_price: float
+    peers: peer_ops.PeerTables
     params: Params = DEFAULTS
 
     @property
@@ -45,22 +43,22 @@ class Advisor:
 
     def save(self, path: str) -> None:
         """Write the fitted tables and scalars as Parquet under ``path``."""
-        spark = self.peer_histogram.sparkSession
+        spark = self.peers.leaves.sparkSession
         tables = {
             "coefficients": self.fit.coefficients,
             "fixed_effects": self.fit.fixed_effects,
             "vif": self.fit.vif,
             "neighbourhood_counts": self.spec.neighbourhood_counts,
             "property_counts": self.spec.property_counts,
-            "peer_histogram": self.peer_histogram,
-            "peer_statistics": self.peer_statistics,
+            "peer_leaves": self.peers.leaves,
+            **{f"peer_groups_{k}": g for k, g in enumerate(self.peers.groups)},
             "encoding": spark.createDataFrame(
                 [(
                     list(self.spec.numeric), self.spec.medians, list(self.spec.room_levels),
                     [level for level, _ in self.spec.property_top],
                     [n for _, n in self.spec.property_top],
                     list(self.spec.property_levels), self.spec.n_rows, list(self.spec.dropped),
-                    list(self.fit.names), list(self.fit.effects), self.median_price,
+                    list(self.fit.names), list(self.fit.effects), self.peers.median,
                 )],
                 "numeric array<string>, medians map<string,double>, room_levels array<string>,"
                 " top_levels array<string>, top_counts array<long>,"
@@ -108,10 +106,11 @@ def load_advisor(spark: SparkSession, path: str, params: Params = DEFAULTS) -> A
         factors=spec.factors,
         **{f: int(sc[f]) if f in _COUNTS else sc[f] for f in _SCALARS},
     )
-    return Advisor(
-        spec, fit, table("peer_histogram"), table("peer_statistics"),
-        enc["median_price"], params,
+    groups = tuple(
+        table(f"peer_groups_{k}") for k in range(len(peer_ops.lookup_columns(params)))
     )
+    peers = peer_ops.PeerTables(enc["median_price"], groups, table("peer_leaves"))
+    return Advisor(spec, fit, peers, params)
 
 
 def fit_advisor(listings: DataFrame, params: Params = DEFAULTS) -> Advisor:
@@ -123,8 +122,7 @@ def fit_advisor(listings: DataFrame, params: Params = DEFAULTS) -> Advisor:
     frame = stage(feature_ops.design_frame(listings, spec, params), "features")
     fit = hedonic_ops.fit_hedonic(frame, spec.names, factors=spec.factors)
     fit = dataclasses.replace(fit, fixed_effects=stage(fit.fixed_effects, "fixed_effects"))
-    hist, statistics, median = peer_ops.fit_peers(listings, params)
-    return Advisor(spec, fit, hist, statistics, median, params)
+    return Advisor(spec, fit, peer_ops.fit_peers(listings, params), params)
 
 
 def _pooled_location(requests: DataFrame, advisor: Advisor) -> DataFrame:
@@ -278,10 +276,7 @@ def advise(advisor: Advisor, requests: DataFrame, detrended: DataFrame,
             "target_price": F.coalesce(F.when(given > 0, given), F.col("hedonic_price")),
         }
     )
-    placed = peer_ops.position_requests(
-        priced, advisor.peer_histogram, advisor.peer_statistics, F.lit(advisor.median_price),
-        params,
-    )
+    placed = peer_ops.position_requests(priced, advisor.peers, params)
     context = demand_ops.seasonal_context(detrended, params=params).select(
         F.struct("demand_note", "events", "magnitudes_are_lower_bounds", "dropped_edge",
                  "top_dates")

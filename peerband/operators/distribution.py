@@ -45,8 +45,9 @@ def value_ranges(hist: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataF
     """The histogram stored in value ranges, and what each range holds of each group.
 
     Rows gain ``_part``, their range. The second table has ``_start`` (weight of the group below
-    the range), ``_n`` (in the range) and ``total`` per (keys, _part); a group has one row for each
-    range it reaches into.
+    the range), ``_n`` (in the range) and ``total`` per (keys, _part), and ``_first``, ``_values``
+    and ``values``, the same of distinct values; a group has one row for each range it reaches
+    into.
     """
     rows = stage(
         hist.repartitionByRange(*[F.col(f"`{k}`") for k in keys], "value").withColumn(
@@ -55,11 +56,15 @@ def value_ranges(hist: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataF
         "ranges",
     )
     group = f"partition by {_names(keys) or '0'}"
-    held = rows.groupBy(*keys, "_part").agg(F.sum("weight").alias("_n")).selectExpr(
+    earlier = f"over ({group} order by _part rows between unbounded preceding and 1 preceding)"
+    held = rows.groupBy(*keys, "_part").agg(
+        F.sum("weight").alias("_n"), F.count(F.lit(1)).alias("_values")
+    ).selectExpr(
         "*",
-        f"coalesce(sum(_n) over ({group} order by _part rows between unbounded preceding"
-        " and 1 preceding), 0) as _start",
+        f"coalesce(sum(_n) {earlier}, 0) as _start",
+        f"coalesce(sum(_values) {earlier}, 0) as _first",
         f"sum(_n) over ({group}) as total",
+        f"sum(_values) over ({group}) as values",
     )
     return rows, held
 
@@ -91,10 +96,15 @@ def histogram_quantiles(hist: DataFrame, keys: Sequence[str], probs: dict[str, f
     """Linear-interpolated exact quantiles per group from a histogram.
 
     Output: keys, ``n``, one column per entry of ``probs``, and any ``also`` aggregates, given
-    as "expression as name". Only ranges that hold a wanted rank are ordered.
+    as "expression as name".
     """
+    return range_quantiles(*value_ranges(hist, keys), keys, probs, also)
+
+
+def range_quantiles(rows: DataFrame, held: DataFrame, keys: Sequence[str],
+                    probs: dict[str, float], also: Sequence[str] = ()) -> DataFrame:
+    """``histogram_quantiles`` of stored ranges. Only those that hold a wanted rank are ordered."""
     keys = list(keys)
-    rows, held = value_ranges(hist, keys)
 
     def spot(p):
         return f"({float(p)!r}D * (total - 1))"
@@ -135,6 +145,48 @@ def histogram_quantiles(hist: DataFrame, keys: Sequence[str], probs: dict[str, f
     )
 
 
+#: Distinct values that a leaf of a ladder holds at least, where its group has as many.
+LEAF_VALUES = 64
+
+
+def ladders(rows: DataFrame, held: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Leaves (keys, leaf, low, steps, cum) in which a value's rank can be read off.
+
+    ``rows`` and ``held`` come from ``value_ranges``. A leaf holds consecutive distinct values of a
+    group: the square root of all it has, ``LEAF_VALUES`` at least, so neither a leaf nor a group's
+    list of leaves grows as fast as the group. ``steps`` has its values in order and ``cum[i]`` the
+    group's weight below step i; one more entry has the weight below whatever comes next.
+    """
+    keys = list(keys)
+    spots = [*keys, "_part"]
+    joined = join_same(rows, held, spots, ["_start", "_first", "values"], how="inner")
+    over = f"(partition by {_names(spots)} order by value rows between unbounded preceding and"
+    placed = joined.selectExpr(
+        *[f"`{k}`" for k in keys], "value", "weight",
+        f"_start + sum(weight) over {over} current row) as upto",
+        f"_first + count(1) over {over} current row) - 1 as place",
+        f"greatest({LEAF_VALUES}, ceil(sqrt(values))) as size",
+    )
+    leaves = placed.selectExpr("*", "cast(floor(place / size) as bigint) as leaf").groupBy(
+        *keys, "leaf"
+    ).agg(F.expr("array_sort(collect_list(struct(value, upto, weight))) as at"))
+    return leaves.selectExpr(
+        *[f"`{k}`" for k in keys], "leaf", "at[0].value as low", "at.value as steps",
+        "concat(array(at[0].upto - at[0].weight), at.upto) as cum",
+    )
+
+
+def leaf_of(lows: str, value: str) -> str:
+    """The leaf of a sorted list of (low, leaf) where the value's rank is read off."""
+    return (f"coalesce(aggregate({lows}, cast(null as bigint), (leaf, x) ->"
+            f" if(x.low <= {value}, x.leaf, leaf)), 0L)")
+
+
+def weight_below(steps: str, cum: str, value: str) -> str:
+    """The group's weight strictly below a value, from its leaf."""
+    return f"get({cum}, aggregate({steps}, 0, (n, x) -> n + if(x < {value}, 1, 0)))"
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column,
                     probs: dict[str, float]) -> DataFrame:
     """Exact quantiles of ``value`` per group; NULL values are ignored."""

@@ -9,15 +9,6 @@ from peerband.functions import geo, parse
 from peerband.operators.distribution import exact_quantiles
 from peerband.params import DEFAULTS, Params
 
-WHOLE_COLUMNS = (
-    "accommodates",
-    "bedrooms",
-    "beds",
-    "minimum_nights",
-    "number_of_reviews",
-    "number_of_reviews_ltm",
-    "availability_365",
-)
 OPTIONAL_COLUMNS = ("estimated_occupancy_l365d", "estimated_revenue_l365d")
 
 
@@ -34,18 +25,13 @@ def winsorize(df: DataFrame, column: str, lower: float, upper: float) -> DataFra
 def typed_listings(raw: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Rename, parse and derive; no rows dropped."""
 
-    # Numbers used several times below are parsed first, so that each text is read once and the
-    # generated code stays small enough to be compiled.
+    # Both are used by every point of interest, and are parsed once before.
     raw = raw.withColumns(
-        {
-            "_lat": parse.to_double("latitude"),
-            "_lon": parse.to_double("longitude"),
-            **{f"_{c}": parse.to_double(c) for c in WHOLE_COLUMNS},
-        }
+        {"_lat": parse.to_double("latitude"), "_lon": parse.to_double("longitude")}
     )
 
     def whole(name: str) -> Column:
-        return parse.whole(F.col(name).cast("string"), F.col(f"_{name}"), name)
+        return parse.to_whole(F.col(name), name)
 
     return raw.select(
         parse.to_key(F.col("id"), "id").alias("listing_id"),

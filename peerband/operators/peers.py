@@ -1,21 +1,28 @@
 """Position against comparable listings, with tiered fallback and shrinkage.
 
-The market is reduced once to a price histogram per comparison group of every tier. A request
-then needs one lookup of its group's statistics and one of its price's rank; no request is ever
-paired with individual listings.
+The market is reduced once to a price histogram per comparison group of every tier, and that to
+the groups' statistics and to leaves of consecutive prices with their ranks. A request looks up the
+groups it could belong to, with one join for tiers that differ by capacity only, and then the leaf
+of its price. Requests are not read twice, stored or grouped, and never meet individual listings.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peerband.functions.buckets import capacity_bucket
+from peerband.functions.buckets import capacity_bucket, quoted
 from peerband.operators.distribution import (
     exact_quantiles,
     histogram_quantiles,
     join_same,
-    share_below,
+    ladders,
+    leaf_of,
+    range_quantiles,
+    value_ranges,
+    weight_below,
 )
 from peerband.params import DEFAULTS, Params
 from peerband.session import stage
@@ -38,14 +45,22 @@ def with_capacity(listings: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     )
 
 
-def market_histogram(listings: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """(tier, keys, value, weight) for every tier; a row with a NULL key is in no such group."""
-    cells = (
+def price_cells(listings: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """(keys, value, weight) of the finest comparison groups, NULL keys included."""
+    return (
         with_capacity(listings, params)
         .where(F.col("price").isNotNull())
         .groupBy(*GROUP, F.col("price").cast("double").alias("value"))
         .agg(F.count(F.lit(1)).alias("weight"))
     )
+
+
+def market_histogram(listings: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """(tier, keys, value, weight) for every tier; a row with a NULL key is in no such group."""
+    return tier_histogram(price_cells(listings, params), params)
+
+
+def tier_histogram(cells: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     tiers = F.array(
         *[
             F.struct(
@@ -71,11 +86,16 @@ def group_statistics(hist: DataFrame, centre: float | Column) -> DataFrame:
 
     ``centre`` (the market median) is subtracted before squaring to keep the sums accurate.
     """
-    centred = hist.withColumn(
+    return range_statistics(*value_ranges(hist, TIER_KEYS), centre)
+
+
+def range_statistics(rows: DataFrame, held: DataFrame, centre: float | Column) -> DataFrame:
+    """``group_statistics`` of stored value ranges."""
+    centred = rows.withColumn(
         "_d", F.col("value") - (centre if isinstance(centre, Column) else F.lit(centre))
     )
-    stats = histogram_quantiles(
-        centred, TIER_KEYS, {"q25": 0.25, "median": 0.5, "q75": 0.75},
+    stats = range_quantiles(
+        centred, held, TIER_KEYS, {"q25": 0.25, "median": 0.5, "q75": 0.75},
         also=[
             "sum(_d * weight) as _s1",
             "sum(_d * _d * weight) as _s2",
@@ -108,131 +128,156 @@ def global_median(listings: DataFrame) -> DataFrame:
     )
 
 
-def resolve_groups(combos: DataFrame, statistics: DataFrame, median: Column,
-                   params: Params = DEFAULTS) -> DataFrame:
-    """The answering tier of each distinct key combination, with its shrunk median.
+@dataclass(frozen=True)
+class PeerTables:
+    """A market reduced for lookups. Tables are stored, so the planner knows their sizes."""
+
+    median: float
+    #: For each set of key columns beside capacity, its groups: the columns and ``found``, a map
+    #: from "tier:capacity" to statistics and the lows of the group's leaves.
+    groups: tuple[DataFrame, ...]
+    leaves: DataFrame
+
+
+CAPACITY = "cap_bucket"
+
+
+def lookup_columns(params: Params = DEFAULTS) -> list[tuple[str, ...]]:
+    """The key columns beside capacity of every lookup, in the order of the tiers."""
+    sets = [tuple(c for c in tier if c != CAPACITY) for tier in params.tiers]
+    return list(dict.fromkeys(sets))
+
+
+def group_tables(statistics: DataFrame, leaves: DataFrame,
+                 params: Params = DEFAULTS) -> list[DataFrame]:
+    """One table per lookup. A row's map has at most one entry per tier and capacity bucket."""
+    lows = leaves.groupBy(*TIER_KEYS).agg(
+        F.array_sort(F.collect_list(F.struct("low", "leaf"))).alias("lows")
+    )
+    facts = join_same(statistics, lows, TIER_KEYS, ["lows"])
+    entry = F.struct(
+        F.concat_ws(":", "tier", CAPACITY).alias("k"),
+        F.struct("n", "median", "iqr", "cv", "lows").alias("v"),
+    )
+    out = []
+    for columns in lookup_columns(params):
+        tiers = [i for i, t in enumerate(params.tiers)
+                 if tuple(c for c in t if c != CAPACITY) == columns]
+        out.append(
+            facts.where(F.col("tier").isin(tiers)).groupBy(*columns)
+            .agg(F.map_from_entries(F.collect_list(entry)).alias("found"))
+        )
+    return out
+
+
+def resolve(requests: DataFrame, peers: PeerTables, params: Params = DEFAULTS) -> DataFrame:
+    """Add to each request the answering tier, its size and spread, the shrunk median and ``_lows``.
 
     The prior starts at the market median and walks finest to coarsest: a tier with too few
     rows hands its own shrunk median on as the prior of the next; an empty one hands on
     nothing. The last tier answers with any rows at all.
     """
-    out = combos.select(*GROUP).distinct()
-    last = len(params.tiers) - 1
-    for i, tier in enumerate(params.tiers):
-        facts = statistics.where(F.col("tier") == i).select(
-            *[F.col(c).alias(f"_k_{c}") for c in tier],
-            *[F.col(c).alias(f"{c}_{i}") for c in ("n", "median", "iqr", "cv")],
+    kept = [quoted(c) for c in requests.columns]
+    out, found = requests, {}
+    for k, (columns, table) in enumerate(zip(lookup_columns(params), peers.groups, strict=True)):
+        side = table.select(
+            *[F.col(c).alias(f"_k{k}_{c}") for c in columns], F.col("found").alias(f"_found{k}")
         )
-        match = None
-        for c in tier:
-            same = F.col(c) == F.col(f"_k_{c}")  # NULL matches nothing
-            match = same if match is None else match & same
-        out = out.join(facts, match, "left").drop(*[f"_k_{c}" for c in tier])
-
-    prior = median
-    tier = answer = count = iqr = cv = None
+        match = F.lit(True)
+        for c in columns:
+            match = match & (F.col(c) == F.col(f"_k{k}_{c}"))  # NULL matches nothing
+        out = out.join(side, match, "left")
+        found[columns] = f"_found{k}"
+    picked = []
+    for i, tier in enumerate(params.tiers):
+        name = found[tuple(c for c in tier if c != CAPACITY)]
+        key = f"concat('{i}:', {CAPACITY})" if CAPACITY in tier else f"'{i}:'"
+        picked.append(F.expr(f"try_element_at({name}, {key})").alias(f"_t{i}"))
+    out = out.select(*kept, *picked)
+
+    last = len(params.tiers) - 1
+    prior = F.lit(peers.median)
+    tier = answer = chosen = None
     for i in range(last + 1):
-        n = F.coalesce(F.col(f"n_{i}"), F.lit(0))
+        here = F.col(f"_t{i}")
+        n = F.coalesce(here["n"], F.lit(0))
         share = n / (n + params.prior_strength)
         # With no rows the share is 0 and the prior passes through unchanged.
-        prior = share * F.coalesce(F.col(f"median_{i}"), F.lit(0.0)) + (1 - share) * prior
+        prior = share * F.coalesce(here["median"], F.lit(0.0)) + (1 - share) * prior
         accepts = (n > 0) if i == last else (n >= params.min_tier_rows)
-        when = F.when if tier is None else tier.when
-        tier = when(accepts, F.lit(i))
+        tier = (F.when if tier is None else tier.when)(accepts, F.lit(i))
         answer = (F.when if answer is None else answer.when)(accepts, prior)
-        count = (F.when if count is None else count.when)(accepts, n)
-        iqr = (F.when if iqr is None else iqr.when)(accepts, F.col(f"iqr_{i}"))
-        cv = (F.when if cv is None else cv.when)(accepts, F.col(f"cv_{i}"))
-    names = F.array(
-        *[F.array(*[F.lit(c) for c in tier]) for tier in params.tiers]
-    )
+        chosen = (F.when if chosen is None else chosen.when)(accepts, here)
+    names = F.array(*[F.array(*[F.lit(c) for c in tier]) for tier in params.tiers])
     tier = F.coalesce(tier, F.lit(last))
-    return out.select(
-        *GROUP,
-        tier.alias("tier"),
-        F.get(names, tier).alias("tier_used"),
-        F.coalesce(count, F.lit(0)).cast("bigint").alias("n_effective"),
-        answer.otherwise(prior).alias("shrunk_median"),
-        F.coalesce(iqr, F.lit(0.0)).alias("iqr"),
-        cv.alias("cv"),
+    placed = out.select(
+        *kept, tier.alias("tier"), answer.otherwise(prior).alias("shrunk_median"),
+        chosen.alias("_chosen"),
+    )
+    return placed.select(
+        *kept,
+        "tier",
+        F.get(names, F.col("tier")).alias("tier_used"),
+        F.coalesce(F.col("_chosen")["n"], F.lit(0)).cast("bigint").alias("n_effective"),
+        "shrunk_median",
+        F.coalesce(F.col("_chosen")["iqr"], F.lit(0.0)).alias("iqr"),
+        F.col("_chosen")["cv"].alias("cv"),
+        F.col("_chosen")["lows"].alias("_lows"),
     )
 
 
-def position_requests(requests: DataFrame, hist: DataFrame, statistics: DataFrame,
-                      median: Column, params: Params = DEFAULTS) -> DataFrame:
+def position_requests(requests: DataFrame, peers: PeerTables,
+                      params: Params = DEFAULTS) -> DataFrame:
     """Add the peer position of each request's ``target_price``.
 
-    Requests need neighbourhood, room_type, cap_bucket and target_price. Repeated key
-    combinations and repeated prices are resolved once and joined back. The joins back may see
-    any number of requests per key; adaptive execution splits such a key across tasks.
+    Requests need neighbourhood, room_type, cap_bucket and target_price. Tables that fit are
+    broadcast, so requests stay where they are; a larger one is joined by shuffling them, and
+    adaptive execution splits a key that most of them share.
     """
-    # Stored, so that the planner knows how small it is before it moves any request.
-    groups = stage(resolve_groups(requests, statistics, median, params), "groups")
-    placed = join_same(
-        requests, groups, GROUP,
-        ["tier", "tier_used", "n_effective", "shrunk_median", "iqr", "cv"],
-    )
-    keys = {}
+    price = F.col("target_price").cast("double")
+    placed = resolve(requests.withColumn("_price", price), peers, params)
+    keys = {"_g_tier": F.col("tier"), "_g_leaf": F.expr(leaf_of("_lows", "_price"))}
     for c in GROUP:
         used = [i for i, tier in enumerate(params.tiers) if c in tier]
         keys[f"_g_{c}"] = F.when(F.col("tier").isin(used), F.col(c)).otherwise(F.lit(""))
-    # Read twice below, and it carries every join made so far: written once.
-    placed = stage(placed.withColumns(keys), "placed")
-    targets = (
-        placed.where("n_effective > 0 and target_price is not null")
-        .select(
-            "tier",
-            *[F.col(f"_g_{c}").alias(c) for c in GROUP],
-            F.col("target_price").cast("double").alias("value"),
-        )
-        .distinct()
-    )
-    ranks = stage(
-        share_below(hist, targets, TIER_KEYS).select(
-            F.col("tier").alias("_t"),
-            *[F.col(c).alias(f"_k_{c}") for c in GROUP],
-            F.col("value").alias("_v"),
-            "share",
-        ),
-        "ranks",
-    )
-    match = (F.col("tier") == F.col("_t")) & (
-        F.col("target_price").cast("double") == F.col("_v")
+    asked = placed.withColumns(keys).drop("_lows")
+    leaves = peers.leaves.select(
+        *[F.col(c).alias(f"_k_{c}") for c in (*TIER_KEYS, "leaf")], "steps", "cum"
     )
-    for c in GROUP:
+    match = F.lit(True)
+    for c in (*TIER_KEYS, "leaf"):
         match = match & (F.col(f"_g_{c}") == F.col(f"_k_{c}"))
-    return (
-        placed.join(ranks, match, "left")
-        .withColumn(
-            "price_percentile",
-            # An unknown price is below nothing; without peers the position is neutral.
-            F.when(F.col("n_effective") == 0, F.lit(0.5)).otherwise(
-                F.coalesce("share", F.lit(0.0))
-            ),
-        )
-        .withColumn("has_peer_signal", F.col("n_effective") > 0)
-        .drop("_t", "_v", "share", *[f"_g_{c}" for c in GROUP], *[f"_k_{c}" for c in GROUP])
+    share = F.expr(f"{weight_below('steps', 'cum', '_price')} / n_effective")
+    known = F.col("n_effective") > 0
+    # An unknown price is below nothing; without peers the position is neutral.
+    percentile = F.when(~known, F.lit(0.5)).when(price.isNull(), F.lit(0.0)).otherwise(share)
+    return asked.join(leaves, match, "left").select(
+        *[quoted(c) for c in requests.columns], "tier", "tier_used", "n_effective",
+        "shrunk_median", "iqr", "cv", percentile.alias("price_percentile"),
+        known.alias("has_peer_signal"),
     )
 
 
-def fit_peers(listings: DataFrame, params: Params = DEFAULTS) -> tuple[DataFrame, DataFrame, float]:
-    """Reduce a market to (price histogram, group statistics, median price).
-
-    Both tables are read several times per scoring job, so each is written once.
-    """
-    median = global_median(listings).first()["median"]
-    hist = stage(market_histogram(listings, params), "peer_histogram")
-    statistics = stage(
-        group_statistics(hist, F.lit(median)), "peer_statistics"
+def fit_peers(listings: DataFrame, params: Params = DEFAULTS) -> PeerTables:
+    """Reduce a market to its median price, group statistics and price ranks, in one scan."""
+    cells = stage(price_cells(listings, params), "price_cells")
+    median = histogram_quantiles(
+        cells.groupBy("value").agg(F.sum("weight").alias("weight")), [], {"median": 0.5}
+    ).first()["median"]
+    rows, held = value_ranges(tier_histogram(cells, params), TIER_KEYS)
+    held = stage(held, "peer_ranges")
+    statistics = stage(range_statistics(rows, held, F.lit(median)), "peer_statistics")
+    leaves = stage(ladders(rows, held, TIER_KEYS), "peer_leaves")
+    groups = group_tables(statistics, leaves, params)
+    return PeerTables(
+        median, tuple(stage(g, f"peer_groups_{k}") for k, g in enumerate(groups)), leaves
     )
-    return hist, statistics, median
 
 
 def peer_positions(requests: DataFrame, listings: DataFrame,
                    params: Params = DEFAULTS) -> DataFrame:
     """Place every request (its ``target_price``, else its ``price``) in a market."""
-    hist, statistics, median = fit_peers(listings, params)
     asked = with_capacity(requests, params)
     if "target_price" not in asked.columns:
         asked = asked.withColumn("target_price", F.col("price"))
-    return position_requests(asked, hist, statistics, F.lit(median), params)
+    return position_requests(asked, fit_peers(listings, params), params)

@@ -77,3 +77,26 @@ def test_strict_forms_fail_loudly(spark):
 
 def test_blank_key_text(spark):
     assert values(spark, parse.blank_to_null, ["", "a", None]) == [None, "a", None]
+
+
+def mentions(df):
+    """How often the optimized plan matches a pattern, by kind."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return {name: plan.lower().count(name) for name in ("rlike", "regexp_extract")}
+
+
+@pytest.mark.parametrize("parser,matches", [
+    (parse.to_double, 1), (parse.to_whole, 2), (parse.to_key, 2), (parse.bigint_strict, 2),
+    (parse.money, 1), (parse.percent, 1), (parse.money_strict, 1),
+])
+def test_each_text_is_matched_once_per_pattern(spark, parser, matches):
+    rows = spark.createDataFrame([("1",)], "c string").select(F.upper("c").alias("c"))
+    found = mentions(rows.select(parser("c").alias("v")))
+    assert found["rlike"] == 0 and found["regexp_extract"] == matches
+
+
+def test_long_and_odd_spellings_of_whole_numbers(spark):
+    texts = ["9007199254740993", "2.000", " 7 ", "1e3", "-0", "1e999", "nan", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["v"] for r in rows.select("i", parse.to_whole("t").alias("v")).orderBy("i").collect()]
+    assert got == [9007199254740993, 2, 7, 1000, 0, None, None, None, None]
