@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +33,40 @@ STRIPE_BYTES, GROUP_ROWS = 16 << 20, 1000
 CHECK_ROWS = 100
 #: A Bloom filter's share of false answers.
 FALSE_SHARE = 0.01
-#: Entries of each cache of a Python worker, and characters of the longest cached chunk: at most
-#: about 150 MB, whatever the texts are.
-CACHE_CHUNKS, CACHE_CHARS = 200_000, 64
+#: Entries of each of the four generations a Python worker keeps, and characters of the longest
+#: kept text: about 200 MB as a rule and 600 MB at most, whatever the texts are.
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 64
 #: Characters of text that are split at once.
 SLAB_CHARS = 1 << 20
 #: Bytes of a part's number and place in a hashed table.
 PART_BYTES = 32
 
 
+class Recent(dict):
+    """Codes by text, made when first asked for. Two generations are kept: when the younger one is
+    full it becomes the older one, from which what is asked for again comes back."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make = make
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, text: str) -> bytes:
+        code = self.older.get(text)
+        if code is None:
+            code = self.make(text)
+        if len(text) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.older = dict(self)
+                self.clear()
+            self[text] = code
+        return code
+
+
+class Irregular(Exception):
+    """A text whose spaces or line ends do not all stand alone."""
+
+
 class ChunkEncoder:
     """Token ids by the ``tokenizers`` library, with its answers kept for short chunks of text.
 
@@ -53,62 +78,61 @@ class ChunkEncoder:
     """
 
     LINE, WORD = re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?<=\S) (?=\S)")
-    SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?-@\[-`{}~]*)")
+    SIMPLE = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?-@\[-`{}~]*)")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.symbols = dict(enumerate(byte_symbols()))
-        self.parts: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.parts, self.chunks = Recent(self._part), Recent(self._chunk)
         self.line_end = self._part("\n")
 
     def _part(self, part: str) -> bytes:
-        code = self.parts.get(part)
-        if code is None:
-            shown = part.encode().decode("latin-1").translate(self.symbols)
-            ids = [t.id for t in self.model.tokenize(shown)]
-            code = struct.pack(f"<{len(ids)}I", *ids)
-            if len(part) <= CACHE_CHARS:
-                if len(self.parts) >= CACHE_CHUNKS:
-                    self.parts.clear()
-                self.parts[part] = code
-        return code
-
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Codes of all chunks; short ones are kept."""
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks = {}
-        known, new, other = self.chunks, {}, []
-        for c in chunks:
-            if c not in known:
-                m = self.SIMPLE.fullmatch(c)
-                if m:
-                    new[c] = self._part(m[1]) + (self._part(m[2]) if m[2] else b"")
-                else:
-                    other.append(c)
-        codes = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
-        new.update((c, struct.pack(f"<{len(e.ids)}I", *e.ids)) for c, e in zip(other, codes))
-        out = {c: known[c] for c in chunks if c not in new} | new
-        known.update((c, code) for c, code in new.items() if len(c) <= CACHE_CHARS)
-        return out
+        """What the pattern leaves in one piece."""
+        shown = part.encode().decode("latin-1").translate(self.symbols)
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _chunk(self, word: str) -> bytes:
+        """What stood after a space, or after a line end that the word still has."""
+        m = self.SIMPLE.fullmatch(word)
+        if m:
+            line, letters, tail = m.groups()
+            code = self.line_end + self.parts[letters] if line else self.parts[" " + letters]
+            return code + self.parts[tail] if tail else code
+        begun = word[1:] if word[:1] == "\n" else word
+        if not begun or begun.strip() != begun:
+            raise Irregular
+        return self._whole(word if begun is not word else " " + word)
+
+    def _regular(self, text: str) -> bytes:
+        first, *words = text.replace("\n", " \n").split(" ")
+        if not first or first.strip() != first:
+            raise Irregular
+        return self._whole(first) + b"".join(map(self.chunks.__getitem__, words))
+
+    def _any(self, text: str) -> bytes:
+        lines = []
+        for line in self.LINE.split(text):
+            first, *words = self.WORD.split(line)
+            lines.append(self._whole(first) + b"".join([
+                self.chunks[w] if w.strip() == w else self._whole(" " + w) for w in words
+            ]))
+        return self.line_end.join(lines)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, which should be few at a time."""
-        split = []
-        for t in texts:
-            lines = []
-            for line in self.LINE.split(t or ""):
-                first, *more = self.WORD.split(line)
-                lines.append([first, *[" " + c for c in more]])
-            split.append(lines)
-        codes = self._learn({c for lines in split for line in lines for c in line})
-        get = codes.__getitem__
-        for lines in split:
-            yield self.line_end.join([b"".join(map(get, line)) for line in lines])
+        """Unsigned 32-bit ids of each text, in the machine's byte order."""
+        for text in texts:
+            try:
+                code = self._regular(text) if text else b""
+            except Irregular:
+                code = self._any(text)
+            yield code
 
 
 def _ranged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -146,7 +170,7 @@ def write_tokens(
     prepare(docs.sparkSession)
     source = _ranged(docs, id_col, text_col)
     id_type = source.schema["id"].dataType.simpleString()
-    end = struct.pack("<I", END_ID)
+    end = array("I", [END_ID]).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = resident("chunks", vocabulary, lambda: ChunkEncoder(vocabulary))
@@ -157,7 +181,7 @@ def write_tokens(
                 codes = [code + end for code in encoder.encode(slab)]
                 size = np.array([len(c) // 4 for c in codes], np.int64)
                 stops = np.cumsum(size)
-                ids = np.frombuffer(b"".join(codes), "<u4").astype(np.int32)
+                ids = np.frombuffer(b"".join(codes), np.uint32).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(done, len(codes)),
                      pa.array(np.full(len(codes), part, np.int32)),

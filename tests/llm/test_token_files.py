@@ -60,15 +60,16 @@ def test_encoder_equals_the_library():
 
 
 def test_caches_are_bounded_by_entries_and_length(monkeypatch):
-    monkeypatch.setattr(tf, "CACHE_CHUNKS", 50)
+    monkeypatch.setattr(tf, "CACHE_ENTRIES", 50)
     encoder, tokenizer = tf.ChunkEncoder(VOCABULARY), library()
     for n in range(20):
         texts = [f"{'無' * 5000} w{n}x{k}, plain{'abcdefghij'[k]}{'abcdefghijklmnopqrst'[n]}."
                  for k in range(10)]
         for text, code in zip(texts, encoder.encode(texts)):
             assert np.frombuffer(code, "<u4").tolist() == ids_of(tokenizer, text)[:-1]
-        assert len(encoder.chunks) <= 50 + 40 and len(encoder.parts) <= 50
-        assert all(len(c) <= tf.CACHE_CHARS for c in [*encoder.chunks, *encoder.parts])
+        for kept in (encoder.chunks, encoder.parts):
+            assert max(len(kept), len(kept.older)) <= 50
+            assert all(len(c) <= tf.CACHE_CHARS for c in [*kept, *kept.older])
 
 
 def test_files_hold_every_document_in_order(spark, tmp_path):
