@@ -8,30 +8,39 @@ from pyspark.sql import functions as F
 from peerband.llm.common import decide, quoted, text_or_empty
 from peerband.session import stage
 
-#: Largest number of surviving (length, prefix) groups that is broadcast, at 16 bytes each.
-BROADCAST_GROUPS = 1 << 18
-#: Bytes of an id and a digest in a hashed table.
-DROP_BYTES = 128
+#: Bytes of an id and a digest, and of a length and a prefix hash, in a hashed table.
+DROP_BYTES, LENGTH_BYTES, GROUP_BYTES = 128, 16, 24
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = text_or_empty(text_col)
     return docs.select(
-        quoted(id_col).alias("id"),
-        text.alias("text"),
+        quoted(id_col).alias("id"), text.alias("text"),
         F.octet_length(text).cast("long").alias("n_bytes"),
-        F.xxhash64(F.substring(text, 1, prefix_chars)).alias("prefix"),
     )
 
 
-def surviving_groups(keyed: DataFrame) -> DataFrame:
-    """(n_bytes, prefix) of more than one row, refined from lengths of more than one row."""
-    counts = keyed.groupBy("n_bytes", "prefix").agg(F.count(F.lit(1)).alias("rows"))
-    counts = stage(counts, "prefix_counts")
-    lengths = (
-        counts.groupBy("n_bytes").agg(F.sum("rows").alias("n")).where("n > 1").select("n_bytes")
+def shared_lengths(keyed: DataFrame) -> DataFrame:
+    """Lengths that more than one row has: the first scan, which hashes nothing."""
+    return (
+        keyed.groupBy("n_bytes").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+        .select(F.col("n_bytes").alias("shared_bytes"))
+    )
+
+
+def shared_prefixes(keyed: DataFrame, lengths: DataFrame, prefix_chars: int) -> DataFrame:
+    """(length, prefix hash) that more than one row has, among rows of shared lengths only.
+
+    ``lengths`` is stored. The second scan; it reads prefixes, and only these small keys are moved.
+    """
+    keys = keyed.select("n_bytes", F.xxhash64(F.substring("text", 1, prefix_chars)).alias("prefix"))
+    counted = decide(
+        keys, lengths, F.col("n_bytes") == F.col("shared_bytes"), "left_semi",
+        lengths.count() * LENGTH_BYTES,
+    ).groupBy("n_bytes", "prefix").agg(F.count(F.lit(1)).alias("rows"))
+    return counted.where("rows > 1").select(
+        F.col("n_bytes").alias("group_bytes"), F.col("prefix").alias("group_prefix")
     )
-    return counts.where("rows > 1").join(lengths, "n_bytes", "left_semi").select("n_bytes", "prefix")
 
 
 def exact_dedup(
@@ -46,31 +55,39 @@ def exact_dedup(
     Texts are equal when identical; a null text counts as empty. In a group of equal texts the row
     with the largest id stays, a null id is below every other, and of several rows with that id
     one stays. ``text_sha256`` is filled for rows whose length and prefix another row shares, and
-    for all rows with ``digest_all``. Other columns of ``docs`` are ignored; an empty table gives
-    no rows.
+    for all rows with ``digest_all``, where the others' digest is output only. Other columns of
+    ``docs`` are ignored; an empty table gives no rows.
 
-    The first scan counts lengths and prefix hashes, which combine before the shuffle. The second
-    hashes whole texts of surviving groups only; where those are too many to broadcast, it hashes
-    every row instead of moving texts to the groups. No text is shuffled either way.
+    Only rows that are left after lengths and after prefixes are grouped by the hash of their whole
+    text. Tables of lengths and prefixes are broadcast where they were found small; larger ones are
+    joined by a shuffle of keys, or of texts where only survivors are to be hashed.
     """
-    keyed = _keyed(docs, id_col, text_col, prefix_chars)
-    groups = stage(surviving_groups(keyed.drop("text", "id")), "groups")
-    group_key = F.struct("n_bytes", "prefix")
-    if digest_all or groups.count() > BROADCAST_GROUPS:
-        hashed = keyed.withColumn("text_sha256", F.sha2("text", 256))
-    else:
-        marked = groups.withColumn("survives", F.lit(True))
-        hashed = keyed.join(F.broadcast(marked), ["n_bytes", "prefix"], "left").withColumn(
-            "text_sha256", F.when(F.col("survives"), F.sha2("text", 256))
-        )
+    keyed = _keyed(docs, id_col, text_col)
+    lengths = stage(shared_lengths(keyed.select("n_bytes")), "lengths")
+    groups = stage(shared_prefixes(keyed, lengths, prefix_chars), "groups")
+    marked = groups.withColumn("survives", F.lit(True))
+    size = groups.count() * GROUP_BYTES
+    full = keyed.select(
+        F.monotonically_increasing_id().alias("row"), "id", "n_bytes",
+        F.xxhash64(F.substring("text", 1, prefix_chars)).alias("prefix"), "text",
+    )
+    # Whole texts are hashed after the join, which tells whether they have to be.
+    digest = F.when(F.col("survives"), F.sha2("text", 256))
+    if digest_all:
+        small = ["row", "id", "n_bytes", "prefix", F.sha2("text", 256).alias("digest")]
+        full, digest = stage(full.select(*small), "rows"), F.col("digest")
+    same = (F.col("n_bytes") == F.col("group_bytes")) & (F.col("prefix") == F.col("group_prefix"))
+    left = decide(full, marked, same, "left", size)
     rows = stage(
-        hashed.select(
-            F.monotonically_increasing_id().alias("row"), "id", "n_bytes", "prefix", "text_sha256"
+        left.select(
+            "row", "id", "n_bytes", "prefix", F.coalesce("survives", F.lit(False)).alias("survives"),
+            digest.alias("text_sha256"),
         ),
-        "rows",
+        "survivors",
     )
+    group_key = F.struct("n_bytes", "prefix")
     copies = (
-        rows.where("text_sha256 is not null")
+        rows.where("survives")
         .groupBy(group_key.alias("key"), "text_sha256")
         .agg(
             F.max(F.struct("id", "row")).alias("keeper"),
@@ -84,7 +101,9 @@ def exact_dedup(
             "group_size",
         )
     )
-    joined = rows.join(copies, F.col("text_sha256") == F.col("copy_sha256"), "left")
+    joined = rows.join(
+        copies, F.col("survives") & (F.col("text_sha256") == F.col("copy_sha256")), "left"
+    )
     copied = F.col("keeper_row").isNotNull()
     return joined.select(
         "id",

@@ -7,6 +7,7 @@ import pytest
 
 from peerband.llm.components import components
 from peerband.llm.exact_dedup import drop_exact_copies, exact_dedup
+from peerband.llm import common
 from peerband.llm import exact_dedup as exact
 from peerband.llm import simhash
 from tests.llm.shapes import TEXTS, messy, rows_of
@@ -71,9 +72,36 @@ def test_exact_dedup_equals_grouping(spark, digest_all):
     assert all(r.id == r.keep_id for r in rows if r.kept)
 
 
-def test_exact_dedup_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(exact, "BROADCAST_GROUPS", -1)
-    assert exact_dedup(messy(spark)).where("kept").count() == len(groups(TEXTS))
+@pytest.mark.parametrize("digest_all", [False, True])
+def test_exact_dedup_without_broadcast(spark, monkeypatch, digest_all):
+    want = sorted(map(str, exact_dedup(messy(spark), digest_all=digest_all).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    found = exact_dedup(messy(spark), digest_all=digest_all)
+    assert found.where("kept").count() == len(groups(TEXTS))
+    assert sorted(map(str, found.collect())) == want
+
+
+@pytest.mark.parametrize("digest_all", [False, True])
+def test_each_step_of_the_refinement_removes_rows(spark, monkeypatch, digest_all):
+    head = "h" * 64
+    rows = [(1, "alone"), (2, "short one"), (3, "other one"), (4, head + "first end"),
+            (5, head + "later end"), (6, head + "equal end"), (7, head + "equal end")]
+    staged = {}
+    real = exact.stage
+    monkeypatch.setattr(exact, "stage", lambda df, name: staged.setdefault(name, real(df, name)))
+    found = exact_dedup(messy(spark, rows), digest_all=digest_all)
+    sizes = [r.shared_bytes for r in staged["lengths"].collect()]
+    assert sorted(sizes) == [9, 73]  # "alone" goes
+    assert [r.group_bytes for r in staged["groups"].collect()] == [73]  # 2 and 3 go
+    left = staged["survivors"].where("survives")
+    assert sorted(r.id for r in left.collect()) == [4, 5, 6, 7]
+    hashed = staged["survivors"].where("text_sha256 is not null").count()
+    assert hashed == (7 if digest_all else 4)
+    # Groups are formed of survivors only: the plan filters before it aggregates digests.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate"):].split("Relation")[0]
+    assert "Filter" in below and "survives" in below.split("Filter")[1]
+    assert {r.id: r.keep_id for r in found.collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 7, 7: 7}
 
 
 def test_drop_exact_copies_keeps_columns_and_one_row_each(spark):
