@@ -1,14 +1,18 @@
-"""Line deduplication by spans of lines that just hold enough words.
-
-Each document is a row of hashes of its lines that hold a word. From every line starts the shortest
-span of lines with enough words, and at every line ends one. A repeated run with enough words is
-the union of the spans inside it, and each of these is repeated with it. So a line is in a repeated
-run just when it is in a span whose key has an earlier place: places are compared with the first
-of their key, which holds the same lines, and no run has to be extended or compared line by line.
+"""Line deduplication by winnowing over line hashes.
+
+Each document is a row of hashes of its lines that hold a word. A window is a shortest span of lines
+with enough words: one starts at every line and one ends there. The least hash of a window is its
+fingerprint, so two places that hold the same window have the same fingerprint, and every repeated
+run with enough words, which has at least one whole window, is guaranteed to share one. Windows
+whose fingerprint stands nowhere else are done with. The others are joined by position: a window's
+content, named by its fingerprint and a 128-bit hash of its line hashes, is looked up at its first
+place. Windows that match along one diagonal extend each other both ways to runs, and runs that are
+not at their first place are deleted.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +24,15 @@ from pyspark.sql import functions as F
 from peerband.llm.common import decide, prepare, quoted, text_or_empty
 from peerband.session import stage
 
-WINDOW = 2
 #: Words a run must have to be deleted.
 LEAST_WORDS = 50
 #: Bytes of a document's name and of a run in a hashed table.
 DOC_BYTES, RUN_BYTES = 128, 32
+#: Bytes of a fingerprint in a hashed table.
+MARK_BYTES = 16
+#: A key at more places than this, and than this share of all windows, is joined by broadcast:
+#: there are at most as many such keys as the share says.
+HOT_PLACES, HOT_SHARE = 10_000, 50_000
 
 
 def content_lines(text: str) -> tuple[list[int], list[str]]:
@@ -45,21 +53,9 @@ def line_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
-def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Positions of window minima, the last of equal ones; a shorter text is one window."""
-    n = len(hashes)
-    if n == 0:
-        return np.empty(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(hashes, min(window, n))
-    last = views.shape[1] - 1 - views[:, ::-1].argmin(axis=1)
-    return np.unique(np.arange(len(views)) + last)
-
-
-def fingerprints(
-    hashes: np.ndarray, words: np.ndarray, least_words: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, start, stop) of every shortest span of lines of one document with ``least_words``."""
-    n, least = len(hashes), max(least_words, 1)
+def windows(words: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, stop) of every shortest span of lines with ``least_words``, from and to each line."""
+    n, least = len(words), max(least_words, 1)
     total = np.concatenate([[0], np.cumsum(words)])
     stop = np.searchsorted(total, total[:-1] + least)
     start = np.searchsorted(total, total[1:] - least, side="right") - 1
@@ -67,12 +63,39 @@ def fingerprints(
     spans = np.unique(np.concatenate([
         from_line * (n + 1) + stop[from_line], start[to_line] * (n + 1) + to_line + 1
     ]))
-    start, stop = spans // (n + 1), spans % (n + 1)
+    return spans // (n + 1), spans % (n + 1)
+
+
+def winnow(hashes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Position of the least hash of each window, the last of equal ones."""
+    best = np.empty(len(start), np.int64)
+    # Windows go on from left to right, so what is passed by a lesser hash is never looked at again.
+    line, kept = 0, deque()
+    for k, (a, b) in enumerate(zip(start.tolist(), stop.tolist())):
+        while line < b:
+            while kept and hashes[kept[-1]] >= hashes[line]:
+                kept.pop()
+            kept.append(line)
+            line += 1
+        while kept[0] < a:
+            kept.popleft()
+        best[k] = kept[0]
+    return best
+
+
+def fingerprints(
+    hashes: np.ndarray, words: np.ndarray, least_words: int
+) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """(mark, at, key, start, stop) of every window of one document.
+
+    ``mark`` is the window's fingerprint and ``at`` the line it stands in.
+    """
+    start, stop = windows(words, least_words)
+    at = winnow(hashes, start, stop)
     raw = hashes.tobytes()
-    digest = xxhash.xxh64_intdigest
-    keys = np.fromiter((digest(raw[8 * a:8 * b]) for a, b in zip(start.tolist(), stop.tolist())),
-                       np.uint64, len(spans))
-    return keys, start, stop
+    digest = xxhash.xxh3_128_digest
+    keys = [digest(raw[8 * a:8 * b]) for a, b in zip(start.tolist(), stop.tolist())]
+    return hashes[at], at, keys, start, stop
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -86,6 +109,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return runs
 
 
+def extended(matches: list[dict]) -> list[tuple[int, int]]:
+    """Runs of windows that overlap or touch on one diagonal: each extends the others both ways."""
+    diagonals: dict[tuple, list[tuple[int, int]]] = {}
+    for m in matches:
+        on = diagonals.setdefault((m["first_doc"], m["diagonal"]), [])
+        on.append((m["start"], m["stop"]))
+    return [run for spans in diagonals.values() for run in merged(spans)]
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, id, text). ``doc`` names a document by id and text; rows that repeat both are one."""
     text = text_or_empty(text_col)
@@ -95,58 +127,89 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_runs(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least_words: int = LEAST_WORDS,
 ) -> DataFrame:
-    """(doc, runs) of documents with later repeated runs; runs count lines that hold a word.
-
-    ``window`` has no influence: every span is a fingerprint, none is left out.
-    """
+    """(doc, runs) of documents with later repeated runs; runs count lines that hold a word."""
     prepare(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
     id_type = keyed.schema["id"].dataType.simpleString()
+    window = pa.struct([("mark", pa.int64()), ("key", pa.binary()), ("start", pa.int32()),
+                        ("stop", pa.int32())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, starts, stops = [], [], []
+            marks, found, sizes = [], [], []
             for text in batch.column(2).to_pylist():
-                key, start, stop = fingerprints(*line_hashes(text), least_words)
-                keys.append(key.view(np.int64))
-                starts.append(start.astype(np.int32))
-                stops.append(stop.astype(np.int32))
+                mark, at, key, start, stop = fingerprints(*line_hashes(text), least_words)
+                # A fingerprint counts once a line, however many windows chose it.
+                marks.append(mark[np.unique(at, return_index=True)[1]].view(np.int64))
+                sizes.append(len(key))
+                found.append((mark.view(np.int64), key, start, stop))
+            rows = pa.StructArray.from_arrays(
+                [pa.array(np.concatenate([f[0] for f in found]), pa.int64()),
+                 pa.array([k for f in found for k in f[1]], pa.binary()),
+                 pa.array(np.concatenate([f[2] for f in found]), pa.int32()),
+                 pa.array(np.concatenate([f[3] for f in found]), pa.int32())],
+                fields=list(window),
+            )
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())),
-                 pa.array(starts, pa.list_(pa.int32())), pa.array(stops, pa.list_(pa.int32()))],
-                names=["doc", "id", "keys", "starts", "stops"],
+                [batch.column(0), batch.column(1), pa.array(marks, pa.list_(pa.int64())),
+                 pa.ListArray.from_arrays(offsets, rows)],
+                names=["doc", "id", "marks", "windows"],
             )
 
     lines = stage(
         keyed.mapInArrow(
-            read, f"doc string, id {id_type}, keys array<bigint>, starts array<int>,"
-            " stops array<int>"
+            read, f"doc string, id {id_type}, marks array<bigint>,"
+            " windows array<struct<mark: bigint, key: binary, start: int, stop: int>>"
         ),
         "lines",
     )
-    spans = lines.select(
-        "doc", "id", F.explode(F.arrays_zip("keys", "starts", "stops")).alias("at")
-    ).select("doc", "id", F.col("at.starts").alias("start"), F.col("at.stops").alias("stop"),
-             F.col("at.keys").alias("key"))
+    # Rows that repeat id and text are one document, so their lines are not each other's copies.
+    shared = stage(
+        lines.select("doc", F.posexplode("marks").alias("i", "mark"))
+        .groupBy("mark").agg(F.min(F.struct("doc", "i")).alias("a"),
+                             F.max(F.struct("doc", "i")).alias("b"))
+        .where("a <> b").select(F.col("mark").alias("shared")),
+        "shared",
+    )
+    spans = lines.select("doc", "id", F.explode("windows").alias("w")).select("doc", "id", "w.*")
+    spans = stage(
+        decide(spans, shared, F.col("mark") == F.col("shared"), "left_semi",
+               shared.count() * MARK_BYTES),
+        "windows",
+    )
     place = F.struct("id", "doc", "start")
-    firsts = (
-        spans.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    key = ["mark", "key"]
+    firsts = stage(
+        spans.groupBy(*key)
+        .agg(F.min(place).alias("first"), F.max(place).alias("last"),
+             F.count(F.lit(1)).alias("places"))
         .where("first <> last")
-        .select("key", F.col("first.doc").alias("first_doc"), F.col("first.start").alias("first_start"))
+        .select(*[F.col(c).alias(f"first_{c}") for c in key], "places",
+                F.col("first.doc").alias("first_doc"), F.col("first.start").alias("first_start")),
+        "firsts",
     )
+    total = firsts.agg(F.coalesce(F.sum("places"), F.lit(0))).first()[0]
+    hot = F.col("places") > max(HOT_PLACES, total // HOT_SHARE)
+    same = (F.col("mark") == F.col("first_mark")) & (F.col("key") == F.col("first_key"))
+    own = ["doc", "start", "stop", "first_doc", "first_start"]
+    often = spans.join(F.broadcast(firsts.where(hot)), same).select(*own)
+    seldom = spans.join(firsts.where(~hot), same).select(*own)
     later = (
-        spans.drop("id").join(firsts, "key")
+        often.unionAll(seldom)
         .where("doc <> first_doc or start <> first_start")
-        .groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+        .groupBy("doc").agg(
+            F.collect_set(F.struct("first_doc", (F.col("start") - F.col("first_start"))
+                                   .alias("diagonal"), "start", "stop")).alias("spans"))
     )
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = [
-                [{"start": a, "stop": b} for a, b in merged([(x["start"], x["stop"]) for x in at])]
+                [{"start": a, "stop": b} for a, b in merged(extended(at))]
                 for at in batch.column(1).to_pylist()
             ]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
@@ -168,7 +231,7 @@ def cut_lines(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, list[in
 
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least_words: int = LEAST_WORDS,
 ) -> DataFrame:
     """One row per row: id, n_lines (with a word), n_deleted, deleted (line numbers), text.
@@ -176,12 +239,11 @@ def line_dedup(
     Documents are in the order of their ids, a null id first, then of a hash of their texts. A line
     is deleted where it is in a run of lines of at least ``least_words`` words that stands in an
     earlier document or further up in the same one, wherever that is; what stands first stays.
-    Lines are equal when identical, told by 64-bit hashes of lines and spans; lines without a word
-    are skipped in matching and stay. Null texts count as empty. Rows that repeat both id and text
-    get the same answer. Other columns are ignored; an empty table gives no rows. ``window`` has
-    no influence.
+    Lines are equal when identical, told by their 64-bit hashes and a 128-bit hash of a window's;
+    lines without a word are skipped in matching and stay. Null texts count as empty. Rows that repeat both id and text
+    get the same answer. Other columns are ignored; an empty table gives no rows.
     """
-    found = stage(repeated_runs(docs, id_col, text_col, window, least_words), "runs")
+    found = stage(repeated_runs(docs, id_col, text_col, least_words), "runs")
     held = found.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("runs")).alias("runs")).first()
     joined = decide(
         _keyed(docs, id_col, text_col), found.withColumnRenamed("doc", "run_doc"),
