@@ -26,8 +26,9 @@ from peerband.session import stage
 
 CAPACITY = 2048
 END_ID = 0
-#: Entries each word cache of a Python worker holds before it starts anew.
-CACHE_WORDS = 250_000
+#: Entries each word cache of a Python worker holds before it starts anew, and characters of the
+#: longest word that is kept: text without spaces is one word, and is not.
+CACHE_WORDS, CACHE_CHARS = 250_000, 64
 #: Characters of text that are split into words at once.
 SLAB_CHARS = 1 << 20
 
@@ -106,6 +107,7 @@ class WordEncoder:
         self.symbols = dict(enumerate(byte_symbols()))
         self.words: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {"": b""}
+        self.passing: list[str] = []
 
     def _part(self, part: str) -> bytes:
         code = self.parts.get(part)
@@ -114,10 +116,16 @@ class WordEncoder:
                 self.symbols
             )
             ids = [t.id for t in self.model.tokenize(plain)]
-            code = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
+            code = struct.pack(f"<{len(ids)}I", *ids)
+            if len(part) <= CACHE_CHARS:
+                self.parts[part] = code
         return code
 
     def learn(self, words: set[str]) -> None:
+        """Know all of ``words``; long ones until the next call only."""
+        for w in self.passing:
+            self.words.pop(w, None)
+        self.passing = [w for w in words if len(w) > CACHE_CHARS]
         if len(self.words) > CACHE_WORDS:
             self.words = {"": b""}
         if len(self.parts) > CACHE_WORDS:

@@ -26,8 +26,9 @@ from peerband.llm.common import append_columns, resident, slabs
 SPACE = "▁"
 #: Characters up to which the agenda is a plain list, which is faster than a heap there.
 SHORT = 48
-#: Entries of the young half of each cache of a Python worker.
-CACHE_PARTS = 250_000
+#: Entries of the young half of each cache of a Python worker, and characters of the longest word
+#: that is kept: text without spaces is one word, and is not.
+CACHE_PARTS, CACHE_CHARS = 250_000, 64
 #: Characters of text that are split into words at once.
 SLAB_CHARS = 1 << 20
 NORMAL, BYTE = 1, 6
@@ -50,8 +51,9 @@ class Recent:
                 self.young[key] = found
         return found
 
-    def put(self, key, value) -> None:
-        self.young[key] = value
+    def put(self, key: str, value) -> None:
+        if len(key) <= CACHE_CHARS:
+            self.young[key] = value
 
     def age(self) -> None:
         if len(self.young) > self.size:

@@ -109,6 +109,21 @@ def test_pieces_equal_the_library(text):
     assert vocab.encode(text) == vocab.library.encode(text)
 
 
+def test_caches_keep_nothing_of_texts_without_spaces():
+    """What a worker holds does not grow with the length of texts."""
+    texts = ["無" * 20_000 + str(n) for n in range(12)] + ["x" * 5000 + " plain words"]
+    words = packing.WordEncoder(WORD_FILE)
+    for t in texts:
+        list(words.encode([t]))
+    list(words.encode(["plain words"]))
+    assert max(map(len, [*words.words, *words.parts])) <= packing.CACHE_CHARS
+    found = pieces.MergeVocabulary(PIECE_FILE)
+    for t in texts[:3]:
+        assert found.encode(t) == found.library.encode(t)
+    kept = [*found.words.young, *found.words.old, *found.parts.young, *found.parts.old]
+    assert max(map(len, kept)) <= pieces.CACHE_CHARS
+
+
 def test_both_agendas_agree():
     vocab = pieces.vocabulary(PIECE_FILE)
     rng = random.Random(1)
