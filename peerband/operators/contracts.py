@@ -1,10 +1,13 @@
-"""Declarative table contracts, checked with one aggregate plus one key count."""
+"""Declarative table contracts, checked with one aggregate plus one key count.
+
+A table that is about to be written is measured by that write; only its keys are read again.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,26 +142,54 @@ def violations(df: DataFrame, contract: Contract) -> DataFrame:
             )
         ).alias("r")
     ).select("r.*")
-    repeated = (
+    return rows.unionByName(repeated_keys(df, contract))
+
+
+def repeated_keys(df: DataFrame, contract: Contract) -> DataFrame:
+    """One row (rule, violations): the rows beyond one of each key."""
+    return (
         df.groupBy(*contract.key)
         .agg(F.count(F.lit(1)).alias("n"))
         .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations"))
         .select(F.lit(f"unique {', '.join(contract.key)}").alias("rule"), "violations")
     )
-    return rows.unionByName(repeated)
+
+
+def _refuse(contract: Contract, rule: str, rows: int) -> None:
+    if rows:
+        raise ContractError(f"{contract.table}: {rows} row(s) break '{rule}'")
 
 
 def validate(df: DataFrame, contract: Contract) -> DataFrame:
     """The coerced table, or ContractError naming the first broken rule."""
     coerced = coerce(df, contract)
     for row in violations(df, contract).collect():  # one row per rule of the contract
-        if row["violations"]:
-            raise ContractError(
-                f"{contract.table}: {row['violations']} row(s) break '{row['rule']}'"
-            )
+        _refuse(contract, row["rule"], row["violations"])
     return coerced
 
 
+def write_checked(df: DataFrame, contract: Contract, path: str) -> tuple[DataFrame, int]:
+    """Write the coerced table as Parquet; return it read back, and its rows.
+
+    Rows and broken rules are counted by the write itself, and only the keys are read after it. A
+    broken rule raises ContractError and leaves what was written.
+    """
+    coerced = coerce(df, contract)
+    rules = _rules(coerced, contract)
+    seen = Observation()
+    coerced.observe(
+        seen, F.count(F.lit(1)).alias("rows"),
+        *[F.count_if(bad).alias(f"r{i}") for i, (_, bad) in enumerate(rules)],
+    ).write.parquet(path)
+    counts = seen.get
+    for i, (rule, _) in enumerate(rules):
+        _refuse(contract, rule, counts[f"r{i}"])
+    written = df.sparkSession.read.parquet(path)
+    found = repeated_keys(written, contract).first()
+    _refuse(contract, found["rule"], found["violations"])
+    return written, counts["rows"]
+
+
 def validate_listings(df: DataFrame) -> DataFrame:
     return validate(df, LISTINGS)
 

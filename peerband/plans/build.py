@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,50 +23,47 @@ class Market:
 
 
 def curate_market(
-    raw_listings: DataFrame, raw_calendar: DataFrame, snapshot_date: str,
-    params: Params = DEFAULTS, store: Callable[[DataFrame, str], DataFrame] = stage,
-) -> dict[str, DataFrame]:
-    """The four curated tables, each written once by ``store`` and validated."""
-    listings = contracts.validate_listings(store(curate_listings(raw_listings, params), "listings"))
-    cube = contracts.validate_seasonality(
-        store(cal.calendar_cube(raw_calendar), "calendar_seasonality")
-    )
-    series = contracts.validate_detrended(
-        store(cal.detrend(raw_calendar, snapshot_date, params.rolling_window),
-              "calendar_seasonality_detrended")
-    )
+    raw_listings: DataFrame, raw_calendar: DataFrame, snapshot_date: str, folder: str,
+    params: Params = DEFAULTS,
+) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """The four curated tables and their rows, each written once to ``folder`` and checked."""
+    tables, rows = {}, {}
+
+    def add(df: DataFrame, contract: contracts.Contract) -> DataFrame:
+        name = contract.table
+        tables[name], rows[name] = contracts.write_checked(
+            df, contract, f"{folder}/{name}.parquet"
+        )
+        return tables[name]
+
+    listings = add(curate_listings(raw_listings, params), contracts.LISTINGS)
+    cube = add(cal.calendar_cube(raw_calendar), contracts.SEASONALITY)
+    add(cal.detrend(raw_calendar, snapshot_date, params.rolling_window), contracts.DETRENDED)
     booked = cal.booked_rate_by_listing(cube)
-    occupancy = contracts.validate_occupancy(
-        store(estimate_occupancy(listings, booked, params), "occupancy")
-    )
-    return {
-        "listings": listings,
-        "calendar_seasonality": cube,
-        "calendar_seasonality_detrended": series,
-        "occupancy": occupancy,
-    }
+    add(estimate_occupancy(listings, booked, params), contracts.OCCUPANCY)
+    return tables, rows
 
 
 def publish_market(
     spark: SparkSession, raw_listings: DataFrame, raw_calendar: DataFrame, files: DataFrame,
     out_dir: str, snapshot_date: str, source: str, params: Params = DEFAULTS,
 ) -> Market:
-    """Curate into a run folder beside the published tables, then move the run into place.
+    """Curate into a folder of its own beside earlier builds, then point to it.
 
     Fingerprints, contracts and the manifest come first; a failure there publishes nothing. Every
-    table is written once.
+    table is written once, and readers see one whole build at any moment.
     """
-    run = curated.RunFolder(spark, out_dir)
+    build = curated.Build(spark, out_dir, f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}")
     try:
-        files = run.store(files, "raw_files")
-        tables = curate_market(raw_listings, raw_calendar, snapshot_date, params, run.store)
-        run.write_manifest(curated.manifest(tables, snapshot_date, source, files))
-        run.publish()
+        files = build.store(files, "raw_files")
+        tables, rows = curate_market(
+            raw_listings, raw_calendar, snapshot_date, build.path("")[:-1], params
+        )
+        build.write_manifest(curated.manifest(tables, rows, snapshot_date, source, files))
+        build.publish()
     finally:
-        run.clear()
-    return Market(
-        curated.read_curated(spark, out_dir), spark.read.json(f"{out_dir}/manifest.json")
-    )
+        build.clear()
+    return Market(curated.read_curated(spark, out_dir), curated.read_manifest(spark, out_dir))
 
 
 def build_market(spark: SparkSession, raw_dir: str, out_dir: str, snapshot_date: str,

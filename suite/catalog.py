@@ -124,7 +124,16 @@ def curated_write_read(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    """
+    WITH folder AS (SELECT regexp_replace(file_name, '[^/]*$', '') AS f
+      FROM parquet_file_metadata('/root/testdata/sf*/lineitem.parquet')
+      WHERE num_rows = (SELECT count(*) FROM lineitem))
+    SELECT regexp_extract(filename, '[^/]*$') AS file, sha256(content) AS sha256, size AS bytes
+    FROM read_blob('/root/testdata/sf*/*.parquet')
+    WHERE regexp_replace(filename, '[^/]*$', '') = (SELECT f FROM folder)
+    """
+)
 def file_fingerprints(spark, sf_dir):
     """sha256 and size of each input file."""
     return raw.fingerprints(spark, f"{sf_dir}/*.parquet")

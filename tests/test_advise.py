@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from peerband.operators import advise
 from peerband.plans.report import persona_report
-from tests.markets import advise_one, design, dummy_fit, make_market, to_spark
+from tests.markets import design, dummy_fit, expected_advice, make_market, to_spark
 from tests.test_demand import series
 
 FIELDS = [c.strip().split()[0] for c in advise.REQUEST_SCHEMA.split(",")]
@@ -34,7 +34,7 @@ def calendar(spark):
 
 
 @pytest.mark.parametrize("distance", [None, 3.0])
-def test_batch_advice_equals_one_at_a_time(spark, calendar, distance):
+def test_batch_advice_equals_a_table_of_expected_answers(spark, calendar, distance):
     market = make_market(distance=distance)
     advisor = advise.fit_advisor(to_spark(spark, market))
     x, y, hood = design(market)
@@ -42,14 +42,15 @@ def test_batch_advice_equals_one_at_a_time(spark, calendar, distance):
     asked = spark.createDataFrame(REQUESTS, advise.REQUEST_SCHEMA)
     got = {r["request_id"]: r for r in advise.advise(advisor, asked, calendar).collect()}
     assert len(got) == len(REQUESTS)
-    for values in REQUESTS:
-        want = advise_one(market, fitted, list(x.columns), dict(zip(FIELDS, values)))
-        row = got[values[0]]
+    named = [dict(zip(FIELDS, values)) for values in REQUESTS]
+    wanted = expected_advice(market, fitted, list(x.columns), named)
+    assert len(wanted) == len(REQUESTS)
+    for i, want in wanted.to_dict("index").items():
         for name, value in want.items():
-            if isinstance(value, float) and value is not None:
-                assert row[name] == pytest.approx(value, rel=1e-7, abs=1e-9), (values, name)
+            if isinstance(value, float):
+                assert got[i][name] == pytest.approx(value, rel=1e-7, abs=1e-9), (i, name)
             else:
-                assert row[name] == value, (values, name)
+                assert got[i][name] == value, (i, name)
     assert got[4]["neighbourhood_in_model"] is False  # kept by its own row, but never fitted
     assert got[6]["neighbourhood_in_model"] is False
     first = got[0]

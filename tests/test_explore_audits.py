@@ -47,6 +47,39 @@ def test_summaries(market, pdf):
     assert described["mean"] == pytest.approx(pdf["price"].mean())
 
 
+def scans(df, path):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("Initial Plan")[-1].count(path)
+
+
+def test_summaries_read_their_source_once(spark, pdf, tmp_path, monkeypatch):
+    """What is asked of a plan reads stored histograms only; the source was read to store them."""
+    path = str(tmp_path / "source.parquet")
+    to_spark(spark, pdf).write.parquet(path)
+    source, stored = spark.read.parquet(path), []
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    real = explore.stage
+    monkeypatch.setattr(explore, "stage", lambda df, n: stored.append(scans(df, path)) or real(df, n))
+    for made in (
+        explore.median_price_of_top_levels(source, k=2), explore.price_histogram(source, 60),
+        explore.describe_column(source, "price"),
+        explore.fixed_width_histogram(source, "price", 10),
+        explore.group_deviation(source, "neighbourhood", "price"),
+    ):
+        assert scans(made, path) == 0 and made.count()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert stored == [1] * 5
+
+
+def test_null_values_and_levels(spark):
+    rows = spark.createDataFrame(
+        [("a", None), ("a", None), ("a", 4.0), ("b", 1.0), ("b", 3.0), (None, 9.0), (None, 9.0),
+         (None, 9.0), (None, 9.0), ("c", None)], "neighbourhood string, price double")
+    got = explore.median_price_of_top_levels(rows, k=2).collect()
+    assert [tuple(r) for r in got] == [("b", 2, 2.0), ("a", 1, 4.0)]
+    assert explore.describe_column(rows.where("price is null"), "price").first()["n"] == 0
+
+
 def test_audits(spark, market, pdf):
     nulls = {r["column"]: r["nulls"] for r in audits.null_profile(market).collect()}
     assert nulls["bedrooms"] == pdf["bedrooms"].isna().sum() and nulls["price"] == 0

@@ -63,7 +63,7 @@ def test_valid_listings_pass_with_and_without_distance(raw_listings):
 
 
 @pytest.mark.parametrize("column, value, rule", [
-    ("price", -10.0, "price > 0"),
+    ("price", -0.01, "price > 0"),
     ("price", float("nan"), "price not null"),
     ("price", None, "price not null"),
     ("distance_to_beach_km", -1.0, "distance_to_beach_km >= 0"),
@@ -87,7 +87,7 @@ def test_duplicates_and_missing_columns_fail(spark, raw_listings):
     with pytest.raises(contracts.ContractError, match="missing column"):
         contracts.validate_listings(out.drop("price"))
     seasonal = spark.createDataFrame(
-        [(1, 1, 3, 500.0, 0.6), (1, 1, 3, 500.0, 0.2)],
+        [(77, 12, 0, None, 0.125), (77, 12, 0, 64.5, 0.875)],
         "listing_id int, month int, dow int, median_cal_price double, booked_rate double")
     with pytest.raises(contracts.ContractError, match="unique listing_id, month, dow"):
         contracts.validate_seasonality(seasonal)
@@ -97,9 +97,11 @@ def test_duplicates_and_missing_columns_fail(spark, raw_listings):
 
 def test_occupancy_contract(spark):
     schema = "listing_id long, occupancy_est double"
-    contracts.validate_occupancy(spark.createDataFrame([(1, 0.3), (2, 0.5)], schema))
-    with pytest.raises(contracts.ContractError, match="<= 1"):
-        contracts.validate_occupancy(spark.createDataFrame([(1, 1.5)], schema))
+    edges = spark.createDataFrame([(8, 0.0), (9, 1.0), (10, 0.0625)], schema)
+    assert contracts.validate_occupancy(edges).count() == 3
+    for share, rule in ((1.0000001, "<= 1"), (-0.0000001, ">= 0"), (None, "not null")):
+        with pytest.raises(contracts.ContractError, match=f"occupancy_est {rule}"):
+            contracts.validate_occupancy(edges.union(spark.createDataFrame([(11, share)], schema)))
 
 
 @pytest.mark.parametrize("column, value", [("unavail_rate", 1.5), ("event_uplift", -1.5)])
