@@ -125,7 +125,8 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("host_is_superhost"),
         F.expr(f"case {key} % 4 when 0 then 't' when 1 then 'f' else 'T' end")
         .alias("instant_bookable"),
-        F.lit("within an hour").alias("host_response_time"),
+        F.expr(f"element_at(array('within an hour', 'within a day', '', 'N/A'), cast(1 + {key} % 4 as int))")
+        .alias("host_response_time"),
         F.expr(f"case when {key} % 6 = 0 then 'N/A' else concat(cast({key} % 101 as string), '%')"
                " end").alias("host_response_rate"),
         F.expr(f"concat(cast({key} % 100 as string), '%')").alias("host_acceptance_rate"),
@@ -138,7 +139,12 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(f"case when {key} % 10 = 0 then 'never' else "
                f"date_format(date_add(date'2024-01-01', cast({key} % 400 as int)), 'yyyy-MM-dd')"
                " end").alias("last_review"),
-        F.lit("2019-06-01").alias("first_review"),
+        # Days with a time, impossible days, and text after a day, which is no date.
+        F.expr(f"case when {key} % 11 = 0 then '2019-02-30' when {key} % 11 = 1 then "
+               f"concat(date_format(date_add(date'2015-03-01', cast({key} % 900 as int)), "
+               f"'yyyy-MM-dd'), ' or so') when {key} % 11 = 2 then '' else "
+               f"concat(date_format(date_add(date'2015-03-01', cast({key} % 900 as int)), "
+               f"'yyyy-MM-dd'), if({key} % 2 = 0, 'T10:30:00', '')) end").alias("first_review"),
         F.expr(f"cast({key} % 200 as string)").alias("estimated_occupancy_l365d"),
     )
 

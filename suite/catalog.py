@@ -176,7 +176,10 @@ raw AS (
     3.0 + (c_custkey % 9) / 8.0 AS review_scores_rating,
     c_custkey % 366 AS availability_365,
     CASE WHEN c_custkey % 10 = 0 THEN NULL
-      ELSE CAST(DATE '2024-01-01' + CAST(c_custkey % 400 AS INTEGER) AS DATE) END AS last_review
+      ELSE CAST(DATE '2024-01-01' + CAST(c_custkey % 400 AS INTEGER) AS DATE) END AS last_review,
+    ['within an hour', 'within a day', '', 'N/A'][1 + c_custkey % 4] AS host_response_time,
+    CASE WHEN c_custkey % 11 < 3 THEN NULL
+      ELSE CAST(DATE '2015-03-01' + CAST(c_custkey % 900 AS INTEGER) AS DATE) END AS first_review
   FROM customer JOIN nation ON c_nationkey = n_nationkey
 ),
 points(lat, lon) AS (VALUES """ + ", ".join(
@@ -198,6 +201,7 @@ _TYPED_COLUMNS = """
   CAST(host_acceptance_rate AS DOUBLE) AS host_acceptance_rate, number_of_reviews,
   number_of_reviews_ltm, CAST(reviews_per_month AS DOUBLE) AS reviews_per_month,
   CAST(review_scores_rating AS DOUBLE) AS review_scores_rating, availability_365, last_review,
+  host_response_time, first_review,
   CAST(listing_id % 200 AS DOUBLE) AS estimated_occupancy_l365d
 """
 
@@ -209,7 +213,7 @@ _TYPED_COLUMNS = """
 def listing_text_parsed(spark, sf_dir):
     """Every scalar parser over a whole text dump; no row dropped."""
     typed = curate.typed_listings(raw_listings(spark, sf_dir))
-    return rounded(typed.drop("host_response_time", "first_review"))
+    return rounded(typed)
 
 
 @query(
@@ -225,7 +229,7 @@ def listing_text_parsed(spark, sf_dir):
 def curated_listings(spark, sf_dir):
     """The curated listings table: typed, filtered, winsorized."""
     out = curate.curate_listings(raw_listings(spark, sf_dir))
-    return rounded(out.drop("host_response_time", "first_review"))
+    return rounded(out)
 
 
 @query(
@@ -728,6 +732,32 @@ def variance_inflation(spark, sf_dir):
     return rounded(hedonic.vif_table(frame, _TWO), 8)
 
 
+@query(
+    f"""WITH {LISTINGS_SQL},
+    named AS (SELECT *, CASE room_type WHEN 'AUTOMOBILE' THEN 'Hotel room' WHEN 'BUILDING'
+      THEN 'Entire home/apt' ELSE room_type END AS room FROM listings)
+    SELECT CASE room WHEN 'Hotel room' THEN 'Entire home/apt' ELSE room END AS room_level,
+      count(*) AS n, count(*) FILTER (room = 'Hotel room') AS hotels,
+      round(avg(ln(price)), 6) AS log_price
+    FROM named WHERE price > 0 GROUP BY 1
+    """
+)
+def hotel_rooms_folded(spark, sf_dir):
+    """Features count hotel rooms among homes; listings keep the level they came with."""
+    room = F.expr("case room_type when 'AUTOMOBILE' then 'Hotel room' when 'BUILDING' then"
+                  " 'Entire home/apt' else room_type end")
+    market = stage(listings(spark, sf_dir).withColumn("room_type", room), "named")
+    frame = features.design_frame(market, features.learn_features(market))
+    kept = market.select("listing_id", "room_type")
+    return rounded(
+        frame.join(kept, "listing_id").groupBy("room_level").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("room_type") == "Hotel room").alias("hotels"),
+            F.avg("log_price").alias("log_price"),
+        )
+    )
+
+
 def _whole_fit(spark, sf_dir):
     market = _market(spark, sf_dir)
     spec = features.learn_features(market)

@@ -64,7 +64,7 @@ ERRORS_SQL = """
 tested AS (SELECT name, b, sqrt(var * sse / df) AS se, b / sqrt(var * sse / df) AS t, df,
   atan(abs(b / sqrt(var * sse / df)) / sqrt(df)) AS low FROM coef, fit),
 tail AS (SELECT name, sum(CASE WHEN u = 0 OR u = 4000 THEN 1 WHEN u % 2 = 1 THEN 4 ELSE 2 END
-    * pow(cos(low + u * (12 / sqrt(df)) / 800), df - 1)) * (12 / sqrt(df)) / 4000 / 3
+    * pow(cos(low + u * (12 / sqrt(df)) / 4000), df - 1)) * (12 / sqrt(df)) / 4000 / 3
     * 2 * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(pi()) AS p
   FROM tested, (SELECT CAST(unnest(range(4001)) AS DOUBLE) AS u) GROUP BY name, df),
 z AS (SELECT 1.959963984540054 AS z),
