@@ -74,6 +74,18 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[quoted(source).alias(name) for name, source in columns.items()])
 
 
+def private(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like ``wanted`` that no column of ``df`` has, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        free = f"__{name}"
+        while free.lower() in taken:
+            free = f"_{free}"
+        taken.add(free.lower())
+        out.append(free)
+    return out
+
+
 def text_or_empty(name: str):
     return F.coalesce(quoted(name).cast("string"), F.lit(""))
 
@@ -110,12 +122,12 @@ def append_columns(
     """Every column of ``df`` unchanged, followed by columns computed from the text of a batch.
 
     ``fn`` gets the texts (None where null) and returns one array for each column of ``extra``, a
-    DDL list. An input column of the same name is replaced.
+    DDL list. An input column of the same name, in whatever case, is replaced.
     """
     prepare(df.sparkSession)
     added = T.StructType.fromDDL(extra)
-    names = set(added.fieldNames())
-    kept = df.select(*[quoted(c) for c in df.columns if c not in names or c == text_col])
+    names = {c.lower() for c in added.fieldNames()}
+    kept = df.select(*[quoted(c) for c in df.columns if c.lower() not in names or c == text_col])
     at = kept.columns.index(text_col)
     schema = T.StructType(kept.schema.fields + added.fields)
     # Spark looks up the input of a map by unquoted names.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerband.llm.common import decide, quoted, text_or_empty
+from peerband.llm.common import decide, private, quoted, text_or_empty
 from peerband.session import stage
 
 #: Bytes of an id and a digest, and of a length and a prefix hash, in a hashed table.
@@ -123,17 +123,16 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     decided = stage(exact_dedup(docs, id_col, text_col).where("group_size > 1"), "copies")
     same = F.col("id").eqNullSafe(F.col("keep_id"))
+    digest, drop_id, drop_digest = private(docs, "sha256", "drop_id", "drop_sha256")
     drops = stage(
         decided.where(~same).select(
-            F.col("id").alias("__drop_id"), F.unhex("text_sha256").alias("__drop_sha256")
+            F.col("id").alias(drop_id), F.unhex("text_sha256").alias(drop_digest)
         ).distinct(),
         "drops",
     )
-    hashed = docs.withColumn("__sha256", F.unhex(F.sha2(text_or_empty(text_col), 256)))
-    same_row = (F.col("__sha256") == F.col("__drop_sha256")) & quoted(id_col).eqNullSafe(
-        F.col("__drop_id")
-    )
+    hashed = docs.withColumn(digest, F.unhex(F.sha2(text_or_empty(text_col), 256)))
+    same_row = (F.col(digest) == F.col(drop_digest)) & quoted(id_col).eqNullSafe(F.col(drop_id))
     out = decide(hashed, drops, same_row, "left_anti", drops.count() * DROP_BYTES)
     if decided.where(same & ~F.col("kept")).limit(1).count():
-        out = out.dropDuplicates([id_col, "__sha256"])
+        out = out.dropDuplicates([id_col, digest])
     return out.select(*[quoted(c) for c in docs.columns])

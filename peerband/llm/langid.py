@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerband.llm.common import append_columns, narrow, prepare, quoted, resident
+from peerband.llm.common import append_columns, narrow, prepare, private, quoted, resident
 from peerband.session import stage
 
 ORDER = 3
@@ -240,8 +240,9 @@ def keep_identified(
     docs: DataFrame, trees: Trees | None, text_col: str = "text", least: float = 0.5
 ) -> DataFrame:
     """Rows of ``docs`` whose language is told with a posterior of ``least``, with their columns."""
-    judged = identify(docs, trees, text_col, ("__lang", "__score"))
-    sure = (F.col("`__lang`") != UNKNOWN) & (F.col("`__score`") >= least)
+    lang, score = private(docs, "lang", "score")
+    judged = identify(docs, trees, text_col, (lang, score))
+    sure = (F.col(lang) != UNKNOWN) & (F.col(score) >= least)
     return judged.where(sure).select(*[quoted(c) for c in docs.columns])
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerband.llm.common import append_columns, narrow, prepare, quoted
+from peerband.llm.common import append_columns, narrow, prepare, private, quoted
 
 #: Bytes of a passage; the last one of a text may be shorter.
 PASSAGE = 512
@@ -154,6 +154,28 @@ class Classifier:
         return _sigmoid(z @ self.weights["c"] + self.weights["c0"])
 
 
+def slopes(
+    w: dict[str, np.ndarray], x: np.ndarray, size: np.ndarray, labels: np.ndarray
+) -> dict[str, np.ndarray]:
+    """Gradient of the mean cross entropy of bags of ``size`` scaled passages each, in a row."""
+    first = np.cumsum(size) - size
+    bag = np.repeat(np.arange(len(size)), size)
+    h = np.tanh(x @ w["W"] + w["b"])
+    v, u = np.tanh(h @ w["V"]), _sigmoid(h @ w["U"])
+    a = np.exp((v * u) @ w["w"])
+    alpha = a / np.add.reduceat(a, first)[bag]
+    z = np.add.reduceat(h * alpha[:, None], first, axis=0)
+    error = (_sigmoid(z @ w["c"] + w["c0"]) - labels) / len(size)
+    dz = error[:, None] * w["c"]
+    pull = (dz[bag] * h).sum(axis=1)
+    da = alpha * (pull - np.add.reduceat(alpha * pull, first)[bag])
+    dg = da[:, None] * w["w"]
+    dv, du = dg * u * (1 - v * v), dg * v * u * (1 - u)
+    dh = (alpha[:, None] * dz[bag] + dv @ w["V"].T + du @ w["U"].T) * (1 - h * h)
+    return {"W": x.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dv, "U": h.T @ du,
+            "w": (v * u).T @ da, "c": z.T @ error, "c0": error.sum(keepdims=True)}
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Classifier:
     """Fit on feature bags and 0/1 labels by minibatch Adam, the same way every time."""
     rng = np.random.default_rng(seed)
@@ -175,22 +197,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Classifier
             chosen = order[at:at + BATCH]
             x = np.concatenate([bags[i] for i in chosen])
             size = np.array([len(bags[i]) for i in chosen])
-            first = np.cumsum(size) - size
-            bag = np.repeat(np.arange(len(chosen)), size)
-            h = np.tanh(x @ w["W"] + w["b"])
-            v, u = np.tanh(h @ w["V"]), _sigmoid(h @ w["U"])
-            a = np.exp((v * u) @ w["w"])
-            alpha = a / np.add.reduceat(a, first)[bag]
-            z = np.add.reduceat(h * alpha[:, None], first, axis=0)
-            error = (_sigmoid(z @ w["c"] + w["c0"]) - labels[chosen]) / len(chosen)
-            dz = error[:, None] * w["c"]
-            pull = (dz[bag] * h).sum(axis=1)
-            da = alpha * (pull - np.add.reduceat(alpha * pull, first)[bag])
-            dg = da[:, None] * w["w"]
-            dv, du = dg * u * (1 - v * v), dg * v * u * (1 - u)
-            dh = (alpha[:, None] * dz[bag] + dv @ w["V"].T + du @ w["U"].T) * (1 - h * h)
-            slope = {"W": x.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dv, "U": h.T @ du,
-                     "w": (v * u).T @ da, "c": z.T @ error, "c0": error.sum(keepdims=True)}
+            slope = slopes(w, x, size, labels[chosen])
             step += 1
             for k in w:
                 g = slope[k] + DECAY * w[k]
@@ -272,5 +279,6 @@ def score_quality(
 
 def keep_quality(docs: DataFrame, model: Classifier | None, text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that the classifier predicts as 1, with their columns; all without one."""
-    scored = score_quality(docs, model, text_col, ("__score", "__predicted"))
-    return scored.where("`__predicted` = 1").select(*[quoted(c) for c in docs.columns])
+    score, predicted = private(docs, "score", "predicted")
+    scored = score_quality(docs, model, text_col, (score, predicted))
+    return scored.where(F.col(predicted) == 1).select(*[quoted(c) for c in docs.columns])

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerband.llm.common import append_columns, decide, map_batches, narrow, quoted
+from peerband.llm.common import append_columns, decide, map_batches, narrow, private, quoted
 from peerband.llm.components import components
 from peerband.session import stage
 
@@ -245,6 +245,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     share both. Where no id repeats, rows are told apart by id; otherwise by id and fingerprint,
     which is computed again, so an id that repeats in another component is judged there alone.
     """
+    drop_id, drop_fp, own_fp = private(docs, "drop_id", "drop_fp", "fp")
     found = stage(
         _labelled(docs, id_col, text_col, BLOCK).select(
             "id", "fp", (F.col("id").eqNullSafe(F.col("component_id"))
@@ -254,21 +255,21 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     drops = stage(
         found.where("not keeps")
-        .select(F.col("id").alias("__drop_id"), F.col("fp").alias("__drop_fp"))
+        .select(F.col("id").alias(drop_id), F.col("fp").alias(drop_fp))
         .distinct(),
         "drops",
     )
-    same, n_bytes = quoted(id_col).eqNullSafe(F.col("__drop_id")), drops.count() * DROP_BYTES
+    same, n_bytes = quoted(id_col).eqNullSafe(F.col(drop_id)), drops.count() * DROP_BYTES
     if not found.groupBy("id").count().where("count > 1").limit(1).count():
         return decide(docs, drops, same, "left_anti", n_bytes)
 
     def run(texts: list) -> dict[str, pa.Array]:
         fps = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts))
-        return {"__fp": pa.array(fps.view(np.int64))}
+        return {own_fp: pa.array(fps.view(np.int64))}
 
-    marked = append_columns(docs, text_col, run, "__fp bigint")
-    same &= F.col("__fp") == F.col("__drop_fp")
+    marked = append_columns(docs, text_col, run, f"{own_fp} bigint")
+    same &= F.col(own_fp) == F.col(drop_fp)
     out = decide(marked, drops, same, "left_anti", n_bytes)
     if found.where("keeps").groupBy("id", "fp").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates([id_col, "__fp"])
+        out = out.dropDuplicates([id_col, own_fp])
     return out.select(*[quoted(c) for c in docs.columns])

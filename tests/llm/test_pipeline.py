@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from peerband.llm import langid, packing, quality, simhash
@@ -70,3 +71,24 @@ def test_stages_take_messy_and_empty_tables(spark):
                 assert out.collect()
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert out.columns == docs.columns
+
+
+def test_columns_that_clash_with_private_names_come_through(spark):
+    """Whatever the case of their letters, and where ids repeat too."""
+    names = ("__sha256", "__DROP_ID", "__drop_sha256", "__fp", "__Drop_fp", "__score",
+             "__Predicted", "__lang", "___score")
+    docs = messy(spark)
+    clash = docs.select("*", *[F.concat(F.lit(n), F.col("row").cast("string")).alias(n)
+                               for n in names])
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, clash, TINY)
+        assert out.columns == clash.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r['row']}" for r in rows for n in names), name
+
+
+def test_replaced_columns_are_told_without_case(spark):
+    docs = messy(spark).withColumnRenamed("score", "Score")
+    scored = quality.score_quality(docs, None)
+    assert [c for c in scored.columns if c.lower() == "score"] == ["score"]
+    assert {r["score"] for r in scored.select("score").collect()} == {0.5}

@@ -309,6 +309,53 @@ def test_gradient_learns_which_passage_matters():
     assert np.mean((model.scores(texts) >= 0.5) == labels) > 0.97
 
 
+def plain_loss(w, bags, labels):
+    """Mean cross entropy of gated attention, one bag and one passage at a time."""
+    total = 0.0
+    for bag, label in zip(bags, labels):
+        hidden = [np.tanh(x @ w["W"] + w["b"]) for x in bag]
+        gate = [np.tanh(h @ w["V"]) / (1 + np.exp(-(h @ w["U"]))) for h in hidden]
+        pull = np.exp([g @ w["w"] for g in gate])
+        z = sum(a / pull.sum() * h for a, h in zip(pull, hidden))
+        p = 1 / (1 + np.exp(-(z @ w["c"] + w["c0"][0])))
+        total -= label * np.log(p) + (1 - label) * np.log(1 - p)
+    return total / len(bags)
+
+
+def random_weights(rng):
+    h, g = quality.HIDDEN, quality.GATE
+    shapes = {"W": (quality.WIDTH, h), "b": h, "V": (h, g), "U": (h, g), "w": g, "c": h, "c0": 1}
+    return {k: rng.normal(0, 0.4, shape) for k, shape in shapes.items()}
+
+
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(3)
+    w, size = random_weights(rng), np.array([1, 4, 2])
+    bags = [rng.normal(0, 0.5, (n, quality.WIDTH)) for n in size]
+    labels = np.array([1.0, 0.0, 1.0])
+    found = quality.slopes(w, np.concatenate(bags), size, labels)
+    for name, values in w.items():
+        for _ in range(6):
+            at = tuple(rng.integers(n) for n in values.shape)
+            step = np.zeros_like(values)
+            step[at] = 1e-5
+            up, down = ({**w, name: values + s * step} for s in (1, -1))
+            want = (plain_loss(up, bags, labels) - plain_loss(down, bags, labels)) / 2e-5
+            assert found[name][at] == pytest.approx(want, rel=1e-5, abs=1e-9), (name, at)
+
+
+def test_scores_equal_a_plain_forward_pass():
+    rng = np.random.default_rng(9)
+    mean, scale = rng.normal(0, 0.05, quality.WIDTH), rng.uniform(0.05, 1, quality.WIDTH)
+    w = random_weights(rng)
+    model = quality.Classifier(mean, scale, w)
+    texts = ["some plain words here. " * 90, "", None, "SHORT!", "x" * 1300, "été 12 " * 400]
+    for text, score in zip(texts, model.scores(texts)):
+        features = np.concatenate([f for _, f in quality.passages([text])])
+        bag = np.clip((features - mean) / scale, -8, 8)
+        assert score == pytest.approx(np.exp(-plain_loss(w, [bag], [1])), rel=1e-9)
+
+
 def test_quality_fit_sees_every_passage_of_a_long_text(spark, monkeypatch):
     parts = ["plain words of prose that go on, and on. ".ljust(quality.PASSAGE)] * 300
     parts[1] = "BUY!! NOW!! " * 43
