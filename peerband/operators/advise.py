@@ -51,7 +51,7 @@ class Advisor:
             "neighbourhood_counts": self.spec.neighbourhood_counts,
             "property_counts": self.spec.property_counts,
             "peer_leaves": self.peers.leaves,
-            **{f"peer_groups_{k}": g for k, g in enumerate(self.peers.groups)},
+            **{f"peer_answers_{k}": a for k, a in enumerate(self.peers.answers)},
             "encoding": spark.createDataFrame(
                 [(
                     list(self.spec.numeric), self.spec.medians, list(self.spec.room_levels),
@@ -59,11 +59,13 @@ class Advisor:
                     [n for _, n in self.spec.property_top],
                     list(self.spec.property_levels), self.spec.n_rows, list(self.spec.dropped),
                     list(self.fit.names), list(self.fit.effects), self.peers.median,
+                    list(self.peers.capacities),
                 )],
                 "numeric array<string>, medians map<string,double>, room_levels array<string>,"
                 " top_levels array<string>, top_counts array<long>,"
                 " property_levels array<string>, n_rows long, dropped array<string>,"
-                " names array<string>, effects array<double>, median_price double",
+                " names array<string>, effects array<double>, median_price double,"
+                " capacities array<string>",
             ),
             "scalars": spark.createDataFrame(
                 [tuple(float(getattr(self.fit, f)) for f in _SCALARS)],
@@ -106,10 +108,12 @@ def load_advisor(spark: SparkSession, path: str, params: Params = DEFAULTS) -> A
         factors=spec.factors,
         **{f: int(sc[f]) if f in _COUNTS else sc[f] for f in _SCALARS},
     )
-    groups = tuple(
-        table(f"peer_groups_{k}") for k in range(len(peer_ops.lookup_columns(params)))
+    answers = tuple(
+        table(f"peer_answers_{k}") for k in range(len(peer_ops.lookup_columns(params)))
+    )
+    peers = peer_ops.PeerTables(
+        enc["median_price"], tuple(enc["capacities"]), answers, table("peer_leaves")
     )
-    peers = peer_ops.PeerTables(enc["median_price"], groups, table("peer_leaves"))
     return Advisor(spec, fit, peers, params)
 
 
@@ -226,9 +230,13 @@ def price_range(df: DataFrame, hedonic="hedonic_price", median="shrunk_median",
     with a ``reject_reason`` and no range.
     """
     h, m, i, p = (F.col(c).cast("double") for c in (hedonic, median, iqr, percentile))
-    reason = rejection_reason(h, m, i, p)
     anchor = h * params.model_weight + m * (1 - params.model_weight)
-    half = i * params.band_share_of_iqr
+    # Columns of their own, so that what they stand on is computed once for all that use them.
+    made = ["_reason", "_anchor", "_half"]
+    df = df.withColumns(dict(zip(
+        made, (rejection_reason(h, m, i, p), anchor, i * params.band_share_of_iqr)
+    )))
+    reason, anchor, half = map(F.col, made)
     ranges = {
         "low": F.greatest(anchor - half, anchor * params.floor_share_of_anchor),
         "anchor": anchor,
@@ -238,7 +246,7 @@ def price_range(df: DataFrame, hedonic="hedonic_price", median="shrunk_median",
     if on_invalid == "flag":
         return df.withColumns(
             {"reject_reason": reason, **{k: F.when(reason.isNull(), v) for k, v in ranges.items()}}
-        )
+        ).drop(*made)
     if on_invalid != "raise":
         raise ValueError(f"on_invalid is 'raise' or 'flag', not {on_invalid!r}")
     return df.withColumns(
@@ -246,7 +254,7 @@ def price_range(df: DataFrame, hedonic="hedonic_price", median="shrunk_median",
             k: F.when(reason.isNotNull(), F.raise_error(reason)).otherwise(v)
             for k, v in ranges.items()
         }
-    )
+    ).drop(*made)
 
 
 def drivers_column(coefficients: DataFrame, k: int) -> Column:
@@ -276,7 +284,8 @@ def advise(advisor: Advisor, requests: DataFrame, detrended: DataFrame,
             "target_price": F.coalesce(F.when(given > 0, given), F.col("hedonic_price")),
         }
     )
-    placed = peer_ops.position_requests(priced, advisor.peers, params)
+    # Written once: the model's price is named many times below, and lookups start from the table.
+    placed = peer_ops.position_requests(stage(priced, "priced"), advisor.peers, params)
     context = demand_ops.seasonal_context(detrended, params=params).select(
         F.struct("demand_note", "events", "magnitudes_are_lower_bounds", "dropped_edge",
                  "top_dates")

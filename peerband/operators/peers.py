@@ -8,6 +8,7 @@ of its price. Requests are not read twice, stored or grouped, and never meet ind
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -133,19 +134,26 @@ class PeerTables:
     """A market reduced for lookups. Tables are stored, so the planner knows their sizes."""
 
     median: float
-    #: For each set of key columns beside capacity, its groups: the columns and ``found``, a map
-    #: from "tier:capacity" to statistics and the lows of the group's leaves.
-    groups: tuple[DataFrame, ...]
+    #: Capacity buckets of the market; a request's other ones are like a missing one.
+    capacities: tuple[str, ...]
+    #: For each set of key columns beside capacity, finest first: the columns, capacity (one of
+    #: them or NULL) and ``answer``, what a request with these keys is told.
+    answers: tuple[DataFrame, ...]
     leaves: DataFrame
 
 
+#: Capacity buckets that a market may have.
+MOST_CAPACITIES = 1000
 CAPACITY = "cap_bucket"
 
 
 def lookup_columns(params: Params = DEFAULTS) -> list[tuple[str, ...]]:
     """The key columns beside capacity of every lookup, in the order of the tiers."""
     sets = [tuple(c for c in tier if c != CAPACITY) for tier in params.tiers]
-    return list(dict.fromkeys(sets))
+    out = list(dict.fromkeys(sets))
+    if any(not set(b) <= set(a) for a, b in zip(out, out[1:])):
+        raise ValueError("the key columns of a tier must be among those of the tiers before it")
+    return out
 
 
 def group_tables(statistics: DataFrame, leaves: DataFrame,
@@ -170,8 +178,9 @@ def group_tables(statistics: DataFrame, leaves: DataFrame,
     return out
 
 
-def resolve(requests: DataFrame, peers: PeerTables, params: Params = DEFAULTS) -> DataFrame:
-    """Add to each request the answering tier, its size and spread, the shrunk median and ``_lows``.
+def resolve(requests: DataFrame, groups: Sequence[DataFrame], median: float,
+            params: Params = DEFAULTS) -> DataFrame:
+    """Add the answering tier of each key combination, its size, spread, shrunk median and lows.
 
     The prior starts at the market median and walks finest to coarsest: a tier with too few
     rows hands its own shrunk median on as the prior of the next; an empty one hands on
@@ -179,7 +188,7 @@ def resolve(requests: DataFrame, peers: PeerTables, params: Params = DEFAULTS) -
     """
     kept = [quoted(c) for c in requests.columns]
     out, found = requests, {}
-    for k, (columns, table) in enumerate(zip(lookup_columns(params), peers.groups, strict=True)):
+    for k, (columns, table) in enumerate(zip(lookup_columns(params), groups, strict=True)):
         side = table.select(
             *[F.col(c).alias(f"_k{k}_{c}") for c in columns], F.col("found").alias(f"_found{k}")
         )
@@ -196,7 +205,7 @@ def resolve(requests: DataFrame, peers: PeerTables, params: Params = DEFAULTS) -
     out = out.select(*kept, *picked)
 
     last = len(params.tiers) - 1
-    prior = F.lit(peers.median)
+    prior = F.lit(median)
     tier = answer = chosen = None
     for i in range(last + 1):
         here = F.col(f"_t{i}")
@@ -208,7 +217,6 @@ def resolve(requests: DataFrame, peers: PeerTables, params: Params = DEFAULTS) -
         tier = (F.when if tier is None else tier.when)(accepts, F.lit(i))
         answer = (F.when if answer is None else answer.when)(accepts, prior)
         chosen = (F.when if chosen is None else chosen.when)(accepts, here)
-    names = F.array(*[F.array(*[F.lit(c) for c in tier]) for tier in params.tiers])
     tier = F.coalesce(tier, F.lit(last))
     placed = out.select(
         *kept, tier.alias("tier"), answer.otherwise(prior).alias("shrunk_median"),
@@ -217,15 +225,36 @@ def resolve(requests: DataFrame, peers: PeerTables, params: Params = DEFAULTS) -
     return placed.select(
         *kept,
         "tier",
-        F.get(names, F.col("tier")).alias("tier_used"),
         F.coalesce(F.col("_chosen")["n"], F.lit(0)).cast("bigint").alias("n_effective"),
         "shrunk_median",
         F.coalesce(F.col("_chosen")["iqr"], F.lit(0.0)).alias("iqr"),
         F.col("_chosen")["cv"].alias("cv"),
-        F.col("_chosen")["lows"].alias("_lows"),
+        F.col("_chosen")["lows"].alias("lows"),
     )
 
 
+ANSWER = ("tier", "n_effective", "shrunk_median", "iqr", "cv", "lows")
+
+
+def answer_tables(groups: Sequence[DataFrame], capacities: Sequence[str], median: float,
+                  params: Params = DEFAULTS) -> list[DataFrame]:
+    """What requests are told, for every combination of keys that any group has.
+
+    A request whose finest columns are unknown is told what the coarser ones alone would be, so
+    there is a row for each known set of columns and each capacity, NULL among them.
+    """
+    out = []
+    for columns, table in zip(lookup_columns(params), groups, strict=True):
+        sizes = F.array(*[F.lit(c) for c in capacities], F.lit(None).cast("string"))
+        known = table.select(*columns, F.explode(sizes).alias(CAPACITY)).select(
+            *[F.col(c) if c in (*columns, CAPACITY) else F.lit(None).cast("string").alias(c)
+              for c in GROUP]
+        )
+        found = resolve(known, groups, median, params)
+        out.append(found.select(*columns, CAPACITY, F.struct(*ANSWER).alias("answer")))
+    return out
+
+
 def position_requests(requests: DataFrame, peers: PeerTables,
                       params: Params = DEFAULTS) -> DataFrame:
     """Add the peer position of each request's ``target_price``.
@@ -235,7 +264,30 @@ def position_requests(requests: DataFrame, peers: PeerTables,
     adaptive execution splits a key that most of them share.
     """
     price = F.col("target_price").cast("double")
-    placed = resolve(requests.withColumn("_price", price), peers, params)
+    known_size = F.when(F.col(CAPACITY).isin(list(peers.capacities)), F.col(CAPACITY))
+    placed = requests.withColumns({"_price": price, "_size": known_size})
+    lookups = list(enumerate(zip(lookup_columns(params), peers.answers, strict=True)))
+    for k, (columns, table) in lookups:
+        side = table.select(
+            *[F.col(c).alias(f"_k{k}_{c}") for c in (*columns, CAPACITY)],
+            F.col("answer").alias(f"_a{k}"),
+        )
+        match = F.col("_size").eqNullSafe(F.col(f"_k{k}_{CAPACITY}"))
+        for c in columns:
+            match = match & (F.col(c) == F.col(f"_k{k}_{c}"))  # NULL matches nothing
+        placed = placed.join(side, match, "left")
+    told = F.coalesce(*[F.col(f"_a{k}") for k, _ in lookups])
+    placed = placed.select(*[quoted(c) for c in requests.columns], "_price", told.alias("_told"))
+    last = len(params.tiers) - 1
+    placed = placed.select(
+        *[quoted(c) for c in requests.columns], "_price",
+        F.coalesce(F.col("_told")["tier"], F.lit(last)).alias("tier"),
+        F.coalesce(F.col("_told")["n_effective"], F.lit(0).cast("bigint")).alias("n_effective"),
+        F.coalesce(F.col("_told")["shrunk_median"], F.lit(peers.median)).alias("shrunk_median"),
+        F.coalesce(F.col("_told")["iqr"], F.lit(0.0)).alias("iqr"),
+        F.col("_told")["cv"].alias("cv"), F.col("_told")["lows"].alias("_lows"),
+    )
+    names = F.array(*[F.array(*[F.lit(c) for c in tier]) for tier in params.tiers])
     keys = {"_g_tier": F.col("tier"), "_g_leaf": F.expr(leaf_of("_lows", "_price"))}
     for c in GROUP:
         used = [i for i, tier in enumerate(params.tiers) if c in tier]
@@ -252,7 +304,8 @@ def position_requests(requests: DataFrame, peers: PeerTables,
     # An unknown price is below nothing; without peers the position is neutral.
     percentile = F.when(~known, F.lit(0.5)).when(price.isNull(), F.lit(0.0)).otherwise(share)
     return asked.join(leaves, match, "left").select(
-        *[quoted(c) for c in requests.columns], "tier", "tier_used", "n_effective",
+        *[quoted(c) for c in requests.columns], "tier",
+        F.get(names, F.col("tier")).alias("tier_used"), "n_effective",
         "shrunk_median", "iqr", "cv", percentile.alias("price_percentile"),
         known.alias("has_peer_signal"),
     )
@@ -268,9 +321,16 @@ def fit_peers(listings: DataFrame, params: Params = DEFAULTS) -> PeerTables:
     held = stage(held, "peer_ranges")
     statistics = stage(range_statistics(rows, held, F.lit(median)), "peer_statistics")
     leaves = stage(ladders(rows, held, TIER_KEYS), "peer_leaves")
-    groups = group_tables(statistics, leaves, params)
+    groups = [stage(g, f"peer_groups_{k}")
+              for k, g in enumerate(group_tables(statistics, leaves, params))]
+    sizes = statistics.where(F.col(CAPACITY) != "").select(CAPACITY).distinct()
+    found = [r[0] for r in sizes.limit(MOST_CAPACITIES + 1).collect()]
+    if len(found) > MOST_CAPACITIES:
+        raise ValueError(f"more than {MOST_CAPACITIES} capacity buckets")
+    answers = answer_tables(groups, sorted(found), median, params)
     return PeerTables(
-        median, tuple(stage(g, f"peer_groups_{k}") for k, g in enumerate(groups)), leaves
+        median, tuple(sorted(found)),
+        tuple(stage(a, f"peer_answers_{k}") for k, a in enumerate(answers)), leaves,
     )
 
 
