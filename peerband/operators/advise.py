@@ -50,6 +50,7 @@ class Advisor:
             "vif": self.fit.vif,
             "neighbourhood_counts": self.spec.neighbourhood_counts,
             "property_counts": self.spec.property_counts,
+            "peer_groups": self.peers.groups,
             "peer_leaves": self.peers.leaves,
             **{f"peer_answers_{k}": a for k, a in enumerate(self.peers.answers)},
             "encoding": spark.createDataFrame(
@@ -112,7 +113,8 @@ def load_advisor(spark: SparkSession, path: str, params: Params = DEFAULTS) -> A
         table(f"peer_answers_{k}") for k in range(len(peer_ops.lookup_columns(params)))
     )
     peers = peer_ops.PeerTables(
-        enc["median_price"], tuple(enc["capacities"]), answers, table("peer_leaves")
+        enc["median_price"], tuple(enc["capacities"]), answers, table("peer_groups"),
+        table("peer_leaves"),
     )
     return Advisor(spec, fit, peers, params)
 

@@ -45,9 +45,8 @@ def value_ranges(hist: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataF
     """The histogram stored in value ranges, and what each range holds of each group.
 
     Rows gain ``_part``, their range. The second table has ``_start`` (weight of the group below
-    the range), ``_n`` (in the range) and ``total`` per (keys, _part), and ``_first``, ``_values``
-    and ``values``, the same of distinct values; a group has one row for each range it reaches
-    into.
+    the range), ``_n`` (in the range) and ``total`` per (keys, _part); a group has one row for each
+    range it reaches into.
     """
     rows = stage(
         hist.repartitionByRange(*[F.col(f"`{k}`") for k in keys], "value").withColumn(
@@ -57,14 +56,10 @@ def value_ranges(hist: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataF
     )
     group = f"partition by {_names(keys) or '0'}"
     earlier = f"over ({group} order by _part rows between unbounded preceding and 1 preceding)"
-    held = rows.groupBy(*keys, "_part").agg(
-        F.sum("weight").alias("_n"), F.count(F.lit(1)).alias("_values")
-    ).selectExpr(
+    held = rows.groupBy(*keys, "_part").agg(F.sum("weight").alias("_n")).selectExpr(
         "*",
         f"coalesce(sum(_n) {earlier}, 0) as _start",
-        f"coalesce(sum(_values) {earlier}, 0) as _first",
         f"sum(_n) over ({group}) as total",
-        f"sum(_values) over ({group}) as values",
     )
     return rows, held
 
@@ -145,46 +140,178 @@ def range_quantiles(rows: DataFrame, held: DataFrame, keys: Sequence[str],
     )
 
 
-#: Distinct values that a leaf of a ladder holds at least, where its group has as many.
+#: Distinct values that a full leaf of a ladder holds at least.
 LEAF_VALUES = 64
+#: Halvings of a search in an array: enough for 2 ** 20 entries, so for groups of 2 ** 40 values.
+SEARCH_STEPS = 20
 
 
-def ladders(rows: DataFrame, held: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Leaves (keys, leaf, low, steps, cum) in which a value's rank can be read off.
+def ladders(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Leaves (id, keys, low, n, sum, squares, steps, cum) in which a value's rank can be read off.
 
-    ``rows`` and ``held`` come from ``value_ranges``. A leaf holds consecutive distinct values of a
-    group: the square root of all it has, ``LEAF_VALUES`` at least, so neither a leaf nor a group's
-    list of leaves grows as fast as the group. ``steps`` has its values in order and ``cum[i]`` the
-    group's weight below step i; one more entry has the weight below whatever comes next.
+    ``rows`` has keys without NULLs, a ``value`` (double) and a positive ``weight``, any number of
+    rows for one value; it is read three times, so it should start from a stored table. Rows are
+    ranged by (keys, value) and sorted there once, and one pass over each range cuts them into
+    leaves: consecutive distinct values of a group, about the square root of its rows and
+    ``LEAF_VALUES`` at least, so neither a leaf nor a group's list of leaves grows as fast as the
+    group. A range begins a leaf of its own; equal values are never apart.
+
+    ``id`` is unique. ``steps`` has the leaf's values in order and ``cum[i]`` its weight below step
+    i; one more entry has the weight of all. ``sum`` is the weighted sum of the values and
+    ``squares`` that of their squared distances from the leaf's mean.
     """
     keys = list(keys)
-    spots = [*keys, "_part"]
-    joined = join_same(rows, held, spots, ["_start", "_first", "values"], how="inner")
-    over = f"(partition by {_names(spots)} order by value rows between unbounded preceding and"
-    placed = joined.selectExpr(
-        *[f"`{k}`" for k in keys], "value", "weight",
-        f"_start + sum(weight) over {over} current row) as upto",
-        f"_first + count(1) over {over} current row) - 1 as place",
-        f"greatest({LEAF_VALUES}, ceil(sqrt(values))) as size",
+    names = [f"k{i}" for i in range(len(keys))]
+    plain = rows.select(
+        *[F.col(f"`{k}`").alias(name) for k, name in zip(keys, names)], "value", "weight"
+    )
+    size = F.greatest(F.lit(LEAF_VALUES), F.ceil(F.sqrt(F.count(F.lit(1))))).cast("bigint")
+    sizes = stage(plain.groupBy(*names).agg(size.alias("size")), "leaf_sizes")
+    order = [*names, "value"]
+    dealt = (
+        join_same(plain, sizes, names, ["size"], how="inner")
+        .select(*names, "size", "value", "weight")
+        .repartitionByRange(*order).sortWithinPartitions(*order)
+    )
+    width = len(names)
+
+    def cut(batches):
+        from itertools import chain
+
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        made = TaskContext.get().partitionId() << 40
+
+        def starts(changed):
+            return np.flatnonzero(np.concatenate([[True], changed]))
+
+        def leaves(ids, table, value, weight, first, stop):
+            """The leaves that begin at ``first``, of the rows before ``stop``."""
+            value, weight = value[:stop], weight[:stop]
+            length = np.diff(first, append=stop)
+            upto = np.cumsum(weight)
+            n = np.add.reduceat(weight, first)
+            leaf = np.repeat(np.arange(len(first)), length)
+            below = upto - weight - np.repeat((upto - weight)[first], length)
+            cum = np.empty(stop + len(first), np.int64)
+            cum[np.arange(stop) + leaf] = below
+            cum[first + length + np.arange(len(first))] = n
+            with np.errstate(all="ignore"):
+                total = np.add.reduceat(value * weight, first)
+                apart = value - np.repeat(total / n, length)
+                squares = np.add.reduceat(apart * apart * weight, first)
+            ends = np.concatenate([[0], first + length]).astype(np.int32)
+            spots = np.arange(len(ends), dtype=np.int32)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids + np.arange(len(first))),
+                 *[c.take(pa.array(first)) for c in table.columns[:width]],
+                 pa.array(value[first]), pa.array(n), pa.array(total), pa.array(squares),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(value)),
+                 pa.ListArray.from_arrays(pa.array(ends + spots), pa.array(cum))],
+                names=["id", *names, "low", "n", "sum", "squares", "steps", "cum"],
+            )
+
+        held = None  # rows of the leaf that the next batch may go on with, one for each value
+        for batch in chain(batches, [None]):
+            some = [b for b in (held, batch) if b is not None and b.num_rows]
+            if not some:
+                continue
+            # By arrays: fields of the same type may differ in whether they are nullable.
+            table = pa.RecordBatch.from_arrays(
+                [pa.concat_arrays(c) for c in zip(*[b.columns for b in some])],
+                names=[*names, "size", "value", "weight"],
+            )
+            other = np.zeros(table.num_rows - 1, bool)
+            for column in table.columns[:width]:
+                other |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            value = table.column(width + 1).to_numpy()
+            run = starts(other | (value[1:] != value[:-1]))
+            weight = np.add.reduceat(table.column(width + 2).to_numpy(), run)
+            value, group = value[run], np.isin(run, starts(other), assume_unique=True)
+            begins = np.flatnonzero(group)
+            place = np.arange(len(run)) - np.repeat(begins, np.diff(begins, append=len(run)))
+            first = np.flatnonzero(place % table.column(width).to_numpy()[run] == 0)
+            table = table.take(pa.array(run))
+            if batch is None:
+                yield leaves(made, table, value, weight, first, len(run))
+                return
+            stop = int(first[-1])
+            held = pa.RecordBatch.from_arrays(
+                [*[c.slice(stop) for c in table.columns[:-1]], pa.array(weight[stop:])],
+                names=table.schema.names,
+            )
+            if stop:
+                yield leaves(made, table, value, weight, first[:-1], stop)
+                made += len(first) - 1
+
+    types = [f"{n} {f.dataType.simpleString()}" for n, f in zip(names, plain.schema.fields)]
+    made = dealt.mapInArrow(
+        cut,
+        f"id bigint, {''.join(f'{t}, ' for t in types)}low double, n bigint, sum double,"
+        " squares double, steps array<double>, cum array<bigint>",
+    )
+    return made.withColumnsRenamed(dict(zip(names, keys)))
+
+
+def ladder_index(leaves: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Stored leaves without their values, with ``start`` (the group's weight below the leaf) and
+    ``total`` (all of it)."""
+    group = f"partition by {_names(keys)}"
+    return leaves.drop("steps", "cum").selectExpr(
+        "*",
+        f"coalesce(sum(n) over ({group} order by low rows between unbounded preceding and"
+        " 1 preceding), 0) as start",
+        f"sum(n) over ({group}) as total",
     )
-    leaves = placed.selectExpr("*", "cast(floor(place / size) as bigint) as leaf").groupBy(
-        *keys, "leaf"
-    ).agg(F.expr("array_sort(collect_list(struct(value, upto, weight))) as at"))
-    return leaves.selectExpr(
-        *[f"`{k}`" for k in keys], "leaf", "at[0].value as low", "at.value as steps",
-        "concat(array(at[0].upto - at[0].weight), at.upto) as cum",
+
+
+def ladder_quantiles(leaves: DataFrame, index: DataFrame, keys: Sequence[str],
+                     probs: dict[str, float], also: Sequence[str] = ()) -> DataFrame:
+    """``histogram_quantiles`` read off leaves; ``also`` aggregates rows of the index."""
+    keys = list(keys)
+
+    def spot(p):
+        return f"({float(p)!r}D * (total - 1))"
+
+    ends = {name: (f"floor({spot(p)})", f"ceil({spot(p)})") for name, p in probs.items()}
+    wanted = " or ".join(
+        f"(start <= {end} and {end} < start + n)" for pair in ends.values() for end in pair
     )
 
+    def at(rank):
+        place = f"aggregate(cum, -1, (i, x) -> i + if(x <= {rank} - start, 1, 0))"
+        return f"max(if(start <= {rank} and {rank} < start + n, get(steps, {place}), null))"
 
-def leaf_of(lows: str, value: str) -> str:
-    """The leaf of a sorted list of (low, leaf) where the value's rank is read off."""
-    return (f"coalesce(aggregate({lows}, cast(null as bigint), (leaf, x) ->"
-            f" if(x.low <= {value}, x.leaf, leaf)), 0L)")
+    picks = []
+    for name, p in probs.items():
+        low, high = ends[name]
+        picks += [
+            f"{at(low)} as `_lo_{name}`", f"{at(high)} as `_hi_{name}`",
+            f"max({spot(p)} - floor({spot(p)})) as `_part_{name}`",
+        ]
+    held = index.where(wanted).select(*[F.col(f"`{k}`") for k in keys], "id", "n", "start", "total")
+    values = held.join(leaves.select("id", "steps", "cum"), "id").groupBy(*keys).agg(
+        *map(F.expr, picks)
+    )
+    sums = index.groupBy(*keys).agg(*map(F.expr, ("sum(n) as n", *also)))
+    joined = join_same(sums, values, keys, [c for c in values.columns if c not in keys])
+    return joined.selectExpr(
+        *[f"`{k}`" for k in keys],
+        "n",
+        *[f"`_lo_{q}` + (`_hi_{q}` - `_lo_{q}`) * `_part_{q}` as `{q}`" for q in probs],
+        *[f"`{c}`" for c in sums.columns[len(keys) + 1:]],
+    )
 
 
-def weight_below(steps: str, cum: str, value: str) -> str:
-    """The group's weight strictly below a value, from its leaf."""
-    return f"get({cum}, aggregate({steps}, 0, (n, x) -> n + if(x < {value}, 1, 0)))"
+def search(steps: str, value: str, below: str) -> str:
+    """How many entries of the sorted array ``steps`` are ``below`` ("<" or "<=") ``value``, by
+    halving; 0 where either is NULL."""
+    halves = ", ".join(str(1 << i) for i in reversed(range(SEARCH_STEPS)))
+    return (f"aggregate(array({halves}), 0,"
+            f" (n, half) -> n + if(get({steps}, n + half - 1) {below} {value}, half, 0))")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column,

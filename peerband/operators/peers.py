@@ -1,9 +1,9 @@
 """Position against comparable listings, with tiered fallback and shrinkage.
 
-The market is reduced once to a price histogram per comparison group of every tier, and that to
-the groups' statistics and to leaves of consecutive prices with their ranks. A request looks up the
-groups it could belong to, with one join for tiers that differ by capacity only, and then the leaf
-of its price. Requests are not read twice, stored or grouped, and never meet individual listings.
+The market is reduced once to leaves of consecutive prices per comparison group of every tier, and
+the groups' statistics are read off them. A request looks up the groups it could belong to, with
+one join for tiers that differ by capacity only, then its group's list of leaves and the leaf of its
+price. Requests are not read twice, stored or grouped, and never meet individual listings.
 """
 
 from __future__ import annotations
@@ -18,18 +18,18 @@ from peerband.functions.buckets import capacity_bucket, quoted
 from peerband.operators.distribution import (
     exact_quantiles,
     histogram_quantiles,
-    join_same,
+    ladder_index,
+    ladder_quantiles,
     ladders,
-    leaf_of,
-    range_quantiles,
-    value_ranges,
-    weight_below,
+    search,
 )
 from peerband.params import DEFAULTS, Params
 from peerband.session import stage
 
 GROUP = ["neighbourhood", "room_type", "cap_bucket"]
 TIER_KEYS = ["tier", *GROUP]
+#: The tier of the whole market, which has every row.
+WHOLE = -1
 
 
 def _key(tier: tuple[str, ...], column: str, prefix: str = "") -> Column:
@@ -61,13 +61,16 @@ def market_histogram(listings: DataFrame, params: Params = DEFAULTS) -> DataFram
     return tier_histogram(price_cells(listings, params), params)
 
 
-def tier_histogram(cells: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+def tier_cells(cells: DataFrame, params: Params = DEFAULTS, whole: bool = False) -> DataFrame:
+    """Cells dealt to their group of every tier, and with ``whole`` to the market's; a group may
+    have several rows of one value."""
+    kinds = [*enumerate(params.tiers), *([(WHOLE, ())] if whole else [])]
     tiers = F.array(
         *[
             F.struct(
                 F.lit(i).alias("tier"), *[_key(tier, c).alias(c) for c in GROUP]
             )
-            for i, tier in enumerate(params.tiers)
+            for i, tier in kinds
         ]
     )
     known = F.col("neighbourhood").isNotNull() & F.col("room_type").isNotNull() & F.col(
@@ -77,32 +80,53 @@ def tier_histogram(cells: DataFrame, params: Params = DEFAULTS) -> DataFrame:
         cells.select(F.explode(tiers).alias("t"), "value", "weight")
         .select("t.*", "value", "weight")
         .where(known)
-        .groupBy(*TIER_KEYS, "value")
-        .agg(F.sum("weight").alias("weight"))
     )
 
 
+def tier_histogram(cells: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    return tier_cells(cells, params).groupBy(*TIER_KEYS, "value").agg(
+        F.sum("weight").alias("weight")
+    )
+
+
+QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+
+
 def group_statistics(hist: DataFrame, centre: float | Column) -> DataFrame:
     """n, quartiles, IQR, mean, sample deviation and CV per comparison group.
 
     ``centre`` (the market median) is subtracted before squaring to keep the sums accurate.
     """
-    return range_statistics(*value_ranges(hist, TIER_KEYS), centre)
-
-
-def range_statistics(rows: DataFrame, held: DataFrame, centre: float | Column) -> DataFrame:
-    """``group_statistics`` of stored value ranges."""
-    centred = rows.withColumn(
-        "_d", F.col("value") - (centre if isinstance(centre, Column) else F.lit(centre))
-    )
-    stats = range_quantiles(
-        centred, held, TIER_KEYS, {"q25": 0.25, "median": 0.5, "q75": 0.75},
+    centred = hist.withColumn("_d", F.col("value") - _column(centre))
+    return _statistics(histogram_quantiles(
+        centred, TIER_KEYS, QUARTILES,
         also=[
             "sum(_d * weight) as _s1",
             "sum(_d * _d * weight) as _s2",
             "sum(value * weight) as _sum",
         ],
-    )
+    ))
+
+
+def ladder_statistics(leaves: DataFrame, index: DataFrame, centre: float | Column) -> DataFrame:
+    """``group_statistics`` read off leaves and their index."""
+    centred = index.withColumn("_d", F.col("sum") / F.col("n") - _column(centre))
+    return _statistics(ladder_quantiles(
+        leaves, centred, TIER_KEYS, QUARTILES,
+        also=[
+            "sum(_d * n) as _s1",
+            "sum(squares + _d * _d * n) as _s2",
+            "sum(sum) as _sum",
+        ],
+    ))
+
+
+def _column(centre: float | Column) -> Column:
+    return centre if isinstance(centre, Column) else F.lit(centre)
+
+
+def _statistics(stats: DataFrame) -> DataFrame:
+    """Statistics from quartiles and sums of distances from the centre, their squares and values."""
     n = F.col("n")
     spread = F.sqrt(
         F.greatest(
@@ -139,12 +163,15 @@ class PeerTables:
     #: For each set of key columns beside capacity, finest first: the columns, capacity (one of
     #: them or NULL) and ``answer``, what a request with these keys is told.
     answers: tuple[DataFrame, ...]
+    #: Every group's leaves in order: their lows, ids and starts.
+    groups: DataFrame
     leaves: DataFrame
 
 
 #: Capacity buckets that a market may have.
 MOST_CAPACITIES = 1000
 CAPACITY = "cap_bucket"
+LEAVES = ("lows", "ids", "starts")
 
 
 def lookup_columns(params: Params = DEFAULTS) -> list[tuple[str, ...]]:
@@ -156,23 +183,18 @@ def lookup_columns(params: Params = DEFAULTS) -> list[tuple[str, ...]]:
     return out
 
 
-def group_tables(statistics: DataFrame, leaves: DataFrame,
-                 params: Params = DEFAULTS) -> list[DataFrame]:
+def group_tables(statistics: DataFrame, params: Params = DEFAULTS) -> list[DataFrame]:
     """One table per lookup. A row's map has at most one entry per tier and capacity bucket."""
-    lows = leaves.groupBy(*TIER_KEYS).agg(
-        F.array_sort(F.collect_list(F.struct("low", "leaf"))).alias("lows")
-    )
-    facts = join_same(statistics, lows, TIER_KEYS, ["lows"])
     entry = F.struct(
         F.concat_ws(":", "tier", CAPACITY).alias("k"),
-        F.struct("n", "median", "iqr", "cv", "lows").alias("v"),
+        F.struct("n", "median", "iqr", "cv").alias("v"),
     )
     out = []
     for columns in lookup_columns(params):
         tiers = [i for i, t in enumerate(params.tiers)
                  if tuple(c for c in t if c != CAPACITY) == columns]
         out.append(
-            facts.where(F.col("tier").isin(tiers)).groupBy(*columns)
+            statistics.where(F.col("tier").isin(tiers)).groupBy(*columns)
             .agg(F.map_from_entries(F.collect_list(entry)).alias("found"))
         )
     return out
@@ -180,7 +202,7 @@ def group_tables(statistics: DataFrame, leaves: DataFrame,
 
 def resolve(requests: DataFrame, groups: Sequence[DataFrame], median: float,
             params: Params = DEFAULTS) -> DataFrame:
-    """Add the answering tier of each key combination, its size, spread, shrunk median and lows.
+    """Add the answering tier of each key combination, its size, spread and shrunk median.
 
     The prior starts at the market median and walks finest to coarsest: a tier with too few
     rows hands its own shrunk median on as the prior of the next; an empty one hands on
@@ -229,11 +251,10 @@ def resolve(requests: DataFrame, groups: Sequence[DataFrame], median: float,
         "shrunk_median",
         F.coalesce(F.col("_chosen")["iqr"], F.lit(0.0)).alias("iqr"),
         F.col("_chosen")["cv"].alias("cv"),
-        F.col("_chosen")["lows"].alias("lows"),
     )
 
 
-ANSWER = ("tier", "n_effective", "shrunk_median", "iqr", "cv", "lows")
+ANSWER = ("tier", "n_effective", "shrunk_median", "iqr", "cv")
 
 
 def answer_tables(groups: Sequence[DataFrame], capacities: Sequence[str], median: float,
@@ -285,25 +306,35 @@ def position_requests(requests: DataFrame, peers: PeerTables,
         F.coalesce(F.col("_told")["n_effective"], F.lit(0).cast("bigint")).alias("n_effective"),
         F.coalesce(F.col("_told")["shrunk_median"], F.lit(peers.median)).alias("shrunk_median"),
         F.coalesce(F.col("_told")["iqr"], F.lit(0.0)).alias("iqr"),
-        F.col("_told")["cv"].alias("cv"), F.col("_told")["lows"].alias("_lows"),
+        F.col("_told")["cv"].alias("cv"),
     )
     names = F.array(*[F.array(*[F.lit(c) for c in tier]) for tier in params.tiers])
-    keys = {"_g_tier": F.col("tier"), "_g_leaf": F.expr(leaf_of("_lows", "_price"))}
+    groups = peers.groups.select(
+        *[F.col(c).alias(f"_k_{c}") for c in TIER_KEYS], *[F.col(c).alias(f"_{c}") for c in LEAVES]
+    )
+    match = F.col("tier") == F.col("_k_tier")
     for c in GROUP:
         used = [i for i, tier in enumerate(params.tiers) if c in tier]
-        keys[f"_g_{c}"] = F.when(F.col("tier").isin(used), F.col(c)).otherwise(F.lit(""))
-    asked = placed.withColumns(keys).drop("_lows")
+        key = F.when(F.col("tier").isin(used), F.col(c)).otherwise(F.lit(""))
+        match = match & (key == F.col(f"_k_{c}"))
+    # Without peers a request has no group: its tier is the last one, or its key is in no group.
+    at = F.greatest(F.expr(search("_lows", "_price", "<=")) - 1, F.lit(0))
+    asked = placed.join(groups, match, "left").withColumn("_at", at).withColumns(
+        {"_leaf": F.get("_ids", "_at"), "_start": F.get("_starts", "_at")}
+    ).drop("_at", *[f"_{c}" for c in LEAVES], *[f"_k_{c}" for c in TIER_KEYS])
     leaves = peers.leaves.select(
-        *[F.col(c).alias(f"_k_{c}") for c in (*TIER_KEYS, "leaf")], "steps", "cum"
+        F.col("id").alias("_id"), F.col("steps").alias("_steps"), F.col("cum").alias("_cum")
     )
-    match = F.lit(True)
-    for c in (*TIER_KEYS, "leaf"):
-        match = match & (F.col(f"_g_{c}") == F.col(f"_k_{c}"))
-    share = F.expr(f"{weight_below('steps', 'cum', '_price')} / n_effective")
+    found = asked.join(leaves, F.col("_leaf") == F.col("_id"), "left").withColumn(
+        "_at", F.expr(search("_steps", "_price", "<"))
+    )
+    share = (F.col("_start") + F.get("_cum", "_at")) / F.col("n_effective")
     known = F.col("n_effective") > 0
     # An unknown price is below nothing; without peers the position is neutral.
-    percentile = F.when(~known, F.lit(0.5)).when(price.isNull(), F.lit(0.0)).otherwise(share)
-    return asked.join(leaves, match, "left").select(
+    percentile = F.when(~known, F.lit(0.5)).when(
+        F.col("_price").isNull(), F.lit(0.0)
+    ).otherwise(share)
+    return found.select(
         *[quoted(c) for c in requests.columns], "tier",
         F.get(names, F.col("tier")).alias("tier_used"), "n_effective",
         "shrunk_median", "iqr", "cv", percentile.alias("price_percentile"),
@@ -314,23 +345,32 @@ def position_requests(requests: DataFrame, peers: PeerTables,
 def fit_peers(listings: DataFrame, params: Params = DEFAULTS) -> PeerTables:
     """Reduce a market to its median price, group statistics and price ranks, in one scan."""
     cells = stage(price_cells(listings, params), "price_cells")
-    median = histogram_quantiles(
-        cells.groupBy("value").agg(F.sum("weight").alias("weight")), [], {"median": 0.5}
-    ).first()["median"]
-    rows, held = value_ranges(tier_histogram(cells, params), TIER_KEYS)
-    held = stage(held, "peer_ranges")
-    statistics = stage(range_statistics(rows, held, F.lit(median)), "peer_statistics")
-    leaves = stage(ladders(rows, held, TIER_KEYS), "peer_leaves")
-    groups = [stage(g, f"peer_groups_{k}")
-              for k, g in enumerate(group_tables(statistics, leaves, params))]
+    leaves = stage(ladders(tier_cells(cells, params, whole=True), TIER_KEYS), "peer_leaves")
+    index = stage(ladder_index(leaves, TIER_KEYS), "peer_index")
+    whole = ladder_quantiles(
+        leaves, index.where(F.col("tier") == WHOLE), TIER_KEYS, {"median": 0.5}
+    ).first()
+    median = whole["median"] if whole else None
+    index = index.where(F.col("tier") != WHOLE)
+    statistics = stage(ladder_statistics(leaves, index, F.lit(median)), "peer_statistics")
+    lists = F.array_sort(F.collect_list(F.struct("low", "id", "start")))
+    groups = stage(
+        index.groupBy(*TIER_KEYS).agg(lists.alias("at")).select(
+            *TIER_KEYS, *[F.col("at")[c].alias(f"{c}s") for c in ("low", "id", "start")]
+        ),
+        "peer_groups",
+    )
+    tables = [stage(g, f"peer_tiers_{k}")
+              for k, g in enumerate(group_tables(statistics, params))]
     sizes = statistics.where(F.col(CAPACITY) != "").select(CAPACITY).distinct()
     found = [r[0] for r in sizes.limit(MOST_CAPACITIES + 1).collect()]
     if len(found) > MOST_CAPACITIES:
         raise ValueError(f"more than {MOST_CAPACITIES} capacity buckets")
-    answers = answer_tables(groups, sorted(found), median, params)
+    answers = answer_tables(tables, sorted(found), median, params)
     return PeerTables(
         median, tuple(sorted(found)),
-        tuple(stage(a, f"peer_answers_{k}") for k, a in enumerate(answers)), leaves,
+        tuple(stage(a, f"peer_answers_{k}") for k, a in enumerate(answers)), groups,
+        leaves.where(F.col("tier") != WHOLE),
     )
 
 
