@@ -74,7 +74,8 @@ class ChunkEncoder:
     a line end is a token and a space begins the next one. So text may be cut there, and the ids
     are those of the chunks in turn. A chunk of letters with a tail of punctuation is split by the
     pattern into just these two, which are asked of the library's model; any other chunk is asked
-    of the whole library. Nothing of a longer chunk is kept.
+    of the whole library. Nothing of a longer chunk is kept. Letters after a space are a chunk of
+    their own, so they are kept once, whatever tails they are seen with.
     """
 
     LINE, WORD = re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?<=\S) (?=\S)")
@@ -88,22 +89,31 @@ class ChunkEncoder:
         self.tokenize = self.tokenizer.model.tokenize
         self.symbols = dict(enumerate(byte_symbols()))
         self.parts, self.chunks = Recent(self._part), Recent(self._chunk)
+        self.space = self.symbols[ord(" ")]
         self.line_end = self._part("\n")
 
     def _part(self, part: str) -> bytes:
         """What the pattern leaves in one piece."""
-        shown = part.encode().decode("latin-1").translate(self.symbols)
-        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+        return self._shown(part.encode().decode("latin-1").translate(self.symbols))
+
+    def _shown(self, part: str) -> bytes:
+        """A piece that is written with the vocabulary's symbols for bytes."""
+        return array("I", [t.id for t in self.tokenize(part)]).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _chunk(self, word: str) -> bytes:
         """What stood after a space, or after a line end that the word still has."""
+        if word.isascii() and word.isalpha():  # these letters are their own symbols
+            return self._shown(self.space + word)
         m = self.SIMPLE.fullmatch(word)
         if m:
             line, letters, tail = m.groups()
-            code = self.line_end + self.parts[letters] if line else self.parts[" " + letters]
+            if line:
+                code = self.line_end + self.parts[letters]
+            else:
+                code = self.chunks[letters] if tail else self._part(" " + letters)
             return code + self.parts[tail] if tail else code
         begun = word[1:] if word[:1] == "\n" else word
         if not begun or begun.strip() != begun:
