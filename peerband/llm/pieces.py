@@ -12,9 +12,11 @@ in batches, and a difference is an error.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
+from contextlib import contextmanager
 from itertools import chain
 from operator import add
 
@@ -155,10 +157,11 @@ class MergeVocabulary:
 
     def word_ids(self, word: str) -> tuple[int, ...]:
         """Ids of one run of space symbols and what follows it."""
+        joints = list(map(add, word, word[1:]))
         pairs = self.pairs
-        cuts = [i for i, p in enumerate(map(add, word, word[1:]), 1) if p not in pairs]
-        if not cuts:
+        if pairs.issuperset(joints):
             return self.part_ids(word)
+        cuts = [i for i, p in enumerate(joints, 1) if p not in pairs]
         return tuple(
             x for a, b in zip([0, *cuts], [*cuts, len(word)]) for x in self.part_ids(word[a:b])
         )
@@ -168,7 +171,10 @@ class MergeVocabulary:
         ids in one batch."""
         self.words.age()
         self.parts.age()
-        known = {w: self.words.get(w) for w in words}
+        young = self.words.young.get
+        known = {w: young(w) for w in words}
+        for word in [w for w, found in known.items() if found is None]:
+            known[word] = self.words.get(word)
         new = [w for w, found in known.items() if found is None]
         # The library itself puts the first space symbol there.
         theirs = self.library.encode([w[1:] for w in new], num_threads=1) if new else []
@@ -203,6 +209,18 @@ def _sha256(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+@contextmanager
+def uncollected():
+    """No search for cycles within: what is made here has none, and the caches are large."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def encode_pieces(
     docs: DataFrame, model: str, text_col: str = "text", digests: bool = False
 ) -> DataFrame:
@@ -215,6 +233,10 @@ def encode_pieces(
     """
 
     def run(texts: list) -> dict[str, pa.Array]:
+        with uncollected():
+            return encoded(texts)
+
+    def encoded(texts: list) -> dict[str, pa.Array]:
         vocab = vocabulary(model)
         n, ids, decoded = [], [], []
         for slab in slabs(texts, SLAB_CHARS):
