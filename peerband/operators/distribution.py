@@ -100,6 +100,81 @@ def range_quantiles(rows: DataFrame, held: DataFrame, keys: Sequence[str],
                     probs: dict[str, float], also: Sequence[str] = ()) -> DataFrame:
     """``histogram_quantiles`` of stored ranges. Only those that hold a wanted rank are ordered."""
     keys = list(keys)
+    wanted, picks = _rank_picks(probs)
+    values = _below(rows, held.where(wanted), keys).groupBy(*keys).agg(*map(F.expr, picks))
+    sums = rows.groupBy(*keys).agg(
+        *map(F.expr, ("coalesce(sum(weight), 0) as n", *also))
+    )
+    extra = sums.columns[len(keys) + 1:]
+    made = [c for c in values.columns if c not in keys]
+    if keys:
+        joined = join_same(sums, values, keys, made)
+    else:
+        joined = sums.withColumn("_v", values.select(F.struct(*made)).scalar()).select(
+            *sums.columns, "_v.*"
+        )
+    return joined.selectExpr(
+        *[f"`{k}`" for k in keys],
+        "n",
+        *_between(probs),
+        *[f"`{c}`" for c in extra],
+    )
+
+
+#: Slices of a group's span of values in which its wanted ranks are looked for.
+SLICES = 1024
+
+
+def selected_quantiles(df: DataFrame, keys: Sequence[str], value: Column,
+                       probs: dict[str, float]) -> DataFrame:
+    """``exact_quantiles`` of a stored table for few ranks: (keys, n, quantiles).
+
+    Rows are counted by slices of their group's span, and only values of the slices that hold a
+    wanted rank are grouped and ordered. Values in one slice all the same cost what
+    ``exact_quantiles`` does. ``df`` is read three times; there is at least one key.
+    """
+    keys = list(keys)
+    spots = [*keys, "_slice"]
+    rows = df.select(*[F.col(f"`{k}`") for k in keys], value.cast("double").alias("value")).where(
+        F.col("value").isNotNull()
+    )
+    spans = stage(
+        rows.groupBy(*[F.col(f"`{k}`") for k in keys])
+        .agg(F.min("value").alias("_least"), F.max("value").alias("_most")),
+        "spans",
+    )
+    # Never falls as the value rises; without a finite span all or most values share a slice.
+    share = "nanvl(coalesce(try_divide(value - _least, _most - _least), 0D), 1D)"
+    sliced = join_same(rows, spans, keys, ["_least", "_most"], how="inner").selectExpr(
+        *[f"`{k}`" for k in keys], "value",
+        f"cast(floor(least({share}, 1D) * {SLICES - 1}) as int) as _slice",
+    )
+    counts = stage(
+        sliced.groupBy(*[F.col(f"`{k}`") for k in spots]).agg(F.count(F.lit(1)).alias("_n")),
+        "slices",
+    )
+    group = f"partition by {_names(keys)}"
+    earlier = f"over ({group} order by _slice rows between unbounded preceding and 1 preceding)"
+    wanted, picks = _rank_picks(probs)
+    held = stage(
+        counts.selectExpr(
+            "*", f"coalesce(sum(_n) {earlier}, 0) as _start", f"sum(_n) over ({group}) as total"
+        ).where(wanted),
+        "held_slices",
+    )
+    few = histogram(join_same(sliced, held, spots, [], how="inner"), spots, F.col("value"))
+    ranked = join_same(
+        ranked_values(few, spots).drop("total"), held, spots, ["_start", "total"], how="inner"
+    ).selectExpr("* except (below)", "_start + below as below")
+    found = ranked.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
+        F.max("total").alias("n"), *map(F.expr, picks)
+    )
+    return found.selectExpr(*[f"`{k}`" for k in keys], "n", *_between(probs))
+
+
+def _rank_picks(probs: dict[str, float]) -> tuple[str, list[str]]:
+    """The condition that a range holds a rank around a quantile, and the aggregates that pick
+    the values of these ranks."""
 
     def spot(p):
         return f"({float(p)!r}D * (total - 1))"
@@ -120,24 +195,11 @@ def range_quantiles(rows: DataFrame, held: DataFrame, keys: Sequence[str],
             f"{at(high)} as `_hi_{name}`",
             f"max({spot(p)} - floor({spot(p)})) as `_part_{name}`",
         ]
-    values = _below(rows, held.where(wanted), keys).groupBy(*keys).agg(*map(F.expr, picks))
-    sums = rows.groupBy(*keys).agg(
-        *map(F.expr, ("coalesce(sum(weight), 0) as n", *also))
-    )
-    extra = sums.columns[len(keys) + 1:]
-    made = [c for c in values.columns if c not in keys]
-    if keys:
-        joined = join_same(sums, values, keys, made)
-    else:
-        joined = sums.withColumn("_v", values.select(F.struct(*made)).scalar()).select(
-            *sums.columns, "_v.*"
-        )
-    return joined.selectExpr(
-        *[f"`{k}`" for k in keys],
-        "n",
-        *[f"`_lo_{q}` + (`_hi_{q}` - `_lo_{q}`) * `_part_{q}` as `{q}`" for q in probs],
-        *[f"`{c}`" for c in extra],
-    )
+    return wanted, picks
+
+
+def _between(probs: dict[str, float]) -> list[str]:
+    return [f"`_lo_{q}` + (`_hi_{q}` - `_lo_{q}`) * `_part_{q}` as `{q}`" for q in probs]
 
 
 #: Distinct values that a full leaf of a ladder holds at least.
@@ -161,26 +223,24 @@ def ladders(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     ``squares`` that of their squared distances from the leaf's mean.
     """
     keys = list(keys)
-    names = [f"k{i}" for i in range(len(keys))]
-    plain = rows.select(
-        *[F.col(f"`{k}`").alias(name) for k, name in zip(keys, names)], "value", "weight"
-    )
     size = F.greatest(F.lit(LEAF_VALUES), F.ceil(F.sqrt(F.count(F.lit(1))))).cast("bigint")
-    sizes = stage(plain.groupBy(*names).agg(size.alias("size")), "leaf_sizes")
-    order = [*names, "value"]
-    dealt = (
-        join_same(plain, sizes, names, ["size"], how="inner")
-        .select(*names, "size", "value", "weight")
-        .repartitionByRange(*order).sortWithinPartitions(*order)
+    # A group is a number from here on: rows that are moved, sorted and cut hold no keys.
+    groups = stage(
+        rows.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(size.alias("size"))
+        .withColumn("group", F.monotonically_increasing_id()),
+        "leaf_groups",
     )
-    width = len(names)
+    numbered = join_same(
+        rows.select(*[F.col(f"`{k}`") for k in keys], "value", "weight"),
+        groups, keys, ["group", "size"], how="inner",
+    ).select("group", "size", "value", "weight")
+    dealt = numbered.repartitionByRange("group", "value").sortWithinPartitions("group", "value")
 
     def cut(batches):
         from itertools import chain
 
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         made = TaskContext.get().partitionId() << 40
@@ -207,11 +267,11 @@ def ladders(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
             spots = np.arange(len(ends), dtype=np.int32)
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids + np.arange(len(first))),
-                 *[c.take(pa.array(first)) for c in table.columns[:width]],
+                 table.column(0).take(pa.array(first)),
                  pa.array(value[first]), pa.array(n), pa.array(total), pa.array(squares),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(value)),
                  pa.ListArray.from_arrays(pa.array(ends + spots), pa.array(cum))],
-                names=["id", *names, "low", "n", "sum", "squares", "steps", "cum"],
+                names=["id", "group", "low", "n", "sum", "squares", "steps", "cum"],
             )
 
         held = None  # rows of the leaf that the next batch may go on with, one for each value
@@ -222,18 +282,17 @@ def ladders(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
             # By arrays: fields of the same type may differ in whether they are nullable.
             table = pa.RecordBatch.from_arrays(
                 [pa.concat_arrays(c) for c in zip(*[b.columns for b in some])],
-                names=[*names, "size", "value", "weight"],
+                names=["group", "size", "value", "weight"],
             )
-            other = np.zeros(table.num_rows - 1, bool)
-            for column in table.columns[:width]:
-                other |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
-            value = table.column(width + 1).to_numpy()
+            number = table.column(0).to_numpy()
+            other = number[1:] != number[:-1]
+            value = table.column(2).to_numpy()
             run = starts(other | (value[1:] != value[:-1]))
-            weight = np.add.reduceat(table.column(width + 2).to_numpy(), run)
+            weight = np.add.reduceat(table.column(3).to_numpy(), run)
             value, group = value[run], np.isin(run, starts(other), assume_unique=True)
             begins = np.flatnonzero(group)
             place = np.arange(len(run)) - np.repeat(begins, np.diff(begins, append=len(run)))
-            first = np.flatnonzero(place % table.column(width).to_numpy()[run] == 0)
+            first = np.flatnonzero(place % table.column(1).to_numpy()[run] == 0)
             table = table.take(pa.array(run))
             if batch is None:
                 yield leaves(made, table, value, weight, first, len(run))
@@ -247,13 +306,15 @@ def ladders(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
                 yield leaves(made, table, value, weight, first[:-1], stop)
                 made += len(first) - 1
 
-    types = [f"{n} {f.dataType.simpleString()}" for n, f in zip(names, plain.schema.fields)]
     made = dealt.mapInArrow(
         cut,
-        f"id bigint, {''.join(f'{t}, ' for t in types)}low double, n bigint, sum double,"
-        " squares double, steps array<double>, cum array<bigint>",
+        "id bigint, group bigint, low double, n bigint, sum double, squares double,"
+        " steps array<double>, cum array<bigint>",
+    )
+    named = groups.select(F.col("group").alias("_group"), *[F.col(f"`{k}`") for k in keys])
+    return made.join(named, F.col("group") == F.col("_group")).select(
+        "id", *[F.col(f"`{k}`") for k in keys], "low", "n", "sum", "squares", "steps", "cum"
     )
-    return made.withColumnsRenamed(dict(zip(names, keys)))
 
 
 def ladder_index(leaves: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -314,6 +375,21 @@ def search(steps: str, value: str, below: str) -> str:
             f" (n, half) -> n + if(get({steps}, n + half - 1) {below} {value}, half, 0))")
 
 
+def searched(df: DataFrame, name: str, steps: str, value: str, below: str,
+             most: int) -> DataFrame:
+    """Add ``name``: ``search`` in arrays of at most ``most`` entries.
+
+    Each halving is a projection of its own: all of them run in one generated loop over the rows
+    of a join, in which the arrays stay where they lie. The lambda of ``search`` is interpreted,
+    and each row gets copies of its arrays first, which grow with the market.
+    """
+    df = df.withColumn(name, F.lit(0))
+    for half in (1 << i for i in reversed(range(most.bit_length()))):
+        found = f"get({steps}, {name} + {half - 1}) {below} {value}"
+        df = df.withColumn(name, F.expr(f"{name} + if({found}, {half}, 0)"))
+    return df
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column,
                     probs: dict[str, float]) -> DataFrame:
     """Exact quantiles of ``value`` per group; NULL values are ignored."""

@@ -21,7 +21,7 @@ from peerband.operators.distribution import (
     ladder_index,
     ladder_quantiles,
     ladders,
-    search,
+    searched,
 )
 from peerband.params import DEFAULTS, Params
 from peerband.session import stage
@@ -318,15 +318,21 @@ def position_requests(requests: DataFrame, peers: PeerTables,
         key = F.when(F.col("tier").isin(used), F.col(c)).otherwise(F.lit(""))
         match = match & (key == F.col(f"_k_{c}"))
     # Without peers a request has no group: its tier is the last one, or its key is in no group.
-    at = F.greatest(F.expr(search("_lows", "_price", "<=")) - 1, F.lit(0))
-    asked = placed.join(groups, match, "left").withColumn("_at", at).withColumns(
-        {"_leaf": F.get("_ids", "_at"), "_start": F.get("_starts", "_at")}
-    ).drop("_at", *[f"_{c}" for c in LEAVES], *[f"_k_{c}" for c in TIER_KEYS])
+    longest = peers.groups.agg(F.max(F.size("ids"))).first()[0] or 0
+    listed = searched(
+        placed.join(groups, match, "left"), "_at", "_lows", "_price", "<", longest
+    )
+    at = F.greatest(F.col("_at") - 1, F.lit(0))
+    asked = listed.withColumns({"_leaf": F.get("_ids", at), "_start": F.get("_starts", at)}).drop(
+        "_at", *[f"_{c}" for c in LEAVES], *[f"_k_{c}" for c in TIER_KEYS])
     leaves = peers.leaves.select(
         F.col("id").alias("_id"), F.col("steps").alias("_steps"), F.col("cum").alias("_cum")
     )
-    found = asked.join(leaves, F.col("_leaf") == F.col("_id"), "left").withColumn(
-        "_at", F.expr(search("_steps", "_price", "<"))
+    # A leaf has no more values than rows.
+    longest = peers.leaves.agg(F.max("n")).first()[0] or 0
+    found = searched(
+        asked.join(leaves, F.col("_leaf") == F.col("_id"), "left"),
+        "_at", "_steps", "_price", "<", longest,
     )
     share = (F.col("_start") + F.get("_cum", "_at")) / F.col("n_effective")
     known = F.col("n_effective") > 0
