@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from peerband.functions.buckets import quoted
 from peerband.operators import student
-from peerband.operators.distribution import histogram, histogram_quantiles, join_same
+from peerband.operators.distribution import join_same, selected_quantiles
 from peerband.operators.features import dot
 from peerband.operators.gram import Factors, design_moments, group_levels, solve, vif_values
 from peerband.session import stage
@@ -123,15 +123,23 @@ def fit_hedonic(features: DataFrame, names: Sequence[str], group: str = "neighbo
         "neighbourhood", "n", (F.col("level") - F.lit(intercept)).alias("fixed_effect")
     )
 
-    # Both medians come from one histogram.
-    hist = stage(histogram(features, [group], y), "target_histogram")
-    medians = histogram_quantiles(hist, [group], {"median": 0.5})
-    overall = histogram_quantiles(
-        hist.groupBy("value").agg(F.sum("weight").alias("weight")), [], {"median": 0.5}
-    ).first()["median"]
-    per_group = join_same(
+    # Both medians, of each group and (under ``_whole``) of all rows, from the same passes.
+    kinds = F.array(
+        F.struct(F.lit(False).alias("_whole"), F.col(group).alias(group)),
+        F.struct(F.lit(True).alias("_whole"),
+                 F.lit(None).cast(features.schema[group].dataType).alias(group)),
+    )
+    medians = stage(selected_quantiles(
+        features.select(F.explode(kinds).alias("k"), y.alias("y")).select("k.*", "y"),
+        ["_whole", group], F.col("y"), {"median": 0.5},
+    ), "medians")
+    whole = medians.where("_whole").first()
+    overall = whole["median"] if whole else None
+    medians = medians.where("not _whole").drop("_whole", "n")
+    # Stored, so that its size is known and a small one is broadcast: features stay where they are.
+    per_group = stage(join_same(
         levels, medians.withColumnRenamed(group, "neighbourhood"), ["neighbourhood"], ["median"]
-    ).withColumnRenamed("neighbourhood", group)
+    ).withColumnRenamed("neighbourhood", group), "group_medians")
     scored, explained = linear_part(
         join_same(features, per_group, [group], ["level", "median"]), names, effects, factors
     )
