@@ -17,7 +17,7 @@ import hashlib
 import heapq
 import re
 from contextlib import contextmanager
-from itertools import chain
+from itertools import chain, repeat
 from operator import add
 
 import pyarrow as pa
@@ -84,6 +84,7 @@ class MergeVocabulary:
         self.bytes = {
             int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE
         }
+        self.shown = [str(i) for i in range(len(model.pieces))]
         self.pairs = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
         # A word starts at a space symbol that no space symbol precedes.
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
@@ -99,18 +100,18 @@ class MergeVocabulary:
         none = float("inf")
         rank = self.ranks.get
         symbols = list(part)
-        agenda = [rank(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        agenda = list(map(rank, map(add, part, part[1:]), repeat(none)))
         while agenda:
             best = min(agenda)
             if best == none:
                 break
             i = agenda.index(best)
-            symbols[i] += symbols.pop(i + 1)
+            union = symbols[i] = symbols[i] + symbols.pop(i + 1)
             del agenda[i]
             if i < len(agenda):
-                agenda[i] = rank(symbols[i] + symbols[i + 1], none)
+                agenda[i] = rank(union + symbols[i + 1], none)
             if i:
-                agenda[i - 1] = rank(symbols[i - 1] + symbols[i], none)
+                agenda[i - 1] = rank(symbols[i - 1] + union, none)
         return symbols
 
     def _long(self, part: str) -> list[str]:
@@ -144,14 +145,13 @@ class MergeVocabulary:
     def part_ids(self, part: str) -> tuple[int, ...]:
         found = self.parts.get(part)
         if found is None:
-            ids: list[int] = []
-            for symbol in self.merge(part):
-                at = self.ids.get(symbol)
-                if at is None:
-                    ids.extend(self.bytes[b] for b in symbol.encode("utf-8"))
-                else:
-                    ids.append(at)
-            found = tuple(ids)
+            symbols = self.merge(part)
+            found = tuple(map(self.ids.get, symbols))
+            if None in found:
+                found = tuple(chain.from_iterable(
+                    [self.bytes[b] for b in symbol.encode("utf-8")] if at is None else (at,)
+                    for symbol, at in zip(symbols, found)
+                ))
             self.parts.put(part, found)
         return found
 
@@ -161,10 +161,13 @@ class MergeVocabulary:
         pairs = self.pairs
         if pairs.issuperset(joints):
             return self.part_ids(word)
-        cuts = [i for i, p in enumerate(joints, 1) if p not in pairs]
-        return tuple(
-            x for a, b in zip([0, *cuts], [*cuts, len(word)]) for x in self.part_ids(word[a:b])
-        )
+        ids, begin = [], 0
+        for i, p in enumerate(joints, 1):
+            if p not in pairs:
+                ids.extend(self.part_ids(word[begin:i]))
+                begin = i
+        ids.extend(self.part_ids(word[begin:]))
+        return tuple(ids)
 
     def learn(self, words: set[str]) -> dict[str, tuple[tuple[int, ...], str]]:
         """(ids, ids as text) of each word. New words are encoded, and compared with the library's
@@ -183,7 +186,7 @@ class MergeVocabulary:
             # A space symbol alone can't be asked for: the library takes it for an empty text.
             if list(own) != ids and word != SPACE:
                 raise ValueError(f"ids of {word!r}: {own} here, {ids} by the library")
-            known[word] = own, ",".join(map(str, own))
+            known[word] = own, ",".join(map(self.shown.__getitem__, own))
             self.words.put(word, known[word])
         return known
 

@@ -34,3 +34,12 @@ def test_words_are_cut_where_no_piece_spans(word):
     vocab = pieces.MergeVocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     want = vocab.library.encode(word[1:]) if word != "▁" else list(vocab.part_ids(word))
     assert list(vocab.word_ids(word)) == want
+
+
+def test_fallback_symbols_among_pieces_are_written_as_their_bytes():
+    vocab = pieces.MergeVocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    words = ["▁word͸,͸", "▁naïve\U0001f9ff", "▁" + "a,͸" * 3000]
+    for word, (ids, text) in vocab.learn(set(words)).items():
+        assert list(ids) == vocab.library.encode(word[1:])
+        # The text of an id is made once for the vocabulary, not once for each use.
+        assert text == ",".join(vocab.shown[i] for i in ids)
