@@ -4,10 +4,12 @@ A text is a row of symbols, one for each character. The agenda holds the adjacen
 union is a piece, by score and then from the left; the first pair is merged and its new
 neighbours join the agenda until none is left. Symbols that are no piece fall back to their bytes.
 
-Two exact shortcuts keep the work small. No piece spans two neighbouring characters that stand
-nowhere side by side in the vocabulary, so a text may be cut there, and cut parts recur: their
-ids are kept. Every part seen for the first time is encoded by the ``sentencepiece`` library too,
-in batches, and a difference is an error.
+Three exact shortcuts keep the work small. No piece spans words, and their ids are kept. New words
+of up to 48 characters are rows of a table, each with an agenda of its own: a round merges the first
+pair of every row. In longer ones no piece spans two neighbouring characters that stand nowhere side
+by side in the vocabulary, so they are cut there, and the ids of cut parts are kept. Every word seen
+for the first time is encoded by the ``sentencepiece`` library too, in batches, and a difference is
+an error.
 """
 
 from __future__ import annotations
@@ -16,10 +18,14 @@ import gc
 import hashlib
 import heapq
 import re
+import sys
+from bisect import bisect_right
+from collections.abc import Iterator
 from contextlib import contextmanager
 from itertools import chain, repeat
 from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -28,6 +34,8 @@ from peerband.llm.common import append_columns, resident, slabs
 SPACE = "▁"
 #: Characters up to which the agenda is a plain list, which is faster than a heap there.
 SHORT = 48
+#: New words up to that length are merged in tables of these widths and at most so many rows.
+WIDTHS, TABLE_ROWS = (6, 8, 10, 12, 16, 24, SHORT), 1 << 14
 #: Entries of the young half of each cache of a Python worker, and characters of the longest word
 #: that is kept: text without spaces is one word, and is not.
 CACHE_PARTS, CACHE_CHARS = 250_000, 64
@@ -85,6 +93,31 @@ class MergeVocabulary:
             int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE
         }
         self.shown = [str(i) for i in range(len(model.pieces))]
+        # For many words at once: a symbol is the id of its piece, or beyond ``none``, which makes a
+        # piece with no other, the character that is no piece.
+        self.none = len(model.pieces)
+        self.base = self.none + 2 + sys.maxunicode
+        self.numbers = np.array(range(self.none), object)
+        self.shown_ids = np.array(self.shown, object)
+        self.order = np.full(self.none + 1, np.inf, np.float32)
+        self.of_point = np.arange(self.none + 1, self.base, dtype=np.int32)
+        for p, i in self.ids.items():
+            self.order[i] = self.ranks[p]
+            if len(p) == 1:
+                self.of_point[ord(p)] = i
+
+        def symbol(part: str) -> int | None:
+            return int(self.of_point[ord(part)]) if len(part) == 1 else self.ids.get(part)
+
+        made = {}
+        for p, i in self.ids.items():
+            for left, right in ((symbol(p[:k]), symbol(p[k:])) for k in range(1, len(p))):
+                if left is not None and right is not None:
+                    made[left * self.base + right] = i
+        keys = sorted(made)
+        # One key above all, so that what is looked up always has a place.
+        self.union_keys = np.array([*keys, self.base ** 2], np.int64)
+        self.union_ids = np.array([*map(made.get, keys), self.none], np.int32)
         self.pairs = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
         # A word starts at a space symbol that no space symbol precedes.
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
@@ -142,6 +175,79 @@ class MergeVocabulary:
                 propose(before[i], i)
         return [s for s in symbols if s is not None]
 
+    def _unions(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that each two symbols make; ``self.none`` where they make none."""
+        keys = left.astype(np.int64) * self.base + right
+        at = self.union_keys.searchsorted(keys)
+        return np.where(self.union_keys[at] == keys, self.union_ids[at], self.none)
+
+    def _side_by_side(self, symbols: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What is left of rows of ``n`` symbols each: all ids, and how many of them a row has.
+
+        Every row has an agenda of its own, and each round merges the first pair of each. Rows
+        begin with ``self.none`` and are filled up with it, once at least.
+        """
+        out, n, rows = np.empty_like(symbols), n.copy(), np.arange(len(n))
+        unions = self._unions(symbols[:, :-1], symbols[:, 1:])
+        agenda = self.order[unions]
+        while rows.size:
+            at, every = agenda.argmin(axis=1), np.arange(rows.size)
+            more = agenda[every, at] < np.inf
+            if not more.all():
+                width = symbols.shape[1] - 1
+                out[rows[~more], :width] = symbols[~more, 1:]
+                rows, at, every = rows[more], at[more], every[:np.count_nonzero(more)]
+                symbols, unions, agenda = symbols[more], unions[more], agenda[more]
+            n[rows] -= 1
+            symbols[every, at] = unions[every, at]
+            place, past = np.arange(symbols.shape[1] - 1), at[:, None]
+            symbols = np.where(place > past, symbols[:, 1:], symbols[:, :-1])
+            gone = place[:-1] >= past
+            unions = np.where(gone, unions[:, 1:], unions[:, :-1])
+            agenda = np.where(gone, agenda[:, 1:], agenda[:, :-1])
+            for i in (at - 1, at):
+                unions[every, i] = new = self._unions(symbols[every, i], symbols[every, i + 1])
+                agenda[every, i] = self.order[new]
+        return out[np.arange(out.shape[1]) < n[:, None]], n
+
+    def _spelled(self, symbols: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of symbols, characters that are no piece as their bytes, and their number by row."""
+        plain = symbols < self.none
+        if plain.all():
+            return symbols, n
+        points = (symbols[~plain] - (self.none + 1)).tolist()
+        found = [[self.bytes[b] for b in chr(x).encode("utf-8")] for x in points]
+        sizes = np.ones(symbols.size, np.int64)
+        sizes[~plain] = list(map(len, found))
+        ids = symbols.repeat(sizes)
+        ids[~plain.repeat(sizes)] = list(chain.from_iterable(found))
+        return ids, np.add.reduceat(sizes, n.cumsum() - n)
+
+    def short_ids(self, words: list[str]) -> Iterator[tuple[list[int], str]]:
+        """(ids, ids as text) of words of at most ``SHORT`` characters, sorted by their length."""
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        symbols, begins = self.of_point[points], np.append(0, n.cumsum())
+        ends = n.searchsorted(WIDTHS, "right").tolist()
+        tables = [(width, first, min(first + TABLE_ROWS, end))
+                  for width, begin, end in zip(WIDTHS, [0, *ends], ends)
+                  for first in range(begin, end, TABLE_ROWS)]
+        for width, first, last in tables:
+            own, place = n[first:last], np.arange(width + 2)
+            table = np.full((last - first, width + 2), self.none, np.int32)
+            table[(place > 0) & (place <= own[:, None])] = symbols[begins[first]:begins[last]]
+            ids, sizes = self._spelled(*self._side_by_side(table, own))
+            numbers, shown = self.numbers[ids].tolist(), self.shown_ids[ids].tolist()
+            end = 0
+            for size in sizes.tolist():
+                begin, end = end, end + size
+                yield numbers[begin:end], ",".join(shown[begin:end])
+
+    def told(self, word: str) -> tuple[list[int], str]:
+        """(ids, ids as text) of a word of any length."""
+        ids = self.word_ids(word)
+        return list(ids), ",".join(map(self.shown.__getitem__, ids))
+
     def part_ids(self, part: str) -> tuple[int, ...]:
         found = self.parts.get(part)
         if found is None:
@@ -169,25 +275,28 @@ class MergeVocabulary:
         ids.extend(self.part_ids(word[begin:]))
         return tuple(ids)
 
-    def learn(self, words: set[str]) -> dict[str, tuple[tuple[int, ...], str]]:
+    def learn(self, words: set[str]) -> dict[str, tuple[list[int], str]]:
         """(ids, ids as text) of each word. New words are encoded, and compared with the library's
         ids in one batch."""
         self.words.age()
         self.parts.age()
-        young = self.words.young.get
-        known = {w: young(w) for w in words}
+        known = dict(zip(words, map(self.words.young.get, words)))
+        new = []
         for word in [w for w, found in known.items() if found is None]:
-            known[word] = self.words.get(word)
-        new = [w for w, found in known.items() if found is None]
+            known[word] = found = self.words.get(word)
+            if found is None:
+                new.append(word)
+        new.sort(key=len)
         # The library itself puts the first space symbol there.
         theirs = self.library.encode([w[1:] for w in new], num_threads=1) if new else []
-        for word, ids in zip(new, theirs):
-            own = self.word_ids(word)
+        short = bisect_right(new, SHORT, key=len)
+        own = chain(self.short_ids(new[:short]), map(self.told, new[short:]))
+        for word, found, ids in zip(new, own, theirs):
             # A space symbol alone can't be asked for: the library takes it for an empty text.
-            if list(own) != ids and word != SPACE:
-                raise ValueError(f"ids of {word!r}: {own} here, {ids} by the library")
-            known[word] = own, ",".join(map(self.shown.__getitem__, own))
-            self.words.put(word, known[word])
+            if found[0] != ids and word != SPACE:
+                raise ValueError(f"ids of {word!r}: {found[0]} here, {ids} by the library")
+            known[word] = found
+            self.words.put(word, found)
         return known
 
     _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*")

@@ -1,9 +1,12 @@
 """What the encoders of token files and pieces keep, and when cycles are looked for."""
 
 import gc
+import itertools
+import random
 
 import public_tokenizers
 import pytest
+from sentencepiece import sentencepiece_model_pb2
 
 from peerband.llm import pieces, token_files
 
@@ -43,3 +46,46 @@ def test_fallback_symbols_among_pieces_are_written_as_their_bytes():
         assert list(ids) == vocab.library.encode(word[1:])
         # The text of an id is made once for the vocabulary, not once for each use.
         assert text == ",".join(vocab.shown[i] for i in ids)
+
+
+def test_new_words_are_merged_side_by_side(monkeypatch):
+    vocab = pieces.MergeVocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(3)
+    words = {"▁" * rng.choice((1, 1, 1, 3))
+             + "".join(rng.choices("theaonrsing.é漢\n͸\U0001f9ff", k=rng.randrange(60)))
+             for _ in range(3000)} | {"▁", "▁▁"}
+    want = {w: vocab.word_ids(w) for w in words}
+    calls = []
+    merge = vocab.merge
+    monkeypatch.setattr(vocab, "merge", lambda part: calls.append(part) or merge(part))
+    monkeypatch.setattr(pieces, "TABLE_ROWS", 100)
+    vocab.parts = pieces.Recent()
+    known = vocab.learn(words)
+    assert {w: tuple(ids) for w, (ids, _) in known.items()} == want
+    assert all(text == ",".join(map(str, ids)) for ids, text in known.values())
+    # Merged one at a time are only the parts of long words.
+    long = [w for w in words if len(w) > pieces.SHORT]
+    assert long and all(any(part in w for w in long) for part in calls)
+    calls.clear()
+    vocab.learn({"▁merged", "▁beside", "▁others"})
+    assert not calls
+
+
+def test_equal_scores_merge_from_the_left_and_characters_need_not_be_pieces(tmp_path):
+    model = sentencepiece_model_pb2.ModelProto()
+    model.trainer_spec.model_type = model.trainer_spec.BPE
+    model.trainer_spec.byte_fallback = True
+    model.normalizer_spec.remove_extra_whitespaces = False
+    model.pieces.add(piece="<unk>", score=0, type=2)
+    for b in range(256):
+        model.pieces.add(piece=f"<0x{b:02X}>", score=0, type=6)
+    for piece, score in (("ba", -1), ("ab", -1), ("cd", -1), ("cda", -2), ("▁a", -3), ("▁", -9),
+                         ("a", -9), ("b", -9), ("d", -9)):
+        model.pieces.add(piece=piece, score=score, type=1)
+    path = tmp_path / "small.model"
+    path.write_bytes(model.SerializeToString())
+    vocab = pieces.MergeVocabulary(str(path))
+    words = {"▁" + "".join(w) for n in range(6) for w in itertools.product("abcd", repeat=n)}
+    for word, (ids, _) in vocab.learn(words).items():
+        assert tuple(ids) == vocab.word_ids(word)
+        assert ids == vocab.library.encode(word[1:]) or word == "▁"
